@@ -38,3 +38,46 @@ def lineitem_narrow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LINEITEM_NARROW_SQL = "(select l_returnflag, l_linestatus, l_quantity, l_discount from lineitem)"
+
+
+# orders plus two columns derived from values: a constant one and an all-null one.
+def orders_constants(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select("*",
+                    F.when(F.col("o_orderdate") >= F.lit("1900-01-01").cast("timestamp"), F.lit("current")).alias("era"),
+                    F.when(F.col("o_totalprice") < 0, F.lit("refund")).alias("refund_flag"))
+
+
+ORDERS_CONSTANTS_SQL = """(select *, case when o_orderdate >= timestamp '1900-01-01' then 'current' end as era,
+  case when o_totalprice < 0 then 'refund' end as refund_flag from orders)"""
+
+
+# events with a string column mixing numbers (user ids of clicks) and words.
+def events_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.withColumn("mixed", F.when(F.col("event_type") == "click", F.col("user_id").cast("string"))
+                        .otherwise(F.col("event_type")))
+
+
+EVENTS_MIXED_SQL = """(select *, case when event_type = 'click' then cast(user_id as varchar) else event_type end as mixed
+  from events)"""
+
+
+# part with a label column: size-50 parts get a unique label, the rest their name.
+def part_labels(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.withColumn("p_label", F.when(F.col("p_size") == 50,
+                                          F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")))
+                        .otherwise(F.col("p_name")))
+
+
+PART_LABELS_SQL = """(select *, case when p_size = 50 then p_name || '#' || cast(p_partkey as varchar) else p_name end
+  as p_label from part)"""
+
+
+# customer with the balance renamed so the non-negative name rule applies.
+def customer_amount(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").withColumnRenamed("c_acctbal", "account_amount")
+
+
+CUSTOMER_AMOUNT_SQL = """(select c_custkey, c_name, c_nationkey, c_acctbal as account_amount, c_mktsegment from customer)"""
