@@ -142,7 +142,7 @@ def field_types(df: DataFrame, use_name: bool = True, profile: DataFrame | None
 def high_cardinality_columns(df: DataFrame, target: str | None = None, profile: DataFrame | None = None) -> DataFrame:
     """categorical/id/text columns with unique ratio > .3 or > 50,000 values."""
     p = profile if profile is not None else column_profile(df, [c for c in df.columns if c != target])
-    ft = field_type_expr(False)
+    ft = field_type_expr(True)
     return (p.where(F.col("column") != F.lit(target or ""))
              .select("column", "nunique", F.col("unique_ratio"), ft.alias("field_type"))
              .where(F.col("field_type").isin("categorical", "id", "text")
@@ -183,12 +183,16 @@ def task_type_expr() -> Column:
             .otherwise("multiclass_classification"))
 
 
+def task_types(df: DataFrame, cols: list[str] | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """B12 for every candidate column: ``(target, field_type, nunique, task_type)``."""
+    p = profile if profile is not None else column_profile(df, cols)
+    return (p.select(F.col("column").alias("target"), field_type_expr(True).alias("field_type"), "nunique")
+             .select("target", "field_type", "nunique", task_type_expr().alias("task_type")))
+
+
 def infer_task_type(df: DataFrame, target: str, profile: DataFrame | None = None) -> DataFrame:
     """One row ``(target, field_type, nunique, task_type)``."""
-    p = profile if profile is not None else column_profile(df, [target])
-    return (p.where(F.col("column") == target)
-             .select(F.col("column").alias("target"), field_type_expr(False).alias("field_type"), "nunique")
-             .select("target", "field_type", "nunique", task_type_expr().alias("task_type")))
+    return task_types(df, [target], profile).where(F.col("target") == target)
 
 
 def target_distribution(df: DataFrame, target: str, categorical: bool) -> DataFrame:
@@ -203,7 +207,7 @@ def profile_table(df: DataFrame, target: str | None = None) -> DataFrame:
     """The long profile used by the strategy rules:
     ``column, field_type, missing_rate, nunique, unique_ratio, is_target``."""
     p = column_profile(df)
-    return p.select("column", field_type_expr(False).alias("field_type"), "missing_rate", "nunique", "unique_ratio",
+    return p.select("column", field_type_expr(True).alias("field_type"), "missing_rate", "nunique", "unique_ratio",
                     (F.col("column") == F.lit(target or "")).alias("is_target"))
 
 

@@ -55,7 +55,8 @@ def _schema_rows(schema) -> list[dict]:
 
 
 def validate_against_schema(df: DataFrame, schema) -> DataFrame:
-    """``(field, rule, observed, limit)`` error rows: missing column, null in
+    """``(field, rule, observed, limit)`` error rows (observed/limit as
+    doubles, datetimes in epoch seconds): missing column, null in
     a non-nullable field, non-numeric/non-string type for numeric/binary/
     categorical fields, minimum below / maximum above the learned range.
     One aggregate over ``df``."""
@@ -70,7 +71,7 @@ def validate_against_schema(df: DataFrame, schema) -> DataFrame:
             continue
         dt = have[name]
         if f["field_type"] in ("numeric", "binary", "categorical") and not (is_numeric(dt, True) or is_string(dt)):
-            static.append((name, "type_mismatch", str(dt.simpleString()), f["field_type"]))
+            static.append((name, "type_mismatch", None, None))
         i = len(checks)
         x = F.col(name)
         aggs.append(F.sum(x.isNull().cast("bigint")).alias(f"n{i}"))
@@ -78,20 +79,20 @@ def validate_against_schema(df: DataFrame, schema) -> DataFrame:
         aggs.append(F.min(num).alias(f"lo{i}"))
         aggs.append(F.max(num).alias(f"hi{i}"))
         checks.append((i, f))
-    base = spark.createDataFrame(static, "field string, rule string, observed string, limit string")
+    base = spark.createDataFrame(static, "field string, rule string, observed double, limit double")
     if not checks:
         return base
     row = df.agg(*aggs)
     entries = []
     for i, f in checks:
         if not f["nullable"]:
-            entries.append((f["column"], "not_nullable", F.col(f"n{i}") > 0, F.col(f"n{i}").cast("string"), F.lit("0")))
+            entries.append((f["column"], "not_nullable", F.col(f"n{i}") > 0, F.col(f"n{i}").cast("double"), F.lit(0.0)))
         if f.get("min_value") is not None:
             entries.append((f["column"], "below_min", F.col(f"lo{i}") < F.lit(f["min_value"]),
-                            F.col(f"lo{i}").cast("string"), F.lit(str(f["min_value"]))))
+                            F.col(f"lo{i}"), F.lit(float(f["min_value"]))))
         if f.get("max_value") is not None:
             entries.append((f["column"], "above_max", F.col(f"hi{i}") > F.lit(f["max_value"]),
-                            F.col(f"hi{i}").cast("string"), F.lit(str(f["max_value"]))))
+                            F.col(f"hi{i}"), F.lit(float(f["max_value"]))))
     if not entries:
         return base
     found = row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(r).alias("rule"), bad.alias("bad"),

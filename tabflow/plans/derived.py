@@ -81,3 +81,30 @@ def customer_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CUSTOMER_AMOUNT_SQL = """(select c_custkey, c_name, c_nationkey, c_acctbal as account_amount, c_mktsegment from customer)"""
+
+
+# orders plus a date held as text and a boolean flag (type inference inputs).
+def orders_typed(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select("*", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"),
+                    (F.col("o_totalprice") > 250000).alias("big_order"))
+
+
+ORDERS_TYPED_SQL = """(select *, strftime(o_orderdate, '%Y-%m-%d') as order_day, o_totalprice > 250000 as big_order
+  from orders)"""
+
+# orders before 1999 stand for the data a schema was learned on.
+HISTORY_CUTOFF = "1999-01-01 00:00:00"
+
+
+def orders_history(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").where(F.col("o_orderdate") < F.lit(HISTORY_CUTOFF).cast("timestamp"))
+
+
+ORDERS_HISTORY_SQL = f"(select * from orders where o_orderdate < timestamp '{HISTORY_CUTOFF}')"
+
+
+# customer as it might arrive for scoring: balance as text, segment missing.
+def customer_drifted(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("string").alias("c_acctbal"))
