@@ -176,15 +176,24 @@ def _type_class(dt) -> str:
 
 
 def validate_scoring_input(df: DataFrame, fitted: T.StructType) -> DataFrame:
-    """Compare a scoring frame with the raw schema seen at fit time.
-    ``(column, problem, expected, actual)`` rows; empty means valid. Pure
-    metadata: nothing is scanned."""
+    """Compare a scoring frame with the raw schema seen at fit time:
+    ``(column, problem, expected, actual, rows)``; ``rows`` counts the rows the
+    problem affects (all rows for a missing column, rows whose value does not
+    parse as a number for a numeric column that arrives as text). Empty = valid.
+    One aggregate over the scoring frame."""
     have = {f.name: f.dataType for f in df.schema.fields}
-    rows = []
+    entries = []
     for f in fitted.fields:
         if f.name not in have:
-            rows.append((f.name, "missing_column", _type_class(f.dataType), None))
+            entries.append((f.name, "missing_column", _type_class(f.dataType), "absent", F.count(F.lit(1))))
         elif _type_class(f.dataType) == "numeric" and _type_class(have[f.name]) != "numeric":
-            rows.append((f.name, "type_mismatch", "numeric", _type_class(have[f.name])))
-    schema = "column string, problem string, expected string, actual string"
-    return df.sparkSession.createDataFrame(rows, schema)
+            x = F.col(f.name)
+            bad = F.sum((x.isNotNull() & F.expr(f"try_cast(`{f.name}` as double)").isNull()).cast("bigint"))
+            entries.append((f.name, "type_mismatch", "numeric", _type_class(have[f.name]), bad))
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column string, problem string, expected string, actual string, rows bigint")
+    row = df.agg(*[e[4].cast("bigint").alias(f"r{i}") for i, e in enumerate(entries)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(p).alias("problem"),
+                                                  F.lit(ex).alias("expected"), F.lit(ac).alias("actual"),
+                                                  F.col(f"r{i}").alias("rows"))
+                                         for i, (n, p, ex, ac, _) in enumerate(entries)])))

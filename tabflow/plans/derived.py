@@ -108,3 +108,35 @@ ORDERS_HISTORY_SQL = f"(select * from orders where o_orderdate < timestamp '{HIS
 def customer_drifted(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     return c.select("c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+
+
+# ---- train/test assignment by seeded hash (80 % train), identical in DuckDB
+def is_train(*keys) -> "F.Column":
+    from tabflow.functions.columns import seeded_hex, uniform01
+    return uniform01(seeded_hex(*keys)) < 0.8
+
+
+def train_sql(key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('-', cast({key} as varchar), '42')), 1, 8))::BIGINT / 4294967296.0 < 0.8)"
+
+
+# customer with missing balances (> 9000) and segments ('HOUSEHOLD').
+def customer_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", "c_name", "c_nationkey",
+                    F.when(F.col("c_acctbal") <= 9000, F.col("c_acctbal")).alias("c_acctbal"),
+                    F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.col("c_mktsegment")).alias("c_mktsegment"))
+
+
+CUSTOMER_NULLS_SQL = """(select c_custkey, c_name, c_nationkey, case when c_acctbal <= 9000 then c_acctbal end as c_acctbal,
+  case when c_mktsegment <> 'HOUSEHOLD' then c_mktsegment end as c_mktsegment from customer)"""
+
+
+# events whose value is missing for error events.
+def events_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
+
+
+EVENTS_NULLS_SQL = """(select event_id, ts, user_id, event_type, case when event_type <> 'error' then value end as value, props
+  from events)"""
