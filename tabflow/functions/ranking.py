@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 2_000_000       # rows ranked by one window task
 BROADCAST_ROWS = 2_000_000        # offset tables above this are shuffle-joined
@@ -115,3 +116,32 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_buckets:
     name = rank_col or "_tf_r2"
     out = d.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= k)
     return out if rank_col else out.drop(name)
+
+
+def range_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank", n_rows: int | None = None,
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact global 1-based ``row_number`` in ``order_cols`` order for a
+    non-uniform key (e.g. time). Rows are range-bucketed on the first order
+    column (approximate quantiles; equal values share a bucket, so bucket order
+    agrees with the full order), each bucket is ranked by its own window and
+    shifted by the row count of earlier buckets."""
+    if n_rows is None:
+        n_rows = df.count()
+    order = [F.col(c) for c in order_cols]
+    n_buckets = max(1, int(math.ceil(n_rows / rows_per_bucket)))
+    if n_buckets == 1:
+        return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
+    first = order_cols[0]
+    key = F.col(first).cast("double") if not isinstance(df.schema[first].dataType, (T.TimestampType, T.DateType)) \
+        else F.unix_micros(F.col(first).cast("timestamp")).cast("double")
+    d = df.withColumn("_tf_ord", key)
+    qs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = d.select(F.percentile_approx("_tf_ord", qs, 10000).alias("b")).first()["b"]
+    splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
+    d = Bucketizer(splits=splits, inputCol="_tf_ord", outputCol="_tf_bkt", handleInvalid="keep").transform(d)
+    counts = d.groupBy("_tf_bkt").agg(F.count(F.lit(1)).alias("_tf_n"))
+    wo = Window.partitionBy(F.lit(0)).orderBy("_tf_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_tf_bkt", F.coalesce(F.sum("_tf_n").over(wo), F.lit(0)).alias("_tf_off"))
+    j = d.join(F.broadcast(offsets), "_tf_bkt")   # one row per bucket
+    w = Window.partitionBy("_tf_bkt").orderBy(*order)
+    return j.withColumn(rank_col, F.row_number().over(w) + F.col("_tf_off")).drop("_tf_bkt", "_tf_off", "_tf_ord")
