@@ -67,32 +67,40 @@ def hash_rank(df: DataFrame, hash_col: str, partition_cols=(), tiebreak=(), rank
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
                 n_rows: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                suffix: str = "_cum") -> DataFrame:
-    """Running sums of ``sum_cols`` in ``order_col`` order (order values must be
-    unique, e.g. after a ``groupBy(order_col)``). Adds ``{c}{suffix}`` columns
-    (inclusive of the current row)."""
+                suffix: str = "_cum", partition_cols=()) -> DataFrame:
+    """Running sums of ``sum_cols`` in ``order_col`` order inside each
+    ``partition_cols`` group (order values must be unique within a group, e.g.
+    after a ``groupBy(group, order_col)``). Adds ``{c}{suffix}`` columns
+    (inclusive of the current row).
+
+    Large inputs are range-bucketed on ``order_col`` (approximate quantiles);
+    each (group, bucket) is summed by its own window and shifted by the totals
+    of the earlier buckets of its group, so no group is processed whole."""
+    pcols = list(partition_cols)
     if n_rows is None:
         n_rows = df.count()
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
     n_buckets = max(1, int(math.ceil(n_rows / rows_per_bucket)))
     if n_buckets == 1:
-        w = Window.orderBy(oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = (Window.partitionBy(*pcols) if pcols else Window).orderBy(oc).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(c).over(w).alias(c + suffix) for c in sum_cols])
     qs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000).alias("b")).first()["b"]
     splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
-    d = Bucketizer(splits=splits, inputCol="_tf_ord", outputCol="_tf_bkt").transform(
+    d = Bucketizer(splits=splits, inputCol="_tf_ord", outputCol="_tf_bkt", handleInvalid="keep").transform(
         df.withColumn("_tf_ord", F.col(order_col).cast("double")))
     if descending:
         d = d.withColumn("_tf_bkt", -F.col("_tf_bkt"))
-    totals = d.groupBy("_tf_bkt").agg(*[F.sum(c).alias("_tf_t_" + c) for c in sum_cols])
-    wo = Window.partitionBy(F.lit(0)).orderBy("_tf_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_tf_bkt", *[F.coalesce(F.sum("_tf_t_" + c).over(wo), F.lit(0)).alias("_tf_o_" + c)
-                                         for c in sum_cols])
-    j = d.join(F.broadcast(offsets), "_tf_bkt")  # one row per bucket: bounded by n_buckets
-    w = Window.partitionBy("_tf_bkt").orderBy(oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = j.select(*df.columns, *[(F.sum(c).over(w) + F.col("_tf_o_" + c)).alias(c + suffix) for c in sum_cols])
-    return out
+    totals = d.groupBy(*pcols, "_tf_bkt").agg(*[F.sum(c).alias("_tf_t_" + c) for c in sum_cols])
+    wo = (Window.partitionBy(*pcols) if pcols else Window.partitionBy(F.lit(0))).orderBy("_tf_bkt").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = totals.select(*pcols, "_tf_bkt", *[F.coalesce(F.sum("_tf_t_" + c).over(wo), F.lit(0)).alias("_tf_o_" + c)
+                                                 for c in sum_cols])
+    # offsets: one row per (group, bucket)
+    j = d.join(F.broadcast(offsets) if n_buckets * 64 <= BROADCAST_ROWS else offsets, pcols + ["_tf_bkt"])
+    w = Window.partitionBy(*pcols, "_tf_bkt").orderBy(oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return j.select(*df.columns, *[(F.sum(c).over(w) + F.col("_tf_o_" + c)).alias(c + suffix) for c in sum_cols])
 
 
 def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_buckets: int | None = None,
