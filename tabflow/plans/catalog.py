@@ -1,3 +1,3 @@
 """Imports every query module so that their ``@register`` calls run."""
 
-from tabflow.plans import q_quality, q_infer, q_clean, q_features, q_split, q_metrics  # noqa: F401
+from tabflow.plans import q_quality, q_infer, q_clean, q_features, q_split, q_metrics, q_sources  # noqa: F401
