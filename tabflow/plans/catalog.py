@@ -1,3 +1,4 @@
 """Imports every query module so that their ``@register`` calls run."""
 
-from tabflow.plans import q_quality, q_infer, q_clean, q_features, q_split, q_metrics, q_sources  # noqa: F401
+from tabflow.plans import (q_clean, q_features, q_infer, q_metrics, q_models, q_quality,  # noqa: F401
+                           q_sources, q_split)
