@@ -28,9 +28,11 @@ def get_spark(master: str | None = None, app: str = "tabflow", shuffle_partition
     for local runs and tests.
     """
     b = SparkSession.builder.appName(app)
+    conf = dict(DEFAULT_CONF)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
+        if master.startswith("local"):
+            conf.setdefault("spark.driver.memory", os.environ.get("TABFLOW_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
