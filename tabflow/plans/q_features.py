@@ -111,11 +111,13 @@ def one_hot(spark, sf):
 
 @register("target_encode", sql=f"""
 with g as (select avg(value) g from events where {_ET}),
-s as (select cast(user_id as varchar) as v, avg(value) m, count(value) n from events where {_ET} group by 1)
+s as (select cast(user_id as varchar) || '-' || event_type as v, avg(value) m, count(value) n from events where {_ET} group by 1)
 select event_id, coalesce((m * n + g * 10.0) / (n + 10.0), g) as user_cat_te
-from events e cross join g left join s on cast(e.user_id as varchar) = s.v""")
+from events e cross join g left join s on cast(e.user_id as varchar) || '-' || e.event_type = s.v""")
 def target_encode(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user_cat"), "value")
+    # category: user × event type (many values: target-encoded, not one-hot)
+    e = table(spark, sf, "events").select(
+        "event_id", F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("user_cat"), "value")
     tab, g, enc = FE.fit_target_encoding(e.where(is_train("event_id")), ["user_cat"], "value")
     return FE.apply_target_encoding(e, tab, enc, g).select("event_id", "user_cat_te")
 
