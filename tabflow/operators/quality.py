@@ -289,10 +289,12 @@ def quality_scores(df: DataFrame, target: str | None = None, as_of=None, exact:
         duplicates(df).select(F.lit("uniqueness").alias("dimension"), "score"),
         validity(df, target).select(F.lit("validity").alias("dimension"), "score"),
     ]
-    six = _union(parts)
-    overall = six.agg(F.round(F.sum("score") / F.lit(6.0), 4).alias("score")).select(
-        F.lit("overall").alias("dimension"), "score")
-    return six.unionByName(overall)
+    # the six one-row results are packed once (6 structs) and the overall score is
+    # derived from that array, so no dimension is computed twice
+    packed = _union(parts).agg(F.collect_list(F.struct("dimension", "score")).alias("a"))
+    total = F.aggregate(F.col("a"), F.lit(0.0), lambda acc, x: acc + x["score"])
+    overall = F.struct(F.lit("overall").alias("dimension"), F.round(total / F.lit(6.0), 4).alias("score"))
+    return packed.select(F.inline(F.concat(F.col("a"), F.array(overall))))
 
 
 def quality_warnings(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True) -> DataFrame:
