@@ -11,6 +11,7 @@ folder (Parquet + JSON) and loaded back unchanged.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import is_datetime, is_numeric, is_string
+from tabflow.functions.ranking import top_k_per_group
 from tabflow.operators import clean as CL
 from tabflow.operators import features as FE
 
@@ -56,28 +58,24 @@ class PreprocessorConfig:
     exact: bool = True
 
 
-def _roles(df: DataFrame, target: str, keep=()) -> dict[str, list[str]]:
-    feats = [c for c in df.columns if c not in (target, WEIGHT_COL) and c not in keep]
-    num = [c for c in feats if is_numeric(df.schema[c].dataType, include_bool=True)]
-    dt = [c for c in feats if is_datetime(df.schema[c].dataType)]
-    strs = [c for c in feats if is_string(df.schema[c].dataType)]
-    text = []
-    if strs:
-        row = df.agg(F.count(F.lit(1)).alias("n"),
-                     *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(strs)],
-                     *[F.avg(F.length(F.coalesce(F.col(c), F.lit("None")))).alias(f"l{i}") for i, c in enumerate(strs)]).first()
-        n = max(row["n"], 1)
-        text = [c for i, c in enumerate(strs) if row[f"d{i}"] / n > 0.5 and (row[f"l{i}"] or 0) > 15]
-    return {"numeric": num, "categorical": [c for c in strs if c not in text], "text": text, "datetime": dt}
+class Preprocessor:
+    """Fits all statistics with a few fused passes over the training rows:
 
+    1. one aggregate: feature roles, missing rates, raw quantiles (median fill,
+       IQR fences), moments (mean fill, skewness for log columns, min/max), target mean;
+    2. one ``(column, value)`` shuffle for all categorical columns: counts and
+       target sums per value → modes, rare sets, one-hot lists, target encodings;
+    3. one numeric aggregate: pooled outlier share (scaler choice) and the
+       quantiles of the median-filled values (robust scaler);
+    4. one aggregate over the transformed features: correlations and variances.
+    """
 
-class Preprocessor:
     def __init__(self, config: PreprocessorConfig):
         self.config = config
 
-    def _rules(self, df: DataFrame, state: dict) -> DataFrame:
+    def _rules(self, df: DataFrame) -> DataFrame:
         c = self.config
-        df = CL.drop_columns(df, list(c.drop_columns) + state.get("missing_drop", []))
+        df = CL.drop_columns(df, list(c.drop_columns))
         if c.ranges:
             df = CL.range_constraint(df, {k: tuple(v) for k, v in c.ranges.items() if k in df.columns})
         return df
@@ -87,7 +85,7 @@ class Preprocessor:
         t = c.target
         state: dict = {"config": asdict(c), "raw_schema": train.schema.json()}
         tables: dict[str, DataFrame] = {}
-        base = self._rules(train, {})
+        base = self._rules(train)
         if c.missing_drop_threshold is not None:
             state["missing_drop"] = CL.fit_high_missing(base, c.missing_drop_threshold, t)
             base = CL.drop_columns(base, state["missing_drop"])
@@ -97,60 +95,23 @@ class Preprocessor:
             if c.drop_null_target:
                 base = CL.drop_null_target(base, t)
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        model = PreprocessorModel(c, state, tables)
         try:
-            roles = _roles(base, t, c.keep_columns)
-            state["roles"] = roles
-            model = PreprocessorModel(c, state, tables)
-            # missing indicators are learned (and applied) before imputation
-            state["indicators"] = FE.fit_missing_indicators(
-                base, roles["numeric"] + roles["categorical"] + roles["datetime"], c.missing_indicator_rate) \
-                if c.missing_indicator and c.feature_engineering else []
-            fills = CL.fit_imputer(base, c.numeric_impute, c.categorical_impute, c.numeric_constant,
-                                   c.categorical_constant, target=t, exact=c.exact, numeric_default=0.0,
-                                   categorical_default="missing")
-            state["fills"] = {k: v for k, v in fills.items() if k in roles["numeric"] + roles["categorical"]}
-            cur = model._stage_fill(base)
-            state["log_columns"] = CL.fit_log_columns(cur.select(*roles["numeric"]), c.log_skew_threshold) \
-                if roles["numeric"] else []
-            cur = model._stage_log(cur)
+            self._pass1(base, state)
+            roles = state["roles"]
+            if roles["categorical"]:
+                self._pass2_categorical(base, state, tables)
+            if c.feature_engineering and roles["numeric"]:
+                self._pass3_numeric(base, state)
             if c.feature_engineering:
-                num = roles["numeric"]
-                state["bounds"] = FE.fit_iqr_bounds(cur, num, exact=c.exact) if c.outlier_strategy == "iqr" and num else {}
-                kind = c.scaler
-                if kind == "auto":
-                    kind = FE.choose_scaler(cur, num, state["bounds"]).first()["scaler"] if num else "none"
-                state["scaler_kind"] = kind
-                clipped = FE.clip_to_bounds(cur, state["bounds"])
-                state["scaler"] = FE.fit_scaler(clipped, num, kind, exact=c.exact) if kind != "none" and num else {}
-                cur = model._stage_scale(cur)
-                cats = roles["categorical"]
-                if cats:
-                    enc_src = cur
-                    rare = FE.fit_rare_values(cur, cats, c.rare_threshold)
-                    tables["rare"] = rare.persist(StorageLevel.MEMORY_AND_DISK)
-                    state["n_rare"] = tables["rare"].count()
-                    cur = model._stage_rare(cur)
-                    if not c.legacy_order:
-                        enc_src = cur
-                    state["one_hot"] = FE.fit_one_hot(enc_src, cats, c.one_hot_max)
-                    te_cands = [x for x in cats if x not in state["one_hot"]]
-                    if te_cands and is_numeric(enc_src.schema[t].dataType, include_bool=True):
-                        te, g, enc = FE.fit_target_encoding(enc_src, te_cands, t, c.target_encoding_min, c.te_smoothing)
-                        tables["te"] = te.persist(StorageLevel.MEMORY_AND_DISK)
-                        state["te_columns"], state["te_global"], state["n_te"] = enc, g, tables["te"].count()
-                    cur = model._stage_encode(cur)
-                cur = model._stage_dates(cur)
+                cur = model._stage_dates(model._stage_encode(model._stage_rare(model._stage_scale(
+                    model._stage_log(model._stage_fill(base))))))
                 feats = model._numeric_features(cur)
-                if len(feats) >= 2:
-                    corr = FE.correlation_matrix(cur, feats, fill_median=True, exact=c.exact)
-                    rows = [(r["col_a"], r["col_b"], r["corr"]) for r in corr.collect()]  # p(p-1)/2 numbers
-                    state["corr_drop"] = [d for d, _ in FE.correlation_drop(rows, feats, c.correlation_threshold)]
                 if feats:
-                    vt = FE.variance_table(cur, feats, c.low_variance_threshold).where("dropped").collect()
-                    state["var_drop"] = [r["column"] for r in vt]
+                    self._pass4_selection(cur, feats, state)
                 cur = model._stage_drop(cur)
                 feats = model._numeric_features(cur)
-                if c.enable_pca and feats and min(len(feats), 10) >= 10:
+                if c.enable_pca and len(feats) >= 10:
                     pca, k, ratios, means = FE.fit_pca(cur.select(*[F.col(x).cast("double") for x in feats]), feats,
                                                        variance=c.pca_variance)
                     state["pca"] = {"columns": feats, "k": k, "means": means,
@@ -160,6 +121,165 @@ class Preprocessor:
             base.unpersist()
         return model
 
+    # ---- pass 1: one aggregate over the cleaned training rows
+    def _pass1(self, base: DataFrame, state: dict) -> None:
+        c = self.config
+        t = c.target
+        feats = [x for x in base.columns if x not in (t, WEIGHT_COL) and x not in c.keep_columns]
+        num = [x for x in feats if is_numeric(base.schema[x].dataType, include_bool=True)]
+        dt = [x for x in feats if is_datetime(base.schema[x].dataType)]
+        strs = [x for x in feats if is_string(base.schema[x].dataType)]
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if t in base.columns and is_numeric(base.schema[t].dataType, include_bool=True):
+            aggs.append(F.avg(F.col(t).cast("double")).alias("tmean"))
+        for i, x in enumerate(strs):
+            aggs += [F.approx_count_distinct(x).alias(f"sd{i}"),
+                     F.avg(F.length(F.coalesce(F.col(x), F.lit("None")))).alias(f"sl{i}")]
+        for i, x in enumerate(feats):
+            aggs.append(F.avg(F.col(x).isNull().cast("double")).alias(f"mr{i}"))
+        for i, x in enumerate(num):
+            v = F.col(x).cast("double")
+            q = F.percentile(v, probs) if c.exact else F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
+            aggs += [q.alias(f"q{i}"), F.count(v).alias(f"nn{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"),
+                     F.min(v).alias(f"lo{i}"), F.skewness(v).alias(f"g{i}")]
+        row = base.agg(*aggs).first()
+        n = max(row["n"], 1)
+        text = [x for i, x in enumerate(strs) if row[f"sd{i}"] / n > 0.5 and (row[f"sl{i}"] or 0) > 15]
+        cats = [x for x in strs if x not in text]
+        state["roles"] = {"numeric": num, "categorical": cats, "text": text, "datetime": dt}
+        state["n_train"] = row["n"]
+        state["target_mean"] = row["tmean"] if "tmean" in row.asDict() else None
+        mr = {x: row[f"mr{i}"] or 0.0 for i, x in enumerate(feats)}
+        state["indicators"] = [x for x in num + cats + dt if mr[x] > c.missing_indicator_rate] \
+            if c.missing_indicator and c.feature_engineering else []
+        fills, stats = {}, {}
+        for i, x in enumerate(num):
+            q = row[f"q{i}"]
+            st = {"q1": q[0] if q else None, "med": q[1] if q else None, "q3": q[2] if q else None,
+                  "nn": row[f"nn{i}"], "mean": row[f"m{i}"], "var": row[f"v{i}"], "min": row[f"lo{i}"], "g1": row[f"g{i}"]}
+            stats[x] = st
+            if c.numeric_impute == "median":
+                fills[x] = st["med"] if st["med"] is not None else 0.0
+            elif c.numeric_impute == "mean":
+                fills[x] = st["mean"] if st["mean"] is not None else 0.0
+            else:
+                fills[x] = c.numeric_constant
+        state["fills"] = fills
+        state["numeric_stats"] = stats
+        logs = []
+        for x, st in stats.items():
+            nn, g1 = st["nn"], st["g1"]
+            if st["min"] is not None and st["min"] >= 0 and g1 is not None and nn > 2 and not math.isnan(g1):
+                if g1 * math.sqrt(nn * (nn - 1)) / (nn - 2) > c.log_skew_threshold:
+                    logs.append(x)
+        state["log_columns"] = logs
+        state["bounds"] = {x: (st["q1"] - 1.5 * (st["q3"] - st["q1"]), st["q3"] + 1.5 * (st["q3"] - st["q1"]))
+                           for x, st in stats.items() if st["q1"] is not None} if c.outlier_strategy == "iqr" else {}
+
+    # ---- pass 2: one (column, value) shuffle for every categorical column
+    def _pass2_categorical(self, base: DataFrame, state: dict, tables: dict) -> None:
+        c = self.config
+        t = c.target
+        cats = state["roles"]["categorical"]
+        num_target = t in base.columns and is_numeric(base.schema[t].dataType, include_bool=True)
+        y = F.col(t).cast("double") if num_target else F.lit(None).cast("double")
+        pairs = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("string").alias("value")) for x in cats])
+        vt = (base.select(F.inline(pairs), y.alias("_y")).groupBy("column", "value")
+                  .agg(F.count(F.lit(1)).alias("cnt"), F.sum("_y").alias("sy"), F.count("_y").alias("ny"))
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+        # fills (D7): most frequent non-null value, smallest on ties
+        if c.categorical_impute == "mode":
+            top = top_k_per_group(vt.where(F.col("value").isNotNull()), ["column"],
+                                  [F.col("cnt").desc(), F.col("value").asc()], 1)
+            got = {r["column"]: r["value"] for r in top.collect()}        # one row per column
+            fill = {x: got.get(x, "missing") for x in cats}
+        else:
+            fill = {x: c.categorical_constant for x in cats}
+        state["fills"].update(fill)
+        if not c.feature_engineering:
+            return
+        fmap = F.create_map(*[v for x in cats for v in (F.lit(x), F.lit(fill[x]))])
+        src = vt.where(F.col("value").isNotNull()) if c.legacy_order else \
+            vt.withColumn("value", F.coalesce(F.col("value"), fmap[F.col("column")])) \
+              .groupBy("column", "value").agg(F.sum("cnt").alias("cnt"), F.sum("sy").alias("sy"), F.sum("ny").alias("ny"))
+        rare = src.where(F.col("cnt") < c.rare_threshold).select("column", "value").persist(StorageLevel.MEMORY_AND_DISK)
+        tables["rare"] = rare
+        state["n_rare"] = rare.count()
+        enc = src if c.legacy_order else \
+            src.withColumn("value", F.when(F.col("cnt") < c.rare_threshold, F.lit(FE.OTHER)).otherwise(F.col("value"))) \
+               .groupBy("column", "value").agg(F.sum("cnt").alias("cnt"), F.sum("sy").alias("sy"), F.sum("ny").alias("ny"))
+        enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
+        nd = {r["column"]: r["k"] for r in enc.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+        small = [x for x in cats if nd.get(x, 0) <= c.one_hot_max]
+        oh: dict[str, list[str]] = {x: [] for x in small}
+        for r in enc.where(F.col("column").isin(small)).select("column", "value").collect():   # ≤ one_hot_max per column
+            oh[r["column"]].append(r["value"])
+        state["one_hot"] = {x: sorted(v) for x, v in oh.items()}
+        te_cols = [x for x in cats if nd.get(x, 0) >= c.target_encoding_min] if num_target else []
+        if te_cols:
+            g = state["target_mean"]
+            te = enc.where(F.col("column").isin(te_cols) & (F.col("ny") > 0)).select(
+                "column", "value", ((F.col("sy") + F.lit(g) * c.te_smoothing) / (F.col("ny") + c.te_smoothing)).alias("te"))
+            tables["te"] = te.persist(StorageLevel.MEMORY_AND_DISK)
+            state["te_columns"], state["te_global"], state["n_te"] = te_cols, g, tables["te"].count()
+
+    # ---- pass 3: scaler choice (pooled outliers on raw values) and filled quantiles
+    def _pass3_numeric(self, base: DataFrame, state: dict) -> None:
+        c = self.config
+        num = state["roles"]["numeric"]
+        b, fills, stats = state["bounds"], state["fills"], state["numeric_stats"]
+        kind = c.scaler
+        aggs = []
+        if kind == "auto":
+            out = sum((F.coalesce(F.sum(((F.col(x) < b[x][0]) | (F.col(x) > b[x][1])).cast("bigint")), F.lit(0))
+                       for x in num if x in b), F.lit(0))
+            tot = sum((F.count(F.col(x)) for x in num if x in b), F.lit(0))
+            aggs += [out.alias("o"), tot.alias("tot")]
+        if kind in ("auto", "robust"):
+            for i, x in enumerate(num):
+                v = F.coalesce(F.col(x).cast("double"), F.lit(fills[x]))
+                q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if c.exact \
+                    else F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
+                aggs.append(q.alias(f"fq{i}"))
+        row = base.agg(*aggs).first() if aggs else None
+        if kind == "auto":
+            kind = "robust" if (row["o"] / max(row["tot"], 1)) > FE.ROBUST_SWITCH_SHARE else "standard"
+        state["scaler_kind"] = kind
+        n = state["n_train"]
+        params = {}
+        for i, x in enumerate(num):
+            st = stats[x]
+            f = fills[x]
+            if kind == "robust":
+                q1, q2, q3 = row[f"fq{i}"]
+                params[x] = {"fill": f, "center": q2, "scale": (q3 - q1) if q3 != q1 else 1.0}
+            elif kind == "standard":
+                # moments of the median-filled values from the non-null moments (stable pooled form)
+                nn = st["nn"] or 0
+                mean_nn = st["mean"] if st["mean"] is not None else f
+                var_nn = st["var"] or 0.0
+                mean_f = (nn * mean_nn + (n - nn) * f) / max(n, 1)
+                var_f = (nn * (var_nn + (mean_nn - mean_f) ** 2) + (n - nn) * (f - mean_f) ** 2) / max(n, 1)
+                sd = math.sqrt(max(var_f, 0.0))
+                params[x] = {"fill": f, "center": mean_f, "scale": sd if sd > 0 else 1.0}
+        if kind == "minmax":
+            mm = base.agg(*[F.min(F.coalesce(F.col(x).cast("double"), F.lit(fills[x]))).alias(f"a{i}") for i, x in enumerate(num)],
+                          *[F.max(F.coalesce(F.col(x).cast("double"), F.lit(fills[x]))).alias(f"b{i}") for i, x in enumerate(num)]).first()
+            for i, x in enumerate(num):
+                lo, hi = mm[f"a{i}"], mm[f"b{i}"]
+                params[x] = {"fill": fills[x], "center": lo, "scale": (hi - lo) if hi != lo else 1.0}
+        state["scaler"] = params if kind != "none" else {}
+
+    # ---- pass 4: correlation / variance filters on the transformed features
+    def _pass4_selection(self, cur: DataFrame, feats: list[str], state: dict) -> None:
+        c = self.config
+        corr = FE.correlation_matrix(cur, feats, fill_median=False)
+        var = FE.variance_table(cur, feats, c.low_variance_threshold)
+        rows = [(r["col_a"], r["col_b"], r["corr"]) for r in corr.collect()]     # p(p-1)/2 numbers
+        state["corr_drop"] = [d for d, _ in FE.correlation_drop(rows, feats, c.correlation_threshold)]
+        state["var_drop"] = [r["column"] for r in var.where("dropped").collect()]
+
 
 class PreprocessorModel:
     def __init__(self, config: PreprocessorConfig, state: dict, tables: dict[str, DataFrame]):
