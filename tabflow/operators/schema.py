@@ -47,11 +47,12 @@ def infer_schema(df: DataFrame, target: str | None = None) -> DataFrame:
                     F.when(is_cat, F.col("av")).alias("allowed_values"))
 
 
-def _schema_rows(schema) -> list[dict]:
-    """Accept a learned schema DataFrame (one row per column) or a list of dicts."""
-    if isinstance(schema, DataFrame):
-        return [r.asDict() for r in schema.collect()]  # bounded by the column count
-    return list(schema)
+def _schema_rows(schema, df: DataFrame | None = None) -> list[dict]:
+    """Accept a learned schema DataFrame (one row per column) or a list of dicts;
+    fields come back in ``df``'s column order (unknown ones last, by name)."""
+    rows = [r.asDict() for r in schema.collect()] if isinstance(schema, DataFrame) else list(schema)  # ≤ #columns
+    pos = {c: i for i, c in enumerate(df.columns)} if df is not None else {}
+    return sorted(rows, key=lambda f: (pos.get(f["column"], len(pos)), f["column"]))
 
 
 def validate_against_schema(df: DataFrame, schema) -> DataFrame:
@@ -60,7 +61,7 @@ def validate_against_schema(df: DataFrame, schema) -> DataFrame:
     a non-nullable field, non-numeric/non-string type for numeric/binary/
     categorical fields, minimum below / maximum above the learned range.
     One aggregate over ``df``."""
-    fields = _schema_rows(schema)
+    fields = _schema_rows(schema, df)
     spark = df.sparkSession
     have = {f.name: f.dataType for f in df.schema.fields}
     static, aggs, checks = [], [], []
@@ -104,7 +105,7 @@ def validate_against_schema(df: DataFrame, schema) -> DataFrame:
 def schema_violations(df: DataFrame, schema, key_cols: list[str]) -> DataFrame:
     """The rows that violate the schema: ``key_cols + violations`` where
     ``violations`` is the array of broken ``field:rule`` tags (non-empty only)."""
-    fields = _schema_rows(schema)
+    fields = _schema_rows(schema, df)
     have = {f.name: f.dataType for f in df.schema.fields}
     tags = []
     for f in fields:
@@ -131,7 +132,7 @@ def align_to_schema(df: DataFrame, schema) -> DataFrame:
     nullable), coerce numeric and datetime fields (failures → null), turn the
     strings 'nan'/'None' into null for categorical/binary/text fields. One
     projection."""
-    fields = _schema_rows(schema)
+    fields = _schema_rows(schema, df)
     have = set(df.columns)
     out = [F.col(c) for c in df.columns if c not in {f["column"] for f in fields}]
     for f in fields:
