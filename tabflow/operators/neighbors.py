@@ -121,12 +121,15 @@ def knn(points: DataFrame, queries: DataFrame, vec_col: str, k: int, same_group:
 
 
 def _neighbour_arrays(nn: DataFrame, pts: DataFrame, vec_col: str, extra: list[str] = ()) -> DataFrame:
-    """``(uid, nbrs)``: each query's ≤ k neighbour records (repeated by ``take``)."""
+    """``(uid, nbrs)``: each query's ≤ k neighbour records (repeated by
+    ``take``) in a fixed order (distance, then id), so seeded picks are stable."""
     p = pts.select(F.col("uid").alias("nuid"), F.col(vec_col).alias("v"), *[F.col(e) for e in extra])
     j = nn.join(p, "nuid")
-    item = F.struct("v", *extra)
+    item = F.struct(F.col("dist").alias("_d"), F.col("nuid").alias("_id"), F.col("take").alias("_t"),
+                    F.struct("v", *extra).alias("_r"))
+    srt = F.array_sort(F.collect_list(item))
     return j.groupBy(F.col("quid").alias("uid")).agg(
-        F.flatten(F.collect_list(F.array_repeat(item, F.col("take").cast("int")))).alias("nbrs"))
+        F.flatten(F.transform(srt, lambda e: F.array_repeat(e["_r"], e["_t"].cast("int")))).alias("nbrs"))
 
 
 def _class_counts(df: DataFrame, target: str) -> tuple[dict, int]:

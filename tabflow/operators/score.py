@@ -64,7 +64,8 @@ def batch_predict(df: DataFrame, pre: PreprocessorModel | None, model: PipelineM
 
 
 def predict_records(spark: SparkSession, records: list[dict], schema, pre: PreprocessorModel | None,
-                    model: PipelineModel, threshold: float | None = None) -> DataFrame:
-    """A list of dicts scored through the same path as a batch."""
+                    model: PipelineModel, keep: list[str], threshold: float | None = None) -> DataFrame:
+    """A list of dicts scored through the same path as a batch; ``keep``
+    names the record columns returned with the predictions (e.g. the id)."""
     df = spark.createDataFrame(records, schema=schema)
-    return batch_predict(df, pre, model, keep=df.columns, threshold=threshold)
+    return batch_predict(df, pre, model, keep=keep, threshold=threshold)

@@ -99,3 +99,8 @@ def score_input_validation(spark, sf):
     incoming = li.withColumn("l_quantity", F.when(F.col("l_returnflag") == "R", F.lit("n/a"))
                              .otherwise(F.col("l_quantity").cast("string"))).drop("l_tax")
     return CL.validate_scoring_input(incoming, fitted)
+
+
+@register("drop_columns", sql="select o_orderkey, o_orderstatus, o_totalprice from orders")
+def drop_columns(spark, sf):
+    return CL.drop_columns(table(spark, sf, "orders"), ["o_custkey", "o_orderdate", "o_orderpriority", "not_a_column"])

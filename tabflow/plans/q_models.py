@@ -302,3 +302,16 @@ def label_encode_decode(spark, sf):
     idx, enc = EX.label_encode(c, ["c_mktsegment"])
     return EX.label_decode(enc, idx, ["c_mktsegment"]).select("c_custkey", "c_mktsegment", "c_mktsegment_code",
                                                                "c_mktsegment_decoded")
+
+
+@register("score_records")
+def score_records(spark, sf):
+    """A small list of records (an API payload, here 20 documents taken by
+    seeded order) scored through the same path as a batch."""
+    from tabflow.operators.split import sample_rows
+    d, tr, va, pre = _fitted(spark, sf)
+    pm = MD.build_pipeline(LogisticRegression(maxIter=30), pre.feature_columns, "toxic", "binary_classification") \
+        .fit(pre.transform(tr))
+    payload = sample_rows(va.drop("toxic"), 20, ["doc_id"])
+    records = [r.asDict() for r in payload.collect()]          # bounded: 20 records
+    return SC.predict_records(spark, records, payload.schema, pre, pm, keep=["doc_id"])

@@ -93,3 +93,20 @@ select case when n < 1000 then 'small' when n < 100000 then 'medium' else 'large
 from s""")
 def strategy_recommendation(spark, sf):
     return ST.recommend(table(spark, sf, "orders"), "o_orderstatus", "multiclass_classification")
+
+
+_REQUESTED = ["1-URGENT", "3-MEDIUM", "9-UNKNOWN"]
+
+
+@register("run_filter", sql=f"""
+select r.run_id, coalesce(m.n, 0) as n_metrics, m.n is null as missing from (values {', '.join(f"('{r}')" for r in _REQUESTED)}) r(run_id)
+left join (select run_id, cast(count(*) as bigint) as n from {_RM} x group by 1) m on m.run_id = r.run_id""")
+def run_filter(spark, sf):
+    """L2: requested run ids with their metric count (semi join) or flagged
+    missing (anti join)."""
+    m = _run_metrics(spark, sf)
+    present = R.compare_runs(m, _REQUESTED).select("run_id").join(
+        m.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_metrics")), "run_id")
+    missing = R.missing_runs(m, _REQUESTED).select("run_id", F.lit(0).cast("bigint").alias("n_metrics"))
+    return present.select("run_id", "n_metrics", F.lit(False).alias("missing")).unionByName(
+        missing.select("run_id", "n_metrics", F.lit(True).alias("missing")))

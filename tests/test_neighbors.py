@@ -46,3 +46,11 @@ def test_smotenc_categories_come_from_neighbours(spark):
     out = NB.smote(df, "target", ["a"], ["k"], cat_cols=["c"])
     assert Counter(r.target for r in out.collect()) == {0: 17, 1: 17}
     assert {r.c for r in out.where("synthetic_id is not null").collect()} <= {"x", "y"}
+
+
+def test_resampling_is_deterministic(spark):
+    rows = [(i, 0 if i < 30 else 1, float((i * 13) % 11), float((i * 7) % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, target int, a double, b double")
+    a = NB.smote_enn(df, "target", ["a", "b"], ["k"]).collect()
+    b = NB.smote_enn(df.repartition(5), "target", ["a", "b"], ["k"]).collect()
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
