@@ -279,48 +279,142 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
 def quality_scores(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True,
                    max_rows: int | None = None) -> DataFrame:
     """``(dimension, score)`` for the six dimensions plus ``overall``
-    (mean of the six, 4dp)."""
+    (mean of the six, 4dp), from the fused passes of :func:`quality_passes`."""
     df = cap_rows(df, max_rows)
-    parts = [
-        completeness(df).select(F.lit("completeness").alias("dimension"), "score"),
-        consistency(df, target).select(F.lit("consistency").alias("dimension"), "score"),
-        accuracy(df, target, exact=exact).select(F.lit("accuracy").alias("dimension"), "score"),
-        timeliness(df, as_of, target).select(F.lit("timeliness").alias("dimension"), "score"),
-        duplicates(df).select(F.lit("uniqueness").alias("dimension"), "score"),
-        validity(df, target).select(F.lit("validity").alias("dimension"), "score"),
-    ]
-    # the six one-row results are packed once (6 structs) and the overall score is
-    # derived from that array, so no dimension is computed twice
-    packed = _union(parts).agg(F.collect_list(F.struct("dimension", "score")).alias("a"))
-    total = F.aggregate(F.col("a"), F.lit(0.0), lambda acc, x: acc + x["score"])
-    overall = F.struct(F.lit("overall").alias("dimension"), F.round(total / F.lit(6.0), 4).alias("score"))
-    return packed.select(F.inline(F.concat(F.col("a"), F.array(overall))))
+    return fused_scores(quality_passes(df, target, as_of, exact))
 
 
 def quality_warnings(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True) -> DataFrame:
     """C14: triggered warning rules ``(rule, columns, count)``; ``columns`` is a
-    sorted comma-separated list (empty for count-only rules)."""
-    def cols_rule(name: str, frame: DataFrame) -> DataFrame:
-        return frame.agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("columns"),
-                         F.count(F.lit(1)).cast("bigint").alias("count")).select(
-            F.lit(name).alias("rule"), "columns", "count")
-
-    def count_rule(name: str, frame: DataFrame, col: str) -> DataFrame:
-        return frame.select(F.lit(name).alias("rule"), F.lit("").alias("columns"), F.col(col).cast("bigint").alias("count"))
-
-    mr = missing_rates(df)
-    dc = distinct_counts(df, _features(df, target))
-    rules = [
-        cols_rule("high_missing", mr.where(F.col("missing_rate") > 0.5)),
-        count_rule("rows_with_missing", completeness(df), "rows_with_missing"),
-        cols_rule("constant_columns", constant_columns(df, target, counts=dc)),
-        cols_rule("mixed_type_columns", mixed_type_columns(df, target)),
-        cols_rule("outlier_columns", outlier_summary(df, target, exact=exact)),
-        cols_rule("negative_value_columns", negative_values(df, target)),
-        cols_rule("future_date_columns", future_dates(df, as_of, target).where(F.col("future_dates") > 0)),
-        count_rule("duplicate_rows", duplicates(df), "duplicated_rows"),
-        cols_rule("rare_category_columns", rare_values(df, target)),
-    ]
+    sorted comma-separated list (empty for count-only rules). Every rule is a
+    conditional aggregate over the fused per-column tables of
+    :func:`quality_passes`, so each of its three scans is consumed once."""
+    p = quality_passes(df, target, as_of, exact)
+    c, v = p["cols"], p["values"]
+    in_ = lambda names: F.col("column").isin(*names) if names else F.lit(False)
+
+    def listed(name: str, cond):
+        return [F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("column")))), ",").alias(f"{name}__cols"),
+                F.sum(F.when(cond, 1).otherwise(0)).cast("bigint").alias(f"{name}__n")]
+
+    col_rules = {
+        "high_missing": F.col("nulls") / F.greatest(F.col("n_rows"), F.lit(1)) > 0.5,
+        "mixed_type_columns": in_(p["strs"]) & (F.col("numeric_like") > 0) & (F.col("numeric_like") < 1),
+        "outlier_columns": in_(p["nums"]) & (F.col("outliers") > 0),
+        "negative_value_columns": F.col("negatives") > 0,
+        "future_date_columns": in_(p["dts"]) & (F.col("future") > 0),
+    }
+    val_rules = {"constant_columns": F.col("nunique_with_null") <= 1,
+                 "rare_category_columns": in_(p["strs"]) & (F.col("singletons") > 0)}
+    tgt = F.lit(target or "")
+    a1 = c.agg(*[x for k, cond in col_rules.items() for x in listed(k, cond)],
+               F.max("any_null_rows").alias("rows_with_missing__n"),
+               F.max(F.when(F.col("column") == tgt, F.col("nulls"))).alias("target_missing__n"))
+    a2 = v.agg(*[x for k, cond in val_rules.items() for x in listed(k, cond)])
+    a3 = p["dups"].select(F.col("duplicated_rows").alias("duplicate_rows__n"))
+    j = a1.unionByName(a2, allowMissingColumns=True).unionByName(a3, allowMissingColumns=True)
+    names = list(j.columns)
+    one = j.agg(*[F.max(x).alias(x) for x in names])
+    order = ["high_missing", "rows_with_missing", "constant_columns", "mixed_type_columns", "outlier_columns",
+             "negative_value_columns", "future_date_columns", "duplicate_rows", "rare_category_columns"]
     if target is not None and target in df.columns:
-        rules.append(count_rule("target_missing", df.agg(F.sum(F.col(target).isNull().cast("bigint")).alias("m")), "m"))
-    return _union(rules).where(F.col("count") > 0)
+        order.append("target_missing")
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"),
+                              (F.col(f"{r}__cols") if f"{r}__cols" in names else F.lit("")).alias("columns"),
+                              F.coalesce(F.col(f"{r}__n"), F.lit(0)).cast("bigint").alias("count")) for r in order])
+    return one.select(F.inline(rows)).where(F.col("count") > 0)
+
+
+# ---------------------------------------------------------------- fused report
+def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True) -> dict:
+    """The whole six-dimension assessment in three scans (plus the quantile
+    pass whose fences become literals):
+
+    * ``cols``   — ONE aggregate, one row per column: nulls, future dates,
+                   outliers and non-null count (numeric), negatives (hinted
+                   names), numeric-like share (strings);
+    * ``values`` — ONE ``(column, value)`` shuffle over the features: distinct
+                   counts with/without null and singleton counts;
+    * ``dups``   — ONE group-by over all columns: duplicate rows.
+    Returns the three small frames plus metadata used by the score/warning views."""
+    feats = _features(df, target)
+    nums = numeric_cols_for_quality(df, exclude=(target,))
+    dts = datetime_columns(df, exclude=(target,))
+    strs = string_columns(df, exclude=(target,))
+    bounds = iqr_bounds(df, nums, exact=exact)
+    t = _as_of(as_of)
+    aggs = [F.count(F.lit(1)).alias("n"),
+            F.sum(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns]).cast("bigint")).alias("any_null")]
+    entries = []
+    for i, c in enumerate(df.columns):
+        x = F.col(c)
+        e = {"nulls": F.coalesce(F.col(f"z{i}"), F.lit(0)).cast("bigint")}
+        aggs.append(F.sum(x.isNull().cast("bigint")).alias(f"z{i}"))
+        if c in dts:
+            aggs.append(F.sum((x.cast("timestamp") > t).cast("bigint")).alias(f"f{i}"))
+            e["future"] = F.coalesce(F.col(f"f{i}"), F.lit(0)).cast("bigint")
+        if c in bounds:
+            lo, hi = bounds[c][2], bounds[c][3]
+            v = x.cast("double")
+            aggs += [F.sum(((v < lo) | (v > hi)).cast("bigint")).alias(f"o{i}"), F.count(v).alias(f"nn{i}")]
+            e["outliers"] = F.coalesce(F.col(f"o{i}"), F.lit(0)).cast("bigint")
+            e["non_null"] = F.col(f"nn{i}").cast("bigint")
+        if c in nums and any(h in c.lower() for h in NON_NEGATIVE_NAME_HINTS):
+            aggs.append(F.sum((x < 0).cast("bigint")).alias(f"neg{i}"))
+            e["negatives"] = F.coalesce(F.col(f"neg{i}"), F.lit(0)).cast("bigint")
+        if c in strs:
+            v = F.expr(f"try_cast(`{c}` as double)")
+            aggs.append(F.avg(F.when(x.isNotNull(), (v.isNotNull() & ~F.isnan(v)).cast("double"))).alias(f"r{i}"))
+            e["numeric_like"] = F.col(f"r{i}")
+        entries.append((c, e))
+    row = df.agg(*aggs)
+    fields = ["nulls", "future", "outliers", "non_null", "negatives"]
+    full = []
+    for c, e in entries:
+        d = {k: e.get(k, F.lit(None).cast("bigint")) for k in fields}
+        d["numeric_like"] = e.get("numeric_like", F.lit(None).cast("double"))
+        d["n_rows"] = F.col("n").cast("bigint")
+        d["any_null_rows"] = F.coalesce(F.col("any_null"), F.lit(0)).cast("bigint")
+        full.append((c, d))
+    cols = unpivot_row(row, full)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in feats])
+    vc = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    values = vc.groupBy("column").agg(F.count("value").cast("bigint").alias("nunique"),
+                                      F.count(F.lit(1)).cast("bigint").alias("nunique_with_null"),
+                                      F.sum((F.col("cnt") == 1).cast("bigint")).alias("singletons"))
+    dups = duplicates(df)
+    return {"cols": cols, "values": values, "dups": dups, "feats": feats, "nums": nums, "dts": dts, "strs": strs,
+            "target": target, "bounds": bounds, "ncols": len(df.columns)}
+
+
+def fused_scores(p: dict) -> DataFrame:
+    """C13 from :func:`quality_passes`: ``(dimension, score)`` + overall."""
+    feats, nums, dts, strs = p["feats"], p["nums"], p["dts"], p["strs"]
+    c = p["cols"]
+    v = p["values"]
+    ncol = p["ncols"]
+    nf, nn, nd = max(len(feats), 1), max(len(nums), 1), len(dts)
+    ratio = F.round(F.col("outliers") / F.greatest(F.col("non_null"), F.lit(1)), 4)
+    per_col = c.agg(
+        F.first("n_rows").alias("n"), F.sum("nulls").alias("cells"),
+        F.sum(F.when(F.col("column").isin(*dts), F.col("future"))).alias("fut"),
+        F.sum(F.when(F.col("column").isin(*nums) & (F.col("outliers") > 0), ratio)).alias("oratio"),
+        F.sum(F.when(F.col("column").isin(*strs) & (F.col("numeric_like") > 0) & (F.col("numeric_like") < 1), 1)
+              .otherwise(0)).alias("mixed"))
+    per_val = v.agg(F.sum((F.col("nunique_with_null") <= 1).cast("bigint")).alias("const"),
+                    F.sum(F.when(F.col("column").isin(*strs), F.col("singletons"))).alias("rare"))
+    dups = p["dups"].select(F.col("score").alias("uniq"))
+    j = per_col.unionByName(per_val, allowMissingColumns=True).unionByName(dups, allowMissingColumns=True)
+    s = j.agg(*[F.max(x).alias(x) for x in ("n", "cells", "fut", "oratio", "mixed", "const", "rare", "uniq")])
+    n = F.greatest(F.col("n"), F.lit(1))
+    z = lambda x: F.coalesce(F.col(x), F.lit(0))
+    dims = [("completeness", F.round(1 - z("cells") / (n * ncol), 4)),
+            ("consistency", F.round(1 - (z("const") + z("mixed")) / F.lit(float(nf)), 4)),
+            ("accuracy", F.round(1 - z("oratio") / F.lit(float(nn)), 4)),
+            ("timeliness", F.round(1 - z("fut") / F.greatest(F.col("n") * nd, F.lit(1)), 4) if nd else F.lit(1.0)),
+            ("uniqueness", F.col("uniq")),
+            ("validity", F.round(1 - z("rare") / n, 4))]
+    arr = F.array(*[F.struct(F.lit(d).alias("dimension"), e.cast("double").alias("score")) for d, e in dims])
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x["score"])
+    overall = F.struct(F.lit("overall").alias("dimension"), F.round(total / F.lit(6.0), 4).alias("score"))
+    return s.select(F.inline(F.concat(arr, F.array(overall))))
