@@ -81,7 +81,7 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_imputer(df: DataFrame, numeric: str = "median", categorical: str = "mode",
                 numeric_fill: float = 0.0, categorical_fill: str = "missing", target: str | None = None,
-                exact: bool = True, numeric_default: float | None = None,
+                exact="auto", numeric_default: float | None = None,
                 categorical_default: str | None = "missing") -> dict[str, object]:
     """D6/D7 fit: fill value per column learned on ``df`` (the training rows).
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +66,15 @@ def _kind(dt) -> str:
     return "other"
 
 
-def sequential_ratio(df: DataFrame, cols: list[str]) -> DataFrame:
+def sequential_ratio(df: DataFrame, cols: list[str], vc: DataFrame | None = None) -> DataFrame:
     """``(column, seq_ratio)`` = share of consecutive sorted non-null values
     that differ by exactly 1, i.e. distinct values v with v+1 present over
     (non-null count − 1). Distributed: distinct values self equi-joined on
     v+1 (no global sort window)."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, seq_ratio double")
-    vc = value_counts_long(df, cols).where(F.col("value").isNotNull()).select(
+    vc = (vc if vc is not None else value_counts_long(df, cols)).where(
+        F.col("column").isin(*cols) & F.col("value").isNotNull()).select(
         "column", F.col("value").cast("bigint").alias("v"), "cnt")
     nxt = vc.select(F.col("column").alias("c2"), (F.col("v") - 1).alias("v2"))
     hits = vc.join(nxt, (vc["column"] == nxt["c2"]) & (vc["v"] == nxt["v2"]), "left")
@@ -105,9 +107,16 @@ def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct
                                   "avg_len": opt("al", i), "min_len": opt("mi", i, "bigint"),
                                   "max_len": opt("ma", i, "bigint"), "id_name": F.lit(looks_like_id(c))})
                              for i, c in enumerate(cols)])
-    dc = distinct_counts(df, cols, approx=approx_distinct).select("column", "nunique")
     ints = [c for c in cols if kinds[c] == "integer"]
-    seq = sequential_ratio(df, ints)
+    if approx_distinct:
+        dc = distinct_counts(df, cols, approx=True).select("column", "nunique")
+        seq = sequential_ratio(df, ints)
+    else:
+        # one value-count shuffle feeds both the distinct counts and the
+        # sequential check (the exchange is reused)
+        vc = value_counts_long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+        dc = vc.groupBy("column").agg(F.count("value").cast("bigint").alias("nunique"))
+        seq = sequential_ratio(df, ints, vc=vc)
     prof = base.join(dc, "column", "left").join(seq, "column", "left")
     return prof.select("column", "idx", "kind", "n_rows", "non_null", "nunique",
                        (F.col("nunique") / F.greatest(F.col("n_rows"), F.lit(1))).alias("unique_ratio"),

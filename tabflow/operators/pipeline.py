@@ -22,6 +22,7 @@ from tabflow.functions.columns import is_datetime, is_numeric, is_string
 from tabflow.functions.ranking import top_k_per_group
 from tabflow.operators import clean as CL
 from tabflow.operators import features as FE
+from tabflow.operators.stats import APPROX_ACCURACY, resolve_exact
 
 WEIGHT_COL = "_sample_weight"
 
@@ -55,7 +56,7 @@ class PreprocessorConfig:
     enable_pca: bool = False
     pca_variance: float = FE.PCA_VARIANCE
     legacy_order: bool = False      # learn encodings before rare-merge, as the reference does
-    exact: bool = True
+    exact: object = "auto"          # True / False / "auto" (exact up to 10M training rows)
 
 
 class Preprocessor:
@@ -97,6 +98,7 @@ class Preprocessor:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         model = PreprocessorModel(c, state, tables)
         try:
+            self._exact = resolve_exact(base, c.exact)     # the count also materialises the cached rows
             self._pass1(base, state)
             roles = state["roles"]
             if roles["categorical"]:
@@ -140,7 +142,7 @@ class Preprocessor:
             aggs.append(F.avg(F.col(x).isNull().cast("double")).alias(f"mr{i}"))
         for i, x in enumerate(num):
             v = F.col(x).cast("double")
-            q = F.percentile(v, probs) if c.exact else F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
+            q = F.percentile(v, probs) if self._exact else F.percentile_approx(v, [0.25, 0.5, 0.75], APPROX_ACCURACY)
             aggs += [q.alias(f"q{i}"), F.count(v).alias(f"nn{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"),
                      F.min(v).alias(f"lo{i}"), F.skewness(v).alias(f"g{i}")]
         row = base.agg(*aggs).first()
@@ -239,8 +241,8 @@ class Preprocessor:
         if kind in ("auto", "robust"):
             for i, x in enumerate(num):
                 v = F.coalesce(F.col(x).cast("double"), F.lit(fills[x]))
-                q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if c.exact \
-                    else F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
+                q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if self._exact \
+                    else F.percentile_approx(v, [0.25, 0.5, 0.75], APPROX_ACCURACY)
                 aggs.append(q.alias(f"fq{i}"))
         row = base.agg(*aggs).first() if aggs else None
         if kind == "auto":

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabflow.functions.columns import datetime_columns, is_string, seeded_hex, string_columns
 from tabflow.functions.ranking import top_k_per_group
@@ -134,7 +135,7 @@ def consistency(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- accuracy
-def iqr_bounds(df: DataFrame, cols: list[str], exact: bool = True, k: float = IQR_K) -> dict[str, tuple]:
+def iqr_bounds(df: DataFrame, cols: list[str], exact="auto", k: float = IQR_K) -> dict[str, tuple]:
     """E1/C7 pass 1: ``{col: (q1, q3, lower, upper)}`` from one quantile aggregate."""
     qs = quantiles(df, cols, [0.25, 0.75], exact=exact)
     out = {}
@@ -146,7 +147,7 @@ def iqr_bounds(df: DataFrame, cols: list[str], exact: bool = True, k: float = IQ
     return out
 
 
-def outlier_summary(df: DataFrame, target: str | None = None, exact: bool = True,
+def outlier_summary(df: DataFrame, target: str | None = None, exact="auto",
                     keep_zero: bool = False) -> DataFrame:
     """Per numeric feature ``q1, q3, lower_bound, upper_bound, outlier_count,
     non_null, outlier_ratio`` (strictly outside the 1.5·IQR fences); by default
@@ -186,7 +187,7 @@ def negative_values(df: DataFrame, target: str | None = None) -> DataFrame:
     return long.where(F.col("negative_count") > 0)
 
 
-def accuracy(df: DataFrame, target: str | None = None, exact: bool = True) -> DataFrame:
+def accuracy(df: DataFrame, target: str | None = None, exact="auto") -> DataFrame:
     """One row ``numeric_columns, outlier_columns, score`` with
     score = 1 − mean over numeric features of the (4dp) outlier ratio."""
     ncols = len(numeric_cols_for_quality(df, exclude=(target,)))
@@ -276,7 +277,7 @@ def target_analysis(df: DataFrame, target: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- report
-def quality_scores(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True,
+def quality_scores(df: DataFrame, target: str | None = None, as_of=None, exact="auto",
                    max_rows: int | None = None) -> DataFrame:
     """``(dimension, score)`` for the six dimensions plus ``overall``
     (mean of the six, 4dp), from the fused passes of :func:`quality_passes`."""
@@ -284,7 +285,7 @@ def quality_scores(df: DataFrame, target: str | None = None, as_of=None, exact:
     return fused_scores(quality_passes(df, target, as_of, exact))
 
 
-def quality_warnings(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True) -> DataFrame:
+def quality_warnings(df: DataFrame, target: str | None = None, as_of=None, exact="auto") -> DataFrame:
     """C14: triggered warning rules ``(rule, columns, count)``; ``columns`` is a
     sorted comma-separated list (empty for count-only rules). Every rule is a
     conditional aggregate over the fused per-column tables of
@@ -299,13 +300,13 @@ def quality_warnings(df: DataFrame, target: str | None = None, as_of=None, exact
 
     col_rules = {
         "high_missing": F.col("nulls") / F.greatest(F.col("n_rows"), F.lit(1)) > 0.5,
+        "constant_columns": in_(p["feats"]) & F.col("constant"),
         "mixed_type_columns": in_(p["strs"]) & (F.col("numeric_like") > 0) & (F.col("numeric_like") < 1),
         "outlier_columns": in_(p["nums"]) & (F.col("outliers") > 0),
         "negative_value_columns": F.col("negatives") > 0,
         "future_date_columns": in_(p["dts"]) & (F.col("future") > 0),
     }
-    val_rules = {"constant_columns": F.col("nunique_with_null") <= 1,
-                 "rare_category_columns": in_(p["strs"]) & (F.col("singletons") > 0)}
+    val_rules = {"rare_category_columns": F.col("singletons") > 0}
     tgt = F.lit(target or "")
     a1 = c.agg(*[x for k, cond in col_rules.items() for x in listed(k, cond)],
                F.max("any_null_rows").alias("rows_with_missing__n"),
@@ -326,7 +327,7 @@ def quality_warnings(df: DataFrame, target: str | None = None, as_of=None, exact
 
 
 # ---------------------------------------------------------------- fused report
-def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact: bool = True) -> dict:
+def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact="auto") -> dict:
     """The whole six-dimension assessment in three scans (plus the quantile
     pass whose fences become literals):
 
@@ -346,10 +347,17 @@ def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact:
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sum(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns]).cast("bigint")).alias("any_null")]
     entries = []
+    atomic = {f.name for f in df.schema.fields
+              if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))}
     for i, c in enumerate(df.columns):
         x = F.col(c)
         e = {"nulls": F.coalesce(F.col(f"z{i}"), F.lit(0)).cast("bigint")}
         aggs.append(F.sum(x.isNull().cast("bigint")).alias(f"z{i}"))
+        if c in atomic:
+            # at most one distinct value counting null  ⟺  all null, or min = max with no null
+            aggs += [F.count(x).alias(f"c{i}"), (F.min(x) == F.max(x)).alias(f"eq{i}")]
+            e["constant"] = ((F.col(f"c{i}") == 0) | (F.coalesce(F.col(f"eq{i}"), F.lit(False))
+                                                      & (F.coalesce(F.col(f"z{i}"), F.lit(0)) == 0)))
         if c in dts:
             aggs.append(F.sum((x.cast("timestamp") > t).cast("bigint")).alias(f"f{i}"))
             e["future"] = F.coalesce(F.col(f"f{i}"), F.lit(0)).cast("bigint")
@@ -373,15 +381,18 @@ def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact:
     for c, e in entries:
         d = {k: e.get(k, F.lit(None).cast("bigint")) for k in fields}
         d["numeric_like"] = e.get("numeric_like", F.lit(None).cast("double"))
+        d["constant"] = e.get("constant", F.lit(False))
         d["n_rows"] = F.col("n").cast("bigint")
         d["any_null_rows"] = F.coalesce(F.col("any_null"), F.lit(0)).cast("bigint")
         full.append((c, d))
     cols = unpivot_row(row, full)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in feats])
-    vc = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    values = vc.groupBy("column").agg(F.count("value").cast("bigint").alias("nunique"),
-                                      F.count(F.lit(1)).cast("bigint").alias("nunique_with_null"),
-                                      F.sum((F.col("cnt") == 1).cast("bigint")).alias("singletons"))
+    # singleton values only matter for string features: one shuffle over those alone
+    if strs:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in strs])
+        vc = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        values = vc.groupBy("column").agg(F.sum((F.col("cnt") == 1).cast("bigint")).alias("singletons"))
+    else:
+        values = df.sparkSession.createDataFrame([], "column string, singletons bigint")
     dups = duplicates(df)
     return {"cols": cols, "values": values, "dups": dups, "feats": feats, "nums": nums, "dts": dts, "strs": strs,
             "target": target, "bounds": bounds, "ncols": len(df.columns)}
@@ -397,12 +408,12 @@ def fused_scores(p: dict) -> DataFrame:
     ratio = F.round(F.col("outliers") / F.greatest(F.col("non_null"), F.lit(1)), 4)
     per_col = c.agg(
         F.first("n_rows").alias("n"), F.sum("nulls").alias("cells"),
+        F.sum(F.when(F.col("column").isin(*feats) & F.col("constant"), 1).otherwise(0)).alias("const"),
         F.sum(F.when(F.col("column").isin(*dts), F.col("future"))).alias("fut"),
         F.sum(F.when(F.col("column").isin(*nums) & (F.col("outliers") > 0), ratio)).alias("oratio"),
         F.sum(F.when(F.col("column").isin(*strs) & (F.col("numeric_like") > 0) & (F.col("numeric_like") < 1), 1)
               .otherwise(0)).alias("mixed"))
-    per_val = v.agg(F.sum((F.col("nunique_with_null") <= 1).cast("bigint")).alias("const"),
-                    F.sum(F.when(F.col("column").isin(*strs), F.col("singletons"))).alias("rare"))
+    per_val = v.agg(F.sum("singletons").alias("rare"))
     dups = p["dups"].select(F.col("score").alias("uniq"))
     j = per_col.unionByName(per_val, allowMissingColumns=True).unionByName(dups, allowMissingColumns=True)
     s = j.agg(*[F.max(x).alias(x) for x in ("n", "cells", "fut", "oratio", "mixed", "const", "rare", "uniq")])

@@ -65,13 +65,28 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                   *[F.sum(F.col(c).isNull().cast("bigint")).alias(f"null_{i}") for i, c in enumerate(cols)])
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-              accuracy: int = 10000) -> dict[str, list[float | None]]:
+EXACT_QUANTILE_MAX_ROWS = 10_000_000
+APPROX_ACCURACY = 10_000
+
+
+def resolve_exact(df: DataFrame, exact, n_rows: int | None = None) -> bool:
+    """``exact="auto"``: exact quantiles (a value→count map per column) up to
+    ``EXACT_QUANTILE_MAX_ROWS`` rows, the bounded-memory sketch above."""
+    if exact != "auto":
+        return bool(exact)
+    if n_rows is None:
+        n_rows = df.count()
+    return n_rows <= EXACT_QUANTILE_MAX_ROWS
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact="auto",
+              accuracy: int = APPROX_ACCURACY, n_rows: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles (linear interpolation, = pandas/DuckDB ``quantile_cont``) of
-    several columns in one aggregate. ``exact=False`` switches to the bounded
-    memory ``percentile_approx`` sketch for very large / high-cardinality data."""
+    several columns in one aggregate. ``exact=False`` (or ``"auto"`` on large
+    inputs) uses the bounded-memory ``percentile_approx`` sketch instead."""
     if not cols:
         return {}
+    exact = resolve_exact(df, exact, n_rows)
     if exact:
         aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
                 for i, c in enumerate(cols)]
