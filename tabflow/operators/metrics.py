@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.functions.ranking import prefix_sums
@@ -195,23 +195,36 @@ def macro_roc_grid(df: DataFrame, label: str, score_cols: dict[str, str], points
 # ---------------------------------------------------------------- thresholds, probabilities
 def best_threshold(df: DataFrame, is_pos: Column, score: Column) -> DataFrame:
     """The F1-optimal decision threshold among 0.01 … 0.99 (first best
-    wins; 0.5 when no threshold gives F1 > 0). All 99 thresholds are
-    evaluated in ONE aggregate (two conditional sums each)."""
+    wins; 0.5 when no threshold gives F1 > 0).
+
+    Each row gets the exact number k of thresholds ≤ its score (an arithmetic
+    guess corrected by two comparisons against the literal thresholds), rows
+    are counted per k (≤ 100 groups, partially aggregated), and the positives /
+    predicted-positives of threshold i are the running sums over k ≥ i."""
+    n_t = len(THRESHOLDS)
+    th = F.array(*[F.lit(t) for t in THRESHOLDS])
     s, p = score.cast("double"), is_pos.cast("int")
-    aggs = [F.sum(p).alias("P")]
-    for i, t in enumerate(THRESHOLDS):
-        aggs += [F.sum(F.when(s >= t, p).otherwise(0)).alias(f"tp{i}"), F.sum(F.when(s >= t, 1).otherwise(0)).alias(f"pp{i}")]
-    row = df.agg(*aggs)
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"),
-                                 F.when(F.col(f"pp{i}") + F.col("P") > 0,
-                                        2 * F.col(f"tp{i}") / (F.col(f"pp{i}") + F.col("P"))).otherwise(0.0).alias("f1"))
-                        for i, t in enumerate(THRESHOLDS)])
-    f = row.select(F.inline(entries))
-    best = f.agg(F.max("f1").alias("m"))
-    cand = f.join(best, F.col("f1") == F.col("m")).where(F.col("m") > 0).agg(F.min("i").alias("i"))
-    pick = f.join(cand, "i").select(F.col("t").alias("optimal_threshold"), F.round("f1", 6).alias("best_f1"))
-    fallback = best.where(F.col("m") <= 0).select(F.lit(0.5).alias("optimal_threshold"), F.lit(0.0).alias("best_f1"))
-    return pick.unionByName(fallback).select(F.lit(0.5).alias("default_threshold"), "optimal_threshold", "best_f1")
+    step = (THRESHOLDS[-1] - THRESHOLDS[0]) / (n_t - 1)
+    g = F.least(F.greatest(F.floor((s - THRESHOLDS[0]) / step).cast("int") + 1, F.lit(0)), F.lit(n_t))
+    # correct the guess: k = #{i : t_i ≤ s} exactly
+    k = (g + F.when((g < n_t) & (s >= F.element_at(th, g + 1)), 1).otherwise(0)
+         - F.when((g > 0) & (s < F.element_at(th, F.greatest(g, F.lit(1)))), 1).otherwise(0))
+    hist = df.where(s.isNotNull()).select(k.alias("k"), p.alias("y")).groupBy("k").agg(
+        F.sum("y").alias("pos"), F.count(F.lit(1)).alias("cnt"))
+    idx = df.sparkSession.range(1, n_t + 1).select(F.col("id").cast("int").alias("i"))
+    # rows with k = i, then suffix sums over i (a 99-row table): tp / pp of threshold i
+    per = idx.join(F.broadcast(hist), F.col("k") == F.col("i"), "left").select(
+        "i", F.coalesce(F.col("pos"), F.lit(0)).alias("pos"), F.coalesce(F.col("cnt"), F.lit(0)).alias("cnt"))
+    P = hist.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"))
+    w = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tot = P.first()["P"]
+    cum = per.select("i", F.sum("pos").over(w).alias("tp"), F.sum("cnt").over(w).alias("pp"))
+    f = cum.select("i", F.element_at(th, F.col("i")).alias("t"),
+                   F.when(F.col("pp") + F.lit(tot) > 0, 2 * F.col("tp") / (F.col("pp") + F.lit(tot))).otherwise(0.0).alias("f1"))
+    best = f.agg(F.max_by(F.struct("t", "f1"), F.struct(F.col("f1"), -F.col("i"))).alias("b"))
+    return best.select(F.lit(0.5).alias("default_threshold"),
+                       F.when(F.col("b.f1") > 0, F.col("b.t")).otherwise(F.lit(0.5)).alias("optimal_threshold"),
+                       F.round(F.when(F.col("b.f1") > 0, F.col("b.f1")).otherwise(F.lit(0.0)), 6).alias("best_f1"))
 
 
 def log_loss(df: DataFrame, label: str, prob_cols: dict[str, str]) -> DataFrame:
