@@ -81,11 +81,19 @@ def knn(points: DataFrame, queries: DataFrame, vec_col: str, k: int, same_group:
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=len(dims))])
     extra_p = [cat_col] if cat_col else []
     pts = points.select(*grp, "uid", "cnt", vec_col, *extra_p).persist(StorageLevel.MEMORY_AND_DISK)
-    todo = queries.select(*grp, F.col("uid").alias("quid"), F.col(vec_col).alias("qv"),
-                          *[F.col(cat_col).alias("qc")] if cat_col else [])
-    done = []
+    q0 = queries.select(*grp, F.col("uid").alias("quid"), F.col(vec_col).alias("qv"),
+                        *[F.col(cat_col).alias("qc")] if cat_col else [])
+    n_queries = q0.count()
+    done: list[DataFrame] = []
+    n_done = 0
     for _ in range(MAX_ROUNDS):
         last = s >= diameter
+        # pending queries = all queries minus those answered in earlier rounds;
+        # earlier answers are checkpointed, so the lineage grows by one short
+        # table per round
+        todo = q0
+        for r in done:
+            todo = todo.join(r.select("quid").distinct(), "quid", "left_anti")
         p = pts.withColumn("_cell", F.array(*[F.floor(F.col(vec_col)[j] / F.lit(s)).cast("bigint") for j in dims]))
         qcell = F.array(*[F.floor(F.col("qv")[j] / F.lit(s)).cast("bigint") for j in dims])
         q = todo.select("*", F.transform(offsets, lambda o: F.zip_with(qcell, o, lambda a, b: a + b)).alias("_cells")) \
@@ -102,16 +110,13 @@ def knn(points: DataFrame, queries: DataFrame, vec_col: str, k: int, same_group:
         w = Window.partitionBy("quid").orderBy("dist", "nuid")
         c = c.withColumn("_before", F.coalesce(F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         c = c.where(F.col("_before") < k).withColumn("take", F.least(F.col("avail"), F.lit(k) - F.col("_before")))
-        got = c.groupBy("quid").agg(F.sum("take").alias("_got"), F.max("dist").alias("_kth"))
-        ok = todo.select("quid") if last else got.where((F.col("_got") >= k) & (F.col("_kth") <= s)).select("quid")
-        # each round's answers are written to the shared checkpoint folder: the
-        # next round then starts from a short lineage (no plan growth per round)
-        res = cut_lineage(c.join(ok, "quid").select("quid", "nuid", "dist", "take"))
+        wq = Window.partitionBy("quid")
+        c = c.select("*", F.sum("take").over(wq).alias("_got"), F.max("dist").over(wq).alias("_kth"))
+        ok = F.lit(True) if last else ((F.col("_got") >= k) & (F.col("_kth") <= s))
+        res = cut_lineage(c.where(ok).select("quid", "nuid", "dist", "take"))
         done.append(res)
-        if last:
-            break
-        todo = cut_lineage(todo.join(res.select("quid").distinct(), "quid", "left_anti"))
-        if todo.isEmpty():
+        n_done += res.select("quid").distinct().count()
+        if last or n_done >= n_queries:
             break
         s *= 2.0
     out = done[0]
