@@ -172,6 +172,13 @@ def macro_roc_grid(df: DataFrame, label: str, score_cols: dict[str, str], points
     pts = pts.unionByName(classes.select("cls", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
     # one point per (class, x): lowest and highest y at that x
     px = pts.groupBy("cls", "x").agg(F.min("y").alias("ylo"), F.max("y").alias("yhi"))
+    # only the extreme points of every grid cell matter for interpolation at the
+    # grid: keep, per (class, cell), the point with the smallest and the largest x
+    # (≤ 2·points rows per class, however many distinct scores a class has)
+    cell = F.floor(F.col("x") * F.lit(points - 1)).cast("int")
+    ext = px.withColumn("_cell", cell).groupBy("cls", "_cell").agg(
+        F.min_by(F.struct("x", "ylo", "yhi"), "x").alias("lo"), F.max_by(F.struct("x", "ylo", "yhi"), "x").alias("hi"))
+    px = ext.select("cls", F.inline(F.array("lo", "hi"))).dropDuplicates(["cls", "x"])
     grid = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")) \
                   .select("cls", "g", (F.col("g") / F.lit(points - 1)).alias("gx"))
     # as-of join on x within each class: the last curve x ≤ gx and the first x ≥ gx
