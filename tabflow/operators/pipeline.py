@@ -22,7 +22,7 @@ from tabflow.functions.columns import is_datetime, is_numeric, is_string
 from tabflow.functions.ranking import top_k_per_group
 from tabflow.operators import clean as CL
 from tabflow.operators import features as FE
-from tabflow.operators.stats import APPROX_ACCURACY, resolve_exact
+from tabflow.operators.stats import APPROX_ACCURACY, EXACT_QUANTILE_MAX_ROWS, exact_quantiles_large
 
 WEIGHT_COL = "_sample_weight"
 
@@ -98,7 +98,9 @@ class Preprocessor:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         model = PreprocessorModel(c, state, tables)
         try:
-            self._exact = resolve_exact(base, c.exact)     # the count also materialises the cached rows
+            n = base.count()                               # also materialises the cached rows
+            # quantile mode: inline exact map (small), exact selection (large), or sketch (exact=False)
+            self._qmode = "approx" if c.exact is False else ("inline" if n <= EXACT_QUANTILE_MAX_ROWS else "select")
             self._pass1(base, state)
             roles = state["roles"]
             if roles["categorical"]:
@@ -142,10 +144,13 @@ class Preprocessor:
             aggs.append(F.avg(F.col(x).isNull().cast("double")).alias(f"mr{i}"))
         for i, x in enumerate(num):
             v = F.col(x).cast("double")
-            q = F.percentile(v, probs) if self._exact else F.percentile_approx(v, [0.25, 0.5, 0.75], APPROX_ACCURACY)
-            aggs += [q.alias(f"q{i}"), F.count(v).alias(f"nn{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"),
+            if self._qmode != "select":
+                q = F.percentile(v, probs) if self._qmode == "inline" else F.percentile_approx(v, [0.25, 0.5, 0.75], APPROX_ACCURACY)
+                aggs.append(q.alias(f"q{i}"))
+            aggs += [F.count(v).alias(f"nn{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"),
                      F.min(v).alias(f"lo{i}"), F.skewness(v).alias(f"g{i}")]
         row = base.agg(*aggs).first()
+        sel = exact_quantiles_large(base, num, [0.25, 0.5, 0.75]) if self._qmode == "select" and num else {}
         n = max(row["n"], 1)
         text = [x for i, x in enumerate(strs) if row[f"sd{i}"] / n > 0.5 and (row[f"sl{i}"] or 0) > 15]
         cats = [x for x in strs if x not in text]
@@ -157,7 +162,7 @@ class Preprocessor:
             if c.missing_indicator and c.feature_engineering else []
         fills, stats = {}, {}
         for i, x in enumerate(num):
-            q = row[f"q{i}"]
+            q = sel[x] if x in sel else row[f"q{i}"]
             st = {"q1": q[0] if q else None, "med": q[1] if q else None, "q3": q[2] if q else None,
                   "nn": row[f"nn{i}"], "mean": row[f"m{i}"], "var": row[f"v{i}"], "min": row[f"lo{i}"], "g1": row[f"g{i}"]}
             stats[x] = st
@@ -238,15 +243,23 @@ class Preprocessor:
                        for x in num if x in b), F.lit(0))
             tot = sum((F.count(F.col(x)) for x in num if x in b), F.lit(0))
             aggs += [out.alias("o"), tot.alias("tot")]
+        filled_q = {}
         if kind in ("auto", "robust"):
-            for i, x in enumerate(num):
-                v = F.coalesce(F.col(x).cast("double"), F.lit(fills[x]))
-                q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if self._exact \
-                    else F.percentile_approx(v, [0.25, 0.5, 0.75], APPROX_ACCURACY)
-                aggs.append(q.alias(f"fq{i}"))
+            if self._qmode == "select":
+                filled = base.select(*[F.coalesce(F.col(x).cast("double"), F.lit(fills[x])).alias(x) for x in num])
+                filled_q = exact_quantiles_large(filled, num, [0.25, 0.5, 0.75]) if kind == "robust" else {}
+            else:
+                for i, x in enumerate(num):
+                    v = F.coalesce(F.col(x).cast("double"), F.lit(fills[x]))
+                    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if self._qmode == "inline" \
+                        else F.percentile_approx(v, [0.25, 0.5, 0.75], APPROX_ACCURACY)
+                    aggs.append(q.alias(f"fq{i}"))
         row = base.agg(*aggs).first() if aggs else None
         if kind == "auto":
             kind = "robust" if (row["o"] / max(row["tot"], 1)) > FE.ROBUST_SWITCH_SHARE else "standard"
+            if kind == "robust" and self._qmode == "select":
+                filled = base.select(*[F.coalesce(F.col(x).cast("double"), F.lit(fills[x])).alias(x) for x in num])
+                filled_q = exact_quantiles_large(filled, num, [0.25, 0.5, 0.75])
         state["scaler_kind"] = kind
         n = state["n_train"]
         params = {}
@@ -254,7 +267,7 @@ class Preprocessor:
             st = stats[x]
             f = fills[x]
             if kind == "robust":
-                q1, q2, q3 = row[f"fq{i}"]
+                q1, q2, q3 = filled_q[x] if x in filled_q else row[f"fq{i}"]
                 params[x] = {"fill": f, "center": q2, "scale": (q3 - q1) if q3 != q1 else 1.0}
             elif kind == "standard":
                 # moments of the median-filled values from the non-null moments (stable pooled form)

@@ -8,6 +8,8 @@ values) come from one long ``(column, value, cnt)`` table built by one shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +81,129 @@ def resolve_exact(df: DataFrame, exact, n_rows: int | None = None) -> bool:
     return n_rows <= EXACT_QUANTILE_MAX_ROWS
 
 
+SELECT_ACCURACY = 100_000        # sketch accuracy of the bracketing pass
+SELECT_COLLECT_MAX = 20_000      # values per bracket gathered for the final pick
+SELECT_MAX_ROUNDS = 8
+
+
+def exact_quantiles_large(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles without a value→count map: each
+    needed order statistic k is bracketed by an approximate sketch, one
+    aggregate counts the rows below the bracket and (when few enough) collects
+    the values inside it, and the k-th value is picked from that small sorted
+    list; wide brackets are narrowed with another sketch over the bracketed
+    rows. Brackets are checked by exact counts, so the result is exact."""
+    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    need: dict[tuple[int, int], float | None] = {}
+    plan: dict[str, list[tuple[int, int, float]]] = {}
+    for i, c in enumerate(cols):
+        n = counts[f"n{i}"]
+        plan[c] = []
+        for p in probs:
+            if n == 0:
+                plan[c].append((-1, -1, 0.0))
+                continue
+            r = p * (n - 1)
+            k1 = int(math.floor(r))
+            k2 = min(k1 + 1, n - 1)
+            plan[c].append((k1, k2, r - k1))
+            need[(i, k1)] = None
+            need[(i, k2)] = None
+    # pending: (col index, rank) -> (lo, hi, rows below lo); lo/hi None = unbounded
+    pending = {key: (None, None, 0) for key in need}
+    for _ in range(SELECT_MAX_ROUNDS):
+        if not pending:
+            break
+        # 1. bracket each pending rank inside its current range with a sketch
+        aggs, idx = [], []
+        for j, ((i, k), (lo, hi, below)) in enumerate(pending.items()):
+            x = F.col(cols[i]).cast("double")
+            inside = x.isNotNull()
+            if lo is not None:
+                inside = inside & (x >= F.lit(lo))
+            if hi is not None:
+                inside = inside & (x <= F.lit(hi))
+            aggs.append(F.count(F.when(inside, x)).alias(f"m{j}"))
+            idx.append((i, k, lo, hi, below, inside, x))
+        sizes = df.agg(*aggs).first()
+        sk = []
+        for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):
+            m = sizes[f"m{j}"]
+            rel = (k - below) / max(m - 1, 1)
+            margin = 3.0 / SELECT_ACCURACY
+            sk.append(F.percentile_approx(F.when(inside, x), [max(0.0, rel - margin), min(1.0, rel + margin)],
+                                          SELECT_ACCURACY).alias(f"b{j}"))
+        brackets = df.agg(*sk).first()
+        # 2. exact counts below / inside each bracket; gather small brackets
+        cnt = []
+        for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):
+            blo, bhi = brackets[f"b{j}"]
+            inb = inside & (x >= F.lit(blo)) & (x <= F.lit(bhi))
+            cnt += [F.count(F.when(inside & (x < F.lit(blo)), x)).alias(f"lt{j}"), F.count(F.when(inb, x)).alias(f"in{j}")]
+        c1 = df.agg(*cnt).first()
+        gather = []
+        nxt = {}
+        for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):
+            blo, bhi = brackets[f"b{j}"]
+            lt, inn = c1[f"lt{j}"], c1[f"in{j}"]
+            b2 = below + lt
+            if not (b2 <= k < b2 + inn):          # sketch missed: keep the current range, retry
+                nxt[(i, k)] = (lo, hi, below)
+            elif blo == bhi:                      # every value in the bracket is the same value
+                need[(i, k)] = blo
+            elif inn <= SELECT_COLLECT_MAX:
+                gather.append((j, i, k, b2, inside & (x >= F.lit(blo)) & (x <= F.lit(bhi)), x))
+            elif lo is not None and (blo, bhi) == (lo, hi):
+                # the sketch cannot split this range (heavy duplicates): walk its
+                # distinct values with their counts (few, because of the duplication)
+                vc = (df.where(inside & (x >= F.lit(blo)) & (x <= F.lit(bhi))).groupBy(x.alias("v"))
+                        .agg(F.count(F.lit(1)).alias("c")).orderBy("v").limit(SELECT_COLLECT_MAX + 1).collect())
+                if len(vc) > SELECT_COLLECT_MAX:
+                    raise RuntimeError("exact quantile selection: range too dense to resolve")
+                acc = b2
+                for r in vc:
+                    if k < acc + r["c"]:
+                        need[(i, k)] = r["v"]
+                        break
+                    acc += r["c"]
+            else:
+                nxt[(i, k)] = (blo, bhi, b2)
+        if gather:
+            row = df.agg(*[F.array_sort(F.collect_list(F.when(cond, x))).alias(f"v{j}")
+                           for j, i, k, b2, cond, x in gather]).first()      # each list ≤ SELECT_COLLECT_MAX values
+            for j, i, k, b2, cond, x in gather:
+                need[(i, k)] = row[f"v{j}"][k - b2]
+        pending = nxt
+    if pending:
+        raise RuntimeError("exact quantile selection did not converge")
+    out = {}
+    for i, c in enumerate(cols):
+        vals = []
+        for k1, k2, frac in plan[c]:
+            if k1 < 0:
+                vals.append(None)
+                continue
+            a, b = need[(i, k1)], need[(i, k2)]
+            vals.append(a + (b - a) * frac)
+        out[c] = vals
+    return out
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact="auto",
               accuracy: int = APPROX_ACCURACY, n_rows: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles (linear interpolation, = pandas/DuckDB ``quantile_cont``) of
-    several columns in one aggregate. ``exact=False`` (or ``"auto"`` on large
-    inputs) uses the bounded-memory ``percentile_approx`` sketch instead."""
+    several columns. ``"auto"`` (default): Spark's exact ``percentile`` (a
+    value→count map per column) up to ``EXACT_QUANTILE_MAX_ROWS`` rows, the
+    exact bracketing selection of :func:`exact_quantiles_large` above;
+    ``exact=False``: the bounded-memory ``percentile_approx`` sketch."""
     if not cols:
         return {}
-    exact = resolve_exact(df, exact, n_rows)
+    if exact == "auto":
+        if n_rows is None:
+            n_rows = df.count()
+        if n_rows > EXACT_QUANTILE_MAX_ROWS:
+            return exact_quantiles_large(df, cols, probs)
+        exact = True
     if exact:
         aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
                 for i, c in enumerate(cols)]

@@ -88,3 +88,24 @@ def test_scoring_without_target_keeps_rows(spark):
     test = spark.createDataFrame([("a", 1.5), ("b", 2.5), ("c", None)], "cat string, num double")
     m = Preprocessor(PreprocessorConfig(target="target")).fit(train)
     assert m.transform(test).count() == 3
+
+
+def test_pipeline_large_path_learns_same_state(spark, monkeypatch):
+    import tabflow.operators.pipeline as PL
+    rows = [(i, float((i * 37) % 101) if i % 9 else None, float((i * 13) % 1000) ** 1.5, "abc"[i % 3], i % 2)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c string, target int")
+    cfg = PreprocessorConfig(target="target", keep_columns=["k"], scaler="robust")
+    small = Preprocessor(cfg).fit(df).state
+    monkeypatch.setattr(PL, "EXACT_QUANTILE_MAX_ROWS", 100)     # take the exact-selection path
+    large = Preprocessor(cfg).fit(df).state
+    def close(x, y):
+        if isinstance(x, dict):
+            return x.keys() == y.keys() and all(close(x[k], y[k]) for k in x)
+        if isinstance(x, (list, tuple)):
+            return len(x) == len(y) and all(close(a, b) for a, b in zip(x, y))
+        if isinstance(x, float):
+            return math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12)
+        return x == y
+    for key in ("fills", "bounds", "scaler", "log_columns"):
+        assert close(small[key], large[key]), key

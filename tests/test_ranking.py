@@ -35,3 +35,28 @@ def test_top_k_per_group_salted(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     got = top_k_per_group(df, ["g"], ["v"], 3, salt_buckets=8)
     assert sorted((r.g, r.v) for r in got.collect()) == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
+
+
+def test_exact_quantile_selection_matches_percentile(spark, monkeypatch):
+    import tabflow.operators.stats as ST
+    monkeypatch.setattr(ST, "SELECT_COLLECT_MAX", 40)     # force several narrowing rounds
+    monkeypatch.setattr(ST, "SELECT_ACCURACY", 50)
+    df = spark.range(20000).select((F.col("id") * 7919 % 10007 / 3.0).alias("a"),
+                                   F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 97).cast("double").alias("b"))
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = ST.exact_quantiles_large(df, ["a", "b"], probs)
+    ref = ST.quantiles(df, ["a", "b"], probs, exact=True)
+    for c in ("a", "b"):
+        assert [round(x, 9) for x in got[c]] == [round(x, 9) for x in ref[c]]
+
+
+def test_exact_quantile_selection_heavy_duplicates(spark, monkeypatch):
+    import tabflow.operators.stats as ST
+    monkeypatch.setattr(ST, "SELECT_COLLECT_MAX", 30)
+    monkeypatch.setattr(ST, "SELECT_ACCURACY", 20)
+    df = spark.range(6000).select(F.when(F.col("id") < 3000, 1.0).when(F.col("id") < 5990, 2.0)
+                                  .otherwise(F.col("id").cast("double")).alias("a"))
+    probs = [0.1, 0.4999, 0.5, 0.5001, 0.998, 1.0]
+    got = ST.exact_quantiles_large(df, ["a"], probs)["a"]
+    ref = ST.quantiles(df, ["a"], probs, exact=True)["a"]
+    assert [round(x, 9) for x in got] == [round(x, 9) for x in ref]
