@@ -155,8 +155,9 @@ def missing_indicator(spark, sf):
 
 
 @register("date_parts", sql="""
-select o_orderkey, year(o_orderdate) as o_orderdate_year, month(o_orderdate) as o_orderdate_month,
-  day(o_orderdate) as o_orderdate_day, isodow(o_orderdate) - 1 as o_orderdate_dayofweek, hour(o_orderdate) as o_orderdate_hour
+select o_orderkey, cast(year(o_orderdate) as integer) as o_orderdate_year, cast(month(o_orderdate) as integer) as o_orderdate_month,
+  cast(day(o_orderdate) as integer) as o_orderdate_day, cast(isodow(o_orderdate) - 1 as integer) as o_orderdate_dayofweek,
+  cast(hour(o_orderdate) as integer) as o_orderdate_hour
 from orders""")
 def date_parts(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")

@@ -13,15 +13,17 @@ from tabflow.sources import files as FS
 
 
 @register("read_csv_roundtrip", sql="""
-select o_orderstatus, cast(count(*) as bigint) as n, sum(o_totalprice) as total, cast(sum(o_custkey) as bigint) as custkeys
+select o_orderstatus, cast(count(*) as bigint) as n, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as total,
+  cast(sum(o_custkey) as bigint) as custkeys
 from orders group by 1""")
 def read_csv_roundtrip(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     path = scratch_path(spark, "orders-csv")
     FS.write_csv(o, path)
     back = FS.read_table(spark, path, fmt="csv")
+    # money is summed exactly (2-decimal amounts), independent of summation order
     return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                             F.sum("o_totalprice").alias("total"),
+                                             F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"),
                                              F.sum("o_custkey").cast("bigint").alias("custkeys"))
 
 
@@ -44,13 +46,14 @@ def read_parquet_table(spark, sf):
 
 @register("write_split_parquet", sql=f"""
 select case when {train_sql('o_orderkey')} then 'train' else 'test' end as split, cast(count(*) as bigint) as n,
-  sum(o_totalprice) as total from orders group by 1""")
+  cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as total from orders group by 1""")
 def write_split_parquet(spark, sf):
     o = table(spark, sf, "orders").withColumn("split", F.when(is_train("o_orderkey"), "train").otherwise("test"))
     path = scratch_path(spark, "orders-split")
     FS.write_parquet(o, path, partition_by="split")
     back = spark.read.parquet(path)
-    return back.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum("o_totalprice").alias("total"))
+    return back.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                     F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @register("write_reports", sql="""
