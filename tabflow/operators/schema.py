@@ -163,3 +163,20 @@ def align_to_schema(df: DataFrame, schema) -> DataFrame:
             e = x
         out.append(e.alias(name))
     return df.select(*out)
+
+
+def schema_to_json(schema) -> str:
+    """Serialise a learned schema (one row per column) to JSON text."""
+    import json
+    return json.dumps(_schema_rows(schema), default=str)
+
+
+def schema_from_json(spark, text: str) -> DataFrame:
+    """Parse the JSON text back into a schema DataFrame."""
+    import json
+    rows = json.loads(text)
+    cols = "column string, field_type string, nullable boolean, min_value double, max_value double, " \
+           "min_length bigint, max_length bigint, n_allowed bigint, allowed_values string"
+    return spark.createDataFrame([tuple(r.get(k) for k in ("column", "field_type", "nullable", "min_value", "max_value",
+                                                           "min_length", "max_length", "n_allowed", "allowed_values"))
+                                  for r in rows], cols)

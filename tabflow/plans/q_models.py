@@ -179,21 +179,10 @@ def ensemble_fallback(spark, sf):
 
 @register("cv_scores")
 def cv_scores(spark, sf):
-    d = _docs(spark, sf)
-    x = stratified_kfold(d, "toxic", 3, ["doc_id"])
-    rows = []
-    for f in range(3):
-        tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
-        pre = Preprocessor(PreprocessorConfig(target="toxic", keep_columns=["doc_id"], drop_columns=["fold"])).fit(tr)
-        pm = MD.build_pipeline(RandomForestClassifier(numTrees=20, maxDepth=6, seed=42), pre.feature_columns, "toxic",
-                               "binary_classification").fit(pre.transform(tr))
-        p = pm.transform(pre.transform(te))
-        rows.append(p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("score"))
-                    .select(F.lit(f).alias("fold"), "score"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("fold", F.round("score", 6).alias("score"))
+    """stratified 3-fold CV of the full pipeline (preprocessor refitted in
+    every fold) with the 100-tree random-forest baseline, weighted F1."""
+    from tabflow.operators.cv import cross_validate
+    return cross_validate(_docs(spark, sf), "toxic", "binary_classification", ["doc_id"], metric="f1", n_folds=3)
 
 
 @register("batch_score")

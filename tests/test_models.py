@@ -65,3 +65,23 @@ def test_batch_predict_probabilities(spark):
     out = batch_predict(df.drop("target"), None, pm, keep=["x"])
     assert {"prediction", "prob_0", "prob_1"} <= set(out.columns)
     assert out.count() == 12
+
+
+def test_cross_validate_reports_scores(spark):
+    from tabflow.operators.cv import cross_validate
+    rows = [(i, float(i % 10), float((i * 7) % 13), "1" if i % 10 > 4 else "0") for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, target string")
+    out = {r.fold: r for r in cross_validate(df, "target", "binary_classification", ["k"], metric="accuracy",
+                                             n_folds=3).collect()}
+    assert sorted(out) == [-1, 0, 1, 2]
+    assert all(out[f].error is None and 0 <= out[f].score <= 1 for f in range(3))
+    assert out[-1].std is not None
+    reg = spark.createDataFrame([(i, float(i), 2.0 * i + 1) for i in range(60)], "k int, a double, y double")
+    r = {x.fold: x for x in cross_validate(reg, "y", "regression", ["k"], metric="rmse", n_folds=3).collect()}
+    assert r[-1].score <= 0     # negated loss
+
+
+def test_folded_rules():
+    from tabflow.operators.runs import cap_candidate_budgets, default_candidates
+    assert cap_candidate_budgets([None, 30.0, 2.0], 30.0) == [10.0, 10.0, 2.0]
+    assert [c["preset"] for c in default_candidates("f1")] == ["medium_quality", "good_quality"]
