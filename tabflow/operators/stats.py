@@ -114,26 +114,46 @@ def exact_quantiles_large(df: DataFrame, cols: list[str], probs: list[float]) ->
     for _ in range(SELECT_MAX_ROUNDS):
         if not pending:
             break
-        # 1. bracket each pending rank inside its current range with a sketch
-        aggs, idx = [], []
-        for j, ((i, k), (lo, hi, below)) in enumerate(pending.items()):
+        # 1. bracket every pending rank with a sketch: ranks sharing a column and a
+        #    current range share one sketch aggregate (all their probabilities at once)
+        groups: dict[tuple, list] = {}
+        for (i, k), (lo, hi, below) in pending.items():
+            groups.setdefault((i, lo, hi, below), []).append(k)
+        gl = list(groups.items())
+        size_aggs = []
+        for g, ((i, lo, hi, below), ks) in enumerate(gl):
             x = F.col(cols[i]).cast("double")
             inside = x.isNotNull()
             if lo is not None:
                 inside = inside & (x >= F.lit(lo))
             if hi is not None:
                 inside = inside & (x <= F.lit(hi))
-            aggs.append(F.count(F.when(inside, x)).alias(f"m{j}"))
-            idx.append((i, k, lo, hi, below, inside, x))
-        sizes = df.agg(*aggs).first()
-        sk = []
-        for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):
-            m = sizes[f"m{j}"]
-            rel = (k - below) / max(m - 1, 1)
+            if lo is not None or hi is not None:
+                size_aggs.append(F.count(F.when(inside, x)).alias(f"m{g}"))
+        sizes = df.agg(*size_aggs).first() if size_aggs else None
+        sk, idx = [], []
+        for g, ((i, lo, hi, below), ks) in enumerate(gl):
+            x = F.col(cols[i]).cast("double")
+            inside = x.isNotNull()
+            if lo is not None:
+                inside = inside & (x >= F.lit(lo))
+            if hi is not None:
+                inside = inside & (x <= F.lit(hi))
+            m = sizes[f"m{g}"] if (lo is not None or hi is not None) else counts[f"n{i}"]
             margin = 3.0 / SELECT_ACCURACY
-            sk.append(F.percentile_approx(F.when(inside, x), [max(0.0, rel - margin), min(1.0, rel + margin)],
-                                          SELECT_ACCURACY).alias(f"b{j}"))
-        brackets = df.agg(*sk).first()
+            ps = []
+            for k in ks:
+                rel = (k - below) / max(m - 1, 1)
+                ps += [max(0.0, rel - margin), min(1.0, rel + margin)]
+            sk.append(F.percentile_approx(F.when(inside, x), ps, SELECT_ACCURACY).alias(f"b{g}"))
+            for t, k in enumerate(ks):
+                idx.append((g, t, i, k, lo, hi, below, inside, x))
+        sk_row = df.agg(*sk).first()
+        brackets = {}
+        for j, (g, t, i, k, lo, hi, below, inside, x) in enumerate(idx):
+            v = sk_row[f"b{g}"]
+            brackets[f"b{j}"] = (v[2 * t], v[2 * t + 1])
+        idx = [(i, k, lo, hi, below, inside, x) for (g, t, i, k, lo, hi, below, inside, x) in idx]
         # 2. exact counts below / inside each bracket; gather small brackets
         cnt = []
         for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):

@@ -60,3 +60,12 @@ def test_exact_quantile_selection_heavy_duplicates(spark, monkeypatch):
     got = ST.exact_quantiles_large(df, ["a"], probs)["a"]
     ref = ST.quantiles(df, ["a"], probs, exact=True)["a"]
     assert [round(x, 9) for x in got] == [round(x, 9) for x in ref]
+
+
+def test_hash_rank_null_groups_multi_bucket(spark):
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") % 2).cast("string"))) \
+        .withColumn("h", seeded_hex("id"))
+    got = hash_rank(df, "h", ["g"], tiebreak=["id"], rows_per_bucket=40)
+    ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
+    assert got.count() == 3000
+    assert got.select("id", "rank").exceptAll(ref.select("id", "rank")).count() == 0
