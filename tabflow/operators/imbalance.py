@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, is_numeric, is_string, seeded_hex
 from tabflow.functions.ranking import hash_rank
+from tabflow.operators.stats import class_count_map
 
 WEIGHT_COL = "_sample_weight"
 LARGE_ROWS = 100_000
@@ -58,9 +59,9 @@ def sampling_choice(df: DataFrame, target: str, task: str) -> DataFrame:
 
 def _counts_lookup(df: DataFrame, target: str) -> tuple[DataFrame, int, int, int]:
     c = class_counts(df, target)
-    rows = c.collect()   # one row per class
-    n = sum(r["n_c"] for r in rows)
-    return c, len(rows), n, max((r["n_c"] for r in rows), default=0)
+    cc = class_count_map(df, target, keep_null=False)   # bounded: one row per class
+    n = sum(cc.values())
+    return c, len(cc), n, max(cc.values(), default=0)
 
 
 def class_weights(df: DataFrame, target: str, weight_col: str = WEIGHT_COL) -> DataFrame:
@@ -77,7 +78,7 @@ def random_oversample(df: DataFrame, target: str, key_cols: list[str], seed: int
     copies (explode) plus the ``M mod n_c`` rows with the smallest seeded
     digests; ``copy`` numbers the replica (0 = original)."""
     c, k, n, m = _counts_lookup(df, target)
-    cc = {r[target]: r["n_c"] for r in c.collect()}
+    cc = class_count_map(df, target, keep_null=False)
     size = F.create_map(*[x for kk, v in cc.items() for x in (F.lit(kk), F.lit(v))])
     d = df.where(F.col(target).isNotNull()).withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
     d = hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank", max_group_rows=m, n_groups=k)
@@ -91,7 +92,7 @@ def random_oversample(df: DataFrame, target: str, key_cols: list[str], seed: int
 def random_undersample(df: DataFrame, target: str, key_cols: list[str], seed: int = SEED) -> DataFrame:
     """every class shrinks to the minority count (smallest seeded digests)."""
     c, k, n, m = _counts_lookup(df, target)
-    mn = min(r["n_c"] for r in c.collect())
+    mn = min(class_count_map(df, target, keep_null=False).values())
     d = df.where(F.col(target).isNotNull()).withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
     d = hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank", max_group_rows=m, n_groups=k)
     return d.where(F.col("_tf_rank") <= mn).drop("_tf_h", "_tf_rank")

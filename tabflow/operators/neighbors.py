@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank
+from tabflow.operators.stats import class_count_map
 from tabflow.session import cut_lineage
 
 GRID_DIMS = 3
@@ -138,7 +139,7 @@ def _neighbour_arrays(nn: DataFrame, pts: DataFrame, vec_col: str, extra: list[s
 
 
 def _class_counts(df: DataFrame, target: str) -> tuple[dict, int]:
-    cc = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    cc = class_count_map(df, target)     # bounded: one row per class
     return cc, max(cc.values())
 
 

@@ -15,18 +15,14 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank
+from tabflow.operators.stats import class_count_map
 
 CLASSIFICATION = ("binary_classification", "multiclass_classification")
 
 
-def _class_counts(df: DataFrame, target: str) -> DataFrame:
-    return df.groupBy(target).agg(F.count(F.lit(1)).alias("_tf_nc"))
-
-
 def _with_class_rank(df: DataFrame, target: str, key_cols: list[str], seed: int) -> tuple[DataFrame, dict]:
     """Adds ``_tf_h`` digest, ``_tf_rank`` within class and ``_tf_nc`` class size."""
-    counts = _class_counts(df, target)
-    cc = {r[target]: r["_tf_nc"] for r in counts.collect()}  # one row per class
+    cc = class_count_map(df, target)     # bounded: one row per class
     d = df.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
     d = hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank",
                   max_group_rows=max(cc.values()) if cc else 0, n_groups=len(cc))
@@ -71,7 +67,7 @@ def stratified_split(df: DataFrame, target: str, test_frac: float, key_cols: lis
     stratification. Falls back to a random split when the test side cannot hold
     one row per class (F5)."""
     df = df.where(F.col(target).isNotNull())
-    counts = {r[target]: r["_tf_nc"] for r in _class_counts(df, target).collect()}
+    counts = class_count_map(df, target)
     rare = [k for k, v in counts.items() if v < 2]
     if rare_class_strategy in ("auto", "oversample"):
         valid = list(counts)
