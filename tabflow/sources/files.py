@@ -13,10 +13,9 @@ SUPPORTED = (".csv", ".parquet", ".json", ".jsonl")
 
 
 def _is_utf8(spark: SparkSession, path: str) -> bool:
-    """True when every byte sequence of the file(s) decodes as UTF-8: lines
-    are read with the UTF-8 decoder and searched for the replacement char
-    (distributed scan that stops at the first bad line)."""
-    bad = spark.read.option("encoding", "UTF-8").text(path).where(F.col("value").contains("�")).limit(1)
+    """True when every line of the file(s) is valid UTF-8 (distributed scan that
+    stops at the first invalid line)."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8(F.col("value"))).limit(1)
     return bad.count() == 0
 
 
