@@ -86,15 +86,18 @@ class Preprocessor:
         t = c.target
         state: dict = {"config": asdict(c), "raw_schema": train.schema.json()}
         tables: dict[str, DataFrame] = {}
-        base = self._rules(train)
-        if c.missing_drop_threshold is not None:
-            state["missing_drop"] = CL.fit_high_missing(base, c.missing_drop_threshold, t)
-            base = CL.drop_columns(base, state["missing_drop"])
+        # cleaning rules in the reference's order: dedupe, null target (only when the
+        # target is present), high-missing columns (learned), listed columns, ranges
+        base = train
         if t in base.columns:
             if c.dedupe:
                 base = CL.drop_duplicates(base)
             if c.drop_null_target:
                 base = CL.drop_null_target(base, t)
+        if c.missing_drop_threshold is not None:
+            state["missing_drop"] = CL.fit_high_missing(base, c.missing_drop_threshold, t)
+            base = CL.drop_columns(base, state["missing_drop"])
+        base = self._rules(base)
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         model = PreprocessorModel(c, state, tables)
         try:

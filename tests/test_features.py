@@ -109,3 +109,30 @@ def test_pipeline_large_path_learns_same_state(spark, monkeypatch):
         return x == y
     for key in ("fills", "bounds", "scaler", "log_columns"):
         assert close(small[key], large[key]), key
+
+
+def test_pipeline_options_pca_minmax_legacy(spark):
+    rows = [(i, float(i % 17), float((i * 3) % 23), float((i * 7) % 29), float(i % 5), float((i * 11) % 31),
+             float(i % 13), float((i * 5) % 19), float(i % 7), float((i * 2) % 11), float(i % 3),
+             None if i % 4 == 0 else float(i), "abcdefghijklmnop"[i % 16], i % 2) for i in range(400)]
+    cols = "k int, " + ", ".join(f"x{j} double" for j in range(10)) + ", sparse double, cat string, target int"
+    df = spark.createDataFrame(rows, cols)
+    cfg = PreprocessorConfig(target="target", keep_columns=["k"], scaler="minmax", enable_pca=True,
+                             missing_drop_threshold=0.2, ranges={"x0": [0, 10]}, legacy_order=True)
+    m = Preprocessor(cfg).fit(df)
+    assert m.state["missing_drop"] == ["sparse"]
+    assert m.state["scaler_kind"] == "minmax"
+    out = m.transform(df)
+    assert any(c.startswith("pca_") for c in out.columns) and "sparse" not in out.columns
+    assert out.count() == 400
+    # min-max scaled training columns lie in [0, 1] once clipped to the learned fences
+    assert "pca" in m.state and 1 <= m.state["pca"]["k"] <= len(m.state["pca"]["columns"])
+
+
+def test_schema_json_round_trip(spark):
+    from tabflow.operators import schema as S
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "a")], "num double, cat string")
+    learned = S.infer_schema(df)
+    text = S.schema_to_json(learned)
+    back = S.schema_from_json(spark, text)
+    assert sorted(r.column for r in back.collect()) == ["cat", "num"]

@@ -78,3 +78,15 @@ def test_sampling_choice_and_weights(spark):
     assert Counter(r.target for r in over.collect()) == {0: 7, 1: 7}
     under = IM.random_undersample(imb, "target", ["a"])
     assert Counter(r.target for r in under.collect()) == {0: 3, 1: 3}
+
+
+def test_split_variants(spark):
+    df = spark.range(2000).withColumnRenamed("id", "k").withColumn("t", (F.col("k") % 2).cast("string"))
+    approx = SP.random_split(df, 0.25, ["k"], exact=False)
+    n_test = approx.where("split = 'test'").count()
+    assert 400 < n_test < 600
+    flat = SP.three_way_split(df, "t", 0.1, 0.2, ["k"], stratify=False)
+    c = Counter(r.split for r in flat.collect())
+    assert set(c) == {"train", "val", "test"} and sum(c.values()) == 2000
+    g = FO.group_kfold(df.withColumn("g", F.col("k") % 37), "g", 4)   # auto → greedy for few groups
+    assert g.select("g", "fold").distinct().count() == 37
