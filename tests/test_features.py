@@ -136,3 +136,33 @@ def test_schema_json_round_trip(spark):
     text = S.schema_to_json(learned)
     back = S.schema_from_json(spark, text)
     assert sorted(r.column for r in back.collect()) == ["cat", "num"]
+
+
+def test_pca_explained_variance_matches_numpy(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(200, 3))
+    X = np.column_stack([base[:, 0], base[:, 0] * 2 + base[:, 1] * 0.1, base[:, 2], base[:, 1] - base[:, 2]])
+    df = spark.createDataFrame([(list(map(float, r)),) for r in X], "a array<double>").select(array_to_vector("a").alias("v"))
+    _, k, ratios, means = FE.fit_pca(df, vector_col="v", variance=0.95)
+    ev = np.sort(np.linalg.eigvalsh(np.cov(X, rowvar=False)))[::-1]
+    assert np.allclose(ratios, ev / ev.sum(), atol=1e-9)
+    assert np.allclose(means, X.mean(axis=0))
+    assert k == int(np.searchsorted(np.cumsum(ev / ev.sum()), 0.95, side="right") + 1)
+
+
+def test_tfidf_matches_direct_formula(spark):
+    import math as m
+    docs = [(1, "a b b"), (2, "b c"), (3, "a a a d")]
+    df = spark.createDataFrame(docs, "id int, text string")
+    out = {r.id: r.tfidf for r in FE.text_tfidf(df, "text", num_features=1 << 10).collect()}
+    n = len(docs)
+    dfreq = {}
+    for _, t in docs:
+        for w in set(t.split()):
+            dfreq[w] = dfreq.get(w, 0) + 1
+    for i, t in docs:
+        want = sorted(round(t.split().count(w) * m.log((n + 1) / (dfreq[w] + 1)), 9) for w in set(t.split()))
+        got = sorted(round(v, 9) for v in out[i].values if v != 0.0)
+        assert got == [w for w in want if w != 0.0]

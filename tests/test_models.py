@@ -85,3 +85,10 @@ def test_folded_rules():
     from tabflow.operators.runs import cap_candidate_budgets, default_candidates
     assert cap_candidate_budgets([None, 30.0, 2.0], 30.0) == [10.0, 10.0, 2.0]
     assert [c["preset"] for c in default_candidates("f1")] == ["medium_quality", "good_quality"]
+
+
+def test_greedy_ensemble_prefers_better_model(spark):
+    rows = [(i % 2, 0.9 if i % 2 else 0.1, 0.6 if (i % 3 == 0) else 0.4) for i in range(60)]
+    df = spark.createDataFrame(rows, "label int, good double, noisy double")
+    w, loss = MD.greedy_ensemble(df, "label", {"good": "good", "noisy": "noisy"}, rounds=5)
+    assert w.get("good", 0) >= 0.5 and loss > 0

@@ -54,3 +54,15 @@ def test_resampling_is_deterministic(spark):
     a = NB.smote_enn(df, "target", ["a", "b"], ["k"]).collect()
     b = NB.smote_enn(df.repartition(5), "target", ["a", "b"], ["k"]).collect()
     assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+
+
+def test_adasyn_focuses_on_hard_points(spark):
+    # minority points: a cluster far from the majority (easy) and points inside it (hard)
+    rows = [(i, 0, float(i % 20), 0.0) for i in range(60)]
+    rows += [(100 + i, 1, 100.0 + i * 0.1, 0.0) for i in range(5)]          # easy
+    rows += [(200 + i, 1, 5.0 + i * 0.37, 0.05) for i in range(5)]          # hard
+    df = spark.createDataFrame(rows, "k int, target int, a double, b double")
+    out = NB.adasyn(df, "target", ["a", "b"], ["k"])
+    syn = out.where("synthetic_id is not null").collect()
+    near = sum(1 for r in syn if r.a < 50)
+    assert len(syn) >= 40 and near > len(syn) / 2
