@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabflow.functions.columns import is_datetime, is_numeric, is_string, numeric_columns, string_columns
+from tabflow.functions.columns import is_datetime, is_numeric, numeric_columns, string_columns
 from tabflow.functions.ranking import top_k_per_group
 from tabflow.operators.stats import numeric_moments, quantiles
 

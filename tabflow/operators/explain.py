@@ -10,8 +10,6 @@ coalition mixing the explained row with a background row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

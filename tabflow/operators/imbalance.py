@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.functions.columns import SEED, is_numeric, is_string, seeded_hex
+from tabflow.functions.columns import SEED, is_string, seeded_hex
 from tabflow.functions.ranking import hash_rank
 from tabflow.operators.stats import class_count_map
 

@@ -8,8 +8,6 @@ expression over that small profile, so the decisions stay lazy Spark work.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -8,8 +8,6 @@ scores (range-bucketed when large) instead of sorting the rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

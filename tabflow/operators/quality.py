@@ -28,10 +28,6 @@ def _features(df: DataFrame, target: str | None) -> list[str]:
     return [c for c in df.columns if c != target]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
 def cap_rows(df: DataFrame, max_rows: int | None = None, n_rows: int | None = None,
              key_cols: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Optional reproducible row cap. ``None`` = full data (Spark default);

@@ -60,27 +60,10 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
         F.sum("cnt").cast("bigint").alias("n_rows"))
 
 
-def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One-row frame: ``n`` plus ``null_{i}`` counts per column."""
-    cols = list(cols if cols is not None else df.columns)
-    return df.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.sum(F.col(c).isNull().cast("bigint")).alias(f"null_{i}") for i, c in enumerate(cols)])
-
-
 EXACT_QUANTILE_MAX_ROWS = 10_000_000
 APPROX_ACCURACY = 10_000
 
 
-def resolve_exact(df: DataFrame, exact, n_rows: int | None = None) -> bool:
-    """``exact="auto"``: exact quantiles (a value→count map per column) up to
-    ``EXACT_QUANTILE_MAX_ROWS`` rows, the bounded-memory sketch above."""
-    if exact != "auto":
-        return bool(exact)
-    if n_rows is None:
-        n_rows = df.count()
-    return n_rows <= EXACT_QUANTILE_MAX_ROWS
-
-
 SELECT_ACCURACY = 100_000        # sketch accuracy of the bracketing pass
 SELECT_COLLECT_MAX = 20_000      # values per bracket gathered for the final pick
 SELECT_MAX_ROUNDS = 8

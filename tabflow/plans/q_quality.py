@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tabflow.operators import clean as CL
 from tabflow.operators import quality as Q
 from tabflow.plans.derived import (CUSTOMER_AMOUNT_SQL, EVENTS_MIXED_SQL, LINEITEM_NARROW_SQL,

@@ -92,3 +92,19 @@ def test_greedy_ensemble_prefers_better_model(spark):
     df = spark.createDataFrame(rows, "label int, good double, noisy double")
     w, loss = MD.greedy_ensemble(df, "label", {"good": "good", "noisy": "noisy"}, rounds=5)
     assert w.get("good", 0) >= 0.5 and loss > 0
+
+
+def test_extra_families_and_configs(spark):
+    from tabflow.operators.split import split_for_task
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), "1" if i % 7 > 3 else "0") for i in range(80)],
+                               "a double, b double, target string").withColumn("k", F.monotonically_increasing_id())
+    fam = MD.extra_families(2, 2)
+    for name, est in fam.items():
+        pm = MD.build_pipeline(est, ["a", "b"], "target", "binary_classification").fit(df)
+        assert pm.transform(df).count() == 80, name
+    assert MD.stacking_config(5) == {"auto_stack": False, "num_bag_folds": 0, "num_stack_levels": 0}
+    assert MD.stacking_config(20) == {"num_bag_folds": 3, "num_stack_levels": 1}
+    s = split_for_task(df, "target", "binary_classification", 0.2, ["k"])
+    assert {r.split for r in s.collect()} == {"train", "test"}
+    r = split_for_task(df, "a", "regression", 0.25, ["k"])
+    assert r.where("split = 'test'").count() == 20
