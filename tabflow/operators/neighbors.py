@@ -87,7 +87,7 @@ def knn(points: DataFrame, queries: DataFrame, vec_col: str, k: int, same_group:
     n_queries = q0.count()
     done: list[DataFrame] = []
     n_done = 0
-    for _ in range(MAX_ROUNDS):
+    for rnd in range(MAX_ROUNDS):
         last = s >= diameter
         # pending queries = all queries minus those answered in earlier rounds;
         # earlier answers are checkpointed, so the lineage grows by one short
@@ -119,7 +119,8 @@ def knn(points: DataFrame, queries: DataFrame, vec_col: str, k: int, same_group:
         n_done += res.select("quid").distinct().count()
         if last or n_done >= n_queries:
             break
-        s *= 2.0
+        # the queries still open are the sparse ones: grow the radius faster after two rounds
+        s *= 2.0 if rnd < 2 else 4.0
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
