@@ -82,7 +82,8 @@ def sequential_ratio(df: DataFrame, cols: list[str], vc: DataFrame | None = None
                                           .alias("seq_ratio"))
 
 
-def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct: bool = False,
+                   with_counts: bool = False):
     """Per column: ``column, idx, kind, n_rows, non_null, nunique, unique_ratio,
     missing_rate, date_ratio, avg_len, min_len, max_len, id_name, seq_ratio``."""
     cols = list(cols if cols is not None else df.columns)
@@ -106,6 +107,7 @@ def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct
                                   "max_len": opt("ma", i, "bigint"), "id_name": F.lit(looks_like_id(c))})
                              for i, c in enumerate(cols)])
     ints = [c for c in cols if kinds[c] == "integer"]
+    vc = None
     if approx_distinct:
         dc = distinct_counts(df, cols, approx=True).select("column", "nunique")
         seq = sequential_ratio(df, ints)
@@ -116,11 +118,13 @@ def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct
         dc = vc.groupBy("column").agg(F.count("value").cast("bigint").alias("nunique"))
         seq = sequential_ratio(df, ints, vc=vc)
     prof = base.join(dc, "column", "left").join(seq, "column", "left")
-    return prof.select("column", "idx", "kind", "n_rows", "non_null", "nunique",
+    out = prof.select("column", "idx", "kind", "n_rows", "non_null", "nunique",
                        (F.col("nunique") / F.greatest(F.col("n_rows"), F.lit(1))).alias("unique_ratio"),
                        (F.lit(1.0) - F.col("non_null") / F.greatest(F.col("n_rows"), F.lit(1))).alias("missing_rate"),
                        "date_ratio", "avg_len", "min_len", "max_len", "id_name",
                        F.coalesce(F.col("seq_ratio"), F.lit(0.0)).alias("seq_ratio"))
+    # with_counts: also hand back the cached (column, value, cnt) table for reuse
+    return (out, vc) if with_counts else out
 
 
 def field_type_expr(use_name: bool = True) -> Column:

@@ -18,8 +18,9 @@ def infer_schema(df: DataFrame, target: str | None = None) -> DataFrame:
     min_length, max_length, n_allowed, allowed_values`` (sorted distinct values,
     first 1000, '|'-joined, for categorical/binary). Datetime min/max are kept
     as timestamps rendered to ``min_value``/``max_value`` epoch seconds."""
-    prof = column_profile(df).select("column", "idx", field_type_expr(True).alias("field_type"),
-                                     (F.col("non_null") < F.col("n_rows")).alias("nullable"), "min_len", "max_len")
+    prof, vc = column_profile(df, with_counts=True)
+    prof = prof.select("column", "idx", field_type_expr(True).alias("field_type"),
+                       (F.col("non_null") < F.col("n_rows")).alias("nullable"), "min_len", "max_len")
     rng_cols = [f.name for f in df.schema.fields if is_numeric(f.dataType) or is_datetime(f.dataType)]
     if rng_cols:
         def num(c):
@@ -30,8 +31,8 @@ def infer_schema(df: DataFrame, target: str | None = None) -> DataFrame:
         rng = unpivot_row(row, [(c, {"lo": F.col(f"lo{i}"), "hi": F.col(f"hi{i}")}) for i, c in enumerate(rng_cols)])
     else:
         rng = df.sparkSession.createDataFrame([], "column string, lo double, hi double")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])
-    distinct_vals = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    # distinct values come from the profile's cached value-count table (no second shuffle)
+    distinct_vals = vc.where(F.col("value").isNotNull()).select("column", "value")
     allowed = (top_k_per_group(distinct_vals, ["column"], ["value"], ALLOWED_VALUES_CAP)
                .groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("av"),
                                       F.count(F.lit(1)).alias("nav")))
