@@ -68,6 +68,13 @@ def completeness(df: DataFrame) -> DataFrame:
                       F.round(F.lit(1.0) - cells / total, 4).alias("score"))
 
 
+def rows_with_missing(df: DataFrame, key_cols: list[str]) -> DataFrame:
+    """C2 row level: ``key_cols + missing_cells`` for every row with at least one
+    null (a projection and a filter; no shuffle)."""
+    n = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in df.columns])
+    return df.select(*key_cols, n.alias("missing_cells")).where(F.col("missing_cells") > 0)
+
+
 # ---------------------------------------------------------------- uniqueness
 def duplicates(df: DataFrame) -> DataFrame:
     """``n_rows, distinct_rows, duplicated_rows, score``; nulls compare

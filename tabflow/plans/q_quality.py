@@ -243,3 +243,10 @@ select case when true then 'categorical' end as type, cast(sum((o_orderstatus is
   cast(count(distinct o_orderstatus) as bigint) as unique_values from t""")
 def target_analysis(spark, sf):
     return Q.target_analysis(orders_nulls(spark, sf), "o_orderstatus")
+
+
+@register("rows_with_missing", sql=f"""
+with t as {_ON}
+select o_orderkey, {_NULLSUM} as missing_cells from t where {_ANYNULL}""")
+def rows_with_missing(spark, sf):
+    return Q.rows_with_missing(orders_nulls(spark, sf), ["o_orderkey"])
