@@ -13,7 +13,7 @@ from tabflow.operators.stats import unpivot_row
 ALLOWED_VALUES_CAP = 1000
 
 
-def infer_schema(df: DataFrame, target: str | None = None) -> DataFrame:
+def infer_schema(df: DataFrame, target: str | None = None, type_sample: int | None = None) -> DataFrame:
     """Per column ``column, field_type, nullable, min_value, max_value,
     min_length, max_length, n_allowed, allowed_values`` (sorted distinct values,
     first 1000, '|'-joined, for categorical/binary). Datetime min/max are kept
@@ -21,6 +21,13 @@ def infer_schema(df: DataFrame, target: str | None = None) -> DataFrame:
     prof, vc = column_profile(df, with_counts=True)
     prof = prof.select("column", "idx", field_type_expr(True).alias("field_type"),
                        (F.col("non_null") < F.col("n_rows")).alias("nullable"), "min_len", "max_len")
+    if type_sample:
+        # the reference's cost knob: logical types from a reproducible sample of
+        # ``type_sample`` rows, constraints (ranges, lengths, values) from all rows
+        from tabflow.operators.quality import cap_rows
+        sampled = column_profile(cap_rows(df, type_sample)).select(
+            "column", field_type_expr(True).alias("_ft_sample"))
+        prof = prof.join(sampled, "column").withColumn("field_type", F.col("_ft_sample")).drop("_ft_sample")
     rng_cols = [f.name for f in df.schema.fields if is_numeric(f.dataType) or is_datetime(f.dataType)]
     if rng_cols:
         def num(c):

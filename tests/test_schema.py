@@ -55,3 +55,12 @@ def test_validate_and_align(spark):
     assert got[0].num == 5.5 and got[1].num is None
     assert {r.cat for r in al.collect()} == {"a", "b", None}
     assert "target" in al.columns
+
+
+def test_type_sample_knob(spark):
+    df = spark.createDataFrame([(float(i) * 1.1, f"c{i % 3}") for i in range(500)], "x double, c string")
+    full = {r.column: r.field_type for r in S.infer_schema(df).collect()}
+    samp = S.infer_schema(df, type_sample=100).collect()
+    assert {r.column: r.field_type for r in samp} == full
+    # constraints still come from all rows
+    assert {r.column: r.max_value for r in samp}["x"] == max(i * 1.1 for i in range(500))
