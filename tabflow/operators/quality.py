@@ -31,8 +31,13 @@ def _features(df: DataFrame, target: str | None) -> list[str]:
 def cap_rows(df: DataFrame, max_rows: int | None = None, n_rows: int | None = None,
              key_cols: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Optional reproducible row cap. ``None`` = full data (Spark default);
-    a positive cap keeps the ``max_rows`` rows with the smallest seeded digest
-    (a top-k, executed as TakeOrderedAndProject: no global sort)."""
+    ``"auto"`` = the reference's rule (50,000 rows when the table has more than
+    100,000); a positive cap keeps the ``max_rows`` rows with the smallest seeded
+    digest (a top-k, executed as TakeOrderedAndProject: no global sort)."""
+    if max_rows == "auto":          # the reference's rule: 50,000 rows above 100,000
+        if n_rows is None:
+            n_rows = df.count()
+        max_rows = QUALITY_SAMPLE_ROWS if n_rows > LARGE_DATASET_ROWS else None
     if not max_rows or max_rows <= 0:
         return df
     if n_rows is None:

@@ -45,3 +45,11 @@ def test_rare_values_examples_are_bounded(spark):
     r = Q.rare_values(df).first()
     assert r["rare_values_count"] == 20
     assert len(r["examples"].split(",")) == 5
+
+
+def test_auto_row_cap(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LARGE_DATASET_ROWS", 50)
+    monkeypatch.setattr(Q, "QUALITY_SAMPLE_ROWS", 20)
+    df = spark.range(100).withColumnRenamed("id", "a")
+    assert Q.cap_rows(df, "auto").count() == 20
+    assert Q.cap_rows(spark.range(30), "auto").count() == 30
