@@ -276,3 +276,15 @@ def metrics_by_split(df: DataFrame, label: str, prediction: str, split_col: str
     ok = (F.col(label).cast("string") == F.col(prediction).cast("string")).cast("double")
     return df.groupBy(split_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(ok).alias("accuracy"),
                                      (1 - F.avg(ok)).alias("error_rate"))
+
+
+TRAIN_EVAL_SAMPLE = 200
+
+
+def train_eval_rows(train: DataFrame, n_classes: int, n_rows: int, key_cols: list[str]) -> DataFrame:
+    """Training-set metrics use a reproducible 200-row sample when there are
+    more than 50 classes or more than 100,000 rows, else all training rows."""
+    if n_classes > 50 or n_rows > 100_000:
+        from tabflow.operators.split import sample_rows
+        return sample_rows(train, TRAIN_EVAL_SAMPLE, key_cols)
+    return train

@@ -35,7 +35,16 @@ def summary(df: DataFrame, target: str, task: str) -> DataFrame:
     return parts.agg(*[F.max(c).alias(c) for c in cols]).withColumn("n_features", F.lit(len(feats)).cast("bigint"))
 
 
-def recommend(df: DataFrame, target: str, task: str) -> DataFrame:
+def time_limit_seconds(size_label: str, budget_minutes: float | None) -> int | None:
+    """Training time limit from the user's budget (none without a budget;
+    at least 30 s; budgets under half a minute count as half a minute)."""
+    if budget_minutes is None:
+        return None
+    secs = max(budget_minutes, 0.5) * 60
+    return max(int(secs), 30)
+
+
+def recommend(df: DataFrame, target: str, task: str, budget_minutes: float | None = None) -> DataFrame:
     """One row of decisions: ``size_label, preset, max_models, bagging,
     primary_metric, imbalance_ratio, sample_weight, validation, n_folds,
     cv_type, holdout_frac, rare_threshold, enable_pca, model_space``."""
@@ -70,4 +79,6 @@ def recommend(df: DataFrame, target: str, task: str) -> DataFrame:
         F.when(cv, F.when(is_cls, "stratified").otherwise("kfold")).alias("cv_type"),
         F.when(~cv, F.when(size == "small", 0.2).when(size == "medium", 0.15).otherwise(0.1)).alias("holdout_frac"),
         F.greatest(F.lit(5), F.floor(n * 0.001)).cast("bigint").alias("rare_threshold"),
-        ((nf > 100) | (mem > 1024)).alias("enable_pca"), space.alias("model_space"))
+        ((nf > 100) | (mem > 1024)).alias("enable_pca"), space.alias("model_space"),
+        *([] if budget_minutes is None else
+          [F.lit(time_limit_seconds("", budget_minutes)).cast("int").alias("time_limit_seconds")]))

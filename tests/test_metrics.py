@@ -40,3 +40,10 @@ def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)], "y double, p double")
     r = M.regression_metrics(df, "y", "p").first()
     assert r.mae == pytest.approx(2 / 3) and r.r2 == pytest.approx(0.0)
+
+
+def test_train_eval_sample_rule(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert M.train_eval_rows(df, 3, 1000, ["k"]).count() == 1000
+    assert M.train_eval_rows(df, 60, 1000, ["k"]).count() == 200
+    assert M.train_eval_rows(df, 3, 200_000, ["k"]).count() == 200

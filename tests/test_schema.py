@@ -64,3 +64,11 @@ def test_type_sample_knob(spark):
     assert {r.column: r.field_type for r in samp} == full
     # constraints still come from all rows
     assert {r.column: r.max_value for r in samp}["x"] == max(i * 1.1 for i in range(500))
+
+
+def test_strategy_time_budget(spark):
+    from tabflow.operators import strategy as ST
+    df = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(300)], "x int, y string")
+    r = ST.recommend(df, "y", "binary_classification", budget_minutes=0.2).first()
+    assert r.time_limit_seconds == 30 and r.validation == "cv" and r.size_label == "small"
+    assert "time_limit_seconds" not in ST.recommend(df, "y", "binary_classification").columns
