@@ -437,3 +437,15 @@ def fused_scores(p: dict) -> DataFrame:
     total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x["score"])
     overall = F.struct(F.lit("overall").alias("dimension"), F.round(total / F.lit(6.0), 4).alias("score"))
     return s.select(F.inline(F.concat(arr, F.array(overall))))
+
+
+def chart_data(df: DataFrame, target: str | None = None, top: int = 20) -> dict[str, DataFrame]:
+    """The report's chart tables: missing rates above zero (top ``top``,
+    descending), outlier counts (descending) and the target distribution."""
+    out = {"missing": missing_rates(df).where(F.col("missing_rate") > 0)
+                                      .orderBy(F.col("missing_rate").desc(), "column").limit(top),
+           "outliers": outlier_summary(df, target).select("column", "outlier_count")
+                                                  .orderBy(F.col("outlier_count").desc(), "column")}
+    if target and target in df.columns:
+        out["target"] = df.groupBy(target).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    return out

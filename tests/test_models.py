@@ -108,3 +108,11 @@ def test_extra_families_and_configs(spark):
     assert {r.split for r in s.collect()} == {"train", "test"}
     r = split_for_task(df, "a", "regression", 0.25, ["k"])
     assert r.where("split = 'test'").count() == 20
+
+
+def test_leaderboard_view(spark):
+    lb = spark.createDataFrame([("RandomForest", 0.8), ("LogisticRegression", 0.85), ("WeightedEnsemble_L2", 0.86)],
+                               "model string, score_val double")
+    v = MD.leaderboard_view(lb).collect()
+    assert [r.family for r in v] == ["ensemble", "linear", "tree"]
+    assert [r.model for r in MD.leaderboard_view(lb, family="tree").collect()] == ["RandomForest"]

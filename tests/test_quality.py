@@ -53,3 +53,11 @@ def test_auto_row_cap(spark, monkeypatch):
     df = spark.range(100).withColumnRenamed("id", "a")
     assert Q.cap_rows(df, "auto").count() == 20
     assert Q.cap_rows(spark.range(30), "auto").count() == 30
+
+
+def test_chart_data(spark):
+    df = spark.createDataFrame([(1.0, None, 0), (None, "a", 1), (3.0, "b", 0), (100.0, "c", 1)] * 3,
+                               "x double, c string, target int")
+    ch = Q.chart_data(df, "target")
+    assert [r.column for r in ch["missing"].collect()] == ["c", "x"] or [r.column for r in ch["missing"].collect()] == ["x", "c"]
+    assert ch["target"].count() == 2
