@@ -61,3 +61,11 @@ def test_chart_data(spark):
     ch = Q.chart_data(df, "target")
     assert [r.column for r in ch["missing"].collect()] == ["c", "x"] or [r.column for r in ch["missing"].collect()] == ["x", "c"]
     assert ch["target"].count() == 2
+
+
+def test_drop_duplicates_hash_first(spark):
+    from tabflow.operators.clean import drop_duplicates
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "c")], "x int, y string")
+    assert sorted(map(tuple, drop_duplicates(df).collect()), key=str) == sorted([(1, "a"), (2, None), (3, "c")], key=str)
+    uniq = spark.createDataFrame([(i, str(i)) for i in range(10)], "x int, y string")
+    assert drop_duplicates(uniq).count() == 10
