@@ -89,7 +89,7 @@ def _evaluate(pred: DataFrame, task: str, kind: str, metric: str, target: str) -
 def cross_validate(df: DataFrame, target: str, task: str, key_cols: list[str], metric: str | None = None,
                    n_folds: int = 5, cv_type: str | None = None, group_col: str | None = None,
                    order_cols: list[str] | None = None, estimator=None, config: PreprocessorConfig | None = None,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, parallelism: int = 3) -> DataFrame:
     """``(fold, score, error)`` per fold plus a summary row (fold = −1)
     with the mean and population std of the scores (6 decimals)."""
     spark: SparkSession = df.sparkSession
@@ -99,8 +99,7 @@ def cross_validate(df: DataFrame, target: str, task: str, key_cols: list[str], m
         kind, mname, sign = scorer(metric, task)
         est = estimator or baseline_estimator(task, seed)
         cfg = config or PreprocessorConfig(target=target, keep_columns=list(key_cols))
-        folds = range(k)
-        for f in folds:
+        def run_fold(f: int) -> tuple:
             try:
                 if kind_cv == "timeseries":
                     tr, te = d.where(F.col("fold") < f), d.where(F.col("fold") == f)
@@ -110,9 +109,14 @@ def cross_validate(df: DataFrame, target: str, task: str, key_cols: list[str], m
                 pre = Preprocessor(cfg_f).fit(tr)
                 pm = build_pipeline(est, pre.feature_columns, target, task).fit(pre.transform(tr))
                 pred = pm.transform(pre.transform(te))
-                rows.append((f, round(sign * _evaluate(pred, task, kind, mname, target), 6), None))
+                return (f, round(sign * _evaluate(pred, task, kind, mname, target), 6), None)
             except Exception as e:  # noqa: BLE001 - a failing fold is reported, like the reference
-                rows.append((f, None, f"{type(e).__name__}: {str(e)[:200]}"))
+                return (f, None, f"{type(e).__name__}: {str(e)[:200]}")
+
+        # folds are independent: fit them concurrently (their jobs share the cluster)
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+            rows.extend(pool.map(run_fold, range(k)))
     except Exception as e:  # noqa: BLE001
         rows.append((-1, None, f"{type(e).__name__}: {str(e)[:200]}"))
         return spark.createDataFrame(rows, "fold int, score double, error string")
