@@ -106,10 +106,16 @@ class Preprocessor:
             self._qmode = "approx" if c.exact is False else ("inline" if n <= EXACT_QUANTILE_MAX_ROWS else "select")
             self._pass1(base, state)
             roles = state["roles"]
-            if roles["categorical"]:
-                self._pass2_categorical(base, state, tables)
-            if c.feature_engineering and roles["numeric"]:
-                self._pass3_numeric(base, state)
+            # passes 2 (categorical) and 3 (numeric) only depend on pass 1: run them concurrently
+            from concurrent.futures import ThreadPoolExecutor
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                futs = []
+                if roles["categorical"]:
+                    futs.append(pool.submit(self._pass2_categorical, base, state, tables))
+                if c.feature_engineering and roles["numeric"]:
+                    futs.append(pool.submit(self._pass3_numeric, base, state))
+                for fu in futs:
+                    fu.result()
             if c.feature_engineering:
                 cur = model._stage_dates(model._stage_encode(model._stage_rare(model._stage_scale(
                     model._stage_log(model._stage_fill(base))))))
@@ -206,7 +212,7 @@ class Preprocessor:
             fill = {x: got.get(x, "missing") for x in cats}
         else:
             fill = {x: c.categorical_constant for x in cats}
-        state["fills"].update(fill)
+        state["fills"] = {**state["fills"], **fill}
         if not c.feature_engineering:
             return
         fmap = F.create_map(*[v for x in cats for v in (F.lit(x), F.lit(fill[x]))])
