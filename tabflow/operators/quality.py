@@ -372,7 +372,12 @@ def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact="
     nums = numeric_cols_for_quality(df, exclude=(target,))
     dts = datetime_columns(df, exclude=(target,))
     strs = string_columns(df, exclude=(target,))
-    bounds = iqr_bounds(df, nums, exact=exact)
+    # the quantile pass (fences) and the duplicate hash pass are independent: run them concurrently
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fb = pool.submit(iqr_bounds, df, nums, exact)
+        fd = pool.submit(duplicates, df)
+        bounds, dups = fb.result(), fd.result()
     t = _as_of(as_of)
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sum(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns]).cast("bigint")).alias("any_null")]
@@ -423,7 +428,6 @@ def quality_passes(df: DataFrame, target: str | None = None, as_of=None, exact="
         values = vc.groupBy("column").agg(F.sum((F.col("cnt") == 1).cast("bigint")).alias("singletons"))
     else:
         values = df.sparkSession.createDataFrame([], "column string, singletons bigint")
-    dups = duplicates(df)
     return {"cols": cols, "values": values, "dups": dups, "feats": feats, "nums": nums, "dts": dts, "strs": strs,
             "target": target, "bounds": bounds, "ncols": len(df.columns)}
 
