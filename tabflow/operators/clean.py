@@ -32,7 +32,8 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     de-duplicated exactly by ``dropDuplicates``. With more than 1M repeated
     hashes the plain ``dropDuplicates`` is used."""
     cols = df.columns
-    hashed = df.withColumn("_tf_rh", F.xxhash64(*[F.col(c) for c in cols]))
+    from tabflow.operators.quality import _hash_input
+    hashed = df.withColumn("_tf_rh", F.xxhash64(*[_hash_input(df, c) for c in cols]))
     rep = hashed.groupBy("_tf_rh").agg(F.count(F.lit(1)).alias("_tf_n")).where(F.col("_tf_n") > 1).select("_tf_rh")
     n_rep = rep.limit(DUP_HASH_BROADCAST_MAX + 1).count()
     if n_rep > DUP_HASH_BROADCAST_MAX:

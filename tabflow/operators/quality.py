@@ -84,6 +84,13 @@ def rows_with_missing(df: DataFrame, key_cols: list[str]) -> DataFrame:
 DUP_HASH_BROADCAST_MAX = 1_000_000
 
 
+def _hash_input(df: DataFrame, c: str):
+    """Row-hash input: floating values + 0.0 so that -0.0 hashes like 0.0, as
+    grouping treats them as equal."""
+    t = df.schema[c].dataType
+    return (F.col(c) + F.lit(0.0)).cast(t) if isinstance(t, (T.FloatType, T.DoubleType)) else F.col(c)
+
+
 def duplicates(df: DataFrame) -> DataFrame:
     """``n_rows, distinct_rows, duplicated_rows, score``; nulls compare
     equal (grouping semantics), like pandas ``duplicated``.
@@ -92,7 +99,7 @@ def duplicates(df: DataFrame) -> DataFrame:
     shuffle). A row whose hash is unique has no equal row, so only rows whose
     hash repeats are compared exactly (grouped by all columns); they are found
     with a broadcast semi-join when the repeated-hash set is small."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    h = F.xxhash64(*[_hash_input(df, c) for c in df.columns])
     hashed = df.withColumn("_tf_rh", h)
     per_hash = hashed.groupBy("_tf_rh").agg(F.count(F.lit(1)).alias("_tf_n"))
     rep = per_hash.where(F.col("_tf_n") > 1).select("_tf_rh")

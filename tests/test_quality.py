@@ -69,3 +69,10 @@ def test_drop_duplicates_hash_first(spark):
     assert sorted(map(tuple, drop_duplicates(df).collect()), key=str) == sorted([(1, "a"), (2, None), (3, "c")], key=str)
     uniq = spark.createDataFrame([(i, str(i)) for i in range(10)], "x int, y string")
     assert drop_duplicates(uniq).count() == 10
+
+
+def test_duplicates_treat_negative_zero_as_zero(spark):
+    from tabflow.operators.clean import drop_duplicates
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (1.0, "b")], "x double, y string")
+    assert Q.duplicates(df).first()["duplicated_rows"] == df.groupBy("x", "y").count().where("count > 1").count()
+    assert drop_duplicates(df).count() == df.dropDuplicates().count()
