@@ -44,7 +44,8 @@ def batch_predict(df: DataFrame, pre: PreprocessorModel | None, model: PipelineM
         from pyspark.sql import types as T
         raw = T.StructType.fromJson(__import__("json").loads(pre.state["raw_schema"]))
         target = pre.config.target
-        raw = T.StructType([f for f in raw.fields if f.name != target])
+        # the target and the training-only sample weight are not scoring inputs
+        raw = T.StructType([f for f in raw.fields if f.name not in (target, "_sample_weight")])
         problems = validate_scoring_input(df, raw).where(F.col("problem") == "missing_column").select("column").collect()
         if problems:
             raise ValueError(f"scoring input is missing columns: {[r[0] for r in problems]}")
