@@ -35,3 +35,39 @@ def test_binary_pipeline_end_to_end(spark, tmp_path):
     again = PreprocessorModel.load(spark, path)
     out2 = score.batch_predict(test.drop("toxic"), again, best, keep=["doc_id"])
     assert out.select("doc_id", "prediction").exceptAll(out2.select("doc_id", "prediction")).count() == 0
+
+
+def _orders(spark):
+    o = read_table(spark, f"{SF01}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                                          "o_orderdate", "o_orderpriority")
+    c = read_table(spark, f"{SF01}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal",
+                                                             "c_mktsegment")
+    return o.join(c, "o_custkey").drop("o_custkey")
+
+
+def test_multiclass_and_regression_end_to_end(spark):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
+    df = _orders(spark)
+    parts = split.stratified_split(df, "o_orderstatus", 0.2, ["o_orderkey"])
+    tr, te = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
+    pre = Preprocessor(PreprocessorConfig(target="o_orderstatus", keep_columns=["o_orderkey"])).fit(tr)
+    fams = {"LogisticRegression": LogisticRegression(maxIter=20),
+            "GBT": OneVsRest(classifier=GBTClassifier(maxIter=3, maxDepth=2, seed=42))}
+    lb, fitted, _ = models.train_family(pre.transform(tr), pre.transform(te), "o_orderstatus",
+                                        "multiclass_classification", pre.feature_columns, families=fams, metric="accuracy")
+    assert lb.count() == 2
+    out = score.batch_predict(te.drop("o_orderstatus"), pre, fitted["LogisticRegression"], keep=["o_orderkey"])
+    assert {"prob_F", "prob_O", "prob_P"} <= set(out.columns)
+    # regression on the price
+    rparts = split.random_split(df.drop("o_orderstatus"), 0.2, ["o_orderkey"])
+    rtr, rte = rparts.where("split = 'train'").drop("split"), rparts.where("split = 'test'").drop("split")
+    rpre = Preprocessor(PreprocessorConfig(target="o_totalprice", keep_columns=["o_orderkey"])).fit(rtr)
+    rfam = {"LinearRegression": LinearRegression(maxIter=10), "RandomForest": RandomForestRegressor(numTrees=5, seed=42),
+            "GLM": GeneralizedLinearRegression(maxIter=5)}
+    rlb, rfit, _ = models.train_family(rpre.transform(rtr), rpre.transform(rte), "o_totalprice", "regression",
+                                       rpre.feature_columns, families=rfam, metric="rmse")
+    rows = rlb.collect()
+    assert len(rows) == 3 and all(r.score_val <= 0 for r in rows)      # negated RMSE
+    pred = score.batch_predict(rte.drop("o_totalprice"), rpre, rfit["LinearRegression"], keep=["o_orderkey"])
+    assert pred.count() == rte.count()
