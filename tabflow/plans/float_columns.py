@@ -16,7 +16,6 @@ FLOAT_COLUMNS = {
     'drop_columns': ['o_totalprice'],
     'drop_duplicates': ['l_quantity', 'l_discount'],
     'drop_high_missing_columns': ['o_totalprice'],
-    'drop_id_columns': ['c_acctbal'],
     'drop_null_target': ['o_totalprice'],
     'duplicate_rows': ['score'],
     'ensemble_fallback': ['improvement_ratio'],

@@ -123,9 +123,23 @@ def column_roles(spark, sf):
     return I.column_roles(table(spark, sf, "documents"))
 
 
-@register("drop_id_columns", sql="select c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+_CU_KEEP = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@register("drop_id_columns", sql=f"""
+with p as ({_CU_PROFILE}), ids as (select "column" from p where ({FIELD_TYPE_CASE}) = 'id'),
+u as (select c_custkey, col as "column", val as value from (
+  select c_custkey, cast(c_name as varchar) as c_name, cast(c_nationkey as varchar) as c_nationkey,
+         cast(c_acctbal as varchar) as c_acctbal, cast(c_mktsegment as varchar) as c_mktsegment from customer)
+  unpivot (val for col in (c_name, c_nationkey, c_acctbal, c_mktsegment)))
+select * from u where "column" not in (select "column" from ids)""")
 def drop_id_columns(spark, sf):
-    return I.drop_id_columns(table(spark, sf, "customer"), target="c_mktsegment")
+    """The columns that survive the identifier drop, as ``(c_custkey,
+    column, value)`` rows (long form, so the kept set may differ by scale)."""
+    c = table(spark, sf, "customer")
+    kept = [x for x in I.drop_id_columns(c, target="c_mktsegment").columns if x != "c_custkey"]
+    pairs = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("string").alias("value")) for x in kept])
+    return c.select("c_custkey", F.inline(pairs))
 
 
 _PA = [("p_partkey", "integer"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
