@@ -45,7 +45,8 @@ MAX_ENTRIES = 240
 FIT_ROWS = 12_000
 PREFIXES = (4, 5)
 MAX_WORD = 16
-LEXICON_VOTERS = 8
+LEXICO_CAPS = re.compile(r"[A-ZÀ-Þ]{3}")
+N_VOTERS = 8
 HOLD_OUT = 5
 _WORD = re.compile(r"[^\W\d_]+")
 # Fixed list of general insults, in four languages.
@@ -60,19 +61,24 @@ _SHOUT = re.compile(r"(?:\b[A-ZÀ-Þ]{3,}\b\W+){5}|!{3,}")
 N_VOTERS = LEXICON_VOTERS + 4
 
 
+def masked(text: str) -> bool:
+    return any(c in text for c in "*@#$") and _MASKED.search(text) is not None
+
+
+def shouted(text: str) -> bool:
+    return "!!!" in text or _CAPS.search(text) is not None and _SHOUT.search(text) is not None
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(False))
 
 
-def entries_of(text: str) -> Counter:
-    """Counts of a text's words and word beginnings (the lexicon's units)."""
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        if len(w) <= MAX_WORD:
-            out["w:" + w] += n
-        for k in PREFIXES:
-            if len(w) > k:
-                out[f"{k}:{w[:k]}"] += n
+def entries_of(text: str) -> set[str]:
+    """A text's words and word beginnings (the lexicon's units), marked by kind."""
+    words = set(_WORD.findall(text.lower()))
+    out = {"w:" + w for w in words if len(w) <= MAX_WORD}
+    for k in PREFIXES:
+        out.update([f"{k}:{x}" for x in {w[:k] for w in words if len(w) > k}])
     return out
 
 
@@ -97,7 +103,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
             toxic, clean = Counter(), Counter()
             n_toxic = 0
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                (toxic if y >= 0.5 else clean).update(entries_of(text.as_py()).keys())
+                (toxic if y >= 0.5 else clean).update(entries_of(text.as_py()))
                 n_toxic += y >= 0.5
             n = len(batch.column(0))
             keys = ["", *set(toxic).union(clean)]
@@ -129,13 +135,17 @@ class Model:
 
     def __post_init__(self):
         self.index = {e: i for i, e in enumerate(self.lexicon)}
+        # every entry's word starts with one of these
+        self.starts = {e[2:][:PREFIXES[0]] for e in self.lexicon}
 
     def features(self, text: str) -> tuple[dict[int, float], int]:
         """Sparse features (entry counts, then voters) and the voters' bit pattern."""
         index = self.index
-        words = Counter(_WORD.findall(text.lower()))
+        found = _WORD.findall(text.lower())
+        words = set(found)
         hits: dict[int, int] = {}
-        for w, n in words.items():
+        near = {w for w in words if w[:PREFIXES[0]] in self.starts}
+        for w, n in Counter([w for w in found if w in near]).items() if near else ():
             for key in ("w:" + w, *[f"{k}:{w[:k]}" for k in PREFIXES if len(w) > k]):
                 i = index.get(key)
                 if i is not None:
@@ -143,7 +153,7 @@ class Model:
         votes = 0
         for i in hits:
             votes |= 1 << (i % LEXICON_VOTERS)
-        fixed = (not INSULTS.isdisjoint(words), _MASKED.search(text) is not None, _SHOUT.search(text) is not None,
+        fixed = (not INSULTS.isdisjoint(words), masked(text), shouted(text),
                  len(hits) > 1)
         for j, fires in enumerate(fixed):
             votes |= int(fires) << (LEXICON_VOTERS + j)
