@@ -45,8 +45,7 @@ MAX_ENTRIES = 240
 FIT_ROWS = 12_000
 PREFIXES = (4, 5)
 MAX_WORD = 16
-LEXICO_CAPS = re.compile(r"[A-ZÀ-Þ]{3}")
-N_VOTERS = 8
+LEXICON_VOTERS = 8
 HOLD_OUT = 5
 _WORD = re.compile(r"[^\W\d_]+")
 # Fixed list of general insults, in four languages.
@@ -57,6 +56,7 @@ idiot dummkopf trottel arschloch abschaum versager widerlich
 idiota imbécil estúpido basura escoria inútil asqueroso payaso
 """.split())
 _MASKED = re.compile(r"\b[A-Za-z]{1,3}[*@#$]{2,}[A-Za-z]{0,4}\b|\b[A-Za-z][*]+[A-Za-z]+\b")
+_CAPS = re.compile(r"[A-ZÀ-Þ]{3}")
 _SHOUT = re.compile(r"(?:\b[A-ZÀ-Þ]{3,}\b\W+){5}|!{3,}")
 N_VOTERS = LEXICON_VOTERS + 4
 
