@@ -133,17 +133,23 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     return ratios([(r["random"], r["pair"], r["count"]) for r in counts])
 
 
-def ratios(counts: list[tuple[int, int, int]]) -> list[float]:
-    """Smoothed transition log probabilities of the two models, subtracted."""
-    n = {(0, a): 0 for a in range(128)} | {(1, a): 0 for a in range(128)}
-    seen = {}
-    for kind, pair, k in counts:
-        seen[(kind, pair)] = k
-        n[(kind, pair >> 7)] += k
-    symbols = 66
-
-    def log_p(kind: int, pair: int) -> float:
-        return math.log((seen.get((kind, pair), 0) + 0.5) / (n[(kind, pair >> 7)] + 0.5 * symbols))
+def ratios(counts: list[tuple[int, int, int]], symbols: int = 66, strength: float = 5.0) -> list[float]:
+    """Transition log probabilities of the two models, subtracted. A transition's
+    probability leans on its second character's own share with ``strength`` counts,
+    so characters that ordinary identifiers hardly use count as evidence even after
+    a character that they never use."""
+    pair = {0: {}, 1: {}}
+    first = {0: [0] * 128, 1: [0] * 128}
+    second = {0: [0] * 128, 1: [0] * 128}
+    for kind, p, k in counts:
+        pair[kind][p] = k
+        first[kind][p >> 7] += k
+        second[kind][p & 127] += k
+
+    def log_p(kind: int, p: int) -> float:
+        share = (second[kind][p & 127] + 0.5) / (sum_of[kind] + 0.5 * symbols)
+        return math.log((pair[kind].get(p, 0) + strength * share) / (first[kind][p >> 7] + strength))
+    sum_of = {k: sum(v) for k, v in second.items()}
     return [round(log_p(1, p) - log_p(0, p), 6) for p in range(128 * 128)]
 
 
