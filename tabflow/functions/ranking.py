@@ -90,15 +90,16 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
     splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
     d = Bucketizer(splits=splits, inputCol="_tf_ord", outputCol="_tf_bkt", handleInvalid="keep").transform(
         df.withColumn("_tf_ord", F.col(order_col).cast("double")))
-    if descending:
-        d = d.withColumn("_tf_bkt", -F.col("_tf_bkt"))
+    # a null order key gets the bucket where the plain window has it: first, or last when descending
+    bucket = -F.col("_tf_bkt") if descending else F.col("_tf_bkt")
+    d = d.withColumn("_tf_bkt", F.coalesce(bucket, F.lit(1.0 if descending else -1.0)))
     totals = d.groupBy(*pcols, "_tf_bkt").agg(*[F.sum(c).alias("_tf_t_" + c) for c in sum_cols])
     wo = (Window.partitionBy(*pcols) if pcols else Window.partitionBy(F.lit(0))).orderBy("_tf_bkt").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select(*pcols, "_tf_bkt", *[F.coalesce(F.sum("_tf_t_" + c).over(wo), F.lit(0)).alias("_tf_o_" + c)
                                                  for c in sum_cols])
-    # offsets: one row per (group, bucket)
-    j = d.join(F.broadcast(offsets) if n_buckets * 64 <= BROADCAST_ROWS else offsets, pcols + ["_tf_bkt"])
+    # offsets: one row per (group, bucket), null groups among them
+    j = _null_safe_join(d, offsets, pcols + ["_tf_bkt"], offsets.count() <= BROADCAST_ROWS)
     w = Window.partitionBy(*pcols, "_tf_bkt").orderBy(oc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select(*df.columns, *[(F.sum(c).over(w) + F.col("_tf_o_" + c)).alias(c + suffix) for c in sum_cols])
 
@@ -147,6 +148,7 @@ def range_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank", n_r
     bounds = d.select(F.percentile_approx("_tf_ord", qs, 10000).alias("b")).first()["b"]
     splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
     d = Bucketizer(splits=splits, inputCol="_tf_ord", outputCol="_tf_bkt", handleInvalid="keep").transform(d)
+    d = d.withColumn("_tf_bkt", F.coalesce("_tf_bkt", F.lit(-1.0)))   # nulls first, as in the plain window
     counts = d.groupBy("_tf_bkt").agg(F.count(F.lit(1)).alias("_tf_n"))
     wo = Window.partitionBy(F.lit(0)).orderBy("_tf_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_tf_bkt", F.coalesce(F.sum("_tf_n").over(wo), F.lit(0)).alias("_tf_off"))

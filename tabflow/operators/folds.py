@@ -9,7 +9,7 @@ from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank, range_rank
 from tabflow.operators.split import _with_class_rank
 
-GREEDY_GROUPS_MAX = 200_000   # group-count tables above this use hashed group folds
+GREEDY_GROUPS_MAX = 200_000   # largest group table that the greedy assignment takes to the driver
 
 
 def kfold(df: DataFrame, k: int, key_cols: list[str], seed: int = SEED, n_rows: int | None = None) -> DataFrame:
@@ -41,18 +41,18 @@ def time_series_blocks(df: DataFrame, k: int, order_cols: list[str], n_rows: int
     return r.withColumn("block", b.cast("int")).drop("_tf_pos")
 
 
-def group_kfold(df: DataFrame, group_col: str, k: int, mode: str = "auto", seed: int = SEED) -> DataFrame:
+def group_kfold(df: DataFrame, group_col: str, k: int, mode: str = "greedy", seed: int = SEED) -> DataFrame:
     """groups never cross folds. ``greedy`` = sort groups by size
     (descending) and give each to the currently lightest fold (balanced, as
-    scikit-learn's GroupKFold); ``hash`` = seeded hash of the group (no
-    collection, any number of groups). ``auto`` picks greedy when the group
-    table is small."""
+    scikit-learn's GroupKFold; at most ``GREEDY_GROUPS_MAX`` groups, more are
+    refused rather than assigned by another rule); ``hash`` = seeded hash of the
+    group (no collection, any number of groups). Null is a group of its own."""
     counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_tf_n"))
-    if mode == "auto":
-        mode = "greedy" if counts.count() <= GREEDY_GROUPS_MAX else "hash"
     if mode == "hash":
         return df.withColumn("fold", F.floor(uniform01(seeded_hex(group_col, seed=seed)) * k).cast("int"))
-    rows = counts.orderBy(F.col("_tf_n").desc(), F.col(group_col).asc()).collect()  # ≤ GREEDY_GROUPS_MAX rows
+    rows = counts.orderBy(F.col("_tf_n").desc(), F.col(group_col).asc()).limit(GREEDY_GROUPS_MAX + 1).collect()
+    if len(rows) > GREEDY_GROUPS_MAX:
+        raise ValueError(f"more than {GREEDY_GROUPS_MAX} groups: pass mode='hash'")
     load = [0] * k
     assign = []
     for r in rows:
@@ -61,7 +61,8 @@ def group_kfold(df: DataFrame, group_col: str, k: int, mode: str = "auto", seed:
         assign.append((r[group_col], f))
     spark = df.sparkSession
     amap = spark.createDataFrame(assign, f"{group_col} {df.schema[group_col].dataType.simpleString()}, fold int")
-    return df.join(F.broadcast(amap), group_col, "left")
+    amap = F.broadcast(amap.withColumnRenamed(group_col, "_tf_group"))
+    return df.join(amap, df[group_col].eqNullSafe(amap["_tf_group"]), "left").drop("_tf_group")
 
 
 def choose_folds(n_rows: int, task: str, min_class: int | None, requested: int = 5) -> tuple[int, str]:

@@ -61,23 +61,3 @@ def trial_progress(trials: DataFrame, order_col: str, score_col: str, higher_bet
     d = d.withColumn("best_so_far", best if higher_better else -best)
     d = d.withColumn("since_improvement", (F.col("_pos") - F.col("_last")).cast("int"))
     return d.withColumn("stop", F.col("since_improvement") >= patience).drop("_s", "_prev", "_pos", "_last")
-
-
-def cap_candidate_budgets(budgets: list[float | None], total_minutes: float | None) -> list[float | None]:
-    """Each candidate's time budget is capped at total / #candidates
-    (at least 0.1 minute); missing budgets take the cap."""
-    if total_minutes is None or not budgets:
-        return list(budgets)
-    cap = max(0.1, total_minutes / len(budgets))
-    return [cap if b is None or b > cap else b for b in budgets]
-
-
-def default_candidates(primary_metric: str | None = None) -> list[dict]:
-    """The two fixed candidate configurations used when no recommender is available."""
-    # Preset, model count and time budget of each default candidate.
-    return [
-        {"preset": "medium_quality", "max_models": 50, "time_budget_minutes": 10, "primary_metric": primary_metric,
-         "feature_engineering_enabled": True},
-        {"preset": "good_quality", "max_models": 80, "time_budget_minutes": 20, "primary_metric": primary_metric,
-         "feature_engineering_enabled": True},
-    ]

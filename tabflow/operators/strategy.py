@@ -70,7 +70,8 @@ def recommend(df: DataFrame, target: str, task: str, budget_minutes: float | Non
     high_card = F.coalesce(F.col("high_card_columns"), F.lit(0)) > 0
     high_cls = F.lit(task == "multiclass_classification") & (F.col("n_classes") > HIGH_CLASS_COUNT)
     space = (F.when(~(is_large | high_card | high_cls), "full")
-             .when(is_large & ~high_card, "GBM,XGB,LR,CAT").otherwise("GBM,XGB,LR"))
+             .when(is_large & ~high_card, "GBM,XGB,LR,CAT")
+             .when(~is_large & ~high_card, "GBM,XGB,CAT,RF,XT,KNN,LR").otherwise("GBM,XGB,LR"))
     return s.select(
         size.alias("size_label"), preset.alias("preset"), max_models.cast("int").alias("max_models"),
         (size == "small").alias("bagging"), metric.alias("primary_metric"), ratio.alias("imbalance_ratio"),

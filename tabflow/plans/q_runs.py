@@ -89,7 +89,8 @@ select case when n < 1000 then 'small' when n < 100000 then 'medium' else 'large
   case when n >= 500 then case when n < 1000 then 0.2 when n < 100000 then 0.15 else 0.1 end end as holdout_frac,
   cast(greatest(5, floor(n * 0.001)) as bigint) as rare_threshold, nf > 100 or mem > 1024 as enable_pca,
   case when not ((n >= 100000 or mem > 1024) or (select k from hc) > 0 or k > 50) then 'full'
-       when (n >= 100000 or mem > 1024) and (select k from hc) = 0 then 'GBM,XGB,LR,CAT' else 'GBM,XGB,LR' end as model_space
+       when (n >= 100000 or mem > 1024) and (select k from hc) = 0 then 'GBM,XGB,LR,CAT'
+       when not (n >= 100000 or mem > 1024) and (select k from hc) = 0 then 'GBM,XGB,CAT,RF,XT,KNN,LR' else 'GBM,XGB,LR' end as model_space
 from s""")
 def strategy_recommendation(spark, sf):
     return ST.recommend(table(spark, sf, "orders"), "o_orderstatus", "multiclass_classification")

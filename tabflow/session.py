@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

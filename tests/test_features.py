@@ -166,3 +166,19 @@ def test_tfidf_matches_direct_formula(spark):
         want = sorted(round(t.split().count(w) * m.log((n + 1) / (dfreq[w] + 1)), 9) for w in set(t.split()))
         got = sorted(round(v, 9) for v in out[i].values if v != 0.0)
         assert got == [w for w in want if w != 0.0]
+
+
+def test_wide_tables_use_the_same_statistics(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tabflow.operators import features as FE
+    cols = [f"c{i}" for i in range(12)]
+    df = spark.range(200).select(*[F.when((F.col("id") + i) % 7 != 0, F.sin(F.col("id") * (i + 1))).alias(c) for i, c in enumerate(cols)],
+                                 F.lit(None).cast("double").alias("empty"))
+    wide = {(r.col_a, r.col_b): r["corr"] for r in FE.correlation_matrix(df, [*cols, "empty"], fill_median=False).collect()}
+    narrow = FE.correlation_matrix(df, ["c2", "c5"], fill_median=False).first()["corr"]
+    assert abs(wide[("c2", "c5")] - narrow) < 1e-12 and wide[("c2", "empty")] is None and len(wide) == 78
+    var = {r.column: r.var_pop for r in FE.variance_table(df, [*cols, "empty"]).collect()}
+    p = df.toPandas()
+    assert all(abs(var[c] - np.nanvar(p[c])) < 1e-9 for c in cols) and var["empty"] is None

@@ -81,10 +81,24 @@ def test_cross_validate_reports_scores(spark):
     assert r[-1].score <= 0     # negated loss
 
 
-def test_folded_rules():
-    from tabflow.operators.runs import cap_candidate_budgets, default_candidates
-    assert cap_candidate_budgets([None, 30.0, 2.0], 30.0) == [10.0, 10.0, 2.0]
-    assert [c["preset"] for c in default_candidates("f1")] == ["medium_quality", "good_quality"]
+def test_leaderboard_metrics_are_what_they_say(spark):
+    import pytest
+    rows = [("m", 1.0, 1.0, 0.9)] * 6 + [("m", 1.0, 0.0, 0.4)] * 2 + [("m", 0.0, 1.0, 0.3)] * 1 + [("m", 0.0, 0.0, 0.8)] * 11
+    df = spark.createDataFrame(rows, "model string, label double, prediction double, p_true double")
+    got = {m: MD.evaluate_models(df, m, "binary_classification").first().score_val for m in ("accuracy", "precision", "recall", "f1")}
+    assert {k: round(v, 6) for k, v in got.items()} == {"accuracy": 0.85, "precision": round(6 / 7, 6), "recall": 0.75, "f1": 0.8}
+    with pytest.raises(ValueError):
+        MD.evaluate_models(df, "no_such_metric", "binary_classification")
+    reg = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 1.5)], "model string, _y double, prediction double")
+    best = MD.evaluate_models(reg, "root_mean_squared_error", "regression").orderBy("score_val").collect()
+    assert [(r.model, r.score_val) for r in best] == [("a", -1.0), ("b", -0.5)]
+
+
+def test_best_run_takes_the_lower_long_named_loss(spark):
+    from tabflow.operators.runs import best_run
+    m = spark.createDataFrame([("x", "root_mean_squared_error", 9.0), ("y", "root_mean_squared_error", 1.0)],
+                              "run_id string, metric_name string, metric_value double")
+    assert best_run(m).first().run_id == "y"
 
 
 def test_greedy_ensemble_prefers_better_model(spark):
@@ -102,8 +116,6 @@ def test_extra_families_and_configs(spark):
     for name, est in fam.items():
         pm = MD.build_pipeline(est, ["a", "b"], "target", "binary_classification").fit(df)
         assert pm.transform(df).count() == 80, name
-    assert MD.stacking_config(5) == {"auto_stack": False, "num_bag_folds": 0, "num_stack_levels": 0}
-    assert MD.stacking_config(20) == {"num_bag_folds": 3, "num_stack_levels": 1}
     s = split_for_task(df, "target", "binary_classification", 0.2, ["k"])
     assert {r.split for r in s.collect()} == {"train", "test"}
     r = split_for_task(df, "a", "regression", 0.25, ["k"])

@@ -69,3 +69,29 @@ def test_hash_rank_null_groups_multi_bucket(spark):
     ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
     assert got.count() == 3000
     assert got.select("id", "rank").exceptAll(ref.select("id", "rank")).count() == 0
+
+
+def test_null_keys_and_groups_survive_many_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from tabflow.functions.ranking import prefix_sums, range_rank
+    df = spark.range(400).select("id", F.when(F.col("id") % 10 != 0, F.col("id") * 7 % 400).alias("t"))
+    one = {r.id: r["rank"] for r in range_rank(df, ["t", "id"]).collect()}
+    many = {r.id: r["rank"] for r in range_rank(df, ["t", "id"], rows_per_bucket=40).collect()}
+    assert one == many and len(many) == 400
+    g = spark.range(600).select(F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("g"), F.col("id").alias("o"), F.lit(1).alias("n"))
+    for descending in (False, True):
+        one = sorted(map(str, prefix_sums(g, "o", ["n"], descending, partition_cols=["g"]).collect()))
+        many = sorted(map(str, prefix_sums(g, "o", ["n"], descending, rows_per_bucket=50, partition_cols=["g"]).collect()))
+        assert one == many and len(many) == 600
+
+
+def test_null_group_is_a_group(spark):
+    from pyspark.sql import functions as F
+
+    from tabflow.operators.folds import group_kfold
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 4).alias("g"))
+    for mode in ("greedy", "hash"):
+        rows = group_kfold(df, "g", 3, mode=mode).collect()
+        assert len(rows) == 100 and all(r.fold is not None for r in rows)
+        assert len({r.fold for r in rows if r.g is None}) == 1
