@@ -2,8 +2,8 @@
 
 Base spans come from three fixed patterns. Two character Markov models are
 counted over the whole corpus, one from labelled random strings (the values of
-base matches) and one from ordinary identifiers (long runs of identifier
-characters that touch no base match); a run whose log-likelihood ratio speaks
+base matches, and digests made by rule) and one from ordinary identifiers (long
+runs of letters in one case that touch no base match); a run whose log-likelihood ratio speaks
 for "random" becomes a further span of kind ``markov``.
 
 Positions come without user code: cutting a text at the matches gives the gaps,
@@ -125,6 +125,11 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
         F.transform(F.coalesce(runs, F.array().cast("array<string>")),
                     lambda v: F.struct(F.lit(0).alias("random"), v.alias("v"))))).alias("s"))
     samples = samples.select("s.random", "s.v").unionByName(generated(docs.sparkSession))
+    # a run counts as ordinary if it has no digit and its letters keep one case (but for the first):
+    # what else is free of base matches may be an unknown secret and would teach the wrong model
+    v, rest = F.col("v"), F.expr("substring(v, 2)")
+    plain = ~v.rlike("[0-9]") & ((v == F.upper(v)) | (rest == F.lower(rest)))
+    samples = samples.where((F.col("random") == 1) | plain)
     c = _chars(F.col("v"))
     pairs = samples.select("random", c.alias("c")).where(F.size("c") > 1).select("random", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("c") - 2),
