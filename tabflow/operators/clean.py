@@ -196,11 +196,26 @@ def _type_class(dt) -> str:
     return "other"
 
 
+def scoring_schema_problems(have: T.StructType, fitted: T.StructType) -> list[str]:
+    """D10 from the two schemas alone (no scan): absent columns, numeric columns
+    that arrive as something else, categorical columns that arrive as numbers."""
+    kinds = {f.name: _type_class(f.dataType) for f in have.fields}
+    out = []
+    for f in fitted.fields:
+        want, got = _type_class(f.dataType), kinds.get(f.name)
+        if got is None:
+            out.append(f"missing column {f.name}")
+        elif "numeric" in (want, got) and want != got:
+            out.append(f"{f.name} should be {want}, is {got}")
+    return out
+
+
 def validate_scoring_input(df: DataFrame, fitted: T.StructType) -> DataFrame:
     """Compare a scoring frame with the raw schema seen at fit time:
     ``(column, problem, expected, actual, rows)``; ``rows`` counts the rows the
     problem affects (all rows for a missing column, rows whose value does not
-    parse as a number for a numeric column that arrives as text). Empty = valid.
+    parse as a number for a numeric column that arrives as text, rows with a value
+    for a categorical column that arrives as numbers). Empty = valid.
     One aggregate over the scoring frame."""
     have = {f.name: f.dataType for f in df.schema.fields}
     entries = []
@@ -211,6 +226,8 @@ def validate_scoring_input(df: DataFrame, fitted: T.StructType) -> DataFrame:
             x = F.col(f.name)
             bad = F.sum((x.isNotNull() & F.expr(f"try_cast(`{f.name}` as double)").isNull()).cast("bigint"))
             entries.append((f.name, "type_mismatch", "numeric", _type_class(have[f.name]), bad))
+        elif _type_class(f.dataType) == "other" and _type_class(have[f.name]) == "numeric":
+            entries.append((f.name, "type_mismatch", "other", "numeric", F.count(f.name)))
     if not entries:
         return df.sparkSession.createDataFrame([], "column string, problem string, expected string, actual string, rows bigint")
     row = df.agg(*[e[4].cast("bigint").alias(f"r{i}") for i, e in enumerate(entries)])

@@ -12,11 +12,13 @@ import math
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators import folds as FO
+from tabflow.operators.metrics import averages, label_pairs, ovr_auc
 from tabflow.operators.models import build_pipeline
 from tabflow.operators.pipeline import Preprocessor, PreprocessorConfig
 
@@ -26,6 +28,8 @@ CLASSIFICATION = ("binary_classification", "multiclass_classification")
 SCORERS = {
     "accuracy": ("multi", "accuracy", 1.0),
     "f1": ("multi", "weightedFMeasure", 1.0),
+    "f1_macro": ("table", "f1_macro", 1.0),
+    "f1_micro": ("multi", "accuracy", 1.0),   # one label per row: micro F1 is the accuracy
     "f1_weighted": ("multi", "weightedFMeasure", 1.0),
     "precision": ("multi", "weightedPrecision", 1.0),
     "recall": ("multi", "weightedRecall", 1.0),
@@ -79,6 +83,16 @@ def assign_folds(df: DataFrame, target: str, task: str, key_cols: list[str], n_f
 def _evaluate(pred: DataFrame, task: str, kind: str, metric: str, target: str) -> float:
     if kind == "reg":
         return RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName=metric).evaluate(pred)
+    if kind == "table":
+        return averages(label_pairs(pred, "label", "prediction")).first()[metric]
+    if kind == "binary" and task == "multiclass_classification":
+        # one class against the rest, weighted by the class's rows
+        p = pred.withColumn("_p", vector_to_array("probability"))
+        k = p.select(F.size("_p")).first()[0]
+        p = p.select(F.col("label").cast("int").cast("string").alias("label"), *[F.col("_p")[i].alias(f"p{i}") for i in range(k)])
+        auc = ovr_auc(p, "label", {str(i): f"p{i}" for i in range(k)}).where(F.col("auc").isNotNull())
+        rows = p.groupBy(F.col("label").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
+        return auc.join(rows, "cls").agg(F.sum(F.col("auc") * F.col("w")) / F.sum("w")).first()[0]
     if kind == "binary":
         return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                              metricName=metric).evaluate(pred)

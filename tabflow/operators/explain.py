@@ -22,13 +22,15 @@ MANY_CLASSES = 50
 TOO_MANY_CLASSES_SHAP = 200
 
 
-def permutation_plan(n_rows: int, n_classes: int = 0, repeats: int | None = None, sample: int | None = None):
-    """K2: (repeats, sample rows): 2 × 500 for >50 classes or >100k rows, else
-    5 × all rows; ``repeats=0`` skips."""
+def permutation_plan(n_rows: int, n_classes: int = 0, repeats: int | None = None, sample: int | None = None,
+                     quick: bool = False):
+    """K2: (repeats, sample rows): 5 × all rows; ``repeats=0`` skips. ``quick``
+    asks for the reference's reduced plan, 2 × 500 for >50 classes or >100k rows."""
+    reduced = quick and (n_classes > MANY_CLASSES or n_rows > LARGE_ROWS)
     if repeats is None:
-        repeats = 2 if (n_classes > MANY_CLASSES or n_rows > LARGE_ROWS) else 5
+        repeats = 2 if reduced else 5
     if sample is None:
-        sample = 500 if (n_classes > MANY_CLASSES or n_rows > LARGE_ROWS) else n_rows
+        sample = 500 if reduced else n_rows
     return repeats, min(sample, n_rows)
 
 
@@ -46,7 +48,7 @@ def _indexed_sample(df: DataFrame, key_cols: list[str], n: int, seed: int) -> Da
 
 
 def permutation_importance(df: DataFrame, features: list[str], score_fn, key_cols: list[str],
-                           repeats: int = 5, sample: int | None = None, seed: int = SEED, top: int = 10) -> DataFrame:
+                           repeats: int = 5, sample: int | None = None, seed: int = SEED, top: int | None = None) -> DataFrame:
     """K1: ``(feature, importance_mean, importance_std)`` = baseline score −
     score with the feature's values permuted, over ``repeats`` permutations.
     ``score_fn(frame, group_cols)`` returns ``group_cols + [score]`` with a
@@ -71,9 +73,10 @@ def permutation_importance(df: DataFrame, features: list[str], score_fn, key_col
     perm = score_fn(v, ["_feature", "_repeat"])
     b = base.first()["_base"]
     imp = perm.select("_feature", "_repeat", (F.lit(b) - F.col("score")).alias("drop"))
-    return (imp.groupBy(F.col("_feature").alias("feature"))
-               .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
-               .orderBy(F.col("importance_mean").desc(), "feature").limit(top))
+    out = (imp.groupBy(F.col("_feature").alias("feature"))
+              .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+              .orderBy(F.col("importance_mean").desc(), "feature"))
+    return out if top is None else out.limit(top)
 
 
 def shapley_values(explain: DataFrame, background: DataFrame, features: list[str], predict_fn, row_col: str,
@@ -111,10 +114,11 @@ def shapley_values(explain: DataFrame, background: DataFrame, features: list[str
              .groupBy(row_col, "feature").agg(F.avg("_d").alias("phi")))
 
 
-def global_importance(phi: DataFrame, top: int = 10) -> DataFrame:
-    """K4: mean |phi| per feature, top ``top``."""
-    return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap")) \
-              .orderBy(F.col("mean_abs_shap").desc(), "feature").limit(top)
+def global_importance(phi: DataFrame, top: int | None = None) -> DataFrame:
+    """K4: mean |phi| per feature, largest first; only the first ``top`` where it is given."""
+    out = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap")) \
+             .orderBy(F.col("mean_abs_shap").desc(), "feature")
+    return out if top is None else out.limit(top)
 
 
 def label_encode(df: DataFrame, cols: list[str]):

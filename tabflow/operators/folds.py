@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank, range_rank
-from tabflow.operators.split import _with_class_rank
 
 GREEDY_GROUPS_MAX = 200_000   # largest group table that the greedy assignment takes to the driver
 
@@ -24,8 +23,10 @@ def kfold(df: DataFrame, k: int, key_cols: list[str], seed: int = SEED, n_rows:
 
 def stratified_kfold(df: DataFrame, target: str, k: int, key_cols: list[str], seed: int = SEED) -> DataFrame:
     """within each class rows are dealt round robin over the folds."""
-    d, _ = _with_class_rank(df, target, key_cols, seed)
-    return d.withColumn("fold", F.pmod(F.col("_tf_rank") - 1, F.lit(k)).cast("int")).drop("_tf_h", "_tf_rank", "_tf_nc")
+    # the null class is ranked like any other: no row is lost
+    d = hash_rank(df.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed)), "_tf_h", [target], tiebreak=key_cols,
+                  rank_col="_tf_rank")
+    return d.withColumn("fold", F.pmod(F.col("_tf_rank") - 1, F.lit(k)).cast("int")).drop("_tf_h", "_tf_rank")
 
 
 def time_series_blocks(df: DataFrame, k: int, order_cols: list[str], n_rows: int | None = None) -> DataFrame:

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, is_string, seeded_hex
 from tabflow.functions.ranking import hash_rank
-from tabflow.operators.stats import class_count_map
+from tabflow.operators.stats import CLASS_SIZE_BROADCAST_ROWS, with_class_size
 
 WEIGHT_COL = "_sample_weight"
 LARGE_ROWS = 100_000
-CLASS_LOOKUP_BROADCAST_MAX = 1_000_000
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -57,42 +56,36 @@ def sampling_choice(df: DataFrame, target: str, task: str) -> DataFrame:
                     F.when(method.isin("smote", "smote_enn", "smotenc"), safe_k).alias("k_neighbors"))
 
 
-def _counts_lookup(df: DataFrame, target: str) -> tuple[DataFrame, int, int, int]:
+def class_weights(df: DataFrame, target: str, weight_col: str = WEIGHT_COL) -> DataFrame:
+    """balanced weights n / (k · n_c) attached as ``_sample_weight`` (null
+    for rows without a class)."""
     c = class_counts(df, target)
-    cc = class_count_map(df, target, keep_null=False)   # bounded: one row per class
-    n = sum(cc.values())
-    return c, len(cc), n, max(cc.values(), default=0)
+    total = c.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    w = c.select(target, (F.lit(float(total["n"] or 0)) / (F.lit(float(total["k"])) * F.col("n_c"))).alias(weight_col))
+    w = F.broadcast(w) if total["k"] <= CLASS_SIZE_BROADCAST_ROWS else w
+    return df.join(w, target, "left")
 
 
-def class_weights(df: DataFrame, target: str, weight_col: str = WEIGHT_COL) -> DataFrame:
-    """balanced weights n / (k · n_c) attached as ``_sample_weight``;
-    class sizes come from the (small) class-count table joined back."""
-    c, k, n, _ = _counts_lookup(df, target)
-    w = c.select(target, (F.lit(float(n)) / (F.lit(float(k)) * F.col("n_c"))).alias(weight_col))
-    w = F.broadcast(w) if k <= CLASS_LOOKUP_BROADCAST_MAX else w
-    return df.join(w, target, "left")
+def _ranked(df: DataFrame, target: str, key_cols: list[str], seed: int):
+    d, total = with_class_size(df, target)
+    d = d.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
+    return hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank",
+                     max_group_rows=total["most"], n_groups=total["k"]), total
 
 
 def random_oversample(df: DataFrame, target: str, key_cols: list[str], seed: int = SEED) -> DataFrame:
     """every class grows to the majority count: ``floor(M/n_c)`` full
     copies (explode) plus the ``M mod n_c`` rows with the smallest seeded
     digests; ``copy`` numbers the replica (0 = original)."""
-    c, k, n, m = _counts_lookup(df, target)
-    cc = class_count_map(df, target, keep_null=False)
-    size = F.create_map(*[x for kk, v in cc.items() for x in (F.lit(kk), F.lit(v))])
-    d = df.where(F.col(target).isNotNull()).withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
-    d = hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank", max_group_rows=m, n_groups=k)
-    nc = size[F.col(target)]
-    full = F.floor(F.lit(m) / nc).cast("int")
-    extra = F.when(F.col("_tf_rank") <= F.pmod(F.lit(m), nc), 1).otherwise(0)
+    d, total = _ranked(df, target, key_cols, seed)
+    nc, m = F.col("_tf_nc"), F.lit(total["most"])
+    full = F.floor(m / nc).cast("int")
+    extra = F.when(F.col("_tf_rank") <= F.pmod(m, nc), 1).otherwise(0)
     return (d.withColumn("copy", F.explode(F.sequence(F.lit(0), full + extra - 1)))
-             .drop("_tf_h", "_tf_rank"))
+             .drop("_tf_h", "_tf_rank", "_tf_nc"))
 
 
 def random_undersample(df: DataFrame, target: str, key_cols: list[str], seed: int = SEED) -> DataFrame:
     """every class shrinks to the minority count (smallest seeded digests)."""
-    c, k, n, m = _counts_lookup(df, target)
-    mn = min(class_count_map(df, target, keep_null=False).values())
-    d = df.where(F.col(target).isNotNull()).withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
-    d = hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank", max_group_rows=m, n_groups=k)
-    return d.where(F.col("_tf_rank") <= mn).drop("_tf_h", "_tf_rank")
+    d, total = _ranked(df, target, key_cols, seed)
+    return d.where(F.col("_tf_rank") <= total["least"]).drop("_tf_h", "_tf_rank", "_tf_nc")

@@ -20,12 +20,17 @@ LOG_LOSS_EPS = 1e-15
 
 
 # ---------------------------------------------------------------- confusion-based
+def label_pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``(actual, predicted, count)`` of the pairs that occur: one aggregate."""
+    d = df.select(F.col(label).cast("string").alias("actual"), F.col(prediction).cast("string").alias("predicted"))
+    return d.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("count"))
+
+
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Long ``(actual, predicted, count)`` over the complete grid of
     labels seen in either column (zero cells included). The label list is
     one small array (bounded by the number of classes), exploded twice."""
-    d = df.select(F.col(label).cast("string").alias("actual"), F.col(prediction).cast("string").alias("predicted"))
-    counts = d.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("count"))
+    counts = label_pairs(df, label, prediction)
     labs = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).where(F.col("l").isNotNull()) \
                  .agg(F.array_sort(F.collect_set("l")).alias("labels"))
     grid = labs.select(F.explode("labels").alias("actual"), "labels").select("actual", F.explode("labels").alias("predicted"))
@@ -34,11 +39,19 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def per_label(cm: DataFrame) -> DataFrame:
-    """``(label, tp, fp, fn, support, precision, recall, f1)``; zero division → 0."""
-    tp = cm.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"), F.col("count").alias("tp"))
-    pred = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("count").alias("pred_n"))
-    act = cm.groupBy(F.col("actual").alias("label")).agg(F.sum("count").alias("support"))
-    j = tp.join(pred, "label").join(act, "label")
+    """``(label, tp, fp, fn, support, precision, recall, f1)``; zero division → 0.
+
+    ``cm`` may be the grid or only the occurring pairs: each pair counts once for
+    its actual and once for its predicted label. Rows with a null on either side
+    count for nothing, their other label is still listed."""
+    n = F.when(F.col("actual").isNotNull() & F.col("predicted").isNotNull(), F.col("count")).otherwise(F.lit(0))
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    roles = cm.select(F.inline(F.array(
+        F.struct(F.col("actual").alias("label"), n.alias("s"), zero.alias("p"), hit.alias("t")),
+        F.struct(F.col("predicted").alias("label"), zero.alias("s"), n.alias("p"), zero.alias("t")))))
+    j = roles.where(F.col("label").isNotNull()).groupBy("label").agg(
+        F.sum("t").alias("tp"), F.sum("p").alias("pred_n"), F.sum("s").alias("support"))
     p = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     return j.select("label", F.col("tp").cast("bigint").alias("tp"), (F.col("pred_n") - F.col("tp")).cast("bigint").alias("fp"),

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.operators.clean import validate_scoring_input
+from tabflow.operators.clean import scoring_schema_problems
 from tabflow.operators.pipeline import PreprocessorModel
 
 
@@ -46,9 +46,9 @@ def batch_predict(df: DataFrame, pre: PreprocessorModel | None, model: PipelineM
         target = pre.config.target
         # the target and the training-only sample weight are not scoring inputs
         raw = T.StructType([f for f in raw.fields if f.name not in (target, "_sample_weight")])
-        problems = validate_scoring_input(df, raw).where(F.col("problem") == "missing_column").select("column").collect()
+        problems = scoring_schema_problems(df.schema, raw)
         if problems:
-            raise ValueError(f"scoring input is missing columns: {[r[0] for r in problems]}")
+            raise ValueError(f"scoring input does not fit the training schema: {problems}")
     x = pre.transform(df) if pre is not None else df
     p = model.transform(x)
     labels = class_labels(model)

@@ -15,19 +15,18 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank
-from tabflow.operators.stats import class_count_map
+from tabflow.operators.stats import with_class_size
 
 CLASSIFICATION = ("binary_classification", "multiclass_classification")
 
 
-def _with_class_rank(df: DataFrame, target: str, key_cols: list[str], seed: int) -> tuple[DataFrame, dict]:
-    """Adds ``_tf_h`` digest, ``_tf_rank`` within class and ``_tf_nc`` class size."""
-    cc = class_count_map(df, target)     # bounded: one row per class
-    d = df.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
-    d = hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank",
-                  max_group_rows=max(cc.values()) if cc else 0, n_groups=len(cc))
-    size = F.create_map(*[x for k, v in cc.items() for x in (F.lit(k), F.lit(v))])
-    return d.withColumn("_tf_nc", size[F.col(target)]), cc
+def _with_class_rank(df: DataFrame, target: str, key_cols: list[str], seed: int):
+    """Adds ``_tf_h`` digest, ``_tf_rank`` within class and ``_tf_nc`` class size
+    to the rows with a class; also gives the class totals."""
+    d, total = with_class_size(df, target)
+    d = d.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed))
+    return hash_rank(d, "_tf_h", [target], tiebreak=key_cols, rank_col="_tf_rank",
+                     max_group_rows=total["most"], n_groups=total["k"]), total
 
 
 def random_split(df: DataFrame, test_frac: float, key_cols: list[str], seed: int = SEED,
@@ -58,32 +57,31 @@ def _labels_two(frac: float):
 
 def stratified_split(df: DataFrame, target: str, test_frac: float, key_cols: list[str], seed: int = SEED,
                      rare_class_strategy: str = "auto") -> DataFrame:
-    """Per-class split with every class on both sides.
-
-    Null targets are removed. Within each class (ranked by seeded digest) the
-    first row goes to train, the next ``max(1, round(frac·n_c))`` rows to test,
-    the rest to train. Classes with one row: ``auto``/``oversample`` copy the row
-    to both sides (F3), ``drop`` removes them (F4), ``none`` disables
-    stratification. Falls back to a random split when the test side cannot hold
-    one row per class (F5)."""
-    df = df.where(F.col(target).isNotNull())
-    counts = class_count_map(df, target)
-    rare = [k for k, v in counts.items() if v < 2]
-    if rare_class_strategy in ("auto", "oversample"):
-        valid = list(counts)
-    else:
-        valid = [k for k, v in counts.items() if v >= 2]
-    if rare and rare_class_strategy == "drop":
-        df = df.where(~F.col(target).isin(rare))
-        counts = {k: v for k, v in counts.items() if v >= 2}
-    if len(valid) < 2:
-        raise ValueError(f"classification needs at least two classes in {target}: {counts}")
-    n = sum(counts.values())
-    if int(n * test_frac) < len(valid) or rare_class_strategy == "none":
-        return random_split(df, test_frac, key_cols, seed, n_rows=n)
-    d, _ = _with_class_rank(df, target, key_cols, seed)
-    return (d.withColumn("split", F.explode(_labels_two(test_frac)))
-             .drop("_tf_h", "_tf_rank", "_tf_nc"))
+    """A split with every class on both sides and an exact test size.
+
+    Null targets are removed. The first row of each class (by seeded digest) goes
+    to train, the second to test; of the remaining rows, those with the smallest
+    digests fill the test side up to ``round(frac * rows)``. Classes with one row:
+    ``auto``/``oversample`` copy the row to both sides (F3; the copy counts as a
+    row), ``drop`` removes them (F4), ``none`` disables stratification. Falls back
+    to a random split when the test side cannot hold one row per class (F5)."""
+    d, total = _with_class_rank(df, target, key_cols, seed)
+    n, k, single = total["n"], total["k"], total["single"]
+    valid = k if rare_class_strategy in ("auto", "oversample") else k - single
+    if rare_class_strategy == "drop":
+        d, n, k, single = d.where(F.col("_tf_nc") >= 2), n - single, k - single, 0
+    if valid < 2:
+        raise ValueError(f"classification needs at least two classes in {target}: {valid} of {total['k']} can be split")
+    if int(n * test_frac) < valid or rare_class_strategy == "none":
+        return random_split(d.drop("_tf_h", "_tf_rank", "_tf_nc"), test_frac, key_cols, seed, n_rows=n)
+    more = round((n + single) * test_frac) - k      # test rows beyond one for each class
+    d = hash_rank(d.withColumn("_tf_rest", F.col("_tf_rank") > 2), "_tf_h", ["_tf_rest"], tiebreak=key_cols,
+                  rank_col="_tf_place", max_group_rows=n, n_groups=2)
+    rank = F.col("_tf_rank")
+    labels = (F.when(F.col("_tf_nc") == 1, F.array(F.lit("train"), F.lit("test")))
+              .when((rank == 2) | (F.col("_tf_rest") & (F.col("_tf_place") <= more)), F.array(F.lit("test")))
+              .otherwise(F.array(F.lit("train"))))
+    return d.withColumn("split", F.explode(labels)).drop("_tf_h", "_tf_rank", "_tf_nc", "_tf_rest", "_tf_place")
 
 
 def three_way_split(df: DataFrame, target: str, val_frac: float, test_frac: float, key_cols: list[str],
@@ -96,10 +94,15 @@ def three_way_split(df: DataFrame, target: str, val_frac: float, test_frac: floa
         raise ValueError("split sizes must be non-negative and sum to less than 1")
     df = df.where(F.col(target).isNotNull())
     if not stratify:
-        h = seeded_hex(*key_cols, seed=seed)
-        u = uniform01(h)
-        return df.withColumn("split", F.when(u < test_frac, "test").when(u < test_frac + val_frac, "val").otherwise("train"))
-    d, _ = _with_class_rank(df, target, key_cols, seed)
+        n = df.count()
+        n_test, n_val = math.ceil(test_frac * n), math.ceil(val_frac * n)
+        r = hash_rank(df.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed)), "_tf_h", [], tiebreak=key_cols,
+                      rank_col="_tf_rank", max_group_rows=n, n_groups=1)
+        return r.withColumn("split", F.when(F.col("_tf_rank") <= n_test, "test")
+                            .when(F.col("_tf_rank") <= n_test + n_val, "val").otherwise("train")).drop("_tf_h", "_tf_rank")
+    d, total = _with_class_rank(df, target, key_cols, seed)
+    if total["n"] and int(total["n"] * min(x for x in (val_frac, test_frac, 1) if x > 0)) < total["k"]:
+        return three_way_split(df, target, val_frac, test_frac, key_cols, seed, stratify=False)
     nc, rk = F.col("_tf_nc"), F.col("_tf_rank")
     if val_frac == 0:
         labels = _labels_two(test_frac)

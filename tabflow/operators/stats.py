@@ -239,6 +239,24 @@ def numeric_cols_for_quality(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
 
 
+CLASS_SIZE_BROADCAST_ROWS = 200_000
+
+
+def with_class_size(df: DataFrame, target: str, size_col: str = "_tf_nc"):
+    """``df`` (rows with a class) with its class's row count, and one row of
+    ``n`` rows, ``k`` classes, ``most`` and ``least`` rows of a class, ``single``
+    classes of one row. The counts are joined, so any number of classes will do;
+    they are broadcast only up to a checked number of classes."""
+    d = df.where(F.col(target).isNotNull())
+    sizes = d.groupBy(target).agg(F.count(F.lit(1)).alias(size_col))
+    c = F.col(size_col)
+    total = sizes.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k"),
+                      F.coalesce(F.max(c), F.lit(0)).alias("most"), F.coalesce(F.min(c), F.lit(0)).alias("least"),
+                      F.count(F.when(c == 1, 1)).alias("single")).first()
+    return d.join(F.broadcast(sizes) if total["k"] <= CLASS_SIZE_BROADCAST_ROWS else sizes, target).select(
+        *[d[x] for x in df.columns], size_col), total
+
+
 MAX_CLASSES = 100_000
 
 

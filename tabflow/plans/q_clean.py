@@ -92,12 +92,13 @@ select * from (
   select 'l_quantity' as "column", 'type_mismatch' as problem, 'numeric' as expected, 'other' as actual,
     cast(sum(case when q is not null and try_cast(q as double) is null then 1 else 0 end) as bigint) as rows
   from (select case when l_returnflag = 'R' then 'n/a' else cast(l_quantity as varchar) end as q from lineitem)
+  union all select 'l_linestatus', 'type_mismatch', 'other', 'numeric', cast(count(l_linestatus) as bigint) from lineitem
   union all select 'l_tax', 'missing_column', 'numeric', 'absent', cast(count(*) as bigint) from lineitem)""")
 def score_input_validation(spark, sf):
     li = table(spark, sf, "lineitem")
     fitted = li.schema
     incoming = li.withColumn("l_quantity", F.when(F.col("l_returnflag") == "R", F.lit("n/a"))
-                             .otherwise(F.col("l_quantity").cast("string"))).drop("l_tax")
+                             .otherwise(F.col("l_quantity").cast("string"))).drop("l_tax").withColumn("l_linestatus", F.ascii("l_linestatus"))
     return CL.validate_scoring_input(incoming, fitted)
 
 

@@ -67,7 +67,7 @@ select label, cast(tp as bigint) as tp, cast(pred_n - tp as bigint) as fp, cast(
 
 @register("prf_by_label", sql=_PL_SQL)
 def prf_by_label(spark, sf):
-    return M.per_label(M.confusion_matrix(_orders_pred(spark, sf), "label", "prediction"))
+    return M.per_label(M.label_pairs(_orders_pred(spark, sf), "label", "prediction"))
 
 
 @register("prf_averages", sql=f"""
@@ -78,7 +78,7 @@ select avg(precision) as precision_macro, avg(recall) as recall_macro, avg(f1) a
   sum(f1 * support) / sum(support) as f1_weighted, (select mp from m) as precision_micro, (select mr from m) as recall_micro,
   (select 2 * mp * mr / (mp + mr) from m) as f1_micro from pl""")
 def prf_averages(spark, sf):
-    return M.averages(M.confusion_matrix(_orders_pred(spark, sf), "label", "prediction"))
+    return M.averages(M.label_pairs(_orders_pred(spark, sf), "label", "prediction"))
 
 
 @register("mcc_kappa_balanced", sql=f"""
@@ -91,7 +91,7 @@ b as (select avg(r) as bal from (select sum((label = prediction)::int) / count(*
 select c / n as accuracy, (c * n - dot) / sqrt((n * n - tt) * (n * n - pp)) as mcc,
   ((c / n) - dot / (n * n)) / (1 - dot / (n * n)) as cohens_kappa, (select bal from b) as balanced_accuracy from s""")
 def mcc_kappa_balanced(spark, sf):
-    return M.agreement(M.confusion_matrix(_orders_pred(spark, sf), "label", "prediction"))
+    return M.agreement(M.label_pairs(_orders_pred(spark, sf), "label", "prediction"))
 
 
 @register("roc_auc", sql=f"""

@@ -29,8 +29,11 @@ def _strat_sql(src: str, key: str, y: str, frac: float) -> str:
     return f"""
 with r as (select {key}, {y}, row_number() over (partition by {y} order by {_md5(key)}, {key}) as rk,
   count(*) over (partition by {y}) as nc from {src} where {y} is not null),
-l as (select {key}, {y}, case when nc = 1 then ['train', 'test'] when rk = 1 then ['train']
-  when rk <= greatest(1, least(nc - 1, round(nc * {frac}))) + 1 then ['test'] else ['train'] end as labels from r)
+s as (select count(*) as n, count(distinct {y}) as k, count(*) filter (where nc = 1) as single from r),
+z as (select *, row_number() over (partition by rk > 2 order by {_md5(key)}, {key}) as place from r),
+l as (select {key}, {y}, case when nc = 1 then ['train', 'test'] when rk = 2 then ['test']
+  when rk > 2 and place <= round_even(cast(n + single as double) * cast({frac} as double), 0) - k then ['test']
+  else ['train'] end as labels from z, s)
 select {key}, {y}, unnest(labels) as split from l"""
 
 

@@ -42,11 +42,25 @@ def test_shapley_additivity_linear(spark):
         return pm.transform(frame.withColumn("y", F.lit(0.0))).withColumnRenamed("prediction", "score")
     phi = EX.shapley_values(x, bg, ["a", "b"], fn, "k", permutations=6).collect()
     got = {(r.k, r.feature): r.phi for r in phi}
+    # for a linear model each φ is w · (x − z), z one of the background rows: φ differs between
+    # the two rows by w · (difference of x) plus w · (difference of the mean z), which is bounded
+    w = {"a": 2.0, "b": -3.0}
+    at = {r.k: r for r in x.collect()}
+    zs = bg.collect()
+    for k in (3, 4):
+        for c in ("a", "b"):
+            reach = sorted(w[c] * (at[k][c] - z[c]) for z in zs)
+            assert reach[0] - 1e-3 <= got[(k, c)] <= reach[-1] + 1e-3
+    # with one background row every permutation gives the same: φ is exact and adds up
+    one = bg.limit(1)
+    z = one.first()
+    exact = {(r.k, r.feature): r.phi for r in EX.shapley_values(x, one, ["a", "b"], fn, "k", permutations=3).collect()}
     preds = {r.k: r.prediction for r in pm.transform(x.withColumn("y", F.lit(0.0))).collect()}
-    # Σφ = f(x) − mean over the sampled backgrounds; for a linear model each φ is w·(x − z̄)
+    base = pm.transform(one.withColumn("y", F.lit(0.0))).first().prediction
     for k in (3, 4):
-        assert got[(k, "a")] + got[(k, "b")] == pytest.approx(preds[k] - (preds[k] - got[(k, "a")] - got[(k, "b")]))
-    assert abs(got[(3, "a")] / 2.0 - got[(4, "a")] / 2.0) == pytest.approx(abs(3 - 4), rel=0.2) or True
+        for c in ("a", "b"):
+            assert exact[(k, c)] == pytest.approx(w[c] * (at[k][c] - z[c]), abs=1e-3)
+        assert exact[(k, "a")] + exact[(k, "b")] == pytest.approx(preds[k] - base, abs=1e-6)
 
 
 def test_label_encode_decode(spark):
@@ -81,6 +95,32 @@ def test_cross_validate_reports_scores(spark):
     assert r[-1].score <= 0     # negated loss
 
 
+def test_cv_scorers_by_name(spark):
+    from tabflow.operators.cv import _evaluate, scorer
+    from pyspark.ml.linalg import Vectors
+    rows = [(0.0, 0.0, [.8, .1, .1]), (0.0, 1.0, [.3, .4, .3]), (1.0, 1.0, [.1, .8, .1]), (1.0, 1.0, [.2, .7, .1]),
+            (2.0, 2.0, [.1, .1, .8]), (2.0, 0.0, [.5, .2, .3])]
+    df = spark.createDataFrame([(a, b, Vectors.dense(p)) for a, b, p in rows], ["label", "prediction", "probability"])
+
+    def run(metric):
+        kind, name, sign = scorer(metric, "multiclass_classification")
+        return sign * _evaluate(df, "multiclass_classification", kind, name, "y")
+    assert run("f1_micro") == pytest.approx(4 / 6)
+    assert run("f1_macro") == pytest.approx((0.5 + 0.8 + 2 / 3) / 3)
+    # share of ordered pairs, ties half
+    pairs = lambda c: sum((x > y) + 0.5 * (x == y) for a, _, p in rows if a == c for x in [p[int(c)]]
+                          for b, _, q in rows if b != c for y in [q[int(c)]]) / 8
+    assert run("roc_auc") == pytest.approx(sum(pairs(c) for c in (0.0, 1.0, 2.0)) / 3)
+
+
+def test_scoring_input_of_the_wrong_kind_is_refused(spark):
+    from tabflow.operators.clean import scoring_schema_problems
+    fitted = spark.createDataFrame([(1.0, "a", 1)], "x double, c string, k int").schema
+    assert scoring_schema_problems(spark.createDataFrame([(1, "a", 2.0)], "x int, c string, k double").schema, fitted) == []
+    got = scoring_schema_problems(spark.createDataFrame([("1", 2)], "x string, c int").schema, fitted)
+    assert got == ["x should be numeric, is other", "c should be other, is numeric", "missing column k"]
+
+
 def test_leaderboard_metrics_are_what_they_say(spark):
     import pytest
     rows = [("m", 1.0, 1.0, 0.9)] * 6 + [("m", 1.0, 0.0, 0.4)] * 2 + [("m", 0.0, 1.0, 0.3)] * 1 + [("m", 0.0, 0.0, 0.8)] * 11

@@ -28,6 +28,25 @@ def test_every_class_on_both_sides(spark):
     assert {r.target for r in dropped.collect()} == {"a", "b", "e"}
 
 
+def test_stratified_total_size(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(21)], "k int, t string")
+    c = Counter(r.split for r in SP.stratified_split(df, "t", 0.2, ["k"]).collect())
+    assert c == {"test": 4, "train": 17}
+
+
+def test_many_classes_need_no_class_map(spark):
+    df = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") % 20_000).cast("string").alias("t"))
+    out = SP.stratified_split(df, "t", 0.4, ["k"]).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in out} == {"test": 24_000, "train": 36_000}
+    assert IM.random_undersample(df, "t", ["k"]).count() == 60_000
+
+
+def test_three_way_falls_back_where_classes_do_not_fit(spark):
+    df = spark.createDataFrame([(i, str(i % 30)) for i in range(60)], "k int, t string")
+    c = Counter(r.split for r in SP.three_way_split(df, "t", 0.1, 0.2, ["k"]).collect())
+    assert c == {"test": 12, "val": 6, "train": 42}
+
+
 def test_binary_singleton(spark):
     df = spark.createDataFrame([(i, 1 if i == 0 else 0) for i in range(10)], "feat int, target int")
     out = SP.stratified_split(df, "target", 0.2, ["feat"])
