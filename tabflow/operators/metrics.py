@@ -38,33 +38,34 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
         "actual", "predicted", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
-def per_label(cm: DataFrame) -> DataFrame:
+def per_label(cm: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``(label, tp, fp, fn, support, precision, recall, f1)``; zero division → 0.
 
     ``cm`` may be the grid or only the occurring pairs: each pair counts once for
     its actual and once for its predicted label. Rows with a null on either side
-    count for nothing, their other label is still listed."""
+    count for nothing, their other label is still listed. ``by``: columns of
+    ``cm`` (e.g. the model) for which this is done separately."""
     n = F.when(F.col("actual").isNotNull() & F.col("predicted").isNotNull(), F.col("count")).otherwise(F.lit(0))
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(F.lit(0))
     zero = F.lit(0).cast("bigint")
-    roles = cm.select(F.inline(F.array(
+    roles = cm.select(*by, F.inline(F.array(
         F.struct(F.col("actual").alias("label"), n.alias("s"), zero.alias("p"), hit.alias("t")),
         F.struct(F.col("predicted").alias("label"), zero.alias("s"), n.alias("p"), zero.alias("t")))))
-    j = roles.where(F.col("label").isNotNull()).groupBy("label").agg(
+    j = roles.where(F.col("label").isNotNull()).groupBy(*by, "label").agg(
         F.sum("t").alias("tp"), F.sum("p").alias("pred_n"), F.sum("s").alias("support"))
     p = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    return j.select("label", F.col("tp").cast("bigint").alias("tp"), (F.col("pred_n") - F.col("tp")).cast("bigint").alias("fp"),
+    return j.select(*by, "label", F.col("tp").cast("bigint").alias("tp"), (F.col("pred_n") - F.col("tp")).cast("bigint").alias("fp"),
                     (F.col("support") - F.col("tp")).cast("bigint").alias("fn"), F.col("support").cast("bigint").alias("support"),
                     p.alias("precision"), r.alias("recall")).withColumn(
         "f1", F.when(F.col("precision") + F.col("recall") > 0,
                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def averages(cm: DataFrame) -> DataFrame:
-    """One row of macro / weighted / micro precision, recall and F1."""
-    pl = per_label(cm)
-    s = pl.agg(F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"),
+def averages(cm: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (per ``by`` group) of macro / weighted / micro precision, recall and F1."""
+    pl = per_label(cm, by)
+    s = pl.groupBy(*by).agg(F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"),
                F.avg("f1").alias("f1_macro"),
                (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("precision_weighted"),
                (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall_weighted"),
@@ -72,16 +73,16 @@ def averages(cm: DataFrame) -> DataFrame:
                F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     mp = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     mr = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    return s.select("precision_macro", "recall_macro", "f1_macro", "precision_weighted", "recall_weighted", "f1_weighted",
+    return s.select(*by, "precision_macro", "recall_macro", "f1_macro", "precision_weighted", "recall_weighted", "f1_weighted",
                     mp.alias("precision_micro"), mr.alias("recall_micro"),
                     F.when(mp + mr > 0, 2 * mp * mr / (mp + mr)).otherwise(0.0).alias("f1_micro"))
 
 
-def agreement(cm: DataFrame) -> DataFrame:
-    """One row ``accuracy, mcc, cohens_kappa, balanced_accuracy`` (multiclass
-    closed forms on the confusion marginals)."""
-    pl = per_label(cm).select("label", "tp", "support", (F.col("tp") + F.col("fp")).alias("pred_n"))
-    s = pl.agg(F.sum("tp").cast("double").alias("c"), F.sum("support").cast("double").alias("n"),
+def agreement(cm: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (per ``by`` group) ``accuracy, mcc, cohens_kappa,
+    balanced_accuracy`` (multiclass closed forms on the confusion marginals)."""
+    pl = per_label(cm, by).select(*by, "label", "tp", "support", (F.col("tp") + F.col("fp")).alias("pred_n"))
+    s = pl.groupBy(*by).agg(F.sum("tp").cast("double").alias("c"), F.sum("support").cast("double").alias("n"),
                F.sum(F.col("support").cast("double") * F.col("pred_n")).alias("tp_dot"),
                F.sum(F.col("pred_n").cast("double") ** 2).alias("pp"), F.sum(F.col("support").cast("double") ** 2).alias("tt"),
                F.avg(F.when(F.col("support") > 0, F.col("tp") / F.col("support"))).alias("bal"))
@@ -90,7 +91,7 @@ def agreement(cm: DataFrame) -> DataFrame:
     den = F.sqrt((n * n - tt) * (n * n - pp))
     pe = dot / (n * n)
     po = c / n
-    return s.select((c / n).alias("accuracy"), F.when(den > 0, cov_tp / den).otherwise(0.0).alias("mcc"),
+    return s.select(*by, (c / n).alias("accuracy"), F.when(den > 0, cov_tp / den).otherwise(0.0).alias("mcc"),
                     F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(0.0).alias("cohens_kappa"),
                     F.col("bal").alias("balanced_accuracy"))
 
@@ -159,8 +160,12 @@ def _long_scores(df: DataFrame, label: str, score_cols: dict[str, str]) -> DataF
 def ovr_auc(df: DataFrame, label: str, score_cols: dict[str, str]) -> DataFrame:
     """I8: per class one-vs-rest AUC and AP: ``(cls, auc, average_precision)``."""
     lg = _long_scores(df, label, score_cols)
-    st = score_table(lg, F.col("_pos"), F.col("score"), partition=F.col("cls"))
-    c = _curve(st, True)
+    return ranking_by(lg, F.col("cls"), F.col("_pos"), F.col("score"))
+
+
+def ranking_by(df: DataFrame, key: Column, is_pos: Column, score: Column) -> DataFrame:
+    """I4/I5 for every value of ``key`` (class, model): ``(cls, auc, average_precision)``."""
+    c = _curve(score_table(df, is_pos, score, partition=key), True)
     return c.groupBy("cls").agg(
         (F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + 0.5 * F.col("neg"))) / (F.first("P") * F.first("N"))).alias("auc"),
         F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P")).otherwise(0.0)
@@ -179,35 +184,55 @@ def macro_roc_grid(df: DataFrame, label: str, score_cols: dict[str, str], points
     lg = _long_scores(df, label, score_cols)
     c = _curve(score_table(lg, F.col("_pos"), F.col("score"), partition=F.col("cls")), True)
     pts = c.select("cls", (F.col("fp") / F.col("N")).alias("x"), (F.col("tp") / F.col("P")).alias("y"))
-    classes = pts.select("cls").distinct()
-    pts = pts.unionByName(classes.select("cls", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
-    # one point per (class, x): lowest and highest y at that x
-    px = pts.groupBy("cls", "x").agg(F.min("y").alias("ylo"), F.max("y").alias("yhi"))
+    pts = pts.unionByName(pts.select("cls").distinct().select("cls", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    # a rising curve: it comes to an x at its lowest y and leaves it at its highest
+    px = pts.groupBy("cls", "x").agg(F.min("y").alias("y_in"), F.max("y").alias("y_out"))
+    return _macro_grid(px, points).select("point", F.col("x").alias("fpr"), F.col("y").alias("tpr"))
+
+
+def macro_pr_grid(df: DataFrame, label: str, score_cols: dict[str, str], points: int = 100) -> DataFrame:
+    """Macro-average precision on a ``points``-point recall grid: each class's
+    curve (with its start at recall 0, precision 1) is linearly interpolated, then
+    averaged. At a recall shared by several thresholds the curve is left at the
+    precision of the lowest one."""
+    lg = _long_scores(df, label, score_cols)
+    c = _curve(score_table(lg, F.col("_pos"), F.col("score"), partition=F.col("cls")), True)
+    pts = c.select("cls", (F.col("tp") / F.col("P")).alias("x"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("y"))
+    pts = pts.unionByName(pts.select("cls").distinct().select("cls", F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))
+    # at one recall the precision only falls
+    px = pts.groupBy("cls", "x").agg(F.max("y").alias("y_in"), F.min("y").alias("y_out"))
+    return _macro_grid(px, points).select("point", F.col("x").alias("recall"), F.col("y").alias("precision"))
+
+
+def _macro_grid(px: DataFrame, points: int) -> DataFrame:
+    """``(point, x, y)``: the classes' curves, one ``(cls, x, y_in, y_out)`` row per
+    x, interpolated on the grid 0 … 1 and averaged."""
+    classes = px.select("cls").distinct()
     # only the extreme points of every grid cell matter for interpolation at the
     # grid: keep, per (class, cell), the point with the smallest and the largest x
     # (≤ 2·points rows per class, however many distinct scores a class has)
     cell = F.floor(F.col("x") * F.lit(points - 1)).cast("int")
     ext = px.withColumn("_cell", cell).groupBy("cls", "_cell").agg(
-        F.min_by(F.struct("x", "ylo", "yhi"), "x").alias("lo"), F.max_by(F.struct("x", "ylo", "yhi"), "x").alias("hi"))
+        F.min_by(F.struct("x", "y_in", "y_out"), "x").alias("lo"), F.max_by(F.struct("x", "y_in", "y_out"), "x").alias("hi"))
     px = ext.select("cls", F.inline(F.array("lo", "hi"))).dropDuplicates(["cls", "x"])
     grid = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")) \
                   .select("cls", "g", (F.col("g") / F.lit(points - 1)).alias("gx"))
     # as-of join on x within each class: the last curve x ≤ gx and the first x ≥ gx
-    tagged = grid.select("cls", "g", F.col("gx").alias("x"), F.lit(None).cast("double").alias("ylo"),
-                         F.lit(None).cast("double").alias("yhi"), F.lit(1).alias("_is_grid")) \
-        .unionByName(px.select("cls", F.lit(None).cast("int").alias("g"), "x", "ylo", "yhi", F.lit(0).alias("_is_grid")))
+    tagged = grid.select("cls", "g", F.col("gx").alias("x"), F.lit(None).cast("double").alias("y_in"),
+                         F.lit(None).cast("double").alias("y_out"), F.lit(1).alias("_is_grid")) \
+        .unionByName(px.select("cls", F.lit(None).cast("int").alias("g"), "x", "y_in", "y_out", F.lit(0).alias("_is_grid")))
     from pyspark.sql import Window
     wb = Window.partitionBy("cls").orderBy(F.col("x"), F.col("_is_grid")).rowsBetween(Window.unboundedPreceding, 0)
     wa = Window.partitionBy("cls").orderBy(F.col("x"), F.col("_is_grid").desc()).rowsBetween(0, Window.unboundedFollowing)
     t = tagged.select("*", F.last(F.when(F.col("_is_grid") == 0, F.col("x")), True).over(wb).alias("x0"),
-                      F.last("yhi", True).over(wb).alias("y0"),
+                      F.last("y_out", True).over(wb).alias("y0"),
                       F.first(F.when(F.col("_is_grid") == 0, F.col("x")), True).over(wa).alias("x1"),
-                      F.first("ylo", True).over(wa).alias("y1")).where(F.col("_is_grid") == 1)
+                      F.first("y_in", True).over(wa).alias("y1")).where(F.col("_is_grid") == 1)
     interp = (F.when(F.col("x1").isNull() | (F.col("x0") == F.col("x")), F.col("y0"))
               .when(F.col("x1") == F.col("x0"), F.col("y0"))
               .otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))))
-    return t.select("g", "x", interp.alias("tpr")).groupBy("g").agg(F.first("x").alias("fpr"), F.avg("tpr").alias("tpr")) \
-            .select(F.col("g").cast("int").alias("point"), "fpr", "tpr")
+    return t.select("g", "x", interp.alias("y")).groupBy("g").agg(F.first("x").alias("x"), F.avg("y").alias("y")) \
+            .select(F.col("g").cast("int").alias("point"), "x", "y")
 
 
 # ---------------------------------------------------------------- thresholds, probabilities
@@ -284,6 +309,21 @@ def residual_histogram(df: DataFrame, y: str, pred: str, bins: int = 20) -> Data
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
+def residual_grid(df: DataFrame, y: str, pred: str, bins: int = 20) -> DataFrame:
+    """I16: residual against prediction as counts of a ``bins`` x ``bins`` grid
+    between the extremes of either: ``(pred_bin, residual_bin, count)`` of the
+    cells that hold rows. Every row counts; rows with a null are in no cell."""
+    d = df.select(F.col(pred).cast("double").alias("p"), (F.col(y) - F.col(pred)).cast("double").alias("r")).dropna()
+    m = d.agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("r").alias("r0"), F.max("r").alias("r1")).first()
+
+    def cell(c: str, lo, hi):
+        if lo is None or hi <= lo:
+            return F.lit(0)
+        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
+    return d.groupBy(cell("p", m["p0"], m["p1"]).alias("pred_bin"), cell("r", m["r0"], m["r1"]).alias("residual_bin")) \
+            .agg(F.count(F.lit(1)).alias("count"))
+
+
 def metrics_by_split(df: DataFrame, label: str, prediction: str, split_col: str = "split") -> DataFrame:
     """``(split, n, accuracy, error_rate)`` in one grouped aggregate."""
     ok = (F.col(label).cast("string") == F.col(prediction).cast("string")).cast("double")
@@ -291,13 +331,10 @@ def metrics_by_split(df: DataFrame, label: str, prediction: str, split_col: str
                                      (1 - F.avg(ok)).alias("error_rate"))
 
 
-TRAIN_EVAL_SAMPLE = 200
-
-
-def train_eval_rows(train: DataFrame, n_classes: int, n_rows: int, key_cols: list[str]) -> DataFrame:
-    """Training-set metrics use a reproducible 200-row sample when there are
-    more than 50 classes or more than 100,000 rows, else all training rows."""
-    if n_classes > 50 or n_rows > 100_000:
-        from tabflow.operators.split import sample_rows
-        return sample_rows(train, TRAIN_EVAL_SAMPLE, key_cols)
-    return train
+def train_eval_rows(train: DataFrame, key_cols: list[str], sample: int | None = None) -> DataFrame:
+    """The rows that training-set metrics are computed on: all of them, or a
+    reproducible sample of ``sample`` rows where the caller asks for one."""
+    if sample is None:
+        return train
+    from tabflow.operators.split import sample_rows
+    return sample_rows(train, sample, key_cols)

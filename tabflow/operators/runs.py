@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.models import LOSS_METRICS
 
-# preference order of metrics for choosing the best run when score_val is absent
-METRIC_PREFERENCE = ("score_val", "accuracy", "f1", "f1_macro", "auc", "r2", "rmse", "mae", "log_loss")
+# Preference order of shared metrics for choosing the best run; others follow by name.
+METRIC_PREFERENCE = ("accuracy", "log_loss", "root_mean_squared_error", "r2", "rmse")
 
 
 def compare_runs(metrics: DataFrame, run_ids: list[str] | None = None) -> DataFrame:
@@ -34,9 +34,34 @@ def shared_metric(metrics: DataFrame) -> DataFrame:
     return shared.select("metric_name", F.coalesce(pref[F.col("metric_name")], F.lit(len(METRIC_PREFERENCE))).alias("rank"))
 
 
-def best_run(metrics: DataFrame) -> DataFrame:
-    """The best run by the most preferred shared metric, honouring its
-    direction (losses are lower-better): ``(run_id, metric_name, metric_value)``."""
+def run_summary(metrics: DataFrame, leaderboards: DataFrame, features: DataFrame,
+                run_ids: list[str] | None = None) -> DataFrame:
+    """L1: ``run_id, n_metrics, best_model, best_score, feature_count`` per run.
+
+    ``leaderboards``: ``(run_id, model, score_val)``, higher is better;
+    ``features``: ``(run_id, column)``. A run without a leaderboard has no best
+    model, one without a feature list no feature count; the first model by name
+    wins a tie."""
+    keep = lambda df: df if run_ids is None else df.where(F.col("run_id").isin(run_ids))
+    top = keep(leaderboards).where(F.col("score_val").isNotNull()).groupBy("run_id").agg(F.max("score_val").alias("best_score"))
+    named = (keep(leaderboards).join(top, "run_id").where(F.col("score_val") == F.col("best_score"))
+             .groupBy("run_id").agg(F.min("model").alias("best_model"), F.first("best_score").alias("best_score")))
+    runs = keep(metrics).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_metrics"))
+    counts = keep(features).groupBy("run_id").agg(F.countDistinct("column").alias("feature_count"))
+    return (runs.join(named, "run_id", "left").join(counts, "run_id", "left")
+            .select("run_id", "n_metrics", "best_model", "best_score", "feature_count"))
+
+
+def best_run(metrics: DataFrame, leaderboards: DataFrame | None = None) -> DataFrame:
+    """The best run: ``(run_id, metric_name, metric_value)``. With
+    ``leaderboards`` that hold any score, the run with the highest ``score_val``;
+    else the best by the most preferred shared metric, honouring its direction
+    (losses are lower-better). The largest run id wins a tie."""
+    if leaderboards is not None:
+        scored = leaderboards.where(F.col("score_val").isNotNull())
+        if not scored.isEmpty():
+            return scored.agg(F.max(F.struct("score_val", "run_id")).alias("b")).select(
+                "b.run_id", F.lit("score_val").alias("metric_name"), F.col("b.score_val").alias("metric_value"))
     sm = shared_metric(metrics).orderBy("rank", "metric_name").limit(1)
     m = metrics.join(F.broadcast(sm.select("metric_name")), "metric_name")   # one metric name
     signed = F.when(F.col("metric_name").isin(*LOSS_METRICS), -F.col("metric_value")).otherwise(F.col("metric_value"))

@@ -5,6 +5,7 @@ FLOAT_COLUMNS = {
     'average_precision': ['average_precision'],
     'batch_score_threshold': ['prob_1'],
     'best_run': ['metric_value'],
+    'best_run_by_score': ['metric_value'],
     'best_threshold': ['default_threshold', 'optimal_threshold', 'best_f1'],
     'choose_scaler': ['outlier_share'],
     'class_weights': ['_sample_weight'],
@@ -30,8 +31,10 @@ FLOAT_COLUMNS = {
     'iqr_outliers': ['q1', 'q3', 'lower_bound', 'upper_bound', 'outlier_ratio'],
     'label_encode_decode': ['c_mktsegment_code'],
     'leaderboard': ['score_val'],
+    'leaderboard_metrics': ['score_val'],
     'log_loss': ['log_loss'],
     'log_skewed': ['value', 'value_log'],
+    'macro_pr_grid': ['recall', 'precision'],
     'macro_roc_grid': ['fpr', 'tpr'],
     'mcc_kappa_balanced': ['accuracy', 'mcc', 'cohens_kappa', 'balanced_accuracy'],
     'metrics_by_split': ['accuracy', 'error_rate'],
@@ -59,6 +62,7 @@ FLOAT_COLUMNS = {
     'roc_auc': ['auc'],
     'roc_curve': ['threshold', 'fpr', 'tpr'],
     'run_compare': ['accuracy', 'log_loss', 'n_rows'],
+    'run_summary': ['best_score'],
     'sample_rows': ['value'],
     'sampling_choice': ['imbalance_ratio'],
     'scale_minmax': ['user_id', 'value'],

@@ -174,6 +174,19 @@ def macro_roc_grid(spark, sf):
     return M.macro_roc_grid(_lineitem_probs(spark, sf), "label", _PROBS)
 
 
+@register("macro_pr_grid", sql=_ovr_sql() + """,
+pts as (select cls, tp / P as x, tp / (tp + fp) as y from c union all select distinct cls, 0.0, 1.0 from c),
+px as (select cls, x, max(y) as y_in, min(y) as y_out from pts group by 1, 2),
+grid as (select cls, g, g / 99.0 as gx from (select distinct cls from c), range(100) t(g)),
+lo as (select grid.cls, g, gx, arg_max(px.x, px.x) as x0, arg_max(y_out, px.x) as y0 from grid join px on px.cls = grid.cls and px.x <= gx group by 1, 2, 3),
+hi as (select grid.cls, g, gx, arg_min(px.x, px.x) as x1, arg_min(y_in, px.x) as y1 from grid join px on px.cls = grid.cls and px.x >= gx group by 1, 2, 3),
+it as (select lo.cls, lo.g, lo.gx, case when x1 is null or x0 = lo.gx or x1 = x0 then y0 else y0 + (y1 - y0) * (lo.gx - x0) / (x1 - x0) end as v
+  from lo left join hi on lo.cls = hi.cls and lo.g = hi.g)
+select cast(g as int) as point, any_value(gx) as recall, avg(v) as precision from it group by g""")
+def macro_pr_grid(spark, sf):
+    return M.macro_pr_grid(_lineitem_probs(spark, sf), "label", _PROBS)
+
+
 _LR = "(select l_extendedprice as y, 1000.0 * l_quantity as pred from lineitem)"
 
 
@@ -200,6 +213,15 @@ def residual_histogram(spark, sf):
     return M.residual_histogram(_lineitem_reg(spark, sf), "y", "pred")
 
 
+@register("residual_grid", sql=f"""
+with r as (select pred as p, y - pred as r from {_LR} t),
+m as (select min(p) p0, (max(p) - min(p)) / 20.0 as pw, min(r) r0, (max(r) - min(r)) / 20.0 as rw from r)
+select least(cast(floor((p - p0) / pw) as int), 19) as pred_bin, least(cast(floor((r - r0) / rw) as int), 19) as residual_bin,
+  count(*) as count from r, m group by 1, 2""")
+def residual_grid(spark, sf):
+    return M.residual_grid(_lineitem_reg(spark, sf), "y", "pred")
+
+
 _TH = ", ".join(f"({i}, {t!r})" for i, t in enumerate(M.THRESHOLDS))
 
 

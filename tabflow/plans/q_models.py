@@ -164,6 +164,42 @@ def leaderboard(spark, sf):
     return _rule_models(spark, sf).orderBy(F.col("score_val").desc())
 
 
+_BOARD_METRICS = ("accuracy", "precision", "recall", "f1", "f1_macro", "balanced_accuracy", "roc_auc", "auc_pr", "log_loss")
+
+
+@register("leaderboard_metrics", sql="""
+with s as (select 'ValueScore' as model, value / 500.0 as p, (event_type = 'purchase')::int as y from events
+  union all select 'UserScore', user_id / 150.0, (event_type = 'purchase')::int from events),
+c as (select model, sum((y = 1 and p >= 0.5)::int)::double as tp, sum((y = 0 and p >= 0.5)::int)::double as fp,
+  sum((y = 1 and p < 0.5)::int)::double as fn, sum((y = 0 and p < 0.5)::int)::double as tn,
+  -avg(ln(least(greatest(case when y = 1 then p else 1 - p end, 1e-15), 1 - 1e-15))) as ll from s group by 1),
+f as (select *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) as f1, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) as f0 from c),
+g as (select model, p as score, sum(y) as pos, sum(1 - y) as neg from s group by 1, 2),
+u as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by model) as P, sum(neg) over (partition by model) as N
+  from g window w as (partition by model order by score desc rows between unbounded preceding and current row)),
+k as (select model, sum(pos * ((N - fp) + 0.5 * neg)) / (max(P) * max(N)) as auc, sum(pos / P * tp / (tp + fp)) as ap from u group by model)
+select model, metric, score_val from (
+  select f.model, (tp + tn) / (tp + tn + fp + fn) as accuracy, coalesce(tp / nullif(tp + fp, 0), 0) as precision,
+    coalesce(tp / nullif(tp + fn, 0), 0) as recall, f1, (f1 + f0) / 2 as f1_macro,
+    (tp / (tp + fn) + tn / (tn + fp)) / 2 as balanced_accuracy, auc as roc_auc, ap as auc_pr, -ll as log_loss
+  from f join k on f.model = k.model)
+unpivot (score_val for metric in (accuracy, precision, recall, f1, f1_macro, balanced_accuracy, roc_auc, auc_pr, log_loss))""")
+def leaderboard_metrics(spark, sf):
+    """H1: every leaderboard metric of two rule models for purchases."""
+    e = table(spark, sf, "events")
+    y = (F.col("event_type") == "purchase").cast("double")
+    rules = F.array(F.struct(F.lit("ValueScore").alias("model"), (F.col("value") / 500.0).alias("p_pos")),
+                    F.struct(F.lit("UserScore").alias("model"), (F.col("user_id") / 150.0).alias("p_pos")))
+    preds = e.select(y.alias("label"), F.inline(rules)).select(
+        "model", "label", "p_pos", (F.col("p_pos") >= 0.5).cast("double").alias("prediction"),
+        F.when(F.col("label") == 1, F.col("p_pos")).otherwise(1 - F.col("p_pos")).alias("p_true"))
+    parts = [MD.evaluate_models(preds, m, "binary_classification") for m in _BOARD_METRICS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("ensemble_fallback", sql=_rule_models_sql() + """,
 t as (select arg_max(model, score_val) as top_model, max(score_val) as top_score from lb),
 b as (select arg_max(model, score_val) as best_single_model, max(score_val) as single_score from lb

@@ -46,6 +46,39 @@ def best_run(spark, sf):
     return R.best_run(_run_metrics(spark, sf))
 
 
+# leaderboards of the runs: three constant rules, scored by accuracy; the features
+# of a run are the statuses that occur in it
+def _boards(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("run_id")).agg(*[
+        F.avg((F.col("o_orderstatus") == s).cast("double")).alias(f"always_{s}") for s in "FOP"]).unpivot(
+        ["run_id"], [f"always_{s}" for s in "FOP"], "model", "score_val")
+
+
+_BOARDS = """(select run_id, model, score_val from (select o_orderpriority as run_id,
+  avg((o_orderstatus = 'F')::int::double) as "always_F", avg((o_orderstatus = 'O')::int::double) as "always_O",
+  avg((o_orderstatus = 'P')::int::double) as "always_P" from orders group by 1)
+  unpivot (score_val for model in ("always_F", "always_O", "always_P")))"""
+
+
+@register("run_summary", sql=f"""
+with b as (select run_id, arg_max(model, score_val) as best_model, max(score_val) as best_score from {_BOARDS} x group by 1)
+select m.run_id, cast(count(*) as bigint) as n_metrics, any_value(best_model) as best_model, any_value(best_score) as best_score,
+  any_value(f.n) as feature_count
+from {_RM} m left join b on b.run_id = m.run_id
+left join (select o_orderpriority as run_id, count(distinct o_orderstatus) as n from orders group by 1) f on f.run_id = m.run_id
+group by m.run_id""")
+def run_summary(spark, sf):
+    features = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("run_id"), F.col("o_orderstatus").alias("column"))
+    return R.run_summary(_run_metrics(spark, sf), _boards(spark, sf), features)
+
+
+@register("best_run_by_score", sql=f"""
+select arg_max(run_id, score_val) as run_id, 'score_val' as metric_name, max(score_val) as metric_value from {_BOARDS} x""")
+def best_run_by_score(spark, sf):
+    return R.best_run(_run_metrics(spark, sf), _boards(spark, sf))
+
+
 def _trials(spark, sf):
     o = table(spark, sf, "orders")
     pred = F.when(F.col("o_totalprice") < 150000, "F").when(F.col("o_totalprice") < 300000, "O").otherwise("P")
