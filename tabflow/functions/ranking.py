@@ -14,13 +14,14 @@ import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 2_000_000       # rows ranked by one window task
 BROADCAST_ROWS = 2_000_000        # offset tables above this are shuffle-joined
 MAX_HASH_BITS = 20
+SALT_BUCKETS = 32                 # sub-groups of a group in a two-stage top-k
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], broadcast_ok: bool) -> DataFrame:
@@ -111,11 +112,11 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_buckets:
     Two stages so that no task ever sorts a whole (possibly hot) group: rows are
     salted into ``salt_buckets`` sub-groups, each keeps its own top ``k``, and
     only the ≤ k·salt survivors per group meet in the final window. The salt
-    count defaults to the input partition count (a size proxy needing no job)."""
+    count defaults to the fixed ``SALT_BUCKETS``."""
     gcols = list(group_cols)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     if salt_buckets is None:
-        salt_buckets = max(1, df.rdd.getNumPartitions())
+        salt_buckets = SALT_BUCKETS
     d = df
     if salt_buckets > 1:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
@@ -133,25 +134,55 @@ def range_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank", n_r
     non-uniform key (e.g. time). Rows are range-bucketed on the first order
     column (approximate quantiles; equal values share a bucket, so bucket order
     agrees with the full order), each bucket is ranked by its own window and
-    shifted by the row count of earlier buckets."""
+    shifted by the row count of earlier buckets. A value that fills buckets of
+    its own (or null) is split by the second order column where that is a number
+    or a time."""
     if n_rows is None:
         n_rows = df.count()
     order = [F.col(c) for c in order_cols]
     n_buckets = max(1, int(math.ceil(n_rows / rows_per_bucket)))
     if n_buckets == 1:
         return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
-    first = order_cols[0]
-    key = F.col(first).cast("double") if not isinstance(df.schema[first].dataType, (T.TimestampType, T.DateType)) \
-        else F.unix_micros(F.col(first).cast("timestamp")).cast("double")
-    d = df.withColumn("_tf_ord", key)
+
+    def number(c: str):
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+        return F.col(c).cast("double")
+    d = df.withColumn("_tf_ord", number(order_cols[0]))
     qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = d.select(F.percentile_approx("_tf_ord", qs, 10000).alias("b")).first()["b"]
-    splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
+    bounds = [float(b) for b in d.select(F.percentile_approx("_tf_ord", qs, 10000).alias("b")).first()["b"] or []]
+    # a value that is several bounds at once gets a bucket for itself
+    hot = {math.nextafter(b, math.inf) for b in bounds if bounds.count(b) > 1}
+    splits = [-float("inf")] + sorted(b for b in hot.union(bounds) if math.isfinite(b)) + [float("inf")]
     d = Bucketizer(splits=splits, inputCol="_tf_ord", outputCol="_tf_bkt", handleInvalid="keep").transform(d)
     d = d.withColumn("_tf_bkt", F.coalesce("_tf_bkt", F.lit(-1.0)))   # nulls first, as in the plain window
-    counts = d.groupBy("_tf_bkt").agg(F.count(F.lit(1)).alias("_tf_n"))
-    wo = Window.partitionBy(F.lit(0)).orderBy("_tf_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_tf_bkt", F.coalesce(F.sum("_tf_n").over(wo), F.lit(0)).alias("_tf_off"))
-    j = d.join(F.broadcast(offsets), "_tf_bkt")   # one row per bucket
-    w = Window.partitionBy("_tf_bkt").orderBy(*order)
-    return j.withColumn(rank_col, F.row_number().over(w) + F.col("_tf_off")).drop("_tf_bkt", "_tf_off", "_tf_ord")
+    d = _split_ties(d, number(order_cols[1]) if len(order_cols) > 1
+                    and isinstance(df.schema[order_cols[1]].dataType, (T.NumericType, T.DatetimeType)) else None, rows_per_bucket)
+    place = ["_tf_bkt", "_tf_sub"]
+    counts = d.groupBy(*place).agg(F.count(F.lit(1)).alias("_tf_n"))
+    wo = Window.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*place, F.coalesce(F.sum("_tf_n").over(wo), F.lit(0)).alias("_tf_off"))
+    j = d.join(F.broadcast(offsets), place)   # one row per bucket
+    w = Window.partitionBy(*place).orderBy(*order)
+    return j.withColumn(rank_col, F.row_number().over(w) + F.col("_tf_off")).drop(*place, "_tf_off", "_tf_ord")
+
+
+def _split_ties(d: DataFrame, second: Column | None, rows_per_bucket: int) -> DataFrame:
+    """Adds ``_tf_sub``, the place inside the bucket: 0, but for large buckets of a
+    single ``_tf_ord`` value, which are cut at approximate quantiles of ``second``."""
+    plain = d.withColumn("_tf_sub", F.lit(0))
+    if second is None:
+        return plain
+    sizes = d.groupBy("_tf_bkt").agg(F.count(F.lit(1)).alias("n"), F.min("_tf_ord").eqNullSafe(F.max("_tf_ord")).alias("one"))
+    large = sizes.where(F.col("one") & (F.col("n") > 2 * rows_per_bucket)).collect()   # at most one row per bucket
+    if not large:
+        return plain
+    m = math.ceil(max(r["n"] for r in large) / rows_per_bucket)
+    keyed = d.withColumn("_tf_ord2", second)
+    cuts = (keyed.where(F.col("_tf_bkt").isin([r["_tf_bkt"] for r in large])).groupBy("_tf_bkt")
+            .agg(F.percentile_approx("_tf_ord2", [i / m for i in range(1, m)], 10000).alias("_tf_cuts")))
+    # nulls first, as in the plain window
+    sub = F.when(F.col("_tf_cuts").isNull(), 0).when(F.col("_tf_ord2").isNull(), -1) \
+        .otherwise(F.size(F.filter("_tf_cuts", lambda b: b <= F.col("_tf_ord2"))))
+    return keyed.join(F.broadcast(cuts), "_tf_bkt", "left").withColumn("_tf_sub", sub).drop("_tf_cuts", "_tf_ord2")

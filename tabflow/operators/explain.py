@@ -19,6 +19,7 @@ from tabflow.functions.ranking import hash_rank
 
 LARGE_ROWS = 100_000
 MANY_CLASSES = 50
+BACKGROUND_BROADCAST = 10_000   # rows of a background table that may be broadcast
 TOO_MANY_CLASSES_SHAP = 200
 
 
@@ -35,7 +36,8 @@ def permutation_plan(n_rows: int, n_classes: int = 0, repeats: int | None = None
 
 
 def shap_sample_size(n_classes: int) -> int:
-    """K3: 200 rows; 50 above 50 classes; 0 (skip) above 200 classes."""
+    """K3, the reference's reduced plan for those who want it: 200 rows; 50 above
+    50 classes; 0 (skip) above 200 classes."""
     if n_classes > TOO_MANY_CLASSES_SHAP:
         return 0
     return 50 if n_classes > MANY_CLASSES else 200
@@ -80,23 +82,24 @@ def permutation_importance(df: DataFrame, features: list[str], score_fn, key_col
 
 
 def shapley_values(explain: DataFrame, background: DataFrame, features: list[str], predict_fn, row_col: str,
-                   permutations: int = 10, seed: int = SEED) -> DataFrame:
+                   permutations: int = 10, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """K3/K5: Monte-Carlo Shapley values ``(row, feature, phi)``.
 
     For each explained row and permutation m (a seeded feature order and a
     background row z_m), coalition k takes the first k features of the order
     from the row and the rest from z_m; ``phi`` of the feature at position k is
     f(coalition k) − f(coalition k−1), averaged over m. Σ_f phi = f(x) −
-    mean_m f(z_m) exactly. ``predict_fn(frame)`` adds a ``score`` column."""
+    mean_m f(z_m) exactly. ``predict_fn(frame)`` adds a ``score`` column; columns of
+    the explained row that it needs besides the features are named in ``carry``."""
     nb = background.count()
     bg = background.select(*[F.col(f).cast("double").alias(f"_bg_{f}") for f in features]) \
         .withColumn("_bi", F.row_number().over(Window.orderBy(*[f"_bg_{f}" for f in features])) - 1)
-    x = explain.select(row_col, *[F.col(f).cast("double").alias(f) for f in features],
+    x = explain.select(row_col, *carry, *[F.col(f).cast("double").alias(f) for f in features],
                        F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_m"))
     x = x.withColumn("_bi", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.col(row_col).cast("string"),
                                                                           F.col("_m").cast("string"), F.lit("bg"))), 1, 8),
                                           16, 10).cast("bigint"), F.lit(nb)))
-    x = x.join(F.broadcast(bg), "_bi")  # background ≤ 50 rows
+    x = x.join(F.broadcast(bg) if nb <= BACKGROUND_BROADCAST else bg, "_bi")
     # position of every feature in permutation m: rank of md5(row, m, feature)
     pos = F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws("-", F.col(row_col).cast("string"), F.col("_m").cast("string"),
                                                             F.lit(f), F.lit(str(seed)))).alias("h"), F.lit(f).alias("f"))
@@ -105,7 +108,7 @@ def shapley_values(explain: DataFrame, background: DataFrame, features: list[str
     x = x.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
     coal = [F.when(F.array_position(F.slice(F.col("_order"), 1, F.col("_k")), F.lit(f)) > 0, F.col(f))
             .otherwise(F.col(f"_bg_{f}")).alias(f) for f in features]
-    c = x.select(row_col, "_m", "_k", "_order", *coal)
+    c = x.select(row_col, *carry, "_m", "_k", "_order", *coal)
     scored = predict_fn(c)
     w = Window.partitionBy(row_col, "_m").orderBy("_k")
     d = scored.select(row_col, "_m", "_k", "_order", (F.col("score") - F.lag("score").over(w)).alias("_d")) \

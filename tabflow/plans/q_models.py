@@ -282,9 +282,8 @@ def _prob_fn(pm, idx=1):
 def shap_global(spark, sf):
     d, tr, va, pre, pm, feats = _numeric_model(spark, sf)
     x = pre.transform(va)
-    explain = EX._indexed_sample(x, ["doc_id"], EX.shap_sample_size(2), 42)
     bg = EX._indexed_sample(pre.transform(tr), ["doc_id"], 50, 7).select(*feats)
-    phi = EX.shapley_values(explain.select("doc_id", *feats), bg, feats, _prob_fn(pm), "doc_id", permutations=8)
+    phi = EX.shapley_values(x.select("doc_id", *feats), bg, feats, _prob_fn(pm), "doc_id", permutations=8)
     return EX.global_importance(phi)
 
 
@@ -305,15 +304,13 @@ def shap_multiclass(spark, sf):
     feats = ["o_totalprice", "month", "year"]
     tr = o.where(is_train("o_orderkey"))
     pm = MD.build_pipeline(LogisticRegression(maxIter=30), feats, "o_orderstatus", "multiclass_classification").fit(tr)
-    x = EX._indexed_sample(o.where(~is_train("o_orderkey")), ["o_orderkey"], EX.shap_sample_size(3), 42)
-    # explain the probability of the class predicted for each explained row (K6)
-    cls = pm.transform(x).select("o_orderkey", F.col("prediction").cast("int").alias("_cls"))
+    # explain the probability of the class predicted for each held-out row (K6)
+    x = pm.transform(o.where(~is_train("o_orderkey"))).select("o_orderkey", *feats, F.col("prediction").cast("int").alias("_cls"))
     bg = EX._indexed_sample(tr, ["o_orderkey"], 50, 7).select(*feats)
 
     def fn(frame):
-        f = frame.join(F.broadcast(cls), "o_orderkey").withColumn("o_orderstatus", F.lit("F"))
-        return pm.transform(f).withColumn("score", vector_to_array("probability")[F.col("_cls")])
-    phi = EX.shapley_values(x.select("o_orderkey", *feats), bg, feats, fn, "o_orderkey", permutations=8)
+        return pm.transform(frame.withColumn("o_orderstatus", F.lit("F"))).withColumn("score", vector_to_array("probability")[F.col("_cls")])
+    phi = EX.shapley_values(x, bg, feats, fn, "o_orderkey", permutations=8, carry=("_cls",))
     return EX.global_importance(phi)
 
 

@@ -4,8 +4,8 @@ The reference has no stream operators; only its stateless transforms apply
 to streams. A fitted ``PreprocessorModel`` is projections plus stream-static
 lookup joins (rare categories, target encodings), and an MLlib
 ``PipelineModel`` transform is row-wise, so the whole scoring path runs
-unchanged on a streaming DataFrame. The sink checkpoint lives under the
-shared checkpoint folder, so a restarted query resumes where it stopped.
+unchanged on a streaming DataFrame. A query restarted with the same
+``checkpoint`` folder resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ def score_stream(spark: SparkSession, source_dir: str, schema, pre: Preprocessor
                  checkpoint: str | None = None) -> StreamingQuery:
     """Start a streaming query reading Parquet files as they arrive in
     ``source_dir`` and appending scored rows to ``sink`` (``memory`` for
-    tests, ``parquet`` with ``output_path`` otherwise)."""
+    tests, ``parquet`` with ``output_path`` otherwise). A lasting sink needs a
+    ``checkpoint`` folder of its own: with a new one all files would be scored again."""
+    if checkpoint is None and sink != "memory":
+        raise ValueError("name the checkpoint folder that a restarted query resumes from")
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -95,3 +95,19 @@ def test_null_group_is_a_group(spark):
         rows = group_kfold(df, "g", 3, mode=mode).collect()
         assert len(rows) == 100 and all(r.fold is not None for r in rows)
         assert len({r.fold for r in rows if r.g is None}) == 1
+
+
+def test_range_rank_splits_a_hot_value(spark):
+    from pyspark.sql import functions as F
+
+    from tabflow.functions import ranking
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 5 == 0, None)
+                                  .otherwise(F.col("id") * 7919 % 1000).cast("double").alias("t"),
+                                  F.when(F.col("id") % 11 != 0, (F.col("id") * 31 % 3001).cast("int")).alias("u"))
+    got = ranking.range_rank(df, ["t", "u", "id"], rows_per_bucket=50)
+    ref = df.withColumn("rank", F.row_number().over(Window.orderBy("t", "u", "id")))
+    assert got.columns == ref.columns and got.count() == 3000
+    assert got.select("id", "rank").exceptAll(ref.select("id", "rank")).count() == 0
+    d = df.withColumn("_tf_ord", F.col("t")).withColumn("_tf_bkt", F.when(F.col("t") == 5, 1).otherwise(0))
+    cut = ranking._split_ties(d, F.col("u").cast("double"), 50).where("_tf_bkt = 1").groupBy("_tf_sub").count()
+    assert max(r["count"] for r in cut.collect()) <= 150
