@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 1. Lexicon: words and word beginnings are counted by label over the labelled
-   training rows; those that speak for the toxic label with statistical safety
-   become entries (at most ``MAX_ENTRIES``), whatever the language.
+   training texts, each distinct text once; all that speak for the toxic label
+   with statistical safety become entries, whatever the language.
 2. Voters: the entries are dealt over lexicon voters; pattern voters look for a
    fixed list of insults, masked swearing, shouting and for several entries at
    once. A voter fires on a text or it does not.
@@ -20,7 +20,7 @@ and id are no inputs of a score.
 
 Defined results: a null or empty text is scored as a text without words;
 repeated rows get equal scores; labels that contradict each other for one id
-count by their mean; null labels or ids are no labels; with no labelled row
+count by their mean, for the lexicon also those for copies of one text; null labels or ids are no labels; with no labelled row
 there is no lexicon and the fixed patterns alone vote; an empty table gives an
 empty result; other columns are left out of ``predict`` and kept by ``reject``.
 """
@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 
 from tabflow.llm.common import ready, small_side, store, text_of
 
-MAX_ENTRIES = 240
 #: bound of the sample that the classifier is fitted on
 FIT_ROWS = 12_000
 PREFIXES = (4, 5)
@@ -89,14 +88,16 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str =
             .groupBy("_id").agg(F.avg("_toxic").alias("_toxic")))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                  limit: int = MAX_ENTRIES) -> list[str]:
-    """Entries that occur in toxic training rows far beyond chance, strongest first.
+def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
+    """Entries that occur in toxic training texts far beyond chance, strongest first.
 
-    Counted over all training rows; tasks pre-add their batches, and only the
-    selected entries reach the driver."""
+    Counted over all distinct training texts, as copies of one are no further
+    evidence on its words; tasks pre-add their batches, and only the selected
+    entries reach the driver."""
     rows = (docs.select(docs[id_col].cast("long").alias("_id"), text_of(docs[text_col]).alias("_text"))
-            .join(small_side(labels, "toxic-labels"), "_id").select("_toxic", "_text"))
+            .join(small_side(labels, "toxic-labels"), "_id")
+            .groupBy(F.sha2(F.col("_text").cast("binary"), 256).alias("_digest"))
+            .agg(F.avg("_toxic").alias("_toxic"), F.first("_text").alias("_text")).select("_toxic", "_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +124,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     odds = F.log(a / (p + 0.5 - F.col("toxic")) * (q + 0.5 - F.col("clean")) / b)
     low = odds - 2.6 * F.sqrt(1 / a + 1 / (p + 0.5 - F.col("toxic")) + 1 / b + 1 / (q + 0.5 - F.col("clean")))
     got = (totals.where("entry <> ''").withColumn("low", low).where("low > 1.5")
-           .orderBy((F.col("low") * F.sqrt("toxic")).desc(), "entry").limit(limit).collect())
+           .orderBy((F.col("low") * F.sqrt("toxic")).desc(), "entry").collect())
     return [r["entry"] for r in got]
 
 
@@ -208,16 +209,38 @@ def fit_label_model(patterns: list[int], counts: np.ndarray, known: np.ndarray,
     return post, rate, share
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Newton steps on weighted soft labels; the last coefficient is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    b = np.zeros(x.shape[1])
+def fit_logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, width: int, y: np.ndarray, w: np.ndarray,
+                 l2: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Newton steps on weighted soft labels; the last coefficient is the bias.
+
+    The features are given by their non-zero cells, and each step is solved by
+    conjugate gradients, so that the cost follows the cells, not the width."""
+    n = len(y)
+    row, col, val = np.append(row, np.arange(n)), np.append(col, np.full(n, width)), np.append(val, np.ones(n))
+    times = lambda b: np.bincount(row, val * b[col], n)
+    back = lambda r: np.bincount(col, val * r[row], width + 1)
+    b = np.zeros(width + 1)
     w = w / max(w.sum(), 1e-9)
+    ridge = np.append(np.full(width, l2), 0)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (w * (p - y)) + l2 * np.append(b[:-1], 0)
-        h = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag([*[l2] * (len(b) - 1), 1e-9])
-        d = np.linalg.solve(h, g)
+        p = 1 / (1 + np.exp(-np.clip(times(b), -30, 30)))
+        g = back(w * (p - y)) + ridge * b
+        c = w * np.maximum(p * (1 - p), 1e-6)
+        damp = np.append(np.full(width, l2), 1e-9)
+        scale = np.bincount(col, val ** 2 * c[row], width + 1) + damp
+        d, r = np.zeros(width + 1), g.copy()
+        z = r / scale
+        q, rz = z.copy(), r @ z
+        stop = 1e-20 * rz
+        for _ in range(2 * (width + 1)):
+            if rz <= stop:
+                break
+            hq = back(c * times(q)) + damp * q
+            a = rz / (q @ hq)
+            d, r = d + a * q, r - a * hq
+            z = r / scale
+            rz, old = r @ z, rz
+            q = z + rz / old * q
         b -= d * min(1.0, 4 / (np.abs(d).max() + 1e-12))
         if np.abs(d).max() < 1e-6:
             break
@@ -263,12 +286,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         n, sample = side.count(), side.orderBy("o").limit(fit_rows // 2).toPandas()
         parts.append(sample.assign(w=n / max(len(sample), 1)))
     sample = pd.concat(parts, ignore_index=True)
-    x = np.zeros((len(sample), len(model.lexicon) + N_VOTERS))
-    for i, (idx, val) in enumerate(zip(sample["idx"], sample["val"], strict=True)):
-        x[i, list(idx)] = val
+    sizes = [len(idx) for idx in sample["idx"]]
+    cells = lambda name, kind: np.array([v for vs in sample[name] for v in vs], kind)
     label = sample["_toxic"].to_numpy(float)
     soft = np.array([post[at[v]] for v in sample["votes"]])
-    b = fit_logistic(x, np.where(np.isnan(label), soft, label >= 0.5), sample["w"].to_numpy(float))
+    b = fit_logistic(np.repeat(np.arange(len(sample)), sizes), cells("idx", int), cells("val", float),
+                     len(model.lexicon) + N_VOTERS, np.where(np.isnan(label), soft, label >= 0.5), sample["w"].to_numpy(float))
     return Model(model.lexicon, [round(float(v), 9) for v in b[:-1]], round(float(b[-1]), 9))
 
 

@@ -167,6 +167,39 @@ def test_toxicity_odd_rows(spark, odd, no_docs):
     assert toxicity.predict(no_docs, none).count() == 0
 
 
+def test_toxicity_lexicon_copies_and_width(spark):
+    docs, labels, _ = labelled(spark)
+    plain = toxicity.learn_lexicon(docs, toxicity.training_labels(labels))
+    r = random.Random(9)
+    ordinary = " ".join("".join(r.choice("hjkvwx") + r.choice("aeiou") for _ in range(4)) for _ in range(400))
+    # copies of one toxic text are one text: its words are no entries and take no real entry away
+    copies = [i for i in range(1000, 1150) if zlib.crc32(str(i).encode()) % 5]
+    docs = docs.unionByName(spark.createDataFrame([(i, ordinary) for i in copies], "doc_id long, text string")).repartition(5)
+    labels = labels.unionByName(spark.createDataFrame([(i, 0, 1) for i in copies], "doc_id long, quality int, toxic int"))
+    got = toxicity.learn_lexicon(docs, toxicity.training_labels(labels))
+    assert not {e[2:] for e in got} & {e[2:] for e in toxicity.entries_of(ordinary)}
+    assert {"w:qxidiom", "w:zzscab", "w:idiot"} <= set(got) & set(plain)
+    # every entry that passes is kept and is a feature
+    vile = ["".join(c) for c in zip(*[iter("".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(1200)))] * 6, strict=False)]
+    rows = [(i, " ".join([f"t{chr(97 + i % 26)}{chr(97 + i // 26)}", *(vile if i % 2 else [])]), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {"w:" + w for w in vile} <= set(model.lexicon) and len(model.lexicon) > 400
+    assert all(model.weights[model.index["w:" + w]] > 0 for w in vile)
+
+
+def test_logistic_of_sparse_cells():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 40)) * (rng.random((300, 40)) < 0.2)
+    y, w = (x[:, :5].sum(1) > 0.5).astype(float), rng.uniform(0.5, 2, 300)
+    row, col = np.nonzero(x)
+    b = toxicity.fit_logistic(row, col, x[row, col], 40, y, w)
+    p = 1 / (1 + np.exp(-(x @ b[:-1] + b[-1])))
+    gradient = np.hstack([x, np.ones((300, 1))]).T @ (w / w.sum() * (p - y)) + 1e-3 * np.append(b[:-1], 0)
+    assert np.abs(gradient).max() < 1e-7
+
+
 # ---------------------------------------------------------------- n-gram join
 def grams(text):
     w = re.findall(r"\w+", (text or "").lower())
