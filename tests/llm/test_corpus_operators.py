@@ -291,6 +291,35 @@ def test_near_duplicates(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(5000, 5007))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.9])
+def test_near_duplicates_recall_at_64_dimensions(spark, share):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.sqrt(share) * unit(rng.normal(size=(1, 64))) + np.sqrt(1 - share) * unit(rng.normal(size=(900, 64))))
+    a = x[:300]
+    to = rng.normal(size=a.shape)
+    to -= (to * a).sum(1, keepdims=True) * a
+    x = np.vstack([x, 0.935 * a + np.sqrt(1 - 0.935 ** 2) * unit(to)])
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    same = np.arange(len(x)) % 3
+    links = (x @ x.T >= 0.93) & (same[:, None] == same)
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(df).collect()}
+    assert all(got[i] <= links[i].sum() for i in got)
+    assert links.sum() >= 600 and sum(got.values()) >= 0.9 * links.sum()
+
+
+def test_choice_of_radius():
+    assert itq.choose_radius([{"links": 0.95, "random": 0.8}, {"links": 0.97, "random": 0.91}]) == 2
+    assert itq.choose_radius([{"links": 0.5}, {"links": 0.7}]) is None
+    # a hot group weighs about as much as a vector
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    x[::3] = x[0] + 0.01 * x[::3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = itq.spread(x)
+    assert w[::3].sum() < 2 and w[1::3].min() == 1
+
+
 def test_embeddings_odd_rows(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert itq.near_duplicates(spark.createDataFrame([], kind)).count() == 0
