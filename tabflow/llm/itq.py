@@ -21,8 +21,8 @@ are a ball, all of whose pairs are links. Only ball centres are searched; two
 balls whose centres and radii prove all their pairs links (or none) are settled
 by their centres, and only the rest are compared member by member.
 
-Vectors link only inside equal, non-null labels. Defined results: a vector that
-is null, empty, zero, of another dimension than most, or holds null or
+Vectors link only inside equal, non-null labels, and each dimension has an index
+of its own. Defined results: a vector that is null, empty, zero, or holds null or
 non-finite components, or a null label, links with nothing; repeated vectors
 (and repeated ids) link with each other like any pair; a component's id is its
 smallest non-null ``vec_id``; an empty table gives an empty result; other
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -250,22 +251,8 @@ def _candidates(leaders: DataFrame, tables: int, bits: int, radius: int | None)
     return both.where((first == F.col("t")) & (F.bit_count(apart) <= reach)).select("a", "b")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, fit_rows: int = FIT_ROWS,
-                    id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``."""
-    ready(vectors.sparkSession)
-    # labels are compared as they are, carried as a number or its stand-in
-    label = vectors[label_col]
-    number = label.cast("long") if dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(label)
-    rows = store(vectors.select(
-        F.monotonically_increasing_id().alias("_row"), vectors[id_col].cast("long").alias("vec_id"),
-        F.when(label.isNotNull(), number).alias("label"), vectors[vec_col].cast("array<double>").alias("v")), "itq-rows")
-    fine = rows.where(usable(F.col("v")) & F.col("label").isNotNull())
-    dims = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    if dims is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                           F.col("vec_id").isNotNull().alias("kept"))
-    fine = fine.where(F.size("v") == dims["d"])
+def _linked(fine: DataFrame, cosine: float, tables: int, fit_rows: int) -> DataFrame:
+    """``(_row, cls, n_links)`` of usable (_row, vec_id, label, v) rows of one dimension."""
     sample = fine.select("v", F.xxhash64("v", "vec_id").alias("o")).orderBy("o").limit(fit_rows).collect()
     x = _normal(np.array([r["v"] for r in sample]))
     mean, projection = fit_rotation(x, weight=spread(x, cosine))
@@ -318,7 +305,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
             .join(node_links, "node", "left")
             .select("node", "cls", (F.col("n") + F.coalesce("n_node", F.lit(0))).alias("n_links")))
     labelled = store(nodes.select("label", "same", "node").join(done, "node").drop("node"), "itq-node-links")
-    linked = coded.select("_row", "label", "same").join(labelled, ["label", "same"]).select("_row", "cls", "n_links")
+    return coded.select("_row", "label", "same").join(labelled, ["label", "same"]).select("_row", "cls", "n_links")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, fit_rows: int = FIT_ROWS,
+                    id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``."""
+    ready(vectors.sparkSession)
+    # labels are compared as they are, carried as a number or its stand-in
+    label = vectors[label_col]
+    number = label.cast("long") if dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(label)
+    rows = store(vectors.select(
+        F.monotonically_increasing_id().alias("_row"), vectors[id_col].cast("long").alias("vec_id"),
+        F.when(label.isNotNull(), number).alias("label"), vectors[vec_col].cast("array<double>").alias("v")), "itq-rows")
+    fine = rows.where(usable(F.col("v")) & F.col("label").isNotNull())
+    dims = [r["d"] for r in fine.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    if not dims:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+                           F.col("vec_id").isNotNull().alias("kept"))
+    linked = reduce(DataFrame.unionByName, [_linked(fine.where(F.size("v") == d), cosine, tables, fit_rows) for d in dims])
     out = store(rows.select("_row", "vec_id").join(linked, "_row", "left")
                 .select("vec_id", F.coalesce("cls", "_row").alias("cls"),
                         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "itq-row-links")

@@ -309,6 +309,15 @@ def test_near_duplicates_recall_at_64_dimensions(spark, share):
     assert links.sum() >= 600 and sum(got.values()) >= 0.9 * links.sum()
 
 
+def test_near_duplicates_of_every_dimension(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.0, 0.0], 1), (3, [0.0, 1.0, 0.0], 1),
+            (4, [1.0, 0.0], 1), (5, [2.0, 0.01], 1), (6, [0.0, 1.0], 1), (7, [0.0, 1.0, 0.0], 2), (8, [3.0], 1), (9, [2.0], 1)]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {
+        1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (0, 7, True),
+        8: (1, 8, True), 9: (1, 8, False)}
+
+
 def test_choice_of_radius():
     assert itq.choose_radius([{"links": 0.95, "random": 0.8}, {"links": 0.97, "random": 0.91}]) == 2
     assert itq.choose_radius([{"links": 0.5}, {"links": 0.7}]) is None
