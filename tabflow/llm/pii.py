@@ -48,6 +48,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+# ASCII digits throughout: str.isdigit also holds for superscript and circled ones
+_DIGITS = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -140,7 +142,8 @@ def span_features(s: str, before: str, after: str) -> list[str] | None:
         return None
     if not letters and mail:
         return None
-    groups = [len(g) for g in re.findall("[0-9]+", s)]
+    runs = _DIGITS.findall(s)
+    groups = [len(g) for g in runs]
     f = ["bias", "dig:%d" % (n if n < 20 else 20), "groups:" + "-".join(map(str, groups[:6])), "ngroups:%d" % min(len(groups), 6),
          "seps:" + "".join(sorted(set(re.sub(r"\w", "", s)))), "at:%d" % s.count("@"), "len:%d" % min(len(s) // 8, 6)]
     if letters:
@@ -152,36 +155,37 @@ def span_features(s: str, before: str, after: str) -> list[str] | None:
     if 13 <= n <= 19:
         f.append("luhn:%d" % luhn(digits))
     if len(groups) == 4 and s.count(".") == 3 and not letters:
-        f.append("quad:%d" % all(len(g) <= 3 and int(g) <= 255 for g in s.split(".") if g.isdigit()))
+        f.append("quad:%d" % all(len(g) <= 3 and int(g) <= 255 for g in runs))
     f.append("cue:" + (before if before in _CUES else "-"))
     f.append("edge:%d%d" % (before[-1:] in tuple("0123456789.-@+"), after[:1] in tuple("0123456789@-")))
     return f
 
 
+def candidates(text: str, toks: list[tuple[int, int]], j: int, first: int = 0) -> Iterator[tuple[int, list[str]]]:
+    """The candidate spans that end at token ``j`` and start at ``first`` or later:
+    (length, features). No span crosses a line break."""
+    for k in range(1, min(MAX_SPAN, j - first + 1) + 1):
+        i = j - k + 1
+        s = text[toks[i][0]:toks[j][1]]
+        if "\n" in s:
+            break
+        before = text[toks[i - 1][0]:toks[i - 1][1]].lower() if i else ""
+        glued = i > 0 and toks[i - 1][1] == toks[i][0]
+        after = text[toks[j][1]:toks[j][1] + 1]
+        f = span_features(s, before if not glued else before[-1:], after)
+        if f is not None:
+            yield k, f
+
+
 def lattice(text: str, toks: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
-    """For every end token, the candidate spans that end there: (length, features)."""
-    out: list[list[tuple[int, list[str]]]] = []
-    for j in range(len(toks)):
-        here = []
-        for k in range(1, min(MAX_SPAN, j + 1) + 1):
-            i = j - k + 1
-            s = text[toks[i][0]:toks[j][1]]
-            if "\n" in s:
-                break
-            before = text[toks[i - 1][0]:toks[i - 1][1]].lower() if i else ""
-            glued = i > 0 and toks[i - 1][1] == toks[i][0]
-            after = text[toks[j][1]:toks[j][1] + 1]
-            f = span_features(s, before if not glued else before[-1:], after)
-            if f is not None:
-                here.append((k, f))
-        out.append(here)
-    return out
+    """All candidate spans by end token; for short windows, as training uses."""
+    return [list(candidates(text, toks, j)) for j in range(len(toks))]
 
 
 def _one(text: str, span: tuple[int, int]) -> list[str]:
     """Features of a single token outside any entity."""
     t = text[span[0]:span[1]]
-    return ["o:dig%d" % min(len(t), 20)] if t.isdigit() else ["o:@"] if t == "@" else ["o:w"]
+    return ["o:dig%d" % min(len(t), 20)] if t[0] in "0123456789" else ["o:@"] if t == "@" else ["o:w"]
 
 
 class Field:
@@ -189,29 +193,50 @@ class Field:
 
     def __init__(self, weights: dict[tuple[int, str], float] | None = None):
         self.w = weights or {}
+        self._by_feature: dict[str, list[float]] | None = None
+
+    def scores(self, feats: list[str]) -> list[float]:
+        """The scores of all labels at once; only for a field that learns no more."""
+        if self._by_feature is None:
+            self._by_feature = {}
+            for (y, f), w in self.w.items():
+                self._by_feature.setdefault(f, [0.0] * (len(KINDS) + 1))[y] = w
+        known = self._by_feature
+        rows = [known[f] for f in feats if f in known]
+        return [sum(c) for c in zip(*rows)] if rows else [0.0] * (len(KINDS) + 1)
 
     def score(self, y: int, feats: list[str]) -> float:
         w = self.w
         return sum([w.get((y, f), 0.0) for f in feats])
 
-    def best(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Jointly best spans: (first token, last token, label)."""
-        lat = lattice(text, toks)
-        n, labels = len(toks), range(1, len(KINDS) + 1)
+    def best(self, text: str, toks: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """Jointly best spans: (first token, last token, label).
+
+        Lines are independent, as no span crosses a line break. Inside one, the
+        candidates of a token are made when the program reaches it, and two numbers
+        a token are kept for the way back."""
+        first = 0
+        for j in range(1, len(toks) + 1):
+            if j == len(toks) or "\n" in text[toks[j - 1][1]:toks[j][0]]:
+                yield from self._best_of_line(text, toks, first, j)
+                first = j
+
+    def _best_of_line(self, text: str, toks: list[tuple[int, int]], first: int, stop: int) -> list[tuple[int, int, int]]:
+        n = stop - first
         top = [0.0] + [-math.inf] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        length, label = bytearray(n + 1), bytearray(n + 1)
         for j in range(n):
-            top[j + 1], back[j + 1] = top[j] + self.score(OTHER, _one(text, toks[j])), (1, OTHER)
-            for k, feats in lat[j]:
-                for y in labels:
-                    v = top[j + 1 - k] + self.score(y, feats)
-                    if v > top[j + 1]:
-                        top[j + 1], back[j + 1] = v, (k, y)
+            end = j + 1
+            top[end], length[end] = top[j] + self.scores(_one(text, toks[first + j]))[OTHER], 1
+            for k, feats in candidates(text, toks, first + j, first):
+                for y, s in enumerate(self.scores(feats)):
+                    if y != OTHER and top[end - k] + s > top[end]:
+                        top[end], length[end], label[end] = top[end - k] + s, k, y
         out, j = [], n
         while j > 0:
-            k, y = back[j]
+            k, y = length[j], label[j]
             if y != OTHER:
-                out.append((j - k, j - 1, y))
+                out.append((first + j - k, first + j - 1, y))
             j -= k
         return out[::-1]
 
@@ -366,13 +391,17 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
     if not _MAYBE.search(text):
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for a, _, b in base)
+    taken: list[list[int]] = []  # the stretches that base spans cover, apart from one another
+    for a, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     extra, k, done = [], 0, 0
     for a, kind, b in sorted(field_spans(text, field)):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        # base spans of different kinds may nest; the ones before k end before a
-        if a >= done and not any(x < b and y > a for x, y in taken[k:k + 8]):
+        if a >= done and not (k < len(taken) and taken[k][0] < b):
             extra.append((a, kind, b))
             done = b
     return base, sorted(base + extra)
