@@ -55,27 +55,31 @@ WARC_ROW = ("record_type string, record_id string, url string, date string, reco
             "payload_digest string, refers_to_id string, refers_to_key long, digest_ok boolean")
 
 
-def _unzip(data: bytes) -> bytes:
-    """Content of a plain file or of all members of a gzip file."""
+def _unzip(data: bytes) -> tuple[bytes, frozenset[int]]:
+    """Content of a plain file or of all members of a gzip file, and where in it the
+    file and each member start."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
+        return data, frozenset([0])
+    out, starts, size = [], [], 0
     while data:
         z = zlib.decompressobj(31)
+        starts.append(size)
         out.append(z.decompress(data))
+        size += len(out[-1])
         data = z.unused_data.lstrip(b"\0")
-    return b"".join(out)
+    return b"".join(out), frozenset(starts)
 
 
 def _head(block: bytes | memoryview) -> int:
-    """Length of the HTTP head of a block (0 if it has none)."""
+    """Length of the HTTP head of a block (0 if it has none): up to the first empty
+    line, whichever way lines end."""
     if bytes(block[:5]) != b"HTTP/":
         return 0
-    part = bytes(block[:1 << 16])
-    for mark in (b"\r\n\r\n", b"\n\n"):
-        at = part.find(mark)
-        if at >= 0:
-            return at + len(mark)
+    for size in (1 << 16, len(block)):
+        part = bytes(block[:size])
+        ends = [at + len(mark) for mark in (b"\r\n\r\n", b"\n\n") if (at := part.find(mark)) >= 0]
+        if ends:
+            return min(ends)
     return 0
 
 
@@ -137,8 +141,19 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, int, dict, memoryview]]:
-    """(offset, version, header fields, content) of every record after the version block."""
+def _version_block(content: bytes) -> tuple[int, list[str]] | None:
+    """Version and field names of a version block's content; None if it is none."""
+    lines = content.decode("utf-8", "replace").splitlines()
+    if len(lines) > 1 and re.match(r"[12]( |$)", lines[0]) and lines[1].startswith("URL"):
+        return int(lines[0].split()[0]), lines[1].split()
+    return None
+
+
+def parse_arc(data: bytes, starts: frozenset[int] = frozenset([0])) -> Iterator[tuple[int, int, dict, memoryview]]:
+    """(offset, version, header fields, content) of every record after the version block.
+
+    A version block opens the file, or a gzip member of a file put together from
+    several (``starts``). Anywhere else a ``filedesc:`` url is a url like any other."""
     view, pos, n = memoryview(data), 0, len(data)
     version, names = 1, _FIELDS[1].split()
     while pos < n:
@@ -146,20 +161,22 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, int, dict, memoryview]]:
         if end < 0:
             return
         line = data[pos:end].rstrip(b"\r").decode("utf-8", "replace")
-        parts = line.rsplit(" ", (5 if line.startswith("filedesc:") else len(names)) - 1)
-        if line.startswith("filedesc:"):
-            parts = line.split(" ")
-        if len(parts) < 5 or not parts[-1].isdigit() or not line.strip():
+        opens = line.split(" ") if pos in starts and line.startswith("filedesc:") else []
+        if len(opens) >= 5 and re.fullmatch("[0-9]+", opens[-1]):
+            size = int(opens[-1])
+            found = _version_block(bytes(view[end + 1:end + 1 + size]))
+            if found:
+                version, names = found
+                pos = end + 1 + size
+                pos += data[pos:pos + 1] == b"\n"
+                continue
+        parts = line.rsplit(" ", len(names) - 1)
+        if len(parts) < 5 or not re.fullmatch("[0-9]+", parts[-1]):
             pos = end + 1
             continue
         size = int(parts[-1])
         content = view[end + 1:end + 1 + size]
-        if line.startswith("filedesc:"):
-            lines = bytes(content).decode("utf-8", "replace").splitlines()
-            if len(lines) > 1 and lines[0][:1].isdigit():
-                version = int(lines[0].split()[0])
-                names = lines[1].split()
-        elif len(parts) == len(names):
+        if len(parts) == len(names):
             yield pos, version, dict(zip(names, parts, strict=True)), content
         else:
             pos = end + 1
@@ -186,10 +203,10 @@ def read_arc(spark: SparkSession, path: str, with_block: bool = False) -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 name = batch.column(0)[i].as_py().rsplit("/", 1)[-1]
-                data = _unzip(batch.column(1)[i].as_py())
+                data, starts = _unzip(batch.column(1)[i].as_py())
                 cols: list[list] = [[] for _ in names]
                 held = 0
-                for offset, version, h, content in parse_arc(data):
+                for offset, version, h, content in parse_arc(data, starts):
                     cut = _head(content)
                     head = bytes(content[:cut])
                     row = [name, offset, version, h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"], cut > 0,
@@ -332,7 +349,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 cols: list[list] = [[] for _ in names]
-                for h, block in parse_warc(_unzip(batch.column(0)[i].as_py())):
+                for h, block in parse_warc(_unzip(batch.column(0)[i].as_py())[0]):
                     if h.get("warc-type") in (None, "warcinfo"):
                         continue
                     for col, v in zip(cols, row(h, block), strict=True):
