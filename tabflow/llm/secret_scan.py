@@ -37,8 +37,8 @@ ACCESS_LONG = r"AKIA[A-Z0-9]{16,}"
 HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{24,}"
 MIN_VALUE = 6
 #: runs that the models score, and runs that count as ordinary identifiers in training
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
+IDENTIFIER = CANDIDATE
 #: a run is random if its mean log-likelihood ratio per transition and the total reach these
 MIN_MEAN, MIN_TOTAL = 0.5, 12.0
 _STEP = 256
@@ -96,8 +96,16 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _free(runs: Column, base: Column) -> Column:
-    """Runs that touch no base span."""
-    return F.filter(runs, lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (s["end"] > r["start"])))
+    """Runs that touch no base span. Runs come in order and do not overlap, so a block
+    of them only meets the base spans of its own stretch of the text."""
+    touches = lambda s, start, end: (s["start"] < end) & (s["end"] > start)
+    clear = lambda part, near: F.filter(part, lambda r: ~F.exists(near, lambda s: touches(s, r["start"], r["end"])))
+    block = lambda rs, bs, b: let(F.slice(rs, b * _STEP + 1, _STEP), lambda part: let(
+        F.filter(bs, lambda s: touches(s, F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"])),
+        lambda near: clear(part, near)))
+    numbers = F.sequence(F.lit(0), F.ceil(F.size(runs) / _STEP).cast("int") - 1)
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(
+        let(runs, lambda rs: let(base, lambda bs: F.flatten(F.transform(numbers, lambda b: block(rs, bs, b))))))
 
 
 def _chars(value: Column) -> Column:
