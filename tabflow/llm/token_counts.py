@@ -10,9 +10,11 @@ them: this tokenizer folds white space before it splits and drops it after, so
 the count is the same. With ``fold_space=False`` (a tokenizer that keeps white
 space) the content is taken as it is.
 
-The encoder itself remembers the count of every white-space free run it has
-met: runs are tokenized independently of each other, so a text's count is the
-sum over its runs.
+Where white space is folded the encoder remembers the count of every white-space
+free run it has met: such a tokenizer takes runs independently of each other, so a
+text's count is the sum over its runs. Otherwise texts are encoded whole.
+A cache that several jobs appended the same texts to has repeated rows; a digest
+counts once.
 
 Defined results: a null text is the empty text (0 bytes, 0 tokens); repeated
 rows each get their count; an empty table gives an empty result; other columns
@@ -53,17 +55,21 @@ def tokenizer_digest(path: str) -> str:
 
 
 class RunCounter:
-    """Counts tokens as the sum over a text's white-space free runs."""
+    """Counts tokens as the sum over a text's white-space free runs, or of texts as
+    they are (``by_runs`` false)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_runs: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.known: dict[str, int] = {}
+        self.by_runs = by_runs
 
     def count(self, texts: list[str]) -> list[int]:
+        if not self.by_runs:
+            return [len(enc) for enc in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         misses = list({r for runs in split for r in runs if r not in known})
@@ -82,10 +88,10 @@ class RunCounter:
         return out
 
 
-def _counter(path: str) -> RunCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = RunCounter(path)
-    return _COUNTERS[path]
+def _counter(path: str, by_runs: bool) -> RunCounter:
+    if (path, by_runs) not in _COUNTERS:
+        _COUNTERS[path, by_runs] = RunCounter(path, by_runs)
+    return _COUNTERS[path, by_runs]
 
 
 def normalised(text: Column, fold_space: bool = True) -> Column:
@@ -93,11 +99,11 @@ def normalised(text: Column, fold_space: bool = True) -> Column:
     return F.trim(F.regexp_replace(t, "[ \\t\\r\\n]+", " ")) if fold_space else t
 
 
-def encode_misses(misses: DataFrame, path: str, version: str) -> DataFrame:
+def encode_misses(misses: DataFrame, path: str, version: str, by_runs: bool = True) -> DataFrame:
     """``(content, text)`` rows -> cache rows. One Arrow batch in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _counter(path)
+        c = _counter(path, by_runs)
         for batch in batches:
             texts = batch.column(1)
             counts: list[int] = []
@@ -111,9 +117,8 @@ def encode_misses(misses: DataFrame, path: str, version: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
-    """The cached counts of one tokenizer version; empty where there is no cache yet.
-
-    Rows are unique as long as one job appends at a time."""
+    """The cached counts of one tokenizer version, one row a digest however many jobs
+    appended it; empty where there is no cache yet."""
     from pyspark.errors import AnalysisException
     try:
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
@@ -121,7 +126,7 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         cache = spark.createDataFrame([], CACHE_SCHEMA)
-    return cache.where(F.col("tokenizer") == version).select("content", "n_tokens")
+    return cache.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, cache_path: str | None = None, path: str | None = None, limit: int = LIMIT,
@@ -142,7 +147,7 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, path: str | Non
     texts = docs.select(content.alias("content"), norm.alias("text"))
     had = read_cache(spark, cache_path, version)
     wanted = texts if had.isEmpty() else texts.join(had.select("content"), "content", "left_anti")
-    encode_misses(wanted.dropDuplicates(["content"]), path, version).write.mode("append").parquet(cache_path)
+    encode_misses(wanted.dropDuplicates(["content"]), path, version, fold_space).write.mode("append").parquet(cache_path)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
                        content.alias("content"))
     counts = read_cache(spark, cache_path, version)
