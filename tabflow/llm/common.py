@@ -83,8 +83,18 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def small_side(df: DataFrame, name: str, max_rows: int = 500_000) -> DataFrame:
+def small_side(df: DataFrame, name: str, max_rows: int = 500_000, row_bytes: Column | None = None,
+               max_bytes: int = 64_000_000) -> DataFrame:
     """``df`` as a stored table, marked for broadcast only where its counted rows
-    stay under ``max_rows`` (narrow key tables); beyond that it is shuffled."""
+    stay under ``max_rows`` (narrow key tables), and the sum of ``row_bytes``, for
+    rows without a fixed width, under ``max_bytes``; beyond that it is shuffled."""
     kept = store(df, name)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    width = F.lit(0) if row_bytes is None else row_bytes
+    rows, size = kept.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(kept) if rows <= max_rows and size <= max_bytes else kept
+
+
+def nested(df: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``df`` inside one column ``doc``, beside ``more``, so that names
+    used on the way never clash with the caller's; ``select("doc.*")`` brings them back."""
+    return df.select(*more, F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("doc"))

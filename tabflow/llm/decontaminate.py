@@ -11,8 +11,9 @@ size check. Documents are scanned in two steps that lose no occurrence:
 2. The up to 7 windows that cover a block found are made from its words and
    verified against the set by their full text.
 
-Short items are looked up at every position, one pass for each short length that
-the benchmark has. Nothing but found windows is shuffled.
+Short items are looked up at every position, all short lengths in one pass. Nothing
+but found windows is shuffled; whose windows they are is joined to a document's
+distinct windows afterwards. Columns of any name pass through the two removals.
 
 Defined results: a null or wordless text has 0 words and 0 hits; repeated rows
 get equal results; items without words (or null) are no windows; windows of an
@@ -27,7 +28,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import small_side, store, text_of
+from tabflow.llm.common import nested, small_side, store, text_of
 
 # The word pattern, window length and contamination rule.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,29 +57,32 @@ def _key(id_col: Column, text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
-                      text_col: str = "text") -> DataFrame:
-    """``(length, gram, items)``: each distinct window and the ids of its items."""
+                      text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The distinct windows ``(gram_id, length, gram)`` and, apart from them, whose they
+    are ``(gram_id, item)``, as stored tables."""
     items = benchmark.select(benchmark[id_col].cast("string").alias("item"), words_of(benchmark[text_col]).alias("w"))
     items = items.where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     grams = items.select("item", n.alias("length"), F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram"))
-    return grams.groupBy("length", "gram").agg(F.collect_set("item").alias("items"))
+    owned = store(grams.distinct(), "benchmark-owned")
+    grams = store(owned.select("length", "gram").distinct().select(F.monotonically_increasing_id().alias("gram_id"), "length", "gram"),
+                  "benchmark-windows")
+    return grams, store(owned.join(grams, ["length", "gram"]).select("gram_id", "item"), "benchmark-owners")
 
 
 def _hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id",
+def hits(docs: DataFrame, grams: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """``(key, start, length, items)``: every occurrence of a window, by word position."""
-    grams = store(benchmark_windows(benchmark, window), "benchmark-windows")
-    sizes = grams.groupBy("length").agg(F.sum(F.octet_length("gram") + 64 + 24 * F.size("items")).alias("b")).collect()
+    """``(key, start, length, gram_id)``: every occurrence of a window, by word position."""
+    sizes = grams.groupBy("length").agg(F.sum(F.octet_length("gram") + 64).alias("b")).collect()
     small = sum(r["b"] for r in sizes) <= BROADCAST_BYTES
     short = sorted(r["length"] for r in sizes if r["length"] < window)
     rows = docs.select(_key(docs[id_col], docs[text_col]).alias("key"), words_of(docs[text_col]).alias("w"))
-    long_grams = grams.where(F.col("length") == window).select("gram", "items")
+    long_grams = grams.where(F.col("length") == window).select("gram", "gram_id")
 
     # step 1: aligned blocks and their surroundings
     side = window - block
@@ -100,35 +104,44 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
         F.sequence(F.col("from"), F.least(F.col("at"), last)),
         lambda s: F.struct(s.alias("start"), F.array_join(F.slice("near", s - F.col("from") + 1, window), " ").alias("gram"))
     )).alias("x")).select("key", "x.start", "x.gram")
-    out = windows.join(_hinted(long_grams, small), "gram").select("key", "start", F.lit(window).alias("length"), "items")
-
-    for n in short:
-        all_n = rows.where(F.size("w") >= n).select("key", F.posexplode(F.transform(
-            F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("start", "gram"))
-        of_n = grams.where(F.col("length") == n).select("gram", "items")
-        out = out.unionByName(all_n.join(_hinted(of_n, small), "gram")
-                              .select("key", "start", F.lit(n).alias("length"), "items"))
+    out = windows.join(_hinted(long_grams, small), "gram").select("key", "start", F.lit(window).alias("length"), "gram_id")
+    if short:  # items of fewer words: all their lengths in one pass
+        of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(
+            (i - 1).alias("start"), n.alias("length"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
+        lengths = F.filter(F.array(*[F.lit(n) for n in short]), lambda n: n <= F.size("w"))
+        runs = (rows.where(F.size("w") >= short[0]).select("key", F.explode(F.flatten(F.transform(lengths, of_length))).alias("x"))
+                .select("key", "x.start", "x.length", "x.gram"))
+        out = out.unionByName(runs.join(_hinted(grams.where(F.col("length") < window), small), ["length", "gram"])
+                              .select("key", "start", "length", "gram_id"))
     return out
 
 
 def _by_row(found: DataFrame) -> DataFrame:
-    """One row per key: its hit stretches, words covered and items."""
+    """One row per key: its hit stretches and the words they cover."""
     spans = F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end"))))
-    per = found.groupBy("key").agg(spans.alias("stretches"), F.collect_set("items").alias("lists"))
+    per = found.groupBy("key").agg(spans.alias("stretches"))
     covered = F.aggregate(
         "stretches", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"),
                                 (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["start"]))).alias("n")),
         lambda acc: acc["n"])
-    return per.select("key", "stretches", covered.alias("n_hit"),
-                      F.array_sort(F.array_distinct(F.flatten("lists"))).alias("item_ids"))
+    return per.select("key", "stretches", covered.alias("n_hit"))
+
+
+def _items(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """One row per key: the sorted ids of the items whose windows occur. The ids are
+    joined to the distinct windows of a document, not carried with every hit."""
+    return (found.select("key", "gram_id").distinct().join(owners, "gram_id")
+            .groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated``."""
-    per = store(_by_row(hits(docs, benchmark, window, id_col=id_col, text_col=text_col)), "benchmark-hits")
+    grams, owners = benchmark_windows(benchmark, window)
+    found = store(hits(docs, grams, window, id_col=id_col, text_col=text_col), "benchmark-hits")
+    per = store(_by_row(found).join(_items(found, owners), "key", "left"), "benchmark-rows")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_words = F.size(words_of(docs[text_col])).cast("long")
@@ -143,31 +156,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones; all columns as they were."""
-    per = _by_row(hits(docs, benchmark, window, id_col=id_col, text_col=text_col))
+    grams, _ = benchmark_windows(benchmark, window)
+    per = _by_row(hits(docs, grams, window, id_col=id_col, text_col=text_col))
     # the rule needs the word count: take it where there are hits only
-    hit = store(per.select(F.col("key").alias("_bench_key"), "n_hit"), "benchmark-hits")
-    key = _key(docs[id_col], docs[text_col])
-    counted = (docs.select(key.alias("_bench_key"), docs[text_col].alias("t"))
-               .join(small_side(hit, "benchmark-hit-keys"), "_bench_key"))
+    hit = store(per.select("key", "n_hit"), "benchmark-hits")
+    key = _key(docs[id_col], docs[text_col]).alias("key")
+    counted = docs.select(key, docs[text_col].alias("t")).join(small_side(hit, "benchmark-hit-keys"), "key")
     bad = (counted.where(F.col("n_hit") * MIN_SHARE_INVERSE >= F.size(words_of(F.col("t"))))
-           .select("_bench_key").distinct())
-    return (docs.withColumn("_bench_key", key).join(small_side(bad, "benchmark-bad-keys"), "_bench_key", "left_anti")
-            .select(*[docs[c] for c in docs.columns]))
+           .select("key").distinct())
+    return nested(docs, key).join(small_side(bad, "benchmark-bad-keys"), "key", "left_anti").select("doc.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``docs`` with every hit word cut out of the text (what stands between words stays)."""
-    per = small_side(_by_row(hits(docs, benchmark, window, id_col=id_col, text_col=text_col))
-                     .select(F.col("key").alias("_bench_key"), F.col("stretches").alias("_bench_hits")), "benchmark-stretches")
+    grams, _ = benchmark_windows(benchmark, window)
+    per = small_side(_by_row(hits(docs, grams, window, id_col=id_col, text_col=text_col))
+                     .select("key", "stretches"), "benchmark-stretches", row_bytes=80 + 24 * F.size("stretches"))
     anycase = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    text = F.col(text_col)
+    text = F.col("doc")[text_col]
     words = F.regexp_extract_all(text, F.lit(f"({anycase})"), F.lit(1))
     gaps = F.split(text, anycase, -1)
-    kept = F.transform(words, lambda w, i: F.when(F.exists("_bench_hits", lambda h: (h["start"] <= i) & (i < h["end"])), "")
+    kept = F.transform(words, lambda w, i: F.when(F.exists("stretches", lambda h: (h["start"] <= i) & (i < h["end"])), "")
                        .otherwise(w))
     rebuilt = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), kept.alias("k")),
                                        lambda x: F.concat(x["g"], F.coalesce(x["k"], F.lit("")))), "")
-    out = docs.withColumn("_bench_key", _key(docs[id_col], docs[text_col])).join(per, "_bench_key", "left")
-    return out.select(*[F.when(F.col("_bench_hits").isNotNull(), rebuilt).otherwise(text).alias(c) if c == text_col
-                        else F.col(c) for c in docs.columns])
+    out = nested(docs, _key(docs[id_col], docs[text_col]).alias("key")).join(per, "key", "left")
+    return out.select(*[F.when(F.col("stretches").isNotNull(), rebuilt).otherwise(text).alias(c) if c == text_col
+                        else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -12,7 +12,9 @@ documents whose sets have a Jaccard similarity of at least the threshold (0.8):
    both ends of every candidate pair are in one group.
 4. Verification on the full n-gram sets. A group of up to ``BLOCK`` documents is
    one unit of work; a larger one is split into blocks and every pair of blocks
-   is one, so a hot group spreads over many tasks. A unit intersects its sets at
+   is one, so a hot group spreads over many tasks. Where a larger group is a chain
+   whose buckets together have fewer pairs than its members, its buckets are
+   verified instead, each pair in the first bucket that it shares. A unit intersects its sets at
    once and gives, per document, its number of links and a chain to the smallest
    linked document - again never the pairs.
 5. Classes are the components of those chains.
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import connected_components, ready, small_side, store, text_of
+from tabflow.llm.common import connected_components, nested, ready, small_side, store, text_of
 
 N = 5
 THRESHOLD = 0.8
@@ -124,9 +126,9 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, perms) -> np.ndarray:
 
 
 def tag(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row id ``_row`` that is fixed by writing the table."""
-    return store(docs.select(F.monotonically_increasing_id().alias("_row"), *[docs[c] for c in docs.columns if c != "_row"]),
-                 "ngram-rows")
+    """All columns of ``docs`` inside ``doc``, beside a row id ``_row`` that is fixed by
+    writing the table."""
+    return store(nested(docs, F.monotonically_increasing_id().alias("_row")), "ngram-rows")
 
 
 def signatures(tagged: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
@@ -134,7 +136,7 @@ def signatures(tagged: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     """One row per row: row id, n-gram count, digest of the words, band hashes."""
     ready(tagged.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    src = tagged.select("_row", F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    src = tagged.select("_row", F.col("doc")[id_col].cast("long").alias("doc_id"), text_of(F.col("doc")[text_col]).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = _permutations(bands * rows)
@@ -197,6 +199,11 @@ def _verify(group: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     split = int((sides == sides[0]).sum()) if sides[0] != sides[-1] else 0
     sets = [gram_set(words_of(t), n) for t in group["text"]]
     a, b = _similar(sets, split, threshold)
+    band = int(group["band"].iloc[0])
+    if band > 0 and len(a):  # a bucket's unit: pairs that share an earlier bucket are found there
+        bands = np.stack(group["bands"].to_numpy())[:, :band]
+        new = np.array([not (bands[i] == bands[j]).any() for i, j in zip(a, b, strict=True)], bool)
+        a, b = a[new], b[new]
     links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
     low = node.copy()
     while len(a):
@@ -214,44 +221,54 @@ def classes(tagged: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     """``(_row, doc_id, class_id, n_links, kept)`` for every row of a tagged table."""
     sig = store(signatures(tagged, n, threshold, recall, id_col, text_col), "ngram-signatures")
     # copies: one node per distinct word sequence
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
     nodes = store(sig.where("n_grams > 0").groupBy("words").agg(
-        F.min(F.struct("_row", "bands")).alias("m"), F.count("*").alias("copies"))
-        .select("words", F.col("m._row").alias("node"), "copies", F.col("m.bands").alias("bands")), "ngram-nodes")
+        F.min(F.struct("_row", "bands")).alias("m"), F.count("*").alias("copies"), first.alias("first"))
+        .select("words", F.col("m._row").alias("node"), "copies", F.col("m.bands").alias("bands"), "first"), "ngram-nodes")
     # buckets: every member hangs on the smallest node of its bucket
     member = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     heads = store(member.groupBy("band", "h").agg(F.min("node").alias("head"), F.count("*").alias("k"))
-                  .where("k > 1").select("band", "h", "head"), "ngram-buckets")
-    hang = member.join(heads, ["band", "h"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+                  .where("k > 1"), "ngram-buckets")
+    hang = member.join(heads.drop("k"), ["band", "h"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     groups = connected_components(hang, "ngram-candidates")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(small_side(sizes, "ngram-sizes"), "component")
-    n_blocks = F.ceil(F.col("size") / block)
-    placed = store(placed.select("node", "component", n_blocks.alias("blocks"),
-                                 F.pmod(F.xxhash64("node"), n_blocks).alias("block")), "ngram-placed")
-    texts = (tagged.select(F.col("_row").alias("node"), F.col(text_col).alias("text"))
-             .join(placed, "node").join(nodes.select("node", "copies"), "node"))
-    units = texts.select(
-        "node", "copies", "text", "component", "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    units = units.select("node", "copies", "text", "component", F.least("block", "other").alias("lo"),
-                         F.greatest("block", "other").alias("hi"), F.col("block").alias("side"))
-    found = store(units.groupBy("component", "lo", "hi").applyInPandas(
+    # a group's pairs are those of its members, or of its buckets where that is less:
+    # a chain of many small buckets is long, but its buckets have few pairs
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    sizes = (groups.groupBy("component").agg(F.count("*").alias("size"))
+             .join(heads.join(groups, heads["head"] == groups["node"])
+                   .groupBy("component").agg(F.sum(square("k")).alias("bucket_pairs")), "component")
+             .select("component", "size", ((F.col("size") > block) & (F.col("bucket_pairs") < square("size"))).alias("chain")))
+    placed = store(groups.join(small_side(sizes, "ngram-sizes"), "component"), "ngram-placed")
+    whole = placed.where("not chain").select("node", F.lit(-1).alias("band"), F.col("component").alias("unit"), "size")
+    chained = member.join(placed.where("chain").select("node"), "node").join(heads.select("band", "h", "k"), ["band", "h"])
+    chained = chained.select("node", "band", F.col("h").alias("unit"), F.col("k").alias("size"))
+    blocks = F.ceil(F.col("size") / block)
+    placed = store(whole.unionByName(chained).select("node", "band", "unit", F.pmod(F.xxhash64("node"), blocks).alias("block"),
+                                                     F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")),
+                   "ngram-units")
+    texts = (tagged.select(F.col("_row").alias("node"), F.col("doc")[text_col].alias("text"))
+             .join(nodes.select("node", "copies", "bands"), "node"))
+    units = texts.join(placed, "node").select(
+        "node", "copies", "bands", "text", "band", "unit", F.least("block", "other").alias("lo"),
+        F.greatest("block", "other").alias("hi"), F.col("block").alias("side"))
+    found = store(units.groupBy("band", "unit", "lo", "hi").applyInPandas(
         lambda g: _verify(g, n, threshold), "node long, links long, low long"), "ngram-links")
     per = found.groupBy("node").agg(F.sum("links").alias("links"))
     chains = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), "ngram-classes")
     # from nodes back to rows
-    labelled = (nodes.select("words", "node", "copies").join(per, "node", "left")
-                .join(chains, "node", "left")
-                .select("words", F.coalesce("component", "node").alias("cls"),
-                        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    rows = (sig.select("_row", "doc_id", F.when(F.col("n_grams") > 0, F.col("words")).alias("words"))
-            .join(store(labelled, "ngram-nodes-done"), "words", "left")
-            .select("_row", "doc_id", F.coalesce("cls", "_row").alias("cls"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    rows = store(rows, "ngram-row-classes")
-    first = rows.groupBy("cls").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("f"))
-    return (rows.join(first.select("cls", F.col("f.doc_id").alias("class_id"), F.col("f._row").alias("first")), "cls")
-            .select("_row", "doc_id", "class_id", "n_links", (F.col("_row") == F.col("first")).alias("kept")))
+    labelled = store(nodes.select("words", "node", "copies", "first").join(per, "node", "left")
+                     .join(chains, "node", "left")
+                     .select("words", F.coalesce("component", "node").alias("cls"), "first",
+                             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-node-classes")
+    # the first row of a class is stored before it is joined back: a class of any size
+    # is then a plain join, whose hot key adaptive execution may split
+    firsts = store(labelled.groupBy("cls").agg(F.min("first").alias("f")), "ngram-firsts")
+    labelled = store(labelled.join(firsts, "cls").select("words", "n_links", "f"), "ngram-nodes-done")
+    return (sig.select("_row", "doc_id", F.when(F.col("n_grams") > 0, F.col("words")).alias("words"))
+            .join(labelled, "words", "left")
+            .select("_row", "doc_id", F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("f.doc_id")).alias("class_id"),
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    (F.coalesce("f._row", "_row") == F.col("_row")).alias("kept")))
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, block: int = BLOCK,
@@ -268,4 +285,4 @@ def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     ready(docs.sparkSession)
     tagged = tag(docs)
     gone = classes(tagged, n, threshold, recall, block, id_col, text_col).where(~F.col("kept")).select("_row")
-    return tagged.join(small_side(gone, "ngram-gone"), "_row", "left_anti").select(*docs.columns)
+    return tagged.join(small_side(gone, "ngram-gone"), "_row", "left_anti").select("doc.*")
