@@ -402,3 +402,81 @@ def test_decontamination_empty(spark, odd, no_docs):
     assert len(rows) == odd.count() and not any(r["contaminated"] for r in rows)
     assert decontaminate.contamination(no_docs, none).count() == 0
     assert decontaminate.remove_documents(odd, none).count() == odd.count()
+
+
+# ---------------------------------------------------------------- odd urls, names and chains
+def test_filedesc_urls_are_pages(spark):
+    rows = [(1, "filedesc:abc", "one"), (2, "filedesc://y", "two"), (3, "http://a/", "x\nfiledesc://z 0.0.0.0 20010203040506 text/plain 5\n"),
+            (4, "filedesc:// 0.0.0.0 1 text/plain 12", "1 0 Archive\nURL IP-address\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 4):
+        got = {r["page_id"]: r["payload_bytes"] for r in arc_warc.archive_round_trip(df.repartition(n)).collect()}
+        assert got == {k: len(h) for k, _, h in rows}
+
+
+def test_version_block_opens_a_member_only():
+    import gzip
+    block = b"1 0 Archive\nURL IP-address Archive-date Content-type Archive-length\n"
+    opening = b"filedesc://f.arc 0.0.0.0 20010203040506 text/plain %d\n" % len(block) + block
+    page = b"http://a/ 0.0.0.0 20010203040506 text/html 3\nabc\n"
+    joined = gzip.compress(opening + b"\n" + page) + gzip.compress(opening + b"\n" + page)
+    data, starts = arc_warc._unzip(joined)
+    assert len(starts) == 2 and [h["URL"] for _, _, h, _ in arc_warc.parse_arc(data, starts)] == ["http://a/"] * 2
+    inside = [h["URL"] for _, _, h, _ in arc_warc.parse_arc(opening + b"\n" + page + opening + b"\n" + page)]
+    assert inside == ["http://a/", "filedesc://f.arc", "http://a/"]
+
+
+def test_head_ends_at_the_first_empty_line():
+    for end, body in ((b"\n\n", b"x\r\n\r\ny"), (b"\r\n\r\n", b"x\n\ny")):
+        head = b"HTTP/1.0 200 OK" + end[:len(end) // 2] + b"A: b" + end
+        assert arc_warc._head(head + body) == len(head)
+    long = b"HTTP/1.0 200 OK\r\nA: " + b"b" * 70_000 + b"\r\n\r\n"
+    assert arc_warc._head(long + b"body") == len(long) and arc_warc._head(b"HTTP/1.0 200 OK") == 0
+
+
+def test_columns_named_like_the_operators_own(spark, odd):
+    own = odd.withColumn("_row", F.concat(F.lit("mine"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    kept = ngram_join.deduplicate(own)
+    assert kept.columns == own.columns and all(r["_row"].startswith("mine") for r in kept.collect())
+    named = odd
+    for c in ("_bench_key", "_bench_hits", "key", "stretches", "doc", "gram_id", "t"):
+        named = named.withColumn(c, F.lit("mine"))
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "漢字")], "item_id long, text string")
+    left = decontaminate.remove_documents(named, bench)
+    assert left.columns == named.columns and {r["_bench_key"] for r in left.collect()} == {"mine"}
+    assert left.count() == named.count() - 4  # three copies of the item, and the short item's document
+    cut = decontaminate.remove_spans(named, bench)
+    assert cut.columns == named.columns and cut.count() == named.count()
+    assert {(r["_bench_hits"], r["stretches"], r["doc"]) for r in cut.collect()} == {("mine",) * 3}
+    assert {r["text"].strip() for r in cut.where("doc_id = 1").collect()} == {""}
+
+
+def test_window_of_many_items(spark):
+    """A window that all items share is listed for each of them, once a document."""
+    words = [f"w{i}" for i in range(20)]
+    shared = " ".join(words[:13])
+    bench = spark.createDataFrame([(i, f"{shared} only{i} tail") for i in range(50)] + [(None, shared)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {shared} y {shared}"), (2, "x"), (3, f"{shared} only7 tail")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.contamination(docs, bench).collect()}
+    ids = hashlib.sha256(",".join(sorted(map(str, range(50)))).encode()).hexdigest()
+    assert got == {1: (26, 50, ids), 2: (0, 0, hashlib.sha256(b"").hexdigest()), 3: (15, 50, ids)}
+
+
+def test_join_of_a_long_chain(spark):
+    """Neighbours in the chain are similar, far ends are not: its buckets are verified
+    instead of all pairs, with the same links."""
+    r = random.Random(21)
+    words = ["".join(r.choices(string.ascii_lowercase, k=7)) for _ in range(700)]
+    texts = [" ".join(words[i * 2:i * 2 + 90]) for i in range(220)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    links = [sum(len(a & b) / len(a | b) >= 0.8 for b in sets) - 1 for a in sets]
+    rows = {x["doc_id"]: x for x in ngram_join.join(df, block=40).collect()}
+    assert {i: x["n_links"] for i, x in rows.items()} == dict(enumerate(links))
+    parent = {i: i for i in range(len(texts))}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                union(parent, i, j)
+    assert {i: x["class_id"] for i, x in rows.items()} == {i: find(parent, i) for i in parent}
+    assert {i for i, x in rows.items() if x["kept"]} == {find(parent, i) for i in parent}

@@ -262,3 +262,136 @@ def test_secrets_odd_rows(odd, no_docs):
     rows = secret_scan.scan(odd).collect()
     assert len(rows) == odd.count() and all(x["base_sha256"] == sha("") for x in rows if x["doc_id"] in (3, 4, 5))
     assert secret_scan.scan(no_docs).count() == 0
+
+
+def test_short_random_strings_are_scored(spark):
+    short, other = "q7Zk29Xv0LmTr4P", "x8Kp2Qz7"
+    text = f"the key {short} is here, {other} is too short, and characteristics-of-words is ordinary"
+    df = spark.createDataFrame([(1, text)] + [(i, "some ordinary-identifier and_longer_identifier here") for i in range(2, 40)],
+                               "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}
+    assert spans[1] == f"markov:{text.index(short)}:{text.index(short) + len(short)}" and not any(spans[i] for i in range(2, 40))
+
+
+def test_many_runs_beside_many_base_spans(spark):
+    r = random.Random(3)
+    make = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    parts = []
+    for _ in range(1500):
+        parts += [make("0123456789abcdef", 30), make("abcXYZ0189QwvkJ", 24), "token=" + make("Zx9kQ", 14)]
+    text = " ".join(parts)
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), [1.0] * (128 * 128)).first()
+    base = sorted((m.start(2) - len("token="), m.end()) for m in re.finditer(secret_scan.ASSIGN, text))
+    base = sorted(base + [m.span() for m in re.finditer(secret_scan.HEX, text) if len(m.group()) >= 24])
+    runs = [m.span() for m in re.finditer(secret_scan.CANDIDATE, text)]
+    want = [x for x in runs if not any(a < x[1] and b > x[0] for a, b in base[:])] if len(runs) < 5000 else None
+    got = [tuple(map(int, s.split(":")[1:])) for s in row["spans"].split(",") if s.startswith("markov")]
+    assert got == want and len(got) >= 1400
+
+
+# ------------------------------------------------- cache, packing, personal data
+def test_repeated_cache_rows_count_once(spark):
+    path = scratch_path(spark, "cache")
+    df = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+    first = sorted(token_counts.token_counts(df, path).collect())
+    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+    assert sorted(token_counts.token_counts(df, path + "-twice").collect()) == first and len(first) == 2
+
+
+def test_counts_of_a_tokenizer_that_keeps_white_space(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a  b\n\n c", " lead", "x\t\ty ", "", None, "plain words here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, path=path, fold_space=False).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_packing_is_that_of_the_whole_corpus_in_any_layout(spark, docs):
+    rows = [x["n_tokens"] for x in byte_bpe.encode_texts(docs).collect()]
+    length = 512
+    sizes = [s for n in rows for s in [length] * (n // length) + [n % length] if s]
+    want = naive_free(sizes, length)
+    for parts in (1, 40):
+        got = packing.pack_texts(docs.repartition(parts), length=length).collect()
+        assert sorted(length - r["n_tokens"] for r in got) == want
+        assert sorted(r["pack_id"] for r in got) == list(range(len(got)))
+
+
+def test_empty_texts_are_spread_over_rows(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 100 = 0, repeat('word ', 40), '') as text")
+    got = packing.pack_texts(df, length=64).collect()
+    listed = [len(r["doc_ids"]) for r in got]
+    assert sum(listed) == 3000 and max(listed) <= 2 * min(listed)
+    none = packing.pack_texts(spark.range(100).selectExpr("id as doc_id", "cast(null as string) as text"), length=8).collect()
+    assert sum(len(r["doc_ids"]) for r in none) == 100 and len(none) == 13
+
+
+def test_personal_data_with_every_kind_of_digit(spark):
+    import sys
+    import unicodedata
+    odd_digits = [chr(i) for i in range(0x80, sys.maxunicode) if unicodedata.category(chr(i)) in ("Nd", "Nl", "No")]
+    r = random.Random(6)
+    texts = ["host 1.2.3.4² is down", "10.2.3.4①", "²³", "+1² 555 010 9999", "a@b.c²"]
+    for d in odd_digits:
+        texts.append(f"x {r.randint(1, 255)}.2.{d}.4{d} +{d}1 ({d}55) 010-{d}999 {d}{d}{d}{d} jo{d}@mail{d}.com")
+    field = pii.train(spark.createDataFrame([], "doc_id long, text string"))
+    for t in texts:
+        base, spans = pii.all_spans(t, field)
+        assert set(base) <= set(spans) and pii.redact_text(t, field)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.scan(df, field).count() == len(texts) and pii.redact(df, field).where("text is null").count() == 0
+
+
+def test_best_segmentation_equals_enumeration():
+    r = random.Random(12)
+    pieces = ["12", "3456", "7", "@", "mail", "com", ".", "-", " ", "\n", "+", "555", "(", ")", "call", "²"]
+    field = pii.fit_field(pii.generated_windows(each=6))
+    r2 = random.Random(1)
+    field = pii.Field({k: w + r2.uniform(-1, 1) for k, w in field.w.items()})
+    for _ in range(150):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(1, 9)))
+        toks = [m.span() for m in pii._TOKEN.finditer(text)]
+        lat = pii.lattice(text, toks)
+
+        def every(j):
+            if j == 0:
+                yield 0.0, ()
+                return
+            for s, path in every(j - 1):
+                yield s + field.score(0, pii._one(text, toks[j - 1])), path
+            for k, feats in lat[j - 1]:
+                for y in range(1, 5):
+                    for s, path in every(j - k):
+                        yield s + field.score(y, feats), (*path, (j - k, j - 1, y))
+
+        best = max(s for s, _ in every(len(toks)))
+        got = list(field.best(text, toks))
+        feats = {(j - k + 1, j): f for j in range(len(toks)) for k, f in lat[j]}
+        covered = {i for a, b, _ in got for i in range(a, b + 1)}
+        mine = sum(field.score(y, feats[a, b]) for a, b, y in got)
+        mine += sum(field.score(0, pii._one(text, toks[i])) for i in range(len(toks)) if i not in covered)
+        assert mine == pytest.approx(best, abs=1e-9)
+
+
+def test_long_number_table_takes_little_memory():
+    import tracemalloc
+    r = random.Random(9)
+    for end in ("\n", " "):
+        text = "".join(f"{r.randint(0, 99999)} {r.randint(0, 999)}.{r.randint(0, 99)}{end}" for _ in range(4000))
+        field = pii.Field({(1, "bias"): -1.0})
+        tracemalloc.start()
+        pii.all_spans(text, field)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300 * len(text)
+
+
+def test_field_span_across_many_base_spans(monkeypatch):
+    text = " ".join("1.2.3.4" for _ in range(30)) + " tail"
+    monkeypatch.setattr(pii, "field_spans", lambda t, f: [(0, 3, 8), (60, 3, 80), (len(text) - 4, 3, len(text))])
+    base, spans = pii.all_spans(text, pii.Field())
+    assert set(spans) - set(base) == {(len(text) - 4, 3, len(text))}
