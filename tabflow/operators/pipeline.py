@@ -128,7 +128,7 @@ class Preprocessor:
                     pca, k, ratios, means = FE.fit_pca(cur.select(*[F.col(x).cast("double") for x in feats]), feats,
                                                        variance=c.pca_variance)
                     state["pca"] = {"columns": feats, "k": k, "means": means,
-                                    "components": pca.pc.toArray()[:, :k].tolist()}
+                                    "components": pca[:, :k].tolist()}
             state["feature_columns"] = model._numeric_features(model.transform(base.limit(0)))
         finally:
             base.unpersist()

@@ -12,6 +12,8 @@ FLOAT_COLUMNS = {
     'clean_dataframe': ['c_acctbal'],
     'clip_iqr': ['value'],
     'correlation_matrix': ['corr'],
+    'correlation_with_nulls': ['corr'],
+    'pca_two_columns': ['explained_ratio', 'first_loading'],
     'cyclical_dates': ['o_orderdate_month_sin', 'o_orderdate_month_cos', 'o_orderdate_dayofweek_sin', 'o_orderdate_dayofweek_cos'],
     'datetime_string_check': ['date_ratio'],
     'drop_columns': ['o_totalprice'],

@@ -190,6 +190,21 @@ def correlation_matrix(spark, sf):
     return FE.correlation_matrix(_lineitem_gross(spark, sf), _CORR)
 
 
+_HOLES = {"l_quantity": 3, "l_extendedprice": 5, "l_discount": 2, "l_tax": 7, "gross": 4}
+_WITH_HOLES = "(select " + ", ".join(f"case when (l_orderkey + l_linenumber) % {k} <> 0 then {c} end as {c}"
+                                     for c, k in _HOLES.items()) + f" from {_LI_GROSS})"
+
+
+@register("correlation_with_nulls", sql=f"with t as {_WITH_HOLES}\n" + union_all([
+    f"select '{a}' as col_a, '{b}' as col_b, corr({a}, {b}) as corr from t"
+    for i, a in enumerate(_CORR) for b in _CORR[i + 1:]]))
+def correlation_with_nulls(spark, sf):
+    """Every column misses other rows: each pair counts the rows where both are known."""
+    t = _lineitem_gross(spark, sf)
+    holes = t.select(*[F.when((F.col("l_orderkey") + F.col("l_linenumber")) % k != 0, F.col(c)).alias(c) for c, k in _HOLES.items()])
+    return FE.correlation_matrix(holes, _CORR, fill_median=False)
+
+
 # Oracle: on this input no correlated chain exists, so the left-to-right rule
 # drops the earlier column of every pair above the threshold.
 @register("correlation_drop", sql=f"with t as {_LI_GROSS}, c as (" + union_all([
@@ -220,7 +235,7 @@ def pca_explained(spark, sf):
     emb = table(spark, sf, "embeddings")
     from pyspark.ml.functions import array_to_vector
     vec = emb.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model, k, ratios, _ = FE.fit_pca(vec, vector_col="v")
+    _, k, ratios, _ = FE.fit_pca(vec, vector_col="v")
     # explained-variance table: one row per component, cumulative share and the kept flag
     comp = spark.range(len(ratios)).select(F.col("id").cast("int").alias("component"))
     r = F.array(*[F.lit(float(x)) for x in ratios])
@@ -229,6 +244,21 @@ def pca_explained(spark, sf):
                        (F.col("component") < k).alias("kept"))
 
 
+# closed form for two columns: the eigenvalues of [[a, b], [b, c]]
+@register("pca_two_columns", sql="""
+with m as (select var_samp(l_quantity) as a, var_samp(l_discount * 100) as c, covar_samp(l_quantity, l_discount * 100) as b from lineitem),
+     e as (select *, sqrt((a - c) * (a - c) / 4 + b * b) as d from m)
+select 0 as component, ((a + c) / 2 + d) / (a + c) as explained_ratio,
+       abs(b) / sqrt(b * b + ((a + c) / 2 + d - a) * ((a + c) / 2 + d - a)) as first_loading from e
+union all
+select 1, ((a + c) / 2 - d) / (a + c), abs(b) / sqrt(b * b + ((a + c) / 2 - d - a) * ((a + c) / 2 - d - a)) from e""")
+def pca_two_columns(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("discount"))
+    components, _, ratios, _ = FE.fit_pca(li, ["l_quantity", "discount"])
+    rows = [(i, float(r), float(abs(components[0, i]))) for i, r in enumerate(ratios)]
+    return spark.createDataFrame(rows, "component int, explained_ratio double, first_loading double")
+
+
 @register("text_tfidf")
 def text_tfidf(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")

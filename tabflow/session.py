@@ -43,6 +43,17 @@ def get_spark(master: str | None = None, app: str = "tabflow", shuffle_partition
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package even where the driver only has it on its
+    own ``sys.path`` (a cluster ships it with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
