@@ -1,37 +1,27 @@
-"""Exact k-nearest neighbours without all-pairs joins, and the kNN-based
-resamplers SMOTE / SMOTENC / ADASYN / SMOTE-ENN (F10, F14-F17).
-
-kNN search (:func:`knn`):
-  * identical vectors are collapsed first (``cnt`` = multiplicity), so a hot
-    duplicated point costs one row, not a quadratic block;
-  * points are placed on a grid over (up to) three coordinates with cell side
-    ``s``; each query is equi-joined only with its 3^m neighbouring cells (a
-    bounded, density-dependent candidate set, never a class-wide product) and
-    keeps its ``k`` nearest candidates by full distance;
-  * a query is final when its k-th distance is ≤ ``s``: any point within
-    distance ``s`` differs by ≤ ``s`` on every grid coordinate, hence lies in a
-    neighbouring cell (extra distance terms only make distances larger, so the
-    bound still holds). The other queries retry on a grid with doubled ``s``;
-    once ``s`` reaches the data's diameter every point is a neighbour-cell
-    candidate, so every query ends with its exact answer.
+"""Nearest-neighbour resamplers SMOTE / SMOTENC / ADASYN / SMOTE-ENN
+on the exact search of :mod:`metric_knn`.
+
+Identical vectors are collapsed first (``cnt`` = multiplicity), so a hot repeated point
+costs one row, not a quadratic block. A point's id is a digest of its group and vector
+and is joined back by the columns themselves, so neither the layout nor a hash decides
+who is whose neighbour.
+
+Defined results: a row with a null target is no member of a class: it passes through
+and is nobody's neighbour. A row with an unknown feature (null or NaN) counts for its
+class's size but neither has nor is a neighbour.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank
-from tabflow.operators.stats import class_count_map
+from tabflow.operators.metric_knn import BROADCAST_ROWS, knn
 from tabflow.session import cut_lineage
 
-GRID_DIMS = 3
-MAX_ROUNDS = 60
+__all__ = ["safe_k", "collapse", "knn", "smote", "adasyn", "edited_nearest_neighbours", "smote_enn"]
 
 
 def safe_k(min_class: int, default: int = 5) -> int:
@@ -39,92 +29,20 @@ def safe_k(min_class: int, default: int = 5) -> int:
     return min(default, max(1, int(min_class) - 1))
 
 
-def _dist2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
-def _uid(group_cols: list[str], vec_col: str) -> Column:
-    return F.xxhash64(*[F.col(c) for c in group_cols], F.col(vec_col))
-
-
 def collapse(df: DataFrame, vec_col: str, group_cols: list[str]) -> DataFrame:
     """Distinct ``(group…, vec)`` with multiplicity ``cnt`` and id ``uid``."""
     return (df.groupBy(*group_cols, vec_col).agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("uid", _uid(group_cols, vec_col)))
-
-
-def knn(points: DataFrame, queries: DataFrame, vec_col: str, k: int, same_group: list[str] | None = None,
-        cat_col: str | None = None, cat_penalty: float = 0.0) -> DataFrame:
-    """Exact kNN of every query among ``points`` (both from :func:`collapse`).
-    A query's own other copies count as neighbours at distance 0. Returns
-    ``(quid, nuid, dist, take)``: ``take`` copies of neighbour ``nuid`` are
-    among the k (Σ take = k, or every available point when fewer exist).
-    With ``cat_col`` (an array of categories on both sides) each mismatching
-    position adds ``cat_penalty²`` to the squared distance (SMOTENC)."""
-    spark = points.sparkSession
-    grp = list(same_group or [])
-    st = points.select(F.posexplode(vec_col).alias("j", "v")).groupBy("j").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()          # one row per dimension
-    if not st:
-        return spark.createDataFrame([], "quid bigint, nuid bigint, dist double, take bigint")
-    spans = {r["j"]: (r["hi"] - r["lo"]) for r in st}
-    diameter = math.sqrt(sum(v * v for v in spans.values()))
-    if cat_col:
-        n_cats = len(points.select(cat_col).first()[0])
-        diameter = math.sqrt(diameter ** 2 + n_cats * cat_penalty ** 2)
-    diameter = max(diameter, 1e-9)
-    dims = [j for j in sorted(spans, key=lambda j: (-spans[j], j)) if spans[j] > 0][:GRID_DIMS] or [0]
-    n_pts = points.agg(F.sum("cnt")).first()[0] or 1
-    vol = 1.0
-    for j in dims:
-        vol *= max(spans[j], 1e-12)
-    s = max((vol * max(k, 1) / n_pts) ** (1.0 / len(dims)), diameter * 1e-6)
-    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=len(dims))])
-    extra_p = [cat_col] if cat_col else []
-    pts = points.select(*grp, "uid", "cnt", vec_col, *extra_p).persist(StorageLevel.MEMORY_AND_DISK)
-    q0 = queries.select(*grp, F.col("uid").alias("quid"), F.col(vec_col).alias("qv"),
-                        *[F.col(cat_col).alias("qc")] if cat_col else [])
-    n_queries = q0.count()
-    done: list[DataFrame] = []
-    n_done = 0
-    for rnd in range(MAX_ROUNDS):
-        last = s >= diameter
-        # pending queries = all queries minus those answered in earlier rounds;
-        # earlier answers are checkpointed, so the lineage grows by one short
-        # table per round
-        todo = q0
-        for r in done:
-            todo = todo.join(r.select("quid").distinct(), "quid", "left_anti")
-        p = pts.withColumn("_cell", F.array(*[F.floor(F.col(vec_col)[j] / F.lit(s)).cast("bigint") for j in dims]))
-        qcell = F.array(*[F.floor(F.col("qv")[j] / F.lit(s)).cast("bigint") for j in dims])
-        q = todo.select("*", F.transform(offsets, lambda o: F.zip_with(qcell, o, lambda a, b: a + b)).alias("_cells")) \
-                .select("*", F.explode("_cells").alias("_cell")).drop("_cells")
-        cand = q.join(p, grp + ["_cell"])
-        d2 = _dist2(F.col("qv"), F.col(vec_col))
-        if cat_col:
-            mism = F.aggregate(F.zip_with(F.col("qc"), F.col(cat_col), lambda a, b: F.when(a == b, 0).otherwise(1)),
-                               F.lit(0), lambda acc, v: acc + v)
-            d2 = d2 + F.lit(cat_penalty * cat_penalty) * mism
-        avail = F.when(F.col("uid") == F.col("quid"), F.col("cnt") - 1).otherwise(F.col("cnt"))
-        c = cand.select("quid", F.col("uid").alias("nuid"), F.sqrt(d2).alias("dist"), avail.alias("avail")) \
-                .where(F.col("avail") > 0)
-        w = Window.partitionBy("quid").orderBy("dist", "nuid")
-        c = c.withColumn("_before", F.coalesce(F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        c = c.where(F.col("_before") < k).withColumn("take", F.least(F.col("avail"), F.lit(k) - F.col("_before")))
-        wq = Window.partitionBy("quid")
-        c = c.select("*", F.sum("take").over(wq).alias("_got"), F.max("dist").over(wq).alias("_kth"))
-        ok = F.lit(True) if last else ((F.col("_got") >= k) & (F.col("_kth") <= s))
-        res = cut_lineage(c.where(ok).select("quid", "nuid", "dist", "take"))
-        done.append(res)
-        n_done += res.select("quid").distinct().count()
-        if last or n_done >= n_queries:
-            break
-        # the queries still open are the sparse ones: grow the radius faster after two rounds
-        s *= 2.0 if rnd < 2 else 4.0
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+              .withColumn("uid", F.md5(F.to_json(F.struct(*group_cols, vec_col)))))
+
+
+def _with_uid(rows: DataFrame, pts: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the id of their point, by the point's own columns."""
+    ids = pts.select("uid", *[F.col(c).alias(f"_p{i}") for i, c in enumerate(on)])
+    same = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(on)]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return rows.join(ids, cond).drop(*[f"_p{i}" for i in range(len(on))])
 
 
 def _neighbour_arrays(nn: DataFrame, pts: DataFrame, vec_col: str, extra: list[str] = ()) -> DataFrame:
@@ -139,18 +57,23 @@ def _neighbour_arrays(nn: DataFrame, pts: DataFrame, vec_col: str, extra: list[s
         F.flatten(F.transform(srt, lambda e: F.array_repeat(e["_r"], e["_t"].cast("int")))).alias("nbrs"))
 
 
-def _class_counts(df: DataFrame, target: str) -> tuple[dict, int]:
-    cc = class_count_map(df, target)     # bounded: one row per class
-    return cc, max(cc.values())
+def _class_sizes(df: DataFrame, target: str) -> tuple[DataFrame, int, int, int]:
+    """``(target, _n)`` of the classes, broadcast where they are few, and the largest
+    class, the least one and the number of classes."""
+    sizes = cut_lineage(df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("_n")))
+    r = sizes.agg(F.max("_n"), F.min("_n"), F.count(F.lit(1))).first()
+    return (F.broadcast(sizes) if r[2] <= BROADCAST_ROWS else sizes), r[0] or 0, r[1] or 0, r[2]
 
 
 def _prepare(df: DataFrame, target: str, feature_cols: list[str], cat_cols) -> tuple[DataFrame, list[str]]:
-    base = df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in feature_cols]))
+    """Rows of a class whose features are all known, with ``_x`` (and ``_cats``)."""
+    base = df.where(F.col(target).isNotNull()).withColumn("_x", F.array(*[F.col(c).cast("double") for c in feature_cols]))
+    base = base.where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
     grp = [target]
     if cat_cols:
         base = base.withColumn("_cats", F.array(*[F.col(c).cast("string") for c in cat_cols]))
         grp = [target, "_cats"]
-    return base.withColumn("uid", _uid(grp, "_x")), grp
+    return base, grp
 
 
 def _synthesize(rows: DataFrame, target: str, key_cols: list[str], feature_cols: list[str], quota: Column,
@@ -174,15 +97,13 @@ def _synthesize(rows: DataFrame, target: str, key_cols: list[str], feature_cols:
     return s.select(*out, sid.alias("synthetic_id"))
 
 
-def _quota_even(rows: DataFrame, target: str, key_cols: list[str], cc: dict, m: int, seed: int) -> DataFrame:
-    """Spread G_c = m − n_c synthetic rows evenly over the class's rows
-    (⌊G/n⌋ each, one more for the first G mod n in seeded order)."""
-    n_c = F.create_map(*[x for c, n in cc.items() for x in (F.lit(c), F.lit(n))])
-    g = F.lit(m) - n_c[F.col(target)]
+def _quota_even(rows: DataFrame, target: str, key_cols: list[str], m: int, n_classes: int, seed: int) -> DataFrame:
+    """Spread G_c = m − n_c synthetic rows evenly over the class's ``_able`` rows that
+    have neighbours (⌊G/n⌋ each, one more for the first G mod n in seeded order)."""
+    g = F.lit(m) - F.col("_n")
     r = hash_rank(rows.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed)), "_tf_h", [target], tiebreak=key_cols,
-                  rank_col="_rk", max_group_rows=m, n_groups=len(cc))
-    return r.withColumn("_quota", (F.floor(g / n_c[F.col(target)])
-                                   + F.when(F.col("_rk") <= F.pmod(g, n_c[F.col(target)]), 1).otherwise(0)).cast("int"))
+                  rank_col="_rk", max_group_rows=m, n_groups=n_classes)
+    return r.withColumn("_quota", (F.floor(g / F.col("_able")) + F.when(F.col("_rk") <= F.pmod(g, F.col("_able")), 1).otherwise(0)).cast("int"))
 
 
 def _median_minority_std(df: DataFrame, feature_cols: list[str]) -> float:
@@ -199,16 +120,17 @@ def smote(df: DataFrame, target: str, feature_cols: list[str], key_cols: list[st
     squared median std of the minority's continuous features to the distance
     and synthetic categories are the neighbours' mode. Returns original rows
     plus synthetic ones (``synthetic_id`` set)."""
-    cc, m = _class_counts(df, target)
-    k = k or safe_k(min(cc.values()))
-    minority = [c for c, n in cc.items() if n < m]
+    sizes, m, least, n_classes = _class_sizes(df, target)
+    k = k or safe_k(least)
     base, grp = _prepare(df, target, feature_cols, cat_cols)
-    mino = base.where(F.col(target).isin(minority)).persist(StorageLevel.MEMORY_AND_DISK)
-    pts = collapse(mino, "_x", grp).persist(StorageLevel.MEMORY_AND_DISK)
+    mino = base.join(sizes.where(F.col("_n") < m), target)
+    pts = cut_lineage(collapse(mino, "_x", grp))
     pen = _median_minority_std(mino, feature_cols) if cat_cols else 0.0
     nn = knn(pts, pts, "_x", k, same_group=[target], cat_col="_cats" if cat_cols else None, cat_penalty=pen)
     nbr = _neighbour_arrays(nn, pts, "_x", ["_cats"] if cat_cols else [])
-    rows = _quota_even(mino.join(nbr, "uid"), target, key_cols, cc, m, seed)
+    rows = cut_lineage(_with_uid(mino, pts, [*grp, "_x"]).join(nbr, "uid").drop("uid"))
+    able = rows.groupBy(target).agg(F.count(F.lit(1)).alias("_able"))
+    rows = _quota_even(rows.join(F.broadcast(able) if n_classes <= BROADCAST_ROWS else able, target), target, key_cols, m, n_classes, seed)
     syn = _synthesize(rows, target, key_cols, feature_cols, F.col("_quota"), seed, cat_cols)
     orig = df.select(target, *feature_cols, *cat_cols, F.lit(None).cast("string").alias("synthetic_id"))
     return orig.unionByName(syn)
@@ -219,54 +141,52 @@ def adasyn(df: DataFrame, target: str, feature_cols: list[str], key_cols: list[s
     """as SMOTE, but each minority row's share of the G = m − n_c new rows
     is proportional to the fraction of other-class rows among its k nearest
     neighbours in the whole table: g_i = round(r_i / Σr · G)."""
-    cc, m = _class_counts(df, target)
-    k = k or safe_k(min(cc.values()))
-    minority = [c for c, n in cc.items() if n < m]
+    sizes, m, least, n_classes = _class_sizes(df, target)
+    k = k or safe_k(least)
     base, grp = _prepare(df, target, feature_cols, ())
-    allpts = collapse(base, "_x", grp).persist(StorageLevel.MEMORY_AND_DISK)
-    mpts = allpts.where(F.col(target).isin(minority))
+    allpts = cut_lineage(collapse(base, "_x", grp))
+    mpts = allpts.join(sizes.where(F.col("_n") < m), target)
     # hardness: other-class share among the k nearest rows of the whole table
-    nn_all = knn(allpts.select("uid", "cnt", "_x"), mpts, "_x", k)
+    nn_all = knn(allpts, mpts, "_x", k)
     lab = allpts.select(F.col("uid").alias("nuid"), F.col(target).alias("_nl"))
     own = mpts.select(F.col("uid").alias("quid"), F.col(target).alias("_ql"))
     r = (nn_all.join(lab, "nuid").join(own, "quid")
-               .groupBy("quid").agg((F.sum(F.when(F.col("_nl") != F.col("_ql"), F.col("take")).otherwise(0))
-                                     / F.sum("take")).alias("_r")))
+               .groupBy(F.col("quid").alias("uid")).agg((F.sum(F.when(F.col("_nl") != F.col("_ql"), F.col("take")).otherwise(0))
+                                                         / F.sum("take")).alias("_r")))
     nn = knn(mpts, mpts, "_x", k, same_group=[target])
     nbr = _neighbour_arrays(nn, mpts, "_x")
-    rows = base.where(F.col(target).isin(minority)).join(nbr, "uid").join(r.withColumnRenamed("quid", "uid"), "uid")
+    rows = cut_lineage(_with_uid(base.join(sizes.where(F.col("_n") < m), target), mpts, [*grp, "_x"])
+                       .join(nbr, "uid").join(r, "uid").drop("uid"))
     tot = rows.groupBy(target).agg(F.sum("_r").alias("_rs"))
-    n_c = F.create_map(*[x for c, n in cc.items() for x in (F.lit(c), F.lit(n))])
-    rows = rows.join(F.broadcast(tot), target)   # one row per class
-    quota = F.when(F.col("_rs") > 0, F.round(F.col("_r") / F.col("_rs") * (F.lit(m) - n_c[F.col(target)]))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(tot) if n_classes <= BROADCAST_ROWS else tot, target)
+    quota = F.when(F.col("_rs") > 0, F.round(F.col("_r") / F.col("_rs") * (F.lit(m) - F.col("_n")))).otherwise(0).cast("int")
     syn = _synthesize(rows, target, key_cols, feature_cols, quota, seed)
     orig = df.select(target, *feature_cols, F.lit(None).cast("string").alias("synthetic_id"))
     return orig.unionByName(syn)
 
 
-def edited_nearest_neighbours(df: DataFrame, target: str, feature_cols: list[str], id_col: str, k: int = 3,
+def edited_nearest_neighbours(df: DataFrame, target: str, feature_cols: list[str], k: int = 3,
                               keep_classes=()) -> DataFrame:
     """ENN: remove rows (of classes not in ``keep_classes``) unless all of their
     k nearest neighbours in the table share their class."""
     base, grp = _prepare(df, target, feature_cols, ())
-    pts = collapse(base, "_x", grp).persist(StorageLevel.MEMORY_AND_DISK)
-    nn = knn(pts.select("uid", "cnt", "_x"), pts, "_x", k)
+    pts = cut_lineage(collapse(base, "_x", grp))
+    nn = knn(pts, pts, "_x", k)
     lab = pts.select(F.col("uid").alias("nuid"), F.col(target).alias("_nl"))
-    own = pts.select(F.col("uid").alias("quid"), F.col(target).alias("_ql"))
-    agree = (nn.join(lab, "nuid").join(own, "quid").groupBy("quid")
-               .agg(F.min((F.col("_nl") == F.col("_ql")).cast("int")).alias("_all")))
-    j = base.join(agree.withColumnRenamed("quid", "uid"), "uid", "left")
-    keep = F.col(target).isin(list(keep_classes)) | (F.coalesce(F.col("_all"), F.lit(1)) == 1)
-    return j.where(keep).drop("_x", "uid", "_all")
+    own = pts.select("uid", F.col(target).alias("_ql"), "_x")
+    disagree = (nn.join(lab, "nuid").join(own.withColumnRenamed("uid", "quid"), "quid").groupBy(F.col("quid").alias("uid"))
+                  .agg(F.min((F.col("_nl") == F.col("_ql")).cast("int")).alias("_all")).where(F.col("_all") == 0))
+    gone = disagree.join(own, "uid").where(~F.col("_ql").isin(list(keep_classes)) if keep_classes else F.lit(True))
+    rows = df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in feature_cols]))
+    gone = gone.select(F.col("_ql"), F.col("_x").alias("_gx"))
+    return rows.join(gone, (rows[target] == gone["_ql"]) & (rows["_x"] == gone["_gx"]), "left_anti").drop("_x")
 
 
 def smote_enn(df: DataFrame, target: str, feature_cols: list[str], key_cols: list[str], k: int | None = None,
               seed: int = SEED, enn_k: int = 3) -> DataFrame:
     """F16: SMOTE, then ENN (k=3, all neighbours must agree) on every class
     except the original minority."""
-    cc, _ = _class_counts(df, target)
-    smallest = min(cc, key=lambda c: (cc[c], str(c)))
+    sizes, _, _, _ = _class_sizes(df, target)
+    first = sizes.orderBy("_n", F.col(target).cast("string")).limit(1).collect()
     s = smote(df, target, feature_cols, key_cols, k, seed)
-    s = s.withColumn("_rid", F.coalesce(F.col("synthetic_id"),
-                                        F.concat_ws("-", *[F.col(c).cast("string") for c in feature_cols], F.lit("orig"))))
-    return edited_nearest_neighbours(s, target, feature_cols, "_rid", enn_k, keep_classes=[smallest]).drop("_rid")
+    return edited_nearest_neighbours(s, target, feature_cols, enn_k, keep_classes=[r[target] for r in first])

@@ -257,16 +257,3 @@ def with_class_size(df: DataFrame, target: str, size_col: str = "_tf_nc"):
         *[d[x] for x in df.columns], size_col), total
 
 
-MAX_CLASSES = 100_000
-
-
-def class_count_map(df: DataFrame, target: str, max_classes: int = MAX_CLASSES, keep_null: bool = True) -> dict:
-    """``{class: rows}`` of a classification target, collected to the driver
-    only after checking that the number of classes is bounded."""
-    c = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    if not keep_null:
-        c = c.where(F.col(target).isNotNull())
-    rows = c.limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{target} has more than {max_classes} classes; use a regression task or group the classes")
-    return {r[target]: r["n"] for r in rows}

@@ -66,3 +66,100 @@ def test_adasyn_focuses_on_hard_points(spark):
     syn = out.where("synthetic_id is not null").collect()
     near = sum(1 for r in syn if r.a < 50)
     assert len(syn) >= 40 and near > len(syn) / 2
+
+
+def _by_hand(pts, k):
+    """Distances of the k nearest others, by point id."""
+    return {i: sorted(math.dist(x, y) for j, y in pts if j != i)[:k] for i, x in pts}
+
+
+def _same(a, b):
+    return len(a) == len(b) and all(abs(x - y) <= 1e-12 * (1 + y) for x, y in zip(a, b))
+
+
+def _search(spark, pts, k, **options):
+    df = spark.createDataFrame(pts, "uid string, x array<double>").withColumn("cnt", F.lit(1)).repartition(3)
+    got = {}
+    for r in NB.knn(df, df, "x", k, **options).collect():
+        got.setdefault(r.quid, []).extend([r.dist] * r.take)
+    return {i: sorted(v) for i, v in got.items()}
+
+
+def test_knn_in_two_and_twelve_dimensions(spark):
+    rnd = random.Random(5)
+    for d in (2, 12):
+        centres = [[rnd.gauss(0, 30) for _ in range(d)] for _ in range(14)]
+        pts = [(f"p{i}", [c + rnd.gauss(0, 1) for c in centres[i % 14]]) for i in range(1400)]
+        pts += [("far", [500.0] * d), ("far2", [-400.0] * d)]
+        stats = {}
+        got, want = _search(spark, pts, 5, block=64, stats=stats), _by_hand(pts, 5)
+        assert all(_same(got[i], want[i]) for i in want)
+        assert stats["pairs"] < 0.35 * len(pts) ** 2
+
+
+def test_knn_without_structure_and_with_offsets(spark):
+    rnd = random.Random(6)
+    pts = [(f"p{i}", [1e6 + rnd.random() for _ in range(8)]) for i in range(300)]
+    got, want = _search(spark, pts, 3, block=32), _by_hand(pts, 3)
+    assert all(_same(got[i], want[i]) for i in want)
+
+
+def test_knn_has_fewer_points_than_k(spark):
+    assert {i: len(v) for i, v in _search(spark, [("a", [0.0]), ("b", [1.0])], 5).items()} == {"a": 1, "b": 1}
+    assert _search(spark, [("a", [0.0])], 5) == {}
+
+
+def test_knn_copies_and_groups_in_blocks(spark):
+    rnd = random.Random(8)
+    rows = [(i % 3, [float(rnd.randint(0, 4)), float(rnd.randint(0, 4)), float(rnd.randint(0, 4))]) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, x array<double>")
+    pts = NB.collapse(df, "x", ["g"])
+    got, vec = {}, {r.uid: (r.g, tuple(r.x)) for r in pts.collect()}
+    for r in NB.knn(pts, pts, "x", 4, same_group=["g"], block=16).collect():
+        got.setdefault(vec[r.quid], []).extend([r.dist] * r.take)
+    for g, x in set((g, tuple(x)) for g, x in rows):
+        others = [y for h, y in rows if h == g]
+        others.remove(list(x))
+        assert _same(sorted(got[g, x]), sorted(math.dist(x, y) for y in others)[:4])
+
+
+def test_categories_add_to_the_distance(spark):
+    rnd = random.Random(9)
+    pts = [(f"p{i}", [rnd.random() * 3], [rnd.choice("ab"), rnd.choice(["x", None])]) for i in range(200)]
+    df = spark.createDataFrame(pts, "uid string, x array<double>, c array<string>").withColumn("cnt", F.lit(1))
+    got = {}
+    for r in NB.knn(df, df, "x", 3, cat_col="c", cat_penalty=0.5, block=20).collect():
+        got.setdefault(r.quid, []).append(r.dist)
+    for i, x, c in pts:
+        want = sorted(math.sqrt((x[0] - y[0]) ** 2 + 0.25 * sum(a is None or b is None or a != b for a, b in zip(c, e)))
+                      for j, y, e in pts if j != i)[:3]
+        assert all(abs(a - b) < 1e-12 for a, b in zip(sorted(got[i]), want, strict=True))
+
+
+def test_null_targets_and_unknown_features_pass_through(spark):
+    rows = [(i, 0 if i < 30 else 1, float((i * 13) % 11), float((i * 7) % 5)) for i in range(40)]
+    rows += [(50, None, 1.0, 2.0), (51, None, None, None), (52, 1, None, 3.0), (53, 0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k int, target int, a double, b double")
+    for make in (NB.smote, NB.adasyn):
+        out = make(df, "target", ["a", "b"], ["k"])
+        assert out.where("synthetic_id is null").count() == len(rows)
+        assert out.where("synthetic_id is not null and (target is null or a is null or isnan(a))").count() == 0
+        n = {r["target"]: r["n"] for r in out.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert n[None] == 2 and n[0] == 31 and abs(n[1] - 31) <= (0 if make is NB.smote else 5)
+    kept = NB.smote_enn(df, "target", ["a", "b"], ["k"])
+    assert kept.where("target is null").count() == 2
+    none = NB.smote(df.where("target is null"), "target", ["a", "b"], ["k"])
+    assert none.count() == 2
+
+
+def test_enn_equals_hand_rule(spark):
+    rnd = random.Random(10)
+    rows = [(i, rnd.choice([0, 0, 1]), rnd.random() * 2, rnd.random() * 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, target int, a double, b double")
+    got = {r.k for r in NB.edited_nearest_neighbours(df, "target", ["a", "b"], 3).collect()}
+    want = set()
+    for i, t, a, b in rows:
+        near = sorted((math.dist((a, b), (x, y)), u) for j, u, x, y in rows if j != i)[:3]
+        if all(u == t for _, u in near):
+            want.add(i)
+    assert got == want
