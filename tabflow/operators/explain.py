@@ -3,24 +3,25 @@ values, both as ONE ``model.transform`` over an exploded frame of variants.
 
 Variant rows are built with joins/explodes on the executors: for permutation
 importance every (feature, repeat) gets the evaluation rows with that
-feature's values permuted (a hash-ranked row index joined to the value
-table); for Shapley values every (row, permutation, position) gets a
+feature's values permuted (a shifted row rank joined to the value table); for Shapley values every (row, permutation, position) gets a
 coalition mixing the explained row with a background row.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex
 from tabflow.functions.ranking import hash_rank
+from tabflow.session import cut_lineage
 
 LARGE_ROWS = 100_000
 MANY_CLASSES = 50
 BACKGROUND_BROADCAST = 10_000   # rows of a background table that may be broadcast
-TOO_MANY_CLASSES_SHAP = 200
 
 
 def permutation_plan(n_rows: int, n_classes: int = 0, repeats: int | None = None, sample: int | None = None,
@@ -35,18 +36,11 @@ def permutation_plan(n_rows: int, n_classes: int = 0, repeats: int | None = None
     return repeats, min(sample, n_rows)
 
 
-def shap_sample_size(n_classes: int) -> int:
-    """K3, the reference's reduced plan for those who want it: 200 rows; 50 above
-    50 classes; 0 (skip) above 200 classes."""
-    if n_classes > TOO_MANY_CLASSES_SHAP:
-        return 0
-    return 50 if n_classes > MANY_CLASSES else 200
-
-
-def _indexed_sample(df: DataFrame, key_cols: list[str], n: int, seed: int) -> DataFrame:
-    """The ``n`` rows with the smallest seeded digests, numbered ``_row`` 1..n."""
-    d = df.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed)).orderBy("_tf_h", *key_cols).limit(n)
-    return d.withColumn("_row", F.row_number().over(Window.orderBy("_tf_h", *key_cols))).drop("_tf_h")
+def numbered(df: DataFrame, key_cols: list[str], seed: int = SEED, n: int | None = None) -> DataFrame:
+    """``df`` with ``_row`` 1.. in the order of the rows' seeded digests (bucketed ranks:
+    no task sorts all rows); the first ``n`` only where a sample is named."""
+    d = hash_rank(df.withColumn("_tf_h", seeded_hex(*key_cols, seed=seed)), "_tf_h", tiebreak=key_cols, rank_col="_row").drop("_tf_h")
+    return d if n is None else d.where(F.col("_row") <= n)
 
 
 def permutation_importance(df: DataFrame, features: list[str], score_fn, key_cols: list[str],
@@ -55,15 +49,17 @@ def permutation_importance(df: DataFrame, features: list[str], score_fn, key_col
     score with the feature's values permuted, over ``repeats`` permutations.
     ``score_fn(frame, group_cols)`` returns ``group_cols + [score]`` with a
     higher-is-better score (it applies the model and aggregates)."""
-    n = sample if sample is not None else df.count()
-    s = _indexed_sample(df, key_cols, n, seed)
-    variants = F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_repeat"))
+    s = cut_lineage(numbered(df, key_cols, seed, sample))
+    n = s.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([], "feature string, importance_mean double, importance_std double")
+    # rows stand in a random order; a repeat gives every row the value of the row that
+    # stands a seeded distance further on
+    shift = lambda f, r: 1 + int(md5(f"{f}-{r}-{seed}".encode()).hexdigest()[:12], 16) % max(n - 1, 1)
+    variants = F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_repeat"), F.lit(shift(f, r)).cast("long").alias("_shift"))
                          for f in features for r in range(repeats)])
     v = s.select("*", F.inline(variants))  # every sample row × (feature, repeat): n·F·R rows
-    v = v.withColumn("_ph", F.md5(F.concat_ws("-", F.col("_row").cast("string"), "_feature",
-                                              F.col("_repeat").cast("string"), F.lit(str(seed)))))
-    v = hash_rank(v, "_ph", ["_feature", "_repeat"], tiebreak=["_row"], rank_col="_perm",
-                  max_group_rows=n, n_groups=len(features) * repeats)
+    v = v.withColumn("_perm", F.pmod(F.col("_row") - 1 + F.col("_shift"), F.lit(n)) + 1).drop("_shift")
     vals = s.select(F.col("_row").alias("_perm"), F.inline(F.array(*[F.struct(F.lit(f).alias("_feature"),
                                                                                F.col(f).cast("string").alias("_pv"))
                                                                       for f in features])))
@@ -82,8 +78,10 @@ def permutation_importance(df: DataFrame, features: list[str], score_fn, key_col
 
 
 def shapley_values(explain: DataFrame, background: DataFrame, features: list[str], predict_fn, row_col: str,
-                   permutations: int = 10, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """K3/K5: Monte-Carlo Shapley values ``(row, feature, phi)``.
+                   permutations: int = 10, seed: int = SEED, carry: tuple[str, ...] = (), with_base: bool = False) -> DataFrame:
+    """K3/K5: Monte-Carlo Shapley values ``(row, feature, phi)`` of any model (exact ones
+    of trees: :mod:`tree_shap`); ``with_base`` adds ``base_value`` (mean score of the
+    background rows used), ``prediction`` and ``feature_value``.
 
     For each explained row and permutation m (a seeded feature order and a
     background row z_m), coalition k takes the first k features of the order
@@ -91,9 +89,9 @@ def shapley_values(explain: DataFrame, background: DataFrame, features: list[str
     f(coalition k) − f(coalition k−1), averaged over m. Σ_f phi = f(x) −
     mean_m f(z_m) exactly. ``predict_fn(frame)`` adds a ``score`` column; columns of
     the explained row that it needs besides the features are named in ``carry``."""
-    nb = background.count()
-    bg = background.select(*[F.col(f).cast("double").alias(f"_bg_{f}") for f in features]) \
-        .withColumn("_bi", F.row_number().over(Window.orderBy(*[f"_bg_{f}" for f in features])) - 1)
+    bg = background.select(*[F.col(f).cast("double").alias(f"_bg_{f}") for f in features])
+    bg = cut_lineage(numbered(bg, bg.columns).withColumn("_bi", F.col("_row") - 1).drop("_row"))
+    nb = bg.count()
     x = explain.select(row_col, *carry, *[F.col(f).cast("double").alias(f) for f in features],
                        F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_m"))
     x = x.withColumn("_bi", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.col(row_col).cast("string"),
@@ -113,8 +111,22 @@ def shapley_values(explain: DataFrame, background: DataFrame, features: list[str
     w = Window.partitionBy(row_col, "_m").orderBy("_k")
     d = scored.select(row_col, "_m", "_k", "_order", (F.col("score") - F.lag("score").over(w)).alias("_d")) \
         .where(F.col("_k") > 0)
-    return (d.select(row_col, F.col("_order")[F.col("_k") - 1].alias("feature"), "_d")
-             .groupBy(row_col, "feature").agg(F.avg("_d").alias("phi")))
+    phi = (d.select(row_col, F.col("_order")[F.col("_k") - 1].alias("feature"), "_d")
+            .groupBy(row_col, "feature").agg(F.avg("_d").alias("phi")))
+    if not with_base:
+        return phi
+    ends = scored.groupBy(row_col).agg(F.avg(F.when(F.col("_k") == 0, F.col("score"))).alias("base_value"),
+                                       F.avg(F.when(F.col("_k") == len(features), F.col("score"))).alias("prediction"))
+    values = explain.select(row_col, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("feature_value"))
+                                                        for f in features])))
+    return phi.join(values, [row_col, "feature"]).join(ends, row_col)
+
+
+def single_explanation(values: DataFrame, top: int | None = None) -> DataFrame:
+    """K5: base value, prediction and the contributions of explained rows, largest by
+    amount first, as :func:`tree_shapley` or :func:`shapley_values` give them."""
+    out = values.orderBy(F.abs("phi").desc(), "feature")
+    return out if top is None else out.limit(top)
 
 
 def global_importance(phi: DataFrame, top: int | None = None) -> DataFrame:
