@@ -383,6 +383,7 @@ class PreprocessorModel:
     # ---- persistence
     def save(self, path: str) -> str:
         spark = next(iter(self.tables.values())).sparkSession if self.tables else SparkSession.getActiveSession()
+        self.state["tables"] = sorted(self.tables)
         spark.createDataFrame([(json.dumps(self.state),)], "state string").coalesce(1).write.mode("overwrite").json(f"{path}/state")
         for name, t in self.tables.items():
             t.write.mode("overwrite").parquet(f"{path}/tables/{name}")
@@ -392,10 +393,5 @@ class PreprocessorModel:
     def load(cls, spark: SparkSession, path: str) -> "PreprocessorModel":
         state = json.loads(spark.read.json(f"{path}/state").first()["state"])
         config = PreprocessorConfig(**state["config"])
-        tables = {}
-        for name in ("rare", "te"):
-            try:
-                tables[name] = spark.read.parquet(f"{path}/tables/{name}")
-            except Exception:  # noqa: BLE001 - table absent when the stage was not fitted
-                pass
-        return cls(config, state, tables)
+        # the state names the tables that were saved: one that cannot be read is an error
+        return cls(config, state, {name: spark.read.parquet(f"{path}/tables/{name}") for name in state["tables"]})

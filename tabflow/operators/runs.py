@@ -26,6 +26,37 @@ def missing_runs(metrics: DataFrame, run_ids: list[str]) -> DataFrame:
     return req.join(metrics.select("run_id").distinct(), "run_id", "left_anti")
 
 
+def run_states(runs: DataFrame, run_ids: list[str]) -> DataFrame:
+    """L2: ``run_id, state`` of the requested runs: ``missing``, ``not completed`` or
+    ``completed``, from ``runs`` with a ``status`` column."""
+    req = runs.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(run_ids)], "run_id string")
+    state = F.when(F.col("known").isNull(), "missing").when(F.coalesce("status", F.lit("")) != "completed", "not completed")
+    known = runs.select("run_id", "status", F.lit(True).alias("known"))
+    return req.join(known, "run_id", "left").select("run_id", state.otherwise("completed").alias("state"))
+
+
+def comparable_runs(runs: DataFrame, metrics: DataFrame, run_ids: list[str]) -> DataFrame:
+    """L2: :func:`compare_runs` of requested runs; raises where one of them is missing
+    or not completed, naming all such runs."""
+    bad = run_states(runs, run_ids).where(F.col("state") != "completed").orderBy("run_id").collect()   # at most the request
+    if bad:
+        raise ValueError("; ".join(f"{r['run_id']}: {r['state']}" for r in bad))
+    return compare_runs(metrics, run_ids)
+
+
+def newest_first(runs: DataFrame, created_col: str = "created_at", id_col: str = "run_id", n: int | None = None) -> DataFrame:
+    """Runs or experiments, the latest first (equal times by id); a page of them
+    where ``n`` is given."""
+    out = runs.orderBy(F.col(created_col).desc_nulls_last(), id_col)
+    return out if n is None else out.limit(n)
+
+
+def trials_in_order(trials: DataFrame, experiment, created_col: str = "created_at", id_col: str = "trial_id",
+                    experiment_col: str = "experiment_id") -> DataFrame:
+    """An experiment's trials in the order in which they were made."""
+    return trials.where(F.col(experiment_col) == experiment).orderBy(F.col(created_col).asc_nulls_last(), id_col)
+
+
 def shared_metric(metrics: DataFrame) -> DataFrame:
     """Metrics present for every run, in preference order: ``(metric_name, rank)``."""
     n = metrics.select("run_id").distinct().count()

@@ -64,6 +64,13 @@ def batch_predict(df: DataFrame, pre: PreprocessorModel | None, model: PipelineM
     return p.select(*keep, "prediction", *[f"prob_{lab}" for lab in labels])
 
 
+def predict_json(records: DataFrame, json_col: str, schema, pre: PreprocessorModel | None, model: PipelineModel,
+                 keep: list[str], threshold: float | None = None) -> DataFrame:
+    """A column of JSON records, read and scored on the executors as a batch is."""
+    df = records.select(F.from_json(json_col, schema).alias("r")).select("r.*")
+    return batch_predict(df, pre, model, keep=keep, threshold=threshold)
+
+
 def predict_records(spark: SparkSession, records: list[dict], schema, pre: PreprocessorModel | None,
                     model: PipelineModel, keep: list[str], threshold: float | None = None) -> DataFrame:
     """A list of dicts scored through the same path as a batch; ``keep``

@@ -35,7 +35,7 @@ def summary(df: DataFrame, target: str, task: str) -> DataFrame:
     return parts.agg(*[F.max(c).alias(c) for c in cols]).withColumn("n_features", F.lit(len(feats)).cast("bigint"))
 
 
-def time_limit_seconds(size_label: str, budget_minutes: float | None) -> int | None:
+def time_limit_seconds(budget_minutes: float | None) -> int | None:
     """Training time limit from the user's budget (none without a budget;
     at least 30 s; budgets under half a minute count as half a minute)."""
     if budget_minutes is None:
@@ -44,16 +44,18 @@ def time_limit_seconds(size_label: str, budget_minutes: float | None) -> int | N
     return max(int(secs), 30)
 
 
-def recommend(df: DataFrame, target: str, task: str, budget_minutes: float | None = None) -> DataFrame:
+def recommend(df: DataFrame, target: str, task: str, budget_minutes: float | None = None, preset: str | None = None,
+              max_models: int | None = None) -> DataFrame:
     """One row of decisions: ``size_label, preset, max_models, bagging,
     primary_metric, imbalance_ratio, sample_weight, validation, n_folds,
-    cv_type, holdout_frac, rare_threshold, enable_pca, model_space``."""
+    cv_type, holdout_frac, rare_threshold, enable_pca, model_space``. A caller's
+    ``preset`` (other than ``auto``) and ``max_models`` stand."""
     s = summary(df, target, task)
     n, nf, mem = F.col("n_samples"), F.col("n_features"), F.col("memory_mb")
     is_cls = F.lit(task in CLASSIFICATION)
     size = F.when(n < SMALL_ROWS, "small").when(n < LARGE_ROWS, "medium").otherwise("large")
-    preset = F.when((size == "large") | (nf > 500) | (mem > 2048), "medium_quality").otherwise("best_quality")
-    max_models = F.when(size == "large", 50).otherwise(25)
+    chosen = F.lit(preset) if preset not in (None, "", "auto") else F.when((size == "large") | (nf > 500) | (mem > 2048), "medium_quality").otherwise("best_quality")
+    models = F.lit(max_models) if max_models is not None else F.when(size == "large", 50).otherwise(25)
     ratio = F.when(is_cls & (F.col("n_classes") >= 2), F.col("max_class") / F.col("min_class"))
     if task == "binary_classification":
         metric = F.when(F.col("max_class") / F.greatest(F.col("min_class"), F.lit(1)) > 3, "auc_pr").otherwise("f1")
@@ -73,7 +75,7 @@ def recommend(df: DataFrame, target: str, task: str, budget_minutes: float | Non
              .when(is_large & ~high_card, "GBM,XGB,LR,CAT")
              .when(~is_large & ~high_card, "GBM,XGB,CAT,RF,XT,KNN,LR").otherwise("GBM,XGB,LR"))
     return s.select(
-        size.alias("size_label"), preset.alias("preset"), max_models.cast("int").alias("max_models"),
+        size.alias("size_label"), chosen.alias("preset"), models.cast("int").alias("max_models"),
         (size == "small").alias("bagging"), metric.alias("primary_metric"), ratio.alias("imbalance_ratio"),
         (F.coalesce(ratio, F.lit(0.0)) > 1.5).alias("sample_weight"),
         F.when(cv, "cv").otherwise("holdout").alias("validation"), n_folds.cast("int").alias("n_folds"),
@@ -82,4 +84,4 @@ def recommend(df: DataFrame, target: str, task: str, budget_minutes: float | Non
         F.greatest(F.lit(5), F.floor(n * 0.001)).cast("bigint").alias("rare_threshold"),
         ((nf > 100) | (mem > 1024)).alias("enable_pca"), space.alias("model_space"),
         *([] if budget_minutes is None else
-          [F.lit(time_limit_seconds("", budget_minutes)).cast("int").alias("time_limit_seconds")]))
+          [F.lit(time_limit_seconds(budget_minutes)).cast("int").alias("time_limit_seconds")]))

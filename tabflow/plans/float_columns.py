@@ -12,6 +12,13 @@ FLOAT_COLUMNS = {
     'clean_dataframe': ['c_acctbal'],
     'clip_iqr': ['value'],
     'correlation_matrix': ['corr'],
+    'kfold_training': ['score_val'],
+    'leaderboard_multiclass': ['score_val'],
+    'trial_search': ['score', 'best_so_far'],
+    'permutation_rule': ['importance_mean', 'importance_std'],
+    'shap_rule': ['phi', 'base_value', 'prediction', 'feature_value'],
+    'strategy_user_choice': ['imbalance_ratio', 'holdout_frac'],
+    'strategy_many_classes': ['imbalance_ratio', 'holdout_frac'],
     'correlation_with_nulls': ['corr'],
     'pca_two_columns': ['explained_ratio', 'first_loading'],
     'cyclical_dates': ['o_orderdate_month_sin', 'o_orderdate_month_cos', 'o_orderdate_dayofweek_sin', 'o_orderdate_dayofweek_cos'],

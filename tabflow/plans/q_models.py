@@ -4,18 +4,22 @@ so most are rows-only; rule-based scorers give SQL-checkable leaderboards."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabflow.operators import explain as EX
 from tabflow.operators import metrics as M
 from tabflow.operators import models as MD
 from tabflow.operators import score as SC
-from tabflow.operators.folds import stratified_kfold
+from tabflow.operators import selection as SEL
+from tabflow.operators import tree_shap as TS
 from tabflow.operators.pipeline import Preprocessor, PreprocessorConfig, PreprocessorModel
-from tabflow.plans.derived import is_train
+from tabflow.plans.derived import is_train, train_sql
 from tabflow.plans.registry import register, table
 from tabflow.session import scratch_path
 
@@ -58,18 +62,18 @@ def feature_pipeline(spark, sf):
     return out.select("o_orderkey", "o_orderstatus", *pre.feature_columns)
 
 
-@register("pipeline_reload")
+@register("pipeline_reload", sql="select o_orderkey, true as same from orders join customer on c_custkey = o_custkey")
 def pipeline_reload(spark, sf):
+    """Every row comes out of the reloaded pipeline as it came out of the fitted one."""
     oc = _orders_customers(spark, sf)
     pre = Preprocessor(PreprocessorConfig(target="o_orderstatus", keep_columns=["o_orderkey"],
                                           drop_columns=["o_custkey"])).fit(oc.where(is_train("o_orderkey")))
     path = scratch_path(spark, "preprocessor")
     pre.save(path)
     again = PreprocessorModel.load(spark, path)
-    cols = ["o_orderkey", "o_orderstatus"] + pre.feature_columns
-    a, b = pre.transform(oc).select(*cols), again.transform(oc).select(*cols)
-    # rows that differ between the fitted and the reloaded model (empty when identical)
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    cols = ["o_orderstatus"] + pre.feature_columns
+    a, b = (m.transform(oc).select("o_orderkey", F.struct(*cols).alias(x)) for m, x in ((pre, "a"), (again, "b")))
+    return a.join(b, "o_orderkey").select("o_orderkey", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
 @register("train_leaderboard")
@@ -109,14 +113,35 @@ def weighted_training(spark, sf):
 
 @register("stacking")
 def stacking(spark, sf):
-    d, tr, va, pre = _fitted(spark, sf)
-    x = stratified_kfold(pre.transform(tr), "toxic", 3, ["doc_id"])
+    """H4: level 2 learns from out-of-fold predictions with refitted preprocessors and is
+    scored on rows that neither level has seen."""
+    d = _docs(spark, sf)
     fam = {"LogisticRegression": LogisticRegression(maxIter=30), "DecisionTree": DecisionTreeClassifier(maxDepth=5, seed=42)}
-    oof = MD.out_of_fold_predictions(x, "fold", "toxic", "binary_classification", pre.feature_columns, fam, "doc_id")
-    wide = oof.groupBy("doc_id", "toxic").pivot("model", list(fam)).agg(F.first("p_pos"))
-    lvl2 = MD.build_pipeline(LogisticRegression(maxIter=30), list(fam), "toxic", "binary_classification").fit(wide)
-    p = lvl2.transform(wide)
-    return p.select("doc_id", "toxic", vector_to_array("probability")[1].alias("p_stacked"))
+    _, preds = SEL.stack(d.where(is_train("doc_id")), d.where(~is_train("doc_id")), "toxic", "binary_classification", ["doc_id"], fam)
+    return preds.where("model = 'Stacked'").select("doc_id", "toxic", F.col("p_pos").alias("p_stacked"))
+
+
+# least squares on one feature has a closed form in every fold
+@register("kfold_training", sql="""
+with r as (select o_totalprice / 1000 as y, o_custkey as x,
+    (row_number() over (order by md5(o_orderkey::varchar || '-42'), o_orderkey) - 1) % 3 as fold from orders),
+f as (select k.fold, regr_slope(y, x) as b, regr_intercept(y, x) as a from (values (0), (1), (2)) k(fold) join r on r.fold <> k.fold group by 1)
+select 'LeastSquares' as model, 'rmse' as metric, -sqrt(avg((y - a - b * x) * (y - a - b * x))) as score_val,
+  'cv' as validation, 3 as n_folds from r join f on f.fold = r.fold""")
+def kfold_training(spark, sf):
+    """H3: pooled out-of-fold error of a family with a closed form."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("y"))
+    cfg = PreprocessorConfig(target="y", dedupe=False, feature_engineering=False, log_skew_threshold=1e9)
+    board, _, _ = SEL.train_validated(o, "y", "regression", ["o_orderkey"], {"LeastSquares": LinearRegression(solver="normal")}, cfg,
+                                      n_folds=3, refit=False)
+    return board
+
+
+@register("kfold_classification")
+def kfold_classification(spark, sf):
+    """H3: stratified folds, every family and fold as one pool of jobs."""
+    fam = {"LogisticRegression": LogisticRegression(maxIter=30, regParam=0.01), "DecisionTree": DecisionTreeClassifier(maxDepth=5, seed=42)}
+    return SEL.train_validated(_docs(spark, sf), "toxic", "binary_classification", ["doc_id"], fam, n_folds=3, refit=False)[0]
 
 
 @register("weighted_ensemble")
@@ -200,6 +225,64 @@ def leaderboard_metrics(spark, sf):
     return out
 
 
+# a rule model of three classes: the dearer an order, the likelier O and then P
+_PF, _PO = "greatest(0.05, 0.9 - o_totalprice / 400000)", "least(0.6, o_totalprice / 600000 + 0.02)"
+
+
+@register("leaderboard_multiclass", sql=f"""
+with s as (select o_orderstatus as y, {_PF} as f, {_PO} as o from orders),
+q as (select y, unnest([{{'c': 'F', 'p': f}}, {{'c': 'O', 'p': o}}, {{'c': 'P', 'p': greatest(0.0, 1 - f - o)}}], recursive := true) from s),
+d as (select y, case when f >= o and f >= greatest(0.0, 1 - f - o) then 'F' when o >= greatest(0.0, 1 - f - o) then 'O' else 'P' end as said from s),
+k as (select c, sum((y = c)::int)::double as real, sum((said = c)::int)::double as named, sum((y = c and said = c)::int)::double as tp
+  from d, (values ('F'), ('O'), ('P')) v(c) group by c),
+r as (select c, coalesce(tp / nullif(named, 0), 0) as pr, coalesce(tp / nullif(real, 0), 0) as re, coalesce(2 * tp / nullif(named + real, 0), 0) as f1, real from k),
+g as (select c, p, sum((y = c)::int) as pos, sum((y <> c)::int) as neg from q group by 1, 2),
+u as (select *, sum(neg) over (partition by c order by p desc) as fp, sum(pos) over (partition by c) as n_pos, sum(neg) over (partition by c) as n_neg from g),
+a as (select c, sum(pos * ((n_neg - fp) + 0.5 * neg)) / (max(n_pos) * max(n_neg)) as auc, max(n_pos) as n_pos from u group by c)
+select 'PriceRule' as model, metric, score_val from (select
+  (select sum(pr * real) / sum(real) from r) as precision, (select sum(re * real) / sum(real) from r) as recall,
+  (select sum(f1 * real) / sum(real) from r) as f1, (select avg(f1) from r) as f1_macro, (select sum(auc * n_pos) / sum(n_pos) from a) as roc_auc)
+unpivot (score_val for metric in (precision, recall, f1, f1_macro, roc_auc))""")
+def leaderboard_multiclass(spark, sf):
+    """H1: the leaderboard metrics of a target with three classes."""
+    o = table(spark, sf, "orders")
+    f, s = F.expr(_PF), F.expr(_PO)
+    probs = F.array(f, s, F.greatest(F.lit(0.0), 1 - f - s))
+    preds = o.select(F.lit("PriceRule").alias("model"), probs.alias("probs"),
+                     (F.array_position(F.array(*map(F.lit, "FOP")), F.col("o_orderstatus")) - 1).cast("double").alias("label"))
+    preds = preds.withColumn("prediction", (F.array_position("probs", F.array_max("probs")) - 1).cast("double"))
+    parts = [MD.evaluate_models(preds, m, "multiclass_classification") for m in ("precision", "recall", "f1", "f1_macro", "roc_auc")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# candidates in a fixed order: thresholds of a purchase rule, two trials a round; a round
+# in which four scored trials in a row brought nothing is the last one
+_CUTS = (300, 200, 250, 420, 180, 90, 470, 30, 350, 400, 150, 60)
+
+
+@register("trial_search", sql=f"""
+with c(trial, cut) as (values {', '.join(f'({i}, {t})' for i, t in enumerate(_CUTS))}),
+s as (select trial, cut, avg(((value >= cut) = (event_type = 'purchase'))::int::double) as score from c, events group by 1, 2),
+p as (select *, max(score) over (order by trial rows between unbounded preceding and 1 preceding) as prev from s),
+i as (select *, prev is null or score > prev as improved from p),
+l as (select *, max(case when improved then trial end) over (order by trial) as last, max(score) over (order by trial) as best_so_far from i),
+e as (select coalesce(min(trial // 2), 99) as stop from l where trial % 2 = 1 and trial - last >= 4)
+select cast(trial as int) as trial, cast(trial // 2 as int) as iteration, '{{"cut": ' || cut || '}}' as candidate, 'completed' as status, score,
+  improved, best_so_far, cast(trial - last as int) as since_improvement from l, e where trial // 2 <= stop""")
+def trial_search(spark, sf):
+    """L3: the search loop over Spark evaluations."""
+    e = table(spark, sf, "events")
+
+    def accuracy(candidate):
+        hit = (F.col("value") >= candidate["cut"]) == (F.col("event_type") == "purchase")
+        return e.agg(F.avg(hit.cast("double"))).first()[0]
+    return SEL.search(spark, lambda history: [{"cut": t} for t in _CUTS[len(history):len(history) + 2]], accuracy,
+                      trials_per_iteration=2, max_iterations=6, parallelism=2).drop("error")
+
+
 @register("ensemble_fallback", sql=_rule_models_sql() + """,
 t as (select arg_max(model, score_val) as top_model, max(score_val) as top_score from lb),
 b as (select arg_max(model, score_val) as best_single_model, max(score_val) as single_score from lb
@@ -259,10 +342,32 @@ def permutation_importance(spark, sf):
     d, tr, va, pre = _fitted(spark, sf)
     pm = MD.build_pipeline(RandomForestClassifier(numTrees=20, maxDepth=6, seed=42), pre.feature_columns, "toxic",
                            "binary_classification").fit(pre.transform(tr))
-    n = va.count()
-    reps, sample = EX.permutation_plan(n, 2)
-    return EX.permutation_importance(va, ["quality", "n_chars", "lang", "source"], _score_fn(pre, pm), ["doc_id"],
-                                     repeats=reps, sample=sample)
+    return EX.permutation_importance(va, ["quality", "n_chars", "lang", "source"], _score_fn(pre, pm), ["doc_id"])
+
+
+# the rule "purchase if value / 500 + user_id / 150 >= 1" under permuted columns: a row
+# takes the value of the row a seeded distance further on in the order of digests
+_SHIFTS = {(f, r): int(hashlib.md5(f"{f}-{r}-42".encode()).hexdigest()[:12], 16) for f in ("value", "user_id") for r in range(3)}
+_RULE = "avg((({v} / 500.0 + {u} / 150.0 >= 1) = (a.event_type = 'purchase'))::int::double)"
+
+
+@register("permutation_rule", sql=f"""
+with e as (select event_type, value, user_id, row_number() over (order by md5(event_id::varchar || '-42'), event_id) - 1 as r from events),
+n as (select count(*) as n from e), s(feature, shift) as (values {', '.join(f"('{f}', {x})" for (f, _), x in _SHIFTS.items())}),
+p as (select feature, shift, case when feature = 'value' then {_RULE.format(v="b.value", u="a.user_id")}
+    else {_RULE.format(v="a.value", u="b.user_id")} end as score
+  from s, n, e a join e b on b.r = (a.r + 1 + shift % greatest(n.n - 1, 1)) % n.n group by 1, 2),
+t as (select {_RULE.format(v="a.value", u="a.user_id")} as base from e a)
+select feature, avg(base - score) as importance_mean, stddev_pop(base - score) as importance_std from p, t group by 1""")
+def permutation_rule(spark, sf):
+    """K1 with a rule in the model's place."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "value", "user_id")
+
+    def accuracy(frame, by):
+        hit = (F.col("value") / 500.0 + F.col("user_id") / 150.0 >= 1) == (F.col("event_type") == "purchase")
+        a = F.avg(hit.cast("double")).alias("score")
+        return frame.groupBy(*by).agg(a) if by else frame.agg(a)
+    return EX.permutation_importance(e, ["value", "user_id"], accuracy, ["event_id"], repeats=3)
 
 
 def _numeric_model(spark, sf):
@@ -282,18 +387,58 @@ def _prob_fn(pm, idx=1):
 def shap_global(spark, sf):
     d, tr, va, pre, pm, feats = _numeric_model(spark, sf)
     x = pre.transform(va)
-    bg = EX._indexed_sample(pre.transform(tr), ["doc_id"], 50, 7).select(*feats)
+    bg = EX.numbered(pre.transform(tr), ["doc_id"], 7, 50).select(*feats)
     phi = EX.shapley_values(x.select("doc_id", *feats), bg, feats, _prob_fn(pm), "doc_id", permutations=8)
     return EX.global_importance(phi)
 
 
 @register("shap_single")
 def shap_single(spark, sf):
+    """K5: one row's base value, prediction and contributions."""
     d, tr, va, pre, pm, feats = _numeric_model(spark, sf)
-    x = EX._indexed_sample(pre.transform(va), ["doc_id"], 1, 42)
-    bg = EX._indexed_sample(pre.transform(tr), ["doc_id"], 50, 7).select(*feats)
-    phi = EX.shapley_values(x.select("doc_id", *feats), bg, feats, _prob_fn(pm), "doc_id", permutations=16)
-    return phi.orderBy(F.abs("phi").desc(), "feature")
+    x = EX.numbered(pre.transform(va), ["doc_id"], 42, 1)
+    bg = EX.numbered(pre.transform(tr), ["doc_id"], 7, 50).select(*feats)
+    phi = EX.shapley_values(x.select("doc_id", *feats), bg, feats, _prob_fn(pm), "doc_id", permutations=16, with_base=True)
+    return EX.single_explanation(phi)
+
+
+# an additive rule against one background row (the means) has its parts as Shapley values
+@register("shap_rule", sql="""
+with m as (select avg(value) as v, avg(user_id) as u from events)
+select event_id, feature, case when feature = 'value' then (value - v) / 500 else -(user_id - u) / 150 end as phi,
+  v / 500 - u / 150 as base_value, value / 500 - user_id / 150 as prediction,
+  case when feature = 'value' then value else user_id::double end as feature_value
+from events, m, (values ('value'), ('user_id')) f(feature)""")
+def shap_rule(spark, sf):
+    """K3/K5 with a rule in the model's place, for every event."""
+    e = table(spark, sf, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user_id"))
+    bg = e.agg(F.avg("value").alias("value"), F.avg("user_id").alias("user_id"))
+    score = lambda f: f.withColumn("score", F.col("value") / 500 - F.col("user_id") / 150)
+    return EX.shapley_values(e, bg, ["value", "user_id"], score, "event_id", permutations=2, with_base=True)
+
+
+@register("shap_tree")
+def shap_tree(spark, sf):
+    """K3/K4/K6: exact Shapley values of a forest, for the class that it gives each
+    held-out row; mean amount by feature."""
+    d, tr, va, pre, = _fitted(spark, sf)
+    pm = MD.build_pipeline(RandomForestClassifier(numTrees=20, maxDepth=6, seed=42), pre.feature_columns, "toxic",
+                           "binary_classification").fit(pre.transform(tr))
+    return EX.global_importance(TS.tree_shapley(pre.transform(va), pm, pre.feature_columns, ["doc_id"]))
+
+
+@register("shap_tree_additive", sql=f"""
+select l.doc_id, true as adds_up from labels l join documents d on d.doc_id = l.doc_id where not ({train_sql("l.doc_id")})""")
+def shap_tree_additive(spark, sf):
+    """Base value and contributions add up to the forest's probability in every held-out row."""
+    d, tr, va, pre = _fitted(spark, sf)
+    pm = MD.build_pipeline(RandomForestClassifier(numTrees=20, maxDepth=6, seed=42), pre.feature_columns, "toxic",
+                           "binary_classification").fit(pre.transform(tr))
+    x = pre.transform(va)
+    total = TS.tree_shapley(x, pm, pre.feature_columns, ["doc_id"], output=1).groupBy("doc_id").agg(
+        (F.sum("phi") + F.first("base_value")).alias("total"))
+    said = pm.transform(x).select("doc_id", vector_to_array("probability")[1].alias("p"))
+    return said.join(total, "doc_id", "left").select("doc_id", F.coalesce(F.abs(F.col("p") - F.col("total")) < 1e-9, F.lit(False)).alias("adds_up"))
 
 
 @register("shap_multiclass")
@@ -306,7 +451,7 @@ def shap_multiclass(spark, sf):
     pm = MD.build_pipeline(LogisticRegression(maxIter=30), feats, "o_orderstatus", "multiclass_classification").fit(tr)
     # explain the probability of the class predicted for each held-out row (K6)
     x = pm.transform(o.where(~is_train("o_orderkey"))).select("o_orderkey", *feats, F.col("prediction").cast("int").alias("_cls"))
-    bg = EX._indexed_sample(tr, ["o_orderkey"], 50, 7).select(*feats)
+    bg = EX.numbered(tr, ["o_orderkey"], 7, 50).select(*feats)
 
     def fn(frame):
         return pm.transform(frame.withColumn("o_orderstatus", F.lit("F"))).withColumn("score", vector_to_array("probability")[F.col("_cls")])
@@ -326,14 +471,18 @@ def label_encode_decode(spark, sf):
                                                                "c_mktsegment_decoded")
 
 
-@register("score_records")
+@register("score_records", sql=f"""
+select l.doc_id, true as same from labels l join documents d on d.doc_id = l.doc_id where not ({train_sql("l.doc_id")})""")
 def score_records(spark, sf):
-    """A small list of records (an API payload, here 20 documents taken by
-    seeded order) scored through the same path as a batch."""
-    from tabflow.operators.split import sample_rows
+    """Every held-out row as a JSON record, scored as records and as a batch with the
+    same outcome."""
     d, tr, va, pre = _fitted(spark, sf)
     pm = MD.build_pipeline(LogisticRegression(maxIter=30), pre.feature_columns, "toxic", "binary_classification") \
         .fit(pre.transform(tr))
-    payload = sample_rows(va.drop("toxic"), 20, ["doc_id"])
-    records = [r.asDict() for r in payload.collect()]          # bounded: 20 records
-    return SC.predict_records(spark, records, payload.schema, pre, pm, keep=["doc_id"])
+    rows = va.drop("toxic")
+    records = rows.select(F.to_json(F.struct(*rows.columns)).alias("record"))
+    a = SC.predict_json(records, "record", rows.schema, pre, pm, keep=["doc_id"])
+    b = SC.batch_predict(rows, pre, pm, keep=["doc_id"])
+    cols = [c for c in a.columns if c != "doc_id"]
+    a, b = (x.select("doc_id", F.struct(*cols).alias(n)) for x, n in ((a, "a"), (b, "b")))
+    return a.join(b, "doc_id").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabflow.operators import runs as R
 from tabflow.operators import strategy as ST
-from tabflow.plans.registry import register, table
+from tabflow.plans.registry import ORACLE_SQL, register, table
 from tabflow.plans.sqlgen import FIELD_TYPE_CASE, profile_sql
 
 
@@ -129,6 +129,72 @@ def strategy_recommendation(spark, sf):
     return ST.recommend(table(spark, sf, "orders"), "o_orderstatus", "multiclass_classification")
 
 
+@register("strategy_user_choice", sql="select * replace ('medium_quality' as preset, cast(7 as int) as max_models) from (\n"
+          + ORACLE_SQL["strategy_recommendation"] + "\n) x")
+def strategy_user_choice(spark, sf):
+    """G0 where the caller names preset and number of models."""
+    return ST.recommend(table(spark, sf, "orders"), "o_orderstatus", "multiclass_classification", preset="medium_quality", max_models=7)
+
+
+@register("strategy_many_classes", sql=f"""
+with o as (select o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m') as month from orders),
+p as ({profile_sql("orders", [c for c in _OR if c[0] in ("o_orderkey", "o_custkey", "o_totalprice")])}),
+hc as (select count(*) as k from p where ({FIELD_TYPE_CASE}) in ('categorical', 'id', 'text') and (unique_ratio > 0.3 or nunique > 50000)),
+c as (select month, count(*) as n from o group by 1),
+s as (select (select count(*) from o) as n, (8.0 * 3 + 7) * (select count(*) from o) / 1048576.0 as mem,
+  (select count(*) from c) as k, (select max(n) from c) as mx, (select min(n) from c) as mn, 3 as nf)
+select case when n < 1000 then 'small' when n < 100000 then 'medium' else 'large' end as size_label,
+  case when n >= 100000 or mem > 2048 then 'medium_quality' else 'best_quality' end as preset,
+  cast(case when n >= 100000 then 50 else 25 end as int) as max_models, n < 1000 as bagging,
+  'log_loss' as primary_metric, mx / mn as imbalance_ratio, mx / mn > 1.5 as sample_weight,
+  case when n < 500 then 'cv' else 'holdout' end as validation,
+  cast(case when n < 500 then greatest(2, least(5, mn)) end as int) as n_folds,
+  case when n < 500 then 'stratified' end as cv_type,
+  case when n >= 500 then case when n < 1000 then 0.2 when n < 100000 then 0.15 else 0.1 end end as holdout_frac,
+  cast(greatest(5, floor(n * 0.001)) as bigint) as rare_threshold, mem > 1024 as enable_pca,
+  case when not ((n >= 100000 or mem > 1024) or (select k from hc) > 0 or k > 50) then 'full'
+       when (n >= 100000 or mem > 1024) and (select k from hc) = 0 then 'GBM,XGB,LR,CAT'
+       when not (n >= 100000 or mem > 1024) and (select k from hc) = 0 then 'GBM,XGB,CAT,RF,XT,KNN,LR' else 'GBM,XGB,LR' end as model_space
+from s""")
+def strategy_many_classes(spark, sf):
+    """G0 for a target of more than 50 classes (the months of the order history)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return ST.recommend(o, "month", "multiclass_classification")
+
+
+def _runs(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.max("o_orderdate").alias("created_at")).withColumn(
+        "status", F.when(F.col("run_id") == "4-NOT SPECIFIED", "running").otherwise("completed"))
+
+
+@register("run_states", sql="""
+select r.run_id, case when o.run_id is null then 'missing' when r.run_id = '4-NOT SPECIFIED' then 'not completed' else 'completed' end as state
+from (values ('1-URGENT'), ('4-NOT SPECIFIED'), ('9-UNKNOWN')) r(run_id) left join (select distinct o_orderpriority as run_id from orders) o using (run_id)""")
+def run_states(spark, sf):
+    """L2: requested runs that are missing or not completed."""
+    return R.run_states(_runs(spark, sf), ["1-URGENT", "4-NOT SPECIFIED", "9-UNKNOWN"])
+
+
+@register("newest_runs", sql="""
+select strftime(o_orderdate, '%Y-%m-%d') as run_id, max(o_orderdate) as created_at from orders group by 1 order by 2 desc, 1 limit 25""")
+def newest_runs(spark, sf):
+    """A page of the latest runs (one a day)."""
+    days = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("run_id")).agg(
+        F.max("o_orderdate").alias("created_at"))
+    return R.newest_first(days, n=25)
+
+
+@register("experiment_trials", sql="""
+select o_orderpriority as experiment_id, strftime(o_orderdate, '%Y-%m') as trial_id, min(o_orderdate) as created_at
+from orders where o_orderpriority = '2-HIGH' group by 1, 2""")
+def experiment_trials(spark, sf):
+    """One experiment's trials."""
+    trials = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("experiment_id"), F.date_format("o_orderdate", "yyyy-MM").alias("trial_id")).agg(
+        F.min("o_orderdate").alias("created_at"))
+    return R.trials_in_order(trials, "2-HIGH")
+
+
 _REQUESTED = ["1-URGENT", "3-MEDIUM", "9-UNKNOWN"]
 
 
