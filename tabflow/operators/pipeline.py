@@ -22,6 +22,7 @@ from tabflow.functions.columns import is_datetime, is_numeric, is_string
 from tabflow.functions.ranking import top_k_per_group
 from tabflow.operators import clean as CL
 from tabflow.operators import features as FE
+from tabflow.operators import text as TX
 from tabflow.operators.stats import APPROX_ACCURACY, EXACT_QUANTILE_MAX_ROWS, exact_quantiles_large
 
 WEIGHT_COL = "_sample_weight"
@@ -55,6 +56,9 @@ class PreprocessorConfig:
     low_variance_threshold: float = FE.LOW_VARIANCE_THRESHOLD
     enable_pca: bool = False
     pca_variance: float = FE.PCA_VARIANCE
+    text_features: bool = False     # embeddings `{col}_emb_i` of text columns
+    text_dims: int = 16
+    text_max_terms: int = TX.MAX_TERMS
     legacy_order: bool = False      # learn encodings before rare-merge, as the reference does
     exact: object = "auto"          # True / False / "auto" (exact up to 10M training rows)
 
@@ -68,7 +72,9 @@ class Preprocessor:
        target sums per value → modes, rare sets, one-hot lists, target encodings;
     3. one numeric aggregate: pooled outlier share (scaler choice) and the
        quantiles of the median-filled values (robust scaler);
-    4. one aggregate over the transformed features: correlations and variances.
+    4. one scan of the transformed features for correlations, one for variances.
+
+    Text columns, where asked for, are learned beside passes 2 and 3 (:mod:`text`).
     """
 
     def __init__(self, config: PreprocessorConfig):
@@ -114,11 +120,13 @@ class Preprocessor:
                     futs.append(pool.submit(self._pass2_categorical, base, state, tables))
                 if c.feature_engineering and roles["numeric"]:
                     futs.append(pool.submit(self._pass3_numeric, base, state))
+                if c.feature_engineering and c.text_features:
+                    futs += [pool.submit(self._pass_text, base, x, state, tables) for x in roles["text"]]
                 for fu in futs:
                     fu.result()
             if c.feature_engineering:
-                cur = model._stage_dates(model._stage_encode(model._stage_rare(model._stage_scale(
-                    model._stage_log(model._stage_fill(base))))))
+                cur = model._stage_text(model._stage_dates(model._stage_encode(model._stage_rare(model._stage_scale(
+                    model._stage_log(model._stage_fill(base)))))))
                 feats = model._numeric_features(cur)
                 if feats:
                     self._pass4_selection(cur, feats, state)
@@ -240,6 +248,13 @@ class Preprocessor:
             tables["te"] = te.persist(StorageLevel.MEMORY_AND_DISK)
             state["te_columns"], state["te_global"], state["n_te"] = te_cols, g, tables["te"].count()
 
+    # ---- text columns: an embedding table each, learned on the training texts
+    def _pass_text(self, base: DataFrame, col: str, state: dict, tables: dict) -> None:
+        table, values = TX.fit_embedding(base, col, self.config.text_dims, self.config.text_max_terms)
+        if values:
+            tables[f"text_{col}"] = table
+            state.setdefault("text", {})[col] = len(values)
+
     # ---- pass 3: scaler choice (pooled outliers on raw values) and filled quantiles
     def _pass3_numeric(self, base: DataFrame, state: dict) -> None:
         c = self.config
@@ -343,6 +358,13 @@ class PreprocessorModel:
         cols = [c for c in self.state["roles"]["datetime"] if c in df.columns]
         return FE.add_date_parts(df, cols, self.config.datetime_cyclical) if cols else df
 
+    def _stage_text(self, df):
+        for col, dims in sorted(self.state.get("text", {}).items()):
+            if col in df.columns:
+                df = df.withColumn("_tf_emb", TX.embedding(self.tables[f"text_{col}"], col, dims))
+                df = df.select(*[x for x in df.columns if x != "_tf_emb"], *[F.col("_tf_emb")[i].alias(f"{col}_emb_{i}") for i in range(dims)])
+        return df
+
     def _stage_drop(self, df):
         return df.drop(*(self.state.get("corr_drop", []) + self.state.get("var_drop", [])))
 
@@ -376,7 +398,7 @@ class PreprocessorModel:
         if c.feature_engineering:
             df = self._stage_scale(df)
             df = self._stage_encode(self._stage_rare(df))
-            df = self._stage_drop(self._stage_dates(df))
+            df = self._stage_drop(self._stage_text(self._stage_dates(df)))
             df = self._stage_pca(df)
         return df
 

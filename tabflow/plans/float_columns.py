@@ -14,6 +14,7 @@ FLOAT_COLUMNS = {
     'correlation_matrix': ['corr'],
     'kfold_training': ['score_val'],
     'leaderboard_multiclass': ['score_val'],
+    'text_tfidf': ['tfidf_norm'],
     'trial_search': ['score', 'best_so_far'],
     'permutation_rule': ['importance_mean', 'importance_std'],
     'shap_rule': ['phi', 'base_value', 'prediction', 'feature_value'],

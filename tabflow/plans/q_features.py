@@ -3,11 +3,12 @@ seeded-hash training rows, applied to every row."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import TWO_PI
 from tabflow.operators import features as FE
+from tabflow.operators import text as TX
+from tabflow.operators.pipeline import Preprocessor, PreprocessorConfig
 from tabflow.plans.derived import (EVENTS_NULLS_SQL, ORDERS_NULLS_SQL, PART_LABELS_SQL, events_nulls, is_train,
                                    orders_nulls, part_labels, train_sql)
 from tabflow.plans.registry import register, table
@@ -259,10 +260,26 @@ def pca_two_columns(spark, sf):
     return spark.createDataFrame(rows, "component int, explained_ratio double, first_loading double")
 
 
-@register("text_tfidf")
+_TERMS_SQL = r"""d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') as w from documents),
+t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) group by 1, 2),
+k as (select term, count(*) as df from t group by 1),
+x as (select doc_id, term, tf, tf * ln(((select count(*) from d) + 1.0) / (df + 1)) as tfidf from t join k using (term))"""
+
+
+@register("text_tfidf", sql=f"with {_TERMS_SQL} select doc_id, count(*) as n_terms, sqrt(sum(tfidf * tfidf)) as tfidf_norm from x group by 1")
 def text_tfidf(spark, sf):
+    """Exact weights over the whole vocabulary."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    t = FE.text_tfidf(d, "text")
-    a = vector_to_array("tfidf")
-    return t.select("doc_id", F.size(F.filter(a, lambda x: x != 0)).alias("n_terms"),
-                    F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)).alias("tfidf_norm"))
+    return TX.term_weights(d, "text", "doc_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("tfidf_norm"))
+
+
+@register("text_embeddings")
+def text_embeddings(spark, sf):
+    """E18 as a stage of the fitted pipeline: `text_emb_i` of every document."""
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    d = table(spark, sf, "documents").select("doc_id", "text", "n_chars").join(lab, "doc_id", "left")
+    pre = Preprocessor(PreprocessorConfig(target="quality", keep_columns=["doc_id"], text_features=True, text_dims=4, text_max_terms=2000,
+                                          drop_null_target=False, dedupe=False)).fit(d)
+    out = pre.transform(d)
+    return out.select("doc_id", *[c for c in out.columns if c.startswith("text_emb_")])
