@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.columns import SEED, seeded_hex, uniform01
 from tabflow.functions.ranking import hash_rank, range_rank
+from tabflow.session import cut_lineage
 
-GREEDY_GROUPS_MAX = 200_000   # largest group table that the greedy assignment takes to the driver
+GROUPS_BROADCAST = 1_000_000
 
 
 def kfold(df: DataFrame, k: int, key_cols: list[str], seed: int = SEED, n_rows: int | None = None) -> DataFrame:
@@ -43,27 +44,22 @@ def time_series_blocks(df: DataFrame, k: int, order_cols: list[str], n_rows: int
 
 
 def group_kfold(df: DataFrame, group_col: str, k: int, mode: str = "greedy", seed: int = SEED) -> DataFrame:
-    """groups never cross folds. ``greedy`` = sort groups by size
-    (descending) and give each to the currently lightest fold (balanced, as
-    scikit-learn's GroupKFold; at most ``GREEDY_GROUPS_MAX`` groups, more are
-    refused rather than assigned by another rule); ``hash`` = seeded hash of the
-    group (no collection, any number of groups). Null is a group of its own."""
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_tf_n"))
+    """groups never cross folds. ``greedy`` deals the groups out by size, the
+    largest first, back and forth over the folds (0..k-1, k-1..0, ...): two folds differ
+    by at most the largest group, as when each group goes to the lightest fold. The rank
+    is a distributed one over the table of group sizes, so any number of groups will do;
+    equal sizes go by the seeded digest. ``hash`` = seeded hash of the group. Null is a
+    group of its own."""
     if mode == "hash":
         return df.withColumn("fold", F.floor(uniform01(seeded_hex(group_col, seed=seed)) * k).cast("int"))
-    rows = counts.orderBy(F.col("_tf_n").desc(), F.col(group_col).asc()).limit(GREEDY_GROUPS_MAX + 1).collect()
-    if len(rows) > GREEDY_GROUPS_MAX:
-        raise ValueError(f"more than {GREEDY_GROUPS_MAX} groups: pass mode='hash'")
-    load = [0] * k
-    assign = []
-    for r in rows:
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["_tf_n"]
-        assign.append((r[group_col], f))
-    spark = df.sparkSession
-    amap = spark.createDataFrame(assign, f"{group_col} {df.schema[group_col].dataType.simpleString()}, fold int")
-    amap = F.broadcast(amap.withColumnRenamed(group_col, "_tf_group"))
-    return df.join(amap, df[group_col].eqNullSafe(amap["_tf_group"]), "left").drop("_tf_group")
+    sizes = df.groupBy(F.col(group_col).alias("_tf_group")).agg((-F.count(F.lit(1))).alias("_tf_neg"))
+    sizes = cut_lineage(sizes.withColumn("_tf_u", uniform01(seeded_hex("_tf_group", seed=seed))))
+    n = sizes.count()
+    place = F.pmod(F.col("_tf_rank") - 1, F.lit(2 * k))
+    dealt = range_rank(sizes, ["_tf_neg", "_tf_u", "_tf_group"], "_tf_rank", n_rows=n).select(
+        "_tf_group", F.when(place < k, place).otherwise(2 * k - 1 - place).cast("int").alias("fold"))
+    dealt = F.broadcast(dealt) if n <= GROUPS_BROADCAST else dealt
+    return df.join(dealt, df[group_col].eqNullSafe(dealt["_tf_group"]), "left").drop("_tf_group")
 
 
 def choose_folds(n_rows: int, task: str, min_class: int | None, requested: int = 5) -> tuple[int, str]:

@@ -8,13 +8,12 @@ expression over that small profile, so the decisions stay lazy Spark work.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.columns import (is_boolean, is_datetime, is_integral, is_numeric, is_string,
                                        parse_datetime_string)
-from tabflow.operators.stats import distinct_counts, unpivot_row, value_counts_long
+from tabflow.operators.stats import distinct_counts, unpivot_row, value_keys
 
 # Name fragments that mark identifier columns.
 ID_NAME_PATTERNS = ("id", "idx", "index", "key", "uuid", "serial", "code", "no", "num",
@@ -64,26 +63,24 @@ def _kind(dt) -> str:
     return "other"
 
 
-def sequential_ratio(df: DataFrame, cols: list[str], vc: DataFrame | None = None) -> DataFrame:
+def _sequence_share() -> Column:
+    """Distinct values whose successor occurs, over rows - 1, from :func:`value_keys`."""
+    hits = F.count_if((F.col("own") > 0) & (F.col("next") > 0) & ~F.col("missing"))
+    rows = F.sum(F.when(~F.col("missing"), F.col("own")))
+    return F.when(rows > 1, hits / (rows - 1)).otherwise(F.lit(0.0))
+
+
+def sequential_ratio(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column, seq_ratio)`` = share of consecutive sorted non-null values
     that differ by exactly 1, i.e. distinct values v with v+1 present over
-    (non-null count − 1). Distributed: distinct values self equi-joined on
-    v+1 (no global sort window)."""
+    (non-null count − 1). One shuffle, in which every value also marks the one before
+    it: no sort, no self-join."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, seq_ratio double")
-    vc = (vc if vc is not None else value_counts_long(df, cols)).where(
-        F.col("column").isin(*cols) & F.col("value").isNotNull()).select(
-        "column", F.col("value").cast("bigint").alias("v"), "cnt")
-    nxt = vc.select(F.col("column").alias("c2"), (F.col("v") - 1).alias("v2"))
-    hits = vc.join(nxt, (vc["column"] == nxt["c2"]) & (vc["v"] == nxt["v2"]), "left")
-    return hits.groupBy("column").agg(
-        (F.count("c2") / F.greatest(F.sum("cnt") - 1, F.lit(1))).alias("seq_ratio"),
-        F.sum("cnt").alias("_nn")).select("column", F.when(F.col("_nn") > 1, F.col("seq_ratio")).otherwise(F.lit(0.0))
-                                          .alias("seq_ratio"))
-
-
-def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct: bool = False,
-                   with_counts: bool = False):
+    return value_keys(df, cols, tuple(cols)).groupBy("column").agg(_sequence_share().alias("seq_ratio"))
+
+
+def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct: bool = False) -> DataFrame:
     """Per column: ``column, idx, kind, n_rows, non_null, nunique, unique_ratio,
     missing_rate, date_ratio, avg_len, min_len, max_len, id_name, seq_ratio``."""
     cols = list(cols if cols is not None else df.columns)
@@ -107,24 +104,19 @@ def column_profile(df: DataFrame, cols: list[str] | None = None, approx_distinct
                                   "max_len": opt("ma", i, "bigint"), "id_name": F.lit(looks_like_id(c))})
                              for i, c in enumerate(cols)])
     ints = [c for c in cols if kinds[c] == "integer"]
-    vc = None
     if approx_distinct:
         dc = distinct_counts(df, cols, approx=True).select("column", "nunique")
-        seq = sequential_ratio(df, ints)
+        prof = base.join(dc, "column", "left").join(sequential_ratio(df, ints), "column", "left")
     else:
-        # one value-count shuffle feeds both the distinct counts and the
-        # sequential check (the exchange is reused)
-        vc = value_counts_long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-        dc = vc.groupBy("column").agg(F.count("value").cast("bigint").alias("nunique"))
-        seq = sequential_ratio(df, ints, vc=vc)
-    prof = base.join(dc, "column", "left").join(seq, "column", "left")
-    out = prof.select("column", "idx", "kind", "n_rows", "non_null", "nunique",
+        # one shuffle of 8-byte keys gives both the distinct counts and the sequential check
+        dc = value_keys(df, cols, tuple(ints)).groupBy("column").agg(
+            F.count_if((F.col("own") > 0) & ~F.col("missing")).cast("bigint").alias("nunique"), _sequence_share().alias("_seq"))
+        prof = base.join(dc.withColumn("seq_ratio", F.when(F.col("column").isin(*ints), F.col("_seq"))).drop("_seq"), "column", "left")
+    return prof.select("column", "idx", "kind", "n_rows", "non_null", "nunique",
                        (F.col("nunique") / F.greatest(F.col("n_rows"), F.lit(1))).alias("unique_ratio"),
                        (F.lit(1.0) - F.col("non_null") / F.greatest(F.col("n_rows"), F.lit(1))).alias("missing_rate"),
                        "date_ratio", "avg_len", "min_len", "max_len", "id_name",
                        F.coalesce(F.col("seq_ratio"), F.lit(0.0)).alias("seq_ratio"))
-    # with_counts: also hand back the cached (column, value, cnt) table for reuse
-    return (out, vc) if with_counts else out
 
 
 def field_type_expr(use_name: bool = True) -> Column:

@@ -81,7 +81,6 @@ def rows_with_missing(df: DataFrame, key_cols: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- uniqueness
-DUP_HASH_BROADCAST_MAX = 1_000_000
 
 
 def _hash_input(df: DataFrame, c: str):
@@ -95,28 +94,14 @@ def duplicates(df: DataFrame) -> DataFrame:
     """``n_rows, distinct_rows, duplicated_rows, score``; nulls compare
     equal (grouping semantics), like pandas ``duplicated``.
 
-    Hash first: rows are counted per 64-bit row hash (8 bytes per row cross the
-    shuffle). A row whose hash is unique has no equal row, so only rows whose
-    hash repeats are compared exactly (grouped by all columns); they are found
-    with a broadcast semi-join when the repeated-hash set is small."""
-    h = F.xxhash64(*[_hash_input(df, c) for c in df.columns])
-    hashed = df.withColumn("_tf_rh", h)
-    per_hash = hashed.groupBy("_tf_rh").agg(F.count(F.lit(1)).alias("_tf_n"))
-    rep = per_hash.where(F.col("_tf_n") > 1).select("_tf_rh")
-    n_rep = rep.count()
-    if n_rep == 0:
-        tot = per_hash.agg(F.sum("_tf_n").cast("bigint").alias("n_rows"))
-        return tot.select(F.coalesce(F.col("n_rows"), F.lit(0)).alias("n_rows"),
-                          F.coalesce(F.col("n_rows"), F.lit(0)).alias("distinct_rows"),
-                          F.lit(0).cast("bigint").alias("duplicated_rows"), F.lit(1.0).alias("score"))
-    cand = hashed.join(F.broadcast(rep) if n_rep <= DUP_HASH_BROADCAST_MAX else rep, "_tf_rh", "left_semi")
-    groups = cand.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-    dup = groups.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("d"))
-    tot = per_hash.agg(F.sum("_tf_n").cast("bigint").alias("n_rows"))
-    r = tot.unionByName(dup, allowMissingColumns=True).agg(F.max("n_rows").alias("n_rows"), F.max("d").alias("d"))
-    n = F.coalesce(F.col("n_rows"), F.lit(0))
-    d = F.coalesce(F.col("d"), F.lit(0))
-    return r.select(n.alias("n_rows"), (n - d).alias("distinct_rows"), d.alias("duplicated_rows"),
+    One scan and one shuffle of 16 bytes a row at most: rows are grouped by two
+    independent 64-bit hashes of all their columns (unequal rows share both with a
+    chance of about rows^2 / 2^129)."""
+    cols = [_hash_input(df, c) for c in df.columns]
+    groups = df.groupBy(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("second"), *cols[::-1]).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    r = groups.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("n"), F.count(F.lit(1)).cast("bigint").alias("k"))
+    n, d = F.col("n"), F.col("n") - F.col("k")
+    return r.select(n.alias("n_rows"), F.col("k").alias("distinct_rows"), d.alias("duplicated_rows"),
                     F.round(F.lit(1.0) - d / F.greatest(n, F.lit(1)), 4).alias("score"))
 
 

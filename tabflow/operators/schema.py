@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tabflow.functions.columns import is_datetime, is_numeric, is_string, parse_datetime_string
 from tabflow.functions.ranking import top_k_per_group
 from tabflow.operators.infer import column_profile, field_type_expr
-from tabflow.operators.stats import unpivot_row
+from tabflow.operators.stats import unpivot_row, value_counts_long
+from tabflow.session import cut_lineage
 
 ALLOWED_VALUES_CAP = 1000
 
@@ -16,11 +17,11 @@ ALLOWED_VALUES_CAP = 1000
 def infer_schema(df: DataFrame, target: str | None = None, type_sample: int | None = None) -> DataFrame:
     """Per column ``column, field_type, nullable, min_value, max_value,
     min_length, max_length, n_allowed, allowed_values`` (sorted distinct values,
-    first 1000, '|'-joined, for categorical/binary). Datetime min/max are kept
+    first 1000, '|'-joined, for categorical/binary; ``n_allowed`` is the number of all
+    of them). Datetime min/max are kept
     as timestamps rendered to ``min_value``/``max_value`` epoch seconds."""
-    prof, vc = column_profile(df, with_counts=True)
-    prof = prof.select("column", "idx", field_type_expr(True).alias("field_type"),
-                       (F.col("non_null") < F.col("n_rows")).alias("nullable"), "min_len", "max_len")
+    prof = column_profile(df).select("column", "idx", "nunique", field_type_expr(True).alias("field_type"),
+                                     (F.col("non_null") < F.col("n_rows")).alias("nullable"), "min_len", "max_len")
     if type_sample:
         # the reference's cost knob: logical types from a reproducible sample of
         # ``type_sample`` rows, constraints (ranges, lengths, values) from all rows
@@ -38,11 +39,13 @@ def infer_schema(df: DataFrame, target: str | None = None, type_sample: int | No
         rng = unpivot_row(row, [(c, {"lo": F.col(f"lo{i}"), "hi": F.col(f"hi{i}")}) for i, c in enumerate(rng_cols)])
     else:
         rng = df.sparkSession.createDataFrame([], "column string, lo double, hi double")
-    # distinct values come from the profile's cached value-count table (no second shuffle)
-    distinct_vals = vc.where(F.col("value").isNotNull()).select("column", "value")
+    # values are only collected for the columns that list them
+    prof = cut_lineage(prof)
+    listed = [r["column"] for r in prof.where(F.col("field_type").isin("categorical", "binary")).select("column").collect()]
+    distinct_vals = (value_counts_long(df, listed).where(F.col("value").isNotNull()).select("column", "value") if listed
+                     else df.sparkSession.createDataFrame([], "column string, value string"))
     allowed = (top_k_per_group(distinct_vals, ["column"], ["value"], ALLOWED_VALUES_CAP)
-               .groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("av"),
-                                      F.count(F.lit(1)).alias("nav")))
+               .groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("av")))
     j = prof.join(rng, "column", "left").join(allowed, "column", "left")
     ft = F.col("field_type")
     is_range = ft.isin("numeric", "datetime")
@@ -51,7 +54,7 @@ def infer_schema(df: DataFrame, target: str | None = None, type_sample: int | No
                     F.when(is_range, F.col("lo")).alias("min_value"), F.when(is_range, F.col("hi")).alias("max_value"),
                     F.when(ft == "text", F.col("min_len")).alias("min_length"),
                     F.when(ft == "text", F.col("max_len")).alias("max_length"),
-                    F.when(is_cat, F.coalesce(F.col("nav"), F.lit(0))).cast("bigint").alias("n_allowed"),
+                    F.when(is_cat, F.col("nunique")).cast("bigint").alias("n_allowed"),
                     F.when(is_cat, F.col("av")).alias("allowed_values"))
 
 

@@ -12,8 +12,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabflow.functions.columns import is_numeric
+from tabflow.functions.columns import is_integral, is_numeric
 
 
 def unpivot_row(agg_row_df: DataFrame, entries: list[tuple[str, dict[str, Column]]],
@@ -37,10 +38,37 @@ def value_counts_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame
               .agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def value_keys(df: DataFrame, cols: list[str], successors: tuple[str, ...] = ()) -> DataFrame:
+    """``(column, missing, key, own, next)``: each column's distinct values by an 8-byte
+    key (whole numbers are their own key, other values their 64-bit hash, so that two
+    values of a column share one with a chance of about values^2 / 2^65), the rows that
+    hold it, and for ``successors`` (whole-number columns) whether a row holds the value
+    after it. One scan and one partially aggregated shuffle; values do not travel."""
+    def key(c: str) -> Column:
+        t = df.schema[c].dataType
+        if is_integral(t):
+            return F.col(c).cast("bigint")
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            return F.xxhash64(F.col(c) + F.lit(0.0).cast(t))    # -0.0 is 0.0, as in grouping
+        return F.xxhash64(F.col(c).cast("string") if isinstance(t, (T.MapType, T.VariantType)) else F.col(c))
+
+    rows = []
+    for i, c in enumerate(cols):
+        null = F.col(c).isNull()
+        rows.append(F.struct(F.lit(i).alias("i"), null.alias("missing"), F.when(~null, key(c)).alias("key"), F.lit(1).alias("own"), F.lit(0).alias("next")))
+        if c in successors:
+            rows.append(F.struct(F.lit(i).alias("i"), F.lit(False).alias("missing"), F.try_subtract(key(c), F.lit(1).cast("bigint")).alias("key"),
+                                 F.lit(0).alias("own"), F.lit(1).alias("next")))
+    found = df.select(F.inline(F.array(*rows))).where(F.col("missing") | F.col("key").isNotNull())
+    name = F.array(*[F.lit(c) for c in cols])
+    return (found.groupBy("i", "missing", "key").agg(F.sum("own").alias("own"), F.max("next").alias("next"))
+            .select(name[F.col("i")].alias("column"), "missing", "key", "own", "next"))
+
+
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """``(column, nunique, nunique_with_null)`` per column.
 
-    Exact mode counts rows of the value-count table; ``approx=True`` uses
+    Exact mode counts the groups of :func:`value_keys`; ``approx=True`` uses
     HyperLogLog sketches in a single aggregate (no shuffle of values)."""
     cols = list(cols if cols is not None else df.columns)
     if approx:
@@ -53,11 +81,10 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool =
                                       "nunique_with_null": (F.col(f"d{i}") + F.coalesce(F.col(f"n{i}"), F.lit(0))).cast("bigint"),
                                       "n_rows": F.col("n_rows").cast("bigint")})
                                  for i, c in enumerate(cols)])
-    vc = value_counts_long(df, cols)
-    return vc.groupBy("column").agg(
-        F.count("value").cast("bigint").alias("nunique"),
-        F.count(F.lit(1)).cast("bigint").alias("nunique_with_null"),
-        F.sum("cnt").cast("bigint").alias("n_rows"))
+    return value_keys(df, cols).groupBy("column").agg(
+        F.count_if((F.col("own") > 0) & ~F.col("missing")).cast("bigint").alias("nunique"),
+        F.count_if(F.col("own") > 0).cast("bigint").alias("nunique_with_null"),
+        F.sum("own").cast("bigint").alias("n_rows"))
 
 
 EXACT_QUANTILE_MAX_ROWS = 10_000_000

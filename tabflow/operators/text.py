@@ -116,7 +116,7 @@ def embedding(table: DataFrame, text_col: str, dims: int) -> Column:
     """The embedding of a text as an array of ``dims`` numbers; zeros for a text that is
     null or has no known term."""
     spark = ship_package(table.sparkSession)
-    rows = table.collect()    # at most max_terms
+    rows = table.orderBy("term").collect()    # at most max_terms, in one order whatever the files
     place = {r["term"]: i for i, r in enumerate(rows)}
     idf = np.array([r["idf"] for r in rows])
     vec = np.array([r["vec"] for r in rows]).reshape(len(rows), -1)

@@ -158,7 +158,7 @@ select "column", field_type, nullable,
   case when field_type in ('numeric', 'datetime') and "column" in ('p_partkey', 'p_size', 'p_retailprice') then hi end as max_value,
   case when field_type = 'text' then cast(mi as bigint) end as min_length,
   case when field_type = 'text' then cast(ma as bigint) end as max_length,
-  case when field_type in ('categorical', 'binary') then cast(least(nd, 1000) as bigint) end as n_allowed,
+  case when field_type in ('categorical', 'binary') then cast(nd as bigint) end as n_allowed,
   case when field_type in ('categorical', 'binary') then av end as allowed_values
 from f join r on f."column" = r.col""")
 def schema_constraints(spark, sf):

@@ -166,3 +166,12 @@ select event_id, user_id, cast(floor({_u('user_id')} * 5) as int) as fold from e
 def group_kfold(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id")
     return FO.group_kfold(e, "user_id", 5, mode="hash")
+
+
+@register("group_kfold_balanced", sql=f"""
+with g as (select user_id, count(*) as n from events group by 1),
+r as (select user_id, (row_number() over (order by n desc, {_u('user_id')}, user_id) - 1) % 10 as p from g)
+select event_id, user_id, cast(case when p < 5 then p else 9 - p end as int) as fold from events join r using (user_id)""")
+def group_kfold_balanced(spark, sf):
+    """groups dealt out by size."""
+    return FO.group_kfold(table(spark, sf, "events").select("event_id", "user_id"), "user_id", 5)
