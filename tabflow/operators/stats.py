@@ -9,12 +9,16 @@ values) come from one long ``(column, value, cnt)`` table built by one shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.functions.columns import is_integral, is_numeric
+from tabflow.session import ship_package
 
 
 def unpivot_row(agg_row_df: DataFrame, entries: list[tuple[str, dict[str, Column]]],
@@ -91,132 +95,76 @@ EXACT_QUANTILE_MAX_ROWS = 10_000_000
 APPROX_ACCURACY = 10_000
 
 
-SELECT_ACCURACY = 100_000        # sketch accuracy of the bracketing pass
-SELECT_COLLECT_MAX = 20_000      # values per bracket gathered for the final pick
-SELECT_MAX_ROUNDS = 8
+SELECT_DIGITS = (11, 11, 11, 11, 11, 9)     # bits of a 64-bit key that a selection pass settles
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order (-0.0 is 0.0, NaN above all)."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-2 ** 63)).view(np.uint64)
+
+
+def _from_ordered_bits(u: int) -> float:
+    bits = u ^ (1 << 63) if u >> 63 else ~u & (2 ** 64 - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
 def exact_quantiles_large(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles without a value→count map: each
-    needed order statistic k is bracketed by an approximate sketch, one
-    aggregate counts the rows below the bracket and (when few enough) collects
-    the values inside it, and the k-th value is picked from that small sorted
-    list; wide brackets are narrowed with another sketch over the bracketed
-    rows. Brackets are checked by exact counts, so the result is exact."""
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    need: dict[tuple[int, int], float | None] = {}
+    """Exact linear-interpolation quantiles without a value→count map, for all columns
+    and ranks together: radix selection on the ordered bits of the values. Each pass
+    counts the next digit of the values that share a needed rank's leading bits (in the
+    workers, one histogram a task, at most ranks x 2,048 counts) and settles that digit.
+    Six passes settle every rank, whatever the number of rows, their range or their
+    repetitions."""
+    ship_package(df.sparkSession)
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    counts = src.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))]).first()
     plan: dict[str, list[tuple[int, int, float]]] = {}
+    state: dict[tuple[int, int], tuple[int, int]] = {}      # (column, rank) -> (leading bits, rows below them)
     for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
-        plan[c] = []
+        n, plan[c] = counts[f"n{i}"], []
         for p in probs:
-            if n == 0:
-                plan[c].append((-1, -1, 0.0))
-                continue
             r = p * (n - 1)
-            k1 = int(math.floor(r))
-            k2 = min(k1 + 1, n - 1)
-            plan[c].append((k1, k2, r - k1))
-            need[(i, k1)] = None
-            need[(i, k2)] = None
-    # pending: (col index, rank) -> (lo, hi, rows below lo); lo/hi None = unbounded
-    pending = {key: (None, None, 0) for key in need}
-    for _ in range(SELECT_MAX_ROUNDS):
-        if not pending:
-            break
-        # 1. bracket every pending rank with a sketch: ranks sharing a column and a
-        #    current range share one sketch aggregate (all their probabilities at once)
-        groups: dict[tuple, list] = {}
-        for (i, k), (lo, hi, below) in pending.items():
-            groups.setdefault((i, lo, hi, below), []).append(k)
-        gl = list(groups.items())
-        size_aggs = []
-        for g, ((i, lo, hi, below), ks) in enumerate(gl):
-            x = F.col(cols[i]).cast("double")
-            inside = x.isNotNull()
-            if lo is not None:
-                inside = inside & (x >= F.lit(lo))
-            if hi is not None:
-                inside = inside & (x <= F.lit(hi))
-            if lo is not None or hi is not None:
-                size_aggs.append(F.count(F.when(inside, x)).alias(f"m{g}"))
-        sizes = df.agg(*size_aggs).first() if size_aggs else None
-        sk, idx = [], []
-        for g, ((i, lo, hi, below), ks) in enumerate(gl):
-            x = F.col(cols[i]).cast("double")
-            inside = x.isNotNull()
-            if lo is not None:
-                inside = inside & (x >= F.lit(lo))
-            if hi is not None:
-                inside = inside & (x <= F.lit(hi))
-            m = sizes[f"m{g}"] if (lo is not None or hi is not None) else counts[f"n{i}"]
-            margin = 3.0 / SELECT_ACCURACY
-            ps = []
-            for k in ks:
-                rel = (k - below) / max(m - 1, 1)
-                ps += [max(0.0, rel - margin), min(1.0, rel + margin)]
-            sk.append(F.percentile_approx(F.when(inside, x), ps, SELECT_ACCURACY).alias(f"b{g}"))
-            for t, k in enumerate(ks):
-                idx.append((g, t, i, k, lo, hi, below, inside, x))
-        sk_row = df.agg(*sk).first()
-        brackets = {}
-        for j, (g, t, i, k, lo, hi, below, inside, x) in enumerate(idx):
-            v = sk_row[f"b{g}"]
-            brackets[f"b{j}"] = (v[2 * t], v[2 * t + 1])
-        idx = [(i, k, lo, hi, below, inside, x) for (g, t, i, k, lo, hi, below, inside, x) in idx]
-        # 2. exact counts below / inside each bracket; gather small brackets
-        cnt = []
-        for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):
-            blo, bhi = brackets[f"b{j}"]
-            inb = inside & (x >= F.lit(blo)) & (x <= F.lit(bhi))
-            cnt += [F.count(F.when(inside & (x < F.lit(blo)), x)).alias(f"lt{j}"), F.count(F.when(inb, x)).alias(f"in{j}")]
-        c1 = df.agg(*cnt).first()
-        gather = []
-        nxt = {}
-        for j, (i, k, lo, hi, below, inside, x) in enumerate(idx):
-            blo, bhi = brackets[f"b{j}"]
-            lt, inn = c1[f"lt{j}"], c1[f"in{j}"]
-            b2 = below + lt
-            if not (b2 <= k < b2 + inn):          # sketch missed: keep the current range, retry
-                nxt[(i, k)] = (lo, hi, below)
-            elif blo == bhi:                      # every value in the bracket is the same value
-                need[(i, k)] = blo
-            elif inn <= SELECT_COLLECT_MAX:
-                gather.append((j, i, k, b2, inside & (x >= F.lit(blo)) & (x <= F.lit(bhi)), x))
-            elif lo is not None and (blo, bhi) == (lo, hi):
-                # the sketch cannot split this range (heavy duplicates): walk its
-                # distinct values with their counts (few, because of the duplication)
-                vc = (df.where(inside & (x >= F.lit(blo)) & (x <= F.lit(bhi))).groupBy(x.alias("v"))
-                        .agg(F.count(F.lit(1)).alias("c")).orderBy("v").limit(SELECT_COLLECT_MAX + 1).collect())
-                if len(vc) > SELECT_COLLECT_MAX:
-                    raise RuntimeError("exact quantile selection: range too dense to resolve")
-                acc = b2
-                for r in vc:
-                    if k < acc + r["c"]:
-                        need[(i, k)] = r["v"]
-                        break
-                    acc += r["c"]
-            else:
-                nxt[(i, k)] = (blo, bhi, b2)
-        if gather:
-            row = df.agg(*[F.array_sort(F.collect_list(F.when(cond, x))).alias(f"v{j}")
-                           for j, i, k, b2, cond, x in gather]).first()      # each list ≤ SELECT_COLLECT_MAX values
-            for j, i, k, b2, cond, x in gather:
-                need[(i, k)] = row[f"v{j}"][k - b2]
-        pending = nxt
-    if pending:
-        raise RuntimeError("exact quantile selection did not converge")
-    out = {}
-    for i, c in enumerate(cols):
-        vals = []
-        for k1, k2, frac in plan[c]:
-            if k1 < 0:
-                vals.append(None)
-                continue
-            a, b = need[(i, k1)], need[(i, k2)]
-            vals.append(a + (b - a) * frac)
-        out[c] = vals
-    return out
+            k1 = int(math.floor(r)) if n else -1
+            plan[c].append((k1, min(k1 + 1, n - 1), r - k1))
+            for k in plan[c][-1][:2]:
+                if k >= 0:
+                    state[i, k] = (0, 0)
+    left = 64
+    for width in SELECT_DIGITS if state else ():
+        left -= width
+        wanted = {i: np.array(sorted({lead for (j, _), (lead, _) in state.items() if j == i}), np.uint64) for i in {i for i, _ in state}}
+        shared, shift, bins = df.sparkSession.sparkContext.broadcast(wanted), left, 1 << width
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, shift=shift, bins=bins, width=width) -> Iterator[pa.RecordBatch]:
+            total = {i: np.zeros(len(leads) * bins, np.int64) for i, leads in shared.value.items()}
+            for batch in batches:
+                for i, leads in shared.value.items():
+                    u = _ordered_bits(batch.column(i).drop_null().to_numpy(zero_copy_only=False))
+                    lead = u >> np.uint64(shift + width) if shift + width < 64 else np.zeros_like(u)
+                    at = np.searchsorted(leads, lead)
+                    ok = at < len(leads)
+                    ok[ok] = leads[at[ok]] == lead[ok]
+                    digit = (u[ok] >> np.uint64(shift)) & np.uint64(bins - 1)
+                    total[i] += np.bincount(at[ok] * bins + digit.astype(np.int64), minlength=len(leads) * bins)
+            for i, c in total.items():
+                key = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key), pa.array(c[key])], names=["i", "key", "n"])
+
+        found: dict[int, dict[int, int]] = {}
+        for r in src.mapInArrow(run, "i int, key long, n long").groupBy("i", "key").agg(F.sum("n").alias("n")).collect():
+            found.setdefault(r["i"], {})[r["key"]] = r["n"]
+        for (i, k), (lead, below) in state.items():
+            start = int(np.searchsorted(wanted[i], np.uint64(lead))) * bins
+            for digit in range(bins):
+                n = found[i].get(start + digit, 0)
+                if k < below + n:
+                    state[i, k] = (lead << width | digit, below)
+                    break
+                below += n
+    value = {key: _from_ordered_bits(lead) for key, (lead, _) in state.items()}
+    return {c: [None if k1 < 0 else value[i, k1] + ((value[i, k2] - value[i, k1]) * frac if frac else 0.0) for k1, k2, frac in plan[c]]
+            for i, c in enumerate(cols)}
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact="auto",
@@ -224,7 +172,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact="auto",
     """Quantiles (linear interpolation, = pandas/DuckDB ``quantile_cont``) of
     several columns. ``"auto"`` (default): Spark's exact ``percentile`` (a
     value→count map per column) up to ``EXACT_QUANTILE_MAX_ROWS`` rows, the
-    exact bracketing selection of :func:`exact_quantiles_large` above;
+    radix selection of :func:`exact_quantiles_large` above, with the same results;
     ``exact=False``: the bounded-memory ``percentile_approx`` sketch."""
     if not cols:
         return {}

@@ -37,10 +37,8 @@ def test_top_k_per_group_salted(spark):
     assert sorted((r.g, r.v) for r in got.collect()) == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
 
 
-def test_exact_quantile_selection_matches_percentile(spark, monkeypatch):
+def test_exact_quantile_selection_matches_percentile(spark):
     import tabflow.operators.stats as ST
-    monkeypatch.setattr(ST, "SELECT_COLLECT_MAX", 40)     # force several narrowing rounds
-    monkeypatch.setattr(ST, "SELECT_ACCURACY", 50)
     df = spark.range(20000).select((F.col("id") * 7919 % 10007 / 3.0).alias("a"),
                                    F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 97).cast("double").alias("b"))
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -50,10 +48,8 @@ def test_exact_quantile_selection_matches_percentile(spark, monkeypatch):
         assert [round(x, 9) for x in got[c]] == [round(x, 9) for x in ref[c]]
 
 
-def test_exact_quantile_selection_heavy_duplicates(spark, monkeypatch):
+def test_exact_quantile_selection_heavy_duplicates(spark):
     import tabflow.operators.stats as ST
-    monkeypatch.setattr(ST, "SELECT_COLLECT_MAX", 30)
-    monkeypatch.setattr(ST, "SELECT_ACCURACY", 20)
     df = spark.range(6000).select(F.when(F.col("id") < 3000, 1.0).when(F.col("id") < 5990, 2.0)
                                   .otherwise(F.col("id").cast("double")).alias("a"))
     probs = [0.1, 0.4999, 0.5, 0.5001, 0.998, 1.0]
@@ -111,3 +107,29 @@ def test_range_rank_splits_a_hot_value(spark):
     d = df.withColumn("_tf_ord", F.col("t")).withColumn("_tf_bkt", F.when(F.col("t") == 5, 1).otherwise(0))
     cut = ranking._split_ties(d, F.col("u").cast("double"), 50).where("_tf_bkt = 1").groupBy("_tf_sub").count()
     assert max(r["count"] for r in cut.collect()) <= 150
+
+
+def test_radix_selection_of_any_values(spark):
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tabflow.operators import stats as ST
+    r = np.random.default_rng(5)
+    wide = np.concatenate([r.normal(size=300), r.normal(size=100) * 1e300, -np.exp(r.normal(size=200) * 200), np.zeros(150), [-0.0] * 50,
+                           [math.inf, -math.inf, 5e-324, -5e-324]])
+    r.shuffle(wide)
+    rows = [(float(x), float(i % 3), None if i % 2 else float(x)) for i, x in enumerate(wide)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5).withColumn("none", F.lit(None).cast("double"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9]
+    got = ST.exact_quantiles_large(df, ["a", "b", "c", "none"], probs)
+    for name, values in (("a", wide), ("b", [x[1] for x in rows]), ("c", [x[2] for x in rows if x[2] is not None])):
+        s = np.sort(np.array(values))
+        for p, g in zip(probs, got[name]):
+            k = p * (len(s) - 1)
+            lo, hi = s[int(k)], s[min(int(k) + 1, len(s) - 1)]
+            want = lo + (hi - lo) * (k - int(k)) if k > int(k) else lo
+            assert g == want or math.isclose(g, want, rel_tol=1e-12)
+    assert got["none"] == [None] * 6
+    assert ST.exact_quantiles_large(df.limit(0), ["a"], [0.5]) == {"a": [None]}
