@@ -2,17 +2,20 @@
 
 1. Lexicon: words and word beginnings are counted by label over the labelled
    training texts, each distinct text once; all that speak for the toxic label
-   with statistical safety become entries, whatever the language.
-2. Voters: the entries are dealt over lexicon voters; pattern voters look for a
-   fixed list of insults, masked swearing, shouting and for several entries at
-   once. A voter fires on a text or it does not.
-3. Label model: a generative model gives every voter its firing rates for either
-   label. It is fitted by expectation maximisation over all rows, from the counts
-   of firing patterns (at most 2^voters of them), with the labelled training rows
-   held at their label. Correlations of voters given the label are estimated from
-   the same counts and take away the weight that correlated voters would count
-   twice.
-4. A logistic regression on entry counts and voters is fitted to the posterior
+   with statistical safety become entries, whatever the language (at most
+   ``MAX_ENTRIES``, the strongest, as the lexicon is shipped to every worker).
+2. Voters: each of the ``MAX_VOTERS`` strongest entries is a voter of its own, and so
+   is each pattern: a fixed list of insults, masked swearing, shouting, several entries
+   at once, calm writing, long texts. A voter fires on a text or it does not, and
+   speaks for the label under which it fires more often.
+3. Label model: a generative model of all rows, in which the label draws the voters
+   along a tree: a voter's firing rate depends on the label and on one other voter.
+   The tree is the one that keeps the most of the voters' mutual information given
+   the label (correlated voters are so not counted twice); rates, tree and the
+   prior are estimated by expectation maximisation over the counts of firing sets,
+   each step one pass on the workers. A given training label is one more voter, right
+   with probability ``TRUTH``.
+4. A logistic regression on entry counts and patterns is fitted to the posterior
    labels of a bounded sample (``FIT_ROWS``) and scores every whole text.
 
 Labels are read only where ``crc32(doc_id) mod 5`` is not 0; language, source
@@ -30,7 +33,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -43,8 +46,12 @@ from tabflow.llm.common import ready, small_side, store, text_of
 #: bound of the sample that the classifier is fitted on
 FIT_ROWS = 12_000
 PREFIXES = (4, 5)
-MAX_WORD = 16
-LEXICON_VOTERS = 8
+MAX_ENTRIES = 100_000
+MAX_VOTERS = 512
+MIN_LONG = 200       # words of a long text
+EM_STEPS = 6
+TRUTH = 0.999        # share of the given labels that count as right
+RIDGE = 1e-4
 HOLD_OUT = 5
 _WORD = re.compile(r"[^\W\d_]+")
 # Fixed list of general insults, in four languages.
@@ -57,7 +64,7 @@ idiota imbécil estúpido basura escoria inútil asqueroso payaso
 _MASKED = re.compile(r"\b[A-Za-z]{1,3}[*@#$]{2,}[A-Za-z]{0,4}\b|\b[A-Za-z][*]+[A-Za-z]+\b")
 _CAPS = re.compile(r"[A-ZÀ-Þ]{3}")
 _SHOUT = re.compile(r"(?:\b[A-ZÀ-Þ]{3,}\b\W+){5}|!{3,}")
-N_VOTERS = LEXICON_VOTERS + 4
+N_PATTERNS = 6
 
 
 def masked(text: str) -> bool:
@@ -75,7 +82,7 @@ def held_out(doc_id: Column) -> Column:
 def entries_of(text: str) -> set[str]:
     """A text's words and word beginnings (the lexicon's units), marked by kind."""
     words = set(_WORD.findall(text.lower()))
-    out = {"w:" + w for w in words if len(w) <= MAX_WORD}
+    out = {"w:" + w for w in words}
     for k in PREFIXES:
         out.update([f"{k}:{x}" for x in {w[:k] for w in words if len(w) > k}])
     return out
@@ -124,7 +131,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     odds = F.log(a / (p + 0.5 - F.col("toxic")) * (q + 0.5 - F.col("clean")) / b)
     low = odds - 2.6 * F.sqrt(1 / a + 1 / (p + 0.5 - F.col("toxic")) + 1 / b + 1 / (q + 0.5 - F.col("clean")))
     got = (totals.where("entry <> ''").withColumn("low", low).where("low > 1.5")
-           .orderBy((F.col("low") * F.sqrt("toxic")).desc(), "entry").collect())
+           .orderBy((F.col("low") * F.sqrt("toxic")).desc(), "entry").limit(MAX_ENTRIES).collect())
     return [r["entry"] for r in got]
 
 
@@ -139,8 +146,12 @@ class Model:
         # every entry's word starts with one of these
         self.starts = {e[2:][:PREFIXES[0]] for e in self.lexicon}
 
-    def features(self, text: str) -> tuple[dict[int, float], int]:
-        """Sparse features (entry counts, then voters) and the voters' bit pattern."""
+    @property
+    def voters(self) -> int:
+        return min(len(self.lexicon), MAX_VOTERS) + N_PATTERNS
+
+    def features(self, text: str) -> tuple[dict[int, float], list[int]]:
+        """Sparse features (entry counts, then patterns) and the voters that fire."""
         index = self.index
         found = _WORD.findall(text.lower())
         words = set(found)
@@ -151,18 +162,12 @@ class Model:
                 i = index.get(key)
                 if i is not None:
                     hits[i] = hits.get(i, 0) + n
-        votes = 0
-        for i in hits:
-            votes |= 1 << (i % LEXICON_VOTERS)
-        fixed = (not INSULTS.isdisjoint(words), masked(text), shouted(text),
-                 len(hits) > 1)
-        for j, fires in enumerate(fixed):
-            votes |= int(fires) << (LEXICON_VOTERS + j)
+        insult, mask, shout = not INSULTS.isdisjoint(words), masked(text), shouted(text)
+        patterns = (insult, mask, shout, len(hits) > 1, bool(words) and not (mask or shout or "!" in text), len(found) >= MIN_LONG)
+        lexicon, single = len(self.lexicon), self.voters - N_PATTERNS
         out = {i: float(np.log1p(n)) for i, n in hits.items()}
-        for j in range(N_VOTERS):
-            if votes >> j & 1:
-                out[len(self.lexicon) + j] = 1.0
-        return out, votes
+        out.update({lexicon + j: 1.0 for j, fires in enumerate(patterns) if fires})
+        return out, sorted([i for i in hits if i < single] + [single + j for j, fires in enumerate(patterns) if fires])
 
     def score(self, text: str) -> float:
         f, _ = self.features(text)
@@ -170,43 +175,145 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit_label_model(patterns: list[int], counts: np.ndarray, known: np.ndarray, rounds: int = 60):
-    """Posterior toxic probability of every firing pattern of unlabelled rows.
-
-    ``counts``: unlabelled rows per pattern; ``known``: labelled rows per pattern,
-    columns clean and toxic. Rates are those of a two-class mixture of correlated
-    voters; correlations given the label set each voter's share of evidence.
-    """
-    x = np.array([[p >> j & 1 for j in range(N_VOTERS)] for p in patterns], float)
-    share = np.ones(N_VOTERS)
-    prior = (known.sum(0) + 1) / (known.sum() + 2) if known.sum() else np.array([0.9, 0.1])
-    # firing rates from the labelled rows; without any, firing speaks for toxic
-    rate = np.stack([(known[:, y] @ x + (0.5, 1.0)[y]) / (known[:, y].sum() + 2) for y in (0, 1)])
-    if not known.sum():
-        rate = np.stack([np.full(N_VOTERS, 0.02), np.full(N_VOTERS, 0.4)])
-    post = np.full(len(x), prior[1])
-    for step in range(rounds):
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        ll = np.stack([np.log(prior[y]) + (x * np.log(rate[y]) + (1 - x) * np.log(1 - rate[y])) @ share for y in (0, 1)])
-        new = 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -60, 60)))
-        w = np.stack([counts * (1 - new) + known[:, 0], counts * new + known[:, 1]])
-        mass = w.sum(1) + 1e-9
-        rate = np.stack([(w[y] @ x + 0.1) / (mass[y] + 0.2) for y in (0, 1)])
-        prior = (mass + 1) / (mass.sum() + 2)
-        if step % 10 == 9:
-            extra = np.zeros(N_VOTERS)
-            for y in (0, 1):
-                d = x - rate[y]
-                cov = (d * w[y][:, None]).T @ d / mass[y]
-                sd = np.sqrt(np.diag(cov) + 1e-9)
-                c = cov / sd[:, None] / sd[None, :]
-                np.fill_diagonal(c, 0)
-                extra = np.maximum(extra, np.clip(c, 0, 1).sum(1))
-            share = 1 / (1 + extra)
-        done, post = np.abs(new - post).max() < 1e-7 and step > 20, new
-        if done:
-            break
-    return post, rate, share
+@dataclass
+class LabelModel:
+    """Rates of ``n`` voters given the label (0 clean, 1 toxic) and their parent."""
+
+    n: int
+    prior: np.ndarray                   # of the labels
+    rate: np.ndarray                    # (label, voter), whatever the parent does
+    parent: np.ndarray                  # voter, or -1
+    given: np.ndarray                   # (label, parent fires, voter)
+
+    @classmethod
+    def start(cls, n: int) -> LabelModel:
+        """Before any row is seen: firing speaks for toxic."""
+        rate = np.stack([np.full(n, 0.02), np.full(n, 0.4)])
+        return cls(n, np.array([0.9, 0.1]), rate, np.full(n, -1), np.stack([rate, rate], axis=1))
+
+    def matrix(self, votes: list[list[int]]) -> np.ndarray:
+        x = np.zeros((len(votes), self.n))
+        for k, own in enumerate(votes):
+            x[k, own] = 1
+        return x
+
+    def posterior(self, x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Probability of toxic for rows of votes and given labels (-1: none)."""
+        up = np.where(self.parent >= 0, x[:, self.parent], 0.0)
+        both = x * up
+        ll = []
+        for y in (0, 1):
+            p = np.clip(self.given[y], 1e-6, 1 - 1e-6)
+            no, yes = np.log(1 - p), np.log(p)
+            ll.append(np.log(self.prior[y]) + no[0].sum() + x @ (yes[0] - no[0]) + up @ (no[1] - no[0]) + both @ (yes[1] - yes[0] - no[1] + no[0])
+                      + np.where(label < 0, 0.0, np.log(np.where(label == y, TRUTH, 1 - TRUTH))))
+        return 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -60, 60)))
+
+    def refit(self, s: dict) -> LabelModel:
+        """The maximum of the expected likelihood; thin counts lean on the plain rates."""
+        mass = np.maximum(s["mass"], 1e-9)
+        rate = (s["fire"] + np.array([[0.05], [0.1]])) / (mass[:, None] + 1)
+        given = np.stack([rate, rate], axis=1)
+        at = np.flatnonzero(self.parent >= 0)
+        if len(at):
+            up, both, lean = s["fire"][:, self.parent[at]], s["edge"][:, at], 5.0
+            given[:, 1, at] = (both + lean * rate[:, at]) / (up + lean)
+            given[:, 0, at] = (s["fire"][:, at] - both + lean * rate[:, at]) / (mass[:, None] - up + lean)
+        return LabelModel(self.n, (s["mass"] + 1) / (s["mass"].sum() + 2), rate, self.parent, given)
+
+
+def dependency_tree(mass: np.ndarray, fire: np.ndarray, pair: np.ndarray, least: float = 5.0) -> np.ndarray:
+    """Parents of the voters: the forest with the largest mutual information given the
+    label, out of pairs that fire together more often than alone (``least`` times)."""
+    n = fire.shape[1]
+    total = max(mass.sum(), 1e-9)
+    gain = np.zeros((n, n))
+    for y in (0, 1):
+        m = max(mass[y], 1e-9)
+        pj = np.clip(fire[y] / m, 1e-9, 1 - 1e-9)
+        both = np.clip(pair[y] / m, 0, 1)
+        cells = (both, pj[:, None] - both, pj[None, :] - both, 1 - pj[:, None] - pj[None, :] + both)
+        plain = (pj[:, None] * pj[None, :], pj[:, None] * (1 - pj[None, :]), (1 - pj[:, None]) * pj[None, :], (1 - pj[:, None]) * (1 - pj[None, :]))
+        for c, q in zip(cells, plain, strict=True):
+            c = np.maximum(c, 1e-12)
+            gain += mass[y] / total * c * np.log(c / q)
+    gain[(pair.sum(axis=0) < least)] = 0
+    np.fill_diagonal(gain, 0)
+    parent = np.full(n, -1)
+    group = np.arange(n)
+    near: dict[int, list[int]] = {}
+    i, j = np.nonzero(np.triu(gain) > 0)
+    for k in np.argsort(-gain[i, j], kind="stable"):
+        a, b = int(i[k]), int(j[k])
+        if group[a] != group[b]:
+            group[group == group[a]] = group[b]
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    seen: set[int] = set()
+    for root in range(n):       # direct every tree away from its first voter
+        stack = [] if root in seen else [root]
+        seen.update(stack)
+        while stack:
+            a = stack.pop()
+            for b in near.get(a, ()):
+                if b not in seen:
+                    parent[b] = a
+                    seen.add(b)
+                    stack.append(b)
+    return parent
+
+
+def expected_counts(sets: DataFrame, model: LabelModel, labelled_only: bool = False, pairs: bool = False) -> dict:
+    """One pass over the firing sets ``votes, y, n``: rows by posterior label, voters that
+    fire, voters that fire with their parent (with ``pairs``: with any other), and
+    labelled rows. ``labelled_only`` takes the given labels for true."""
+    n = model.n
+    shared = sets.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total: dict[str, np.ndarray] = {"mass": np.zeros(2), "fire": np.zeros((2, n)), "edge": np.zeros((2, n)), "labelled": np.zeros(1)}
+        if pairs:
+            total["pair"] = np.zeros((2, n, n))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x, y, count = m.matrix(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+                if labelled_only:
+                    post, count = (y == 1).astype(float), count * (y >= 0)
+                else:
+                    post = m.posterior(x, y)
+                for label, w in ((0, count * (1 - post)), (1, count * post)):
+                    total["mass"][label] += w.sum()
+                    total["fire"][label] += w @ x
+                    total["edge"][label] += w @ (x * np.where(m.parent >= 0, x[:, m.parent], 0.0))
+                    if pairs:
+                        total["pair"][label] += (x * w[:, None]).T @ x
+                total["labelled"][0] += count[y >= 0].sum()
+        for name, v in total.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(v.ravel()[at])], names=["name", "at", "v"])
+
+    out = {"mass": np.zeros(2), "fire": np.zeros((2, n)), "edge": np.zeros((2, n)), "labelled": np.zeros(1), "pair": np.zeros((2, n, n))}
+    for r in sets.mapInArrow(run, "name string, at long, v double").groupBy("name", "at").agg(F.sum("v").alias("v")).collect():
+        out[r["name"]].ravel()[r["at"]] = r["v"]
+    return {k: v[0] if v.size == 1 else v for k, v in out.items()}
+
+
+def fit_label_model(sets: DataFrame, n: int, steps: int = EM_STEPS) -> LabelModel:
+    """Start from the labelled rows (voters apart), learn the tree from all rows under
+    that model, then expectation maximisation."""
+    model = LabelModel.start(n)
+    first = expected_counts(sets, model, labelled_only=True)
+    if first["labelled"]:
+        model = model.refit(first)
+    every = expected_counts(sets, model, pairs=True)
+    parent = dependency_tree(every["mass"], every["fire"], every["pair"])
+    every["edge"] = np.where(parent >= 0, every["pair"][:, np.arange(n), parent], 0.0)
+    model = replace(model, parent=parent).refit(every)
+    for _ in range(steps):
+        model = model.refit(expected_counts(sets, model))
+    return model
 
 
 def fit_logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, width: int, y: np.ndarray, w: np.ndarray,
@@ -263,35 +370,38 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 votes.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64())),
-                 pa.array(votes, pa.int32())], names=["_id", "idx", "val", "votes"])
-
-    rows = src.mapInArrow(featurise, "_id long, idx array<int>, val array<double>, votes int")
-    rows = store(rows.join(small_side(known, "toxic-known"), "_id", "left"), "toxic-features")
-    got = rows.groupBy("votes", F.when(F.col("_toxic").isNull(), -1).otherwise((F.col("_toxic") >= 0.5).cast("int")).alias("y")).count().collect()
-    patterns = sorted({r["votes"] for r in got})
-    if not patterns:
-        return Model([], [0.0] * N_VOTERS, 0.0)
-    at = {p: i for i, p in enumerate(patterns)}
-    table = np.zeros((len(patterns), 3))
-    for r in got:
-        table[at[r["votes"]], r["y"]] += r["count"]  # columns clean, toxic, and (-1) unlabelled
-    post, _, _ = fit_label_model(patterns, table[:, 2], table[:, :2])
+                 pa.array(votes, pa.list_(pa.int32()))], names=["_id", "idx", "val", "votes"])
+
+    rows = src.mapInArrow(featurise, "_id long, idx array<int>, val array<double>, votes array<int>")
+    y = F.when(F.col("_toxic").isNull(), -1).otherwise((F.col("_toxic") >= 0.5).cast("int"))
+    rows = store(rows.join(small_side(known, "toxic-known"), "_id", "left").select("_id", "idx", "val", "votes", y.alias("y")), "toxic-features")
+    sets = store(rows.groupBy("votes", "y").agg(F.count("*").alias("n")), "toxic-sets")
+    if sets.isEmpty():
+        return Model([], [0.0] * N_PATTERNS, 0.0)
+    judge = docs.sparkSession.sparkContext.broadcast(fit_label_model(sets, model.voters))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = judge.value
+        for batch in batches:
+            post = [m.posterior(m.matrix(part.column(0).to_pylist()), part.column(1).to_numpy())
+                    for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(post) if post else [], pa.float64())],
+                                             names=["votes", "y", "n", "post"])
+
+    posts = store(sets.mapInArrow(judged, "votes array<int>, y int, n long, post double"), "toxic-posterior")
     # the sample: likely toxic and other rows by content hash, weighted back to their shares
-    likely = [p for p, q in zip(patterns, post, strict=True) if q >= 0.5]
-    is_likely = (F.col("_toxic") >= 0.5) | (F.col("_toxic").isNull() & F.col("votes").isin(likely or [-1]))
+    rows = rows.join(posts.select("votes", "y", "post"), ["votes", "y"])
     order = F.xxhash64("_id", "idx", "val")
     parts = []
-    for flag in (True, False):
-        side = rows.where(F.coalesce(is_likely, F.lit(False)) == flag).select("idx", "val", "votes", "_toxic", order.alias("o"))
-        n, sample = side.count(), side.orderBy("o").limit(fit_rows // 2).toPandas()
+    for side in (F.col("post") >= 0.5, F.col("post") < 0.5):
+        n = posts.where(side).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        sample = rows.where(side).select("idx", "val", "post", order.alias("o")).orderBy("o").limit(fit_rows // 2).toPandas()
         parts.append(sample.assign(w=n / max(len(sample), 1)))
     sample = pd.concat(parts, ignore_index=True)
     sizes = [len(idx) for idx in sample["idx"]]
     cells = lambda name, kind: np.array([v for vs in sample[name] for v in vs], kind)
-    label = sample["_toxic"].to_numpy(float)
-    soft = np.array([post[at[v]] for v in sample["votes"]])
     b = fit_logistic(np.repeat(np.arange(len(sample)), sizes), cells("idx", int), cells("val", float),
-                     len(model.lexicon) + N_VOTERS, np.where(np.isnan(label), soft, label >= 0.5), sample["w"].to_numpy(float))
+                     len(model.lexicon) + N_PATTERNS, sample["post"].to_numpy(float), sample["w"].to_numpy(float), RIDGE)
     return Model(model.lexicon, [round(float(v), 9) for v in b[:-1]], round(float(b[-1]), 9))
 
 

@@ -138,23 +138,50 @@ def test_toxicity_held_out_accuracy_and_label_use(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in rows)
 
 
-def test_label_model_recovers_rates():
+def test_label_model_recovers_rates(spark):
     rng = np.random.default_rng(1)
-    n, m = 40_000, toxicity.N_VOTERS
+    n, m = 40_000, 12
     y = rng.random(n) < 0.3
     rate = np.stack([np.full(m, 0.05), np.linspace(0.4, 0.8, m)])
+    rate[:, 5] = (0.6, 0.1)  # a voter that speaks for clean
     votes = rng.random((n, m)) < rate[y.astype(int)]
     votes[:, 1] = votes[:, 0]  # a copied voter must not count twice
-    code = votes @ (1 << np.arange(m))
-    patterns, at = np.unique(code, return_inverse=True)
-    known = np.zeros((len(patterns), 2))
-    for i in range(400):
-        known[at[i], int(y[i])] += 1
-    counts = np.bincount(at[400:], minlength=len(patterns)).astype(float)
-    post, got, share = toxicity.fit_label_model(patterns.tolist(), counts, known)
-    assert np.abs(got - np.stack([votes[~y].mean(0), votes[y].mean(0)])).max() < 0.05
-    assert share[0] < 0.7 and share[1] < 0.7
-    assert np.mean((post[at] >= 0.5) == y) > 0.95
+    label = np.where(np.arange(n) < 400, y, -1)
+    counts = {}
+    for v, lab in zip(votes, label, strict=True):
+        key = (tuple(np.flatnonzero(v).tolist()), int(lab))
+        counts[key] = counts.get(key, 0) + 1
+    sets = spark.createDataFrame([(list(v), lab, k) for (v, lab), k in counts.items()], "votes array<int>, y int, n long").repartition(3)
+    model = toxicity.fit_label_model(sets, m)
+    assert np.abs(model.rate - np.stack([votes[~y].mean(0), votes[y].mean(0)])).max() < 0.05
+    assert abs(model.prior[1] - 0.3) < 0.03
+    assert model.parent[1] == 0 or model.parent[0] == 1
+    post = model.posterior(votes.astype(float), np.full(n, -1))
+    assert np.mean((post >= 0.5) == y) > 0.95
+    # the copy adds next to nothing to what its twin says
+    one, both = np.zeros((1, m)), np.zeros((1, m))
+    both[0, :2] = 1
+    odds = lambda x: float(np.log(model.posterior(x, np.array([-1])) / (1 - model.posterior(x, np.array([-1]))))[0])
+    single = np.log(model.rate[1, 0] / model.rate[0, 0] * (1 - model.rate[0, 0]) / (1 - model.rate[1, 0]))
+    assert odds(both) - odds(one) < 1.3 * single
+
+
+def test_posterior_equals_plain_products():
+    rng = np.random.default_rng(3)
+    given = rng.uniform(0.1, 0.9, (2, 2, 4))
+    model = toxicity.LabelModel(4, np.array([0.7, 0.3]), given[:, 0], np.array([-1, 0, 0, 2]), given)
+    x = np.array([[k >> j & 1 for j in range(4)] for k in range(16)], float)
+    for label in (-1, 0, 1):
+        got = model.posterior(x, np.full(16, label))
+        for row, p in zip(x, got, strict=True):
+            like = []
+            for y in (0, 1):
+                v = model.prior[y] * (1 if label < 0 else toxicity.TRUTH if label == y else 1 - toxicity.TRUTH)
+                for j, up in enumerate((-1, 0, 0, 2)):
+                    q = given[y, int(row[up]) if up >= 0 else 0, j]
+                    v *= q if row[j] else 1 - q
+                like.append(v)
+            assert abs(p - like[1] / sum(like)) < 1e-12
 
 
 def test_toxicity_odd_rows(spark, odd, no_docs):
