@@ -342,7 +342,9 @@ def permutation_importance(spark, sf):
     d, tr, va, pre = _fitted(spark, sf)
     pm = MD.build_pipeline(RandomForestClassifier(numTrees=20, maxDepth=6, seed=42), pre.feature_columns, "toxic",
                            "binary_classification").fit(pre.transform(tr))
-    return EX.permutation_importance(va, ["quality", "n_chars", "lang", "source"], _score_fn(pre, pm), ["doc_id"])
+    repeats, sample = EX.permutation_plan(va.count(), 2)
+    return EX.permutation_importance(va, ["quality", "n_chars", "lang", "source"], _score_fn(pre, pm), ["doc_id"],
+                                     repeats=repeats, sample=sample)
 
 
 # the rule "purchase if value / 500 + user_id / 150 >= 1" under permuted columns: a row
@@ -421,7 +423,7 @@ def shap_rule(spark, sf):
 def shap_tree(spark, sf):
     """K3/K4/K6: exact Shapley values of a forest, for the class that it gives each
     held-out row; mean amount by feature."""
-    d, tr, va, pre, = _fitted(spark, sf)
+    d, tr, va, pre = _fitted(spark, sf)
     pm = MD.build_pipeline(RandomForestClassifier(numTrees=20, maxDepth=6, seed=42), pre.feature_columns, "toxic",
                            "binary_classification").fit(pre.transform(tr))
     return EX.global_importance(TS.tree_shapley(pre.transform(va), pm, pre.feature_columns, ["doc_id"]))
