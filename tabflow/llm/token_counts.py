@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import ready, text_of
+from tabflow.llm.common import ready, store, text_of
 from tabflow.session import scratch_path
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -150,6 +150,8 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, path: str | Non
     encode_misses(wanted.dropDuplicates(["content"]), path, version, fold_space).write.mode("append").parquet(cache_path)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
                        content.alias("content"))
-    counts = read_cache(spark, cache_path, version)
+    # one row a digest, written before the join: a text with many copies is then a plain
+    # join key, which adaptive execution may split
+    counts = store(read_cache(spark, cache_path, version), "token-counts")
     return (rows.join(counts, "content", "left")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
