@@ -241,14 +241,16 @@ def _candidates(leaders: DataFrame, tables: int, bits: int, radius: int | None)
     index = index.select("label", F.col("leader").alias("b"), F.col("code").alias("code_b"), "x.t", "x.key")
     probe = leaders.select("label", "leader", "code", F.explode(F.array(*[
         F.struct(F.lit(t).alias("t"), part(F.col("code"), t).alias("own")) for t in range(tables)])).alias("x"))
-    probe = probe.select("label", F.col("leader").alias("a"), F.col("code").alias("code_a"), "x.t",
-                         F.explode(F.transform(flips, lambda f: F.col("x.own").bitwiseXOR(f))).alias("key"))
-    both = probe.join(index, ["label", "t", "key"]).where("a < b")
+    # a pair with different substrings is found from the smaller one: half the look-ups
+    keys = F.filter(F.transform(flips, lambda f: F.col("x.own").bitwiseXOR(f)), lambda k: k >= F.col("x.own"))
+    probe = probe.select("label", F.col("leader").alias("a"), F.col("code").alias("code_a"), "x.t", "x.own", F.explode(keys).alias("key"))
+    both = probe.join(index, ["label", "t", "key"]).where((F.col("key") > F.col("own")) | (F.col("a") < F.col("b")))
     apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
     # a pair that several tables find is kept by the first of them
     first = F.coalesce(*[F.when(F.bit_count(part(apart, t)) <= radius, F.lit(t)) for t in range(tables)])
     reach = MAX_HAMMING if radius == 1 else bits
-    return both.where((first == F.col("t")) & (F.bit_count(apart) <= reach)).select("a", "b")
+    return (both.where((first == F.col("t")) & (F.bit_count(apart) <= reach))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def _linked(fine: DataFrame, cosine: float, tables: int, fit_rows: int) -> DataFrame:
