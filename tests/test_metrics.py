@@ -46,3 +46,30 @@ def test_train_eval_sample_rule(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     assert M.train_eval_rows(df, ["k"]).count() == 1000
     assert M.train_eval_rows(df, ["k"], sample=200).count() == 200
+
+
+@pytest.fixture(scope="module")
+def many_pairs(spark, tmp_path_factory):
+    """Events with 50,000 x 100,000 pairs of a purchase and another event, more than an int holds."""
+    d = tmp_path_factory.mktemp("pairs")
+    i = F.col("id")
+    spark.range(150_000).select(
+        i.alias("event_id"), F.when(i % 3 == 0, "purchase").otherwise("view").alias("event_type"), (i % 7).cast("double").alias("value"),
+        (i % 5).alias("user_id")).write.parquet(f"{d}/events.parquet")
+    return str(d)
+
+
+def auc(rows):
+    n, pos = {}, {}
+    for s, y in rows:
+        n[s], pos[s] = n.get(s, 0) + 1, pos.get(s, 0) + y
+    below = won = 0
+    for s in sorted(n):
+        won += pos[s] * (below + (n[s] - pos[s]) / 2)
+        below += n[s] - pos[s]
+    return won / (sum(pos.values()) * below)
+
+
+def test_roc_auc_of_more_pairs_than_an_int_holds(spark, many_pairs):
+    from __spark_entry__ import queries
+    assert queries()["roc_auc"](spark, many_pairs).first()["auc"] == pytest.approx(auc([(i % 7, i % 3 == 0) for i in range(150_000)]), abs=1e-6)
