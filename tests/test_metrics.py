@@ -73,3 +73,16 @@ def auc(rows):
 def test_roc_auc_of_more_pairs_than_an_int_holds(spark, many_pairs):
     from __spark_entry__ import queries
     assert queries()["roc_auc"](spark, many_pairs).first()["auc"] == pytest.approx(auc([(i % 7, i % 3 == 0) for i in range(150_000)]), abs=1e-6)
+
+
+RULES = {"ValueScore": lambda v, u: v / 500, "UserScore": lambda v, u: u / 150, "WeightedEnsemble_L2": lambda v, u: (v / 500 + u / 150) / 2}
+
+
+def rule_scores():
+    return {m: auc([(f(float(i % 7), i % 5), i % 3 == 0) for i in range(150_000)]) for m, f in RULES.items()}
+
+
+def test_leaderboard_of_more_pairs_than_an_int_holds(spark, many_pairs):
+    from __spark_entry__ import queries
+    got = {r["model"]: r["score_val"] for r in queries()["leaderboard"](spark, many_pairs).collect()}
+    assert got == pytest.approx(rule_scores(), abs=1e-6)
