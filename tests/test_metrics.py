@@ -86,3 +86,12 @@ def test_leaderboard_of_more_pairs_than_an_int_holds(spark, many_pairs):
     from __spark_entry__ import queries
     got = {r["model"]: r["score_val"] for r in queries()["leaderboard"](spark, many_pairs).collect()}
     assert got == pytest.approx(rule_scores(), abs=1e-6)
+
+
+def test_ensemble_fallback_of_more_pairs_than_an_int_holds(spark, many_pairs):
+    from __spark_entry__ import queries
+    r = queries()["ensemble_fallback"](spark, many_pairs).first()
+    scores = rule_scores()
+    single = max((m for m in scores if m != "WeightedEnsemble_L2"), key=scores.get)
+    assert r["top_model"] == max(scores, key=scores.get) and r["best_single_model"] == single
+    assert r["improvement_ratio"] == pytest.approx((max(scores.values()) - scores[single]) / scores[single], abs=1e-5)
