@@ -27,6 +27,8 @@ from tabflow.session import cut_lineage, ship_package
 
 TERM_GAPS = r"[^\p{L}\p{N}]+"
 MAX_TERMS = 50_000
+BROADCAST_TERMS = 1_000_000   # frequent terms shipped to every executor
+ROWS_PER_TASK = 4_000      # texts whose terms are counted in one task
 OVERSAMPLE = 8
 STEPS = 4
 
@@ -34,16 +36,32 @@ STEPS = 4
 def terms(col: str | Column) -> Column:
     """The terms of a text, in order; a null or termless text has none."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TERM_GAPS), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), TERM_GAPS), "")
 
 
 def term_weights(df: DataFrame, text_col: str, key_col: str) -> DataFrame:
     """``key, term, tf, df, tfidf`` for every term of every row, with the weight
-    tf · ln((rows + 1) / (df + 1)); rows are told apart by their unique key."""
+    tf · ln((rows + 1) / (df + 1)); rows are told apart by their unique key (rows of one
+    key count as one text).
+
+    Texts are dealt out by key, so that a text's terms are counted, weighed and, by the
+    caller, added up where it lies. The most frequent terms, as many as can be shipped,
+    are looked up there too; only the rows of the others move."""
     n = df.count()
-    tf = df.select(key_col, F.explode(terms(text_col)).alias("term")).groupBy(key_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    seen = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(seen, "term").select(key_col, "term", "tf", "df", (F.col("tf") * F.log(F.lit(n + 1.0) / (F.col("df") + 1))).alias("tfidf"))
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
+    tf = (df.select(key_col, text_col).repartition(spread, key_col).select(key_col, F.explode(terms(text_col)).alias("term"))
+          .groupBy(key_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    common = cut_lineage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1))
+    # terms by the power of two that their frequency reaches (at most 63 rows)
+    sizes = {r["p"]: r["n"] for r in common.groupBy(F.floor(F.log2("df")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = next(p for p in range(1, 65) if sum(k for q, k in sizes.items() if q >= p) <= BROADCAST_TERMS)
+    frequent = F.floor(F.log2("df")) >= cut
+    j = tf.join(F.broadcast(common.where(frequent)), "term", "left")
+    if any(q < cut for q in sizes):
+        j = j.where(F.col("df").isNotNull()).unionByName(
+            j.where(F.col("df").isNull()).drop("df").join(common.where(~frequent), "term", "left"))
+    j = j.withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
+    return j.select(key_col, "term", "tf", "df", (F.col("tf") * F.log(F.lit(n + 1.0) / (F.col("df") + 1))).alias("tfidf"))
 
 
 def vocabulary(df: DataFrame, text_col: str, max_terms: int = MAX_TERMS, min_docs: int = 1) -> tuple[list[str], list[float]]:

@@ -76,3 +76,24 @@ def test_stage_of_the_pipeline_survives_reload(spark, tmp_path):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
     assert set(out.where("id = 999").select(*[c for c in out.columns if "_emb_" in c]).first()) == {0.0}
     assert not [c for c in Preprocessor(PreprocessorConfig(target="y")).fit(df).feature_columns if "_emb_" in c]
+
+
+def test_weights_of_terms_that_are_not_shipped_and_of_repeated_keys(spark, monkeypatch):
+    docs = [(1, "a b B"), (1, "b c"), (2, "a, a-a d"), (3, "a b c e e"), (None, "b x"), (None, "x")]
+    df = spark.createDataFrame(docs, "id int, text string").repartition(3)
+    words = {1: "a b b b c", 2: "a a a d", 3: "a b c e e", None: "b x x"}
+    seen = Counter(w for t in words.values() for w in set(t.split()))
+    want = {(i, w): (t.split().count(w), seen[w], t.split().count(w) * math.log(7 / (seen[w] + 1)))
+            for i, t in words.items() for w in set(t.split())}
+    for shipped in (0, 1, 2, 9):
+        monkeypatch.setattr(TX, "BROADCAST_TERMS", shipped)
+        got = [tuple(r) for r in TX.term_weights(df, "text", "id").collect()]
+        assert len(got) == len(want)
+        assert all(want[k, w][:2] == (tf, n) and abs(want[k, w][2] - x) < 1e-12 for k, w, tf, n, x in got)
+
+
+def test_weights_are_counted_where_the_texts_lie(spark):
+    df = spark.createDataFrame(_texts(), "id int, text string")
+    plan = TX.term_weights(df, "text", "id").groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    # the texts move once; before, the rows of (text, term) moved for their counts, for the lookup and by text
+    assert plan.count("Exchange hashpartitioning") == 1
