@@ -106,6 +106,7 @@ class Preprocessor:
         base = self._rules(base)
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         model = PreprocessorModel(c, state, tables)
+        kept = None
         try:
             n = base.count()                               # also materialises the cached rows
             # quantile mode: inline exact map (small), exact selection (large), or sketch (exact=False)
@@ -128,6 +129,8 @@ class Preprocessor:
                 cur = model._stage_text(model._stage_dates(model._stage_encode(model._stage_rare(model._stage_scale(
                     model._stage_log(model._stage_fill(base)))))))
                 feats = model._numeric_features(cur)
+                if state.get("text"):   # the scans below must not embed the texts again
+                    cur = kept = cur.select(*feats).persist(StorageLevel.MEMORY_AND_DISK)
                 if feats:
                     self._pass4_selection(cur, feats, state)
                 cur = model._stage_drop(cur)
@@ -140,6 +143,8 @@ class Preprocessor:
             state["feature_columns"] = model._numeric_features(model.transform(base.limit(0)))
         finally:
             base.unpersist()
+            if kept is not None:
+                kept.unpersist()
         return model
 
     # ---- pass 1: one aggregate over the cleaned training rows

@@ -6,9 +6,10 @@ documents hold (equal counts by term), as its size must be bounded to be shipped
 
 Embeddings are latent semantic ones: rows are scaled to length 1 and projected on the
 first right singular vectors of the weight matrix, found by subspace iteration from a
-seeded start. A step is one pass over the documents, whose workers multiply their
-sparse rows with the current basis and back, and hand on one partial sum a term; the
-driver only orthogonalises the (terms x dimensions) basis.
+seeded start. The kept terms are counted once, batch by batch of texts; a step is one pass
+over these counts, whose workers multiply their sparse rows with the current basis and
+back, and hand on one partial sum a term; the driver only orthogonalises the (terms x
+dimensions) basis.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +74,20 @@ def vocabulary(df: DataFrame, text_col: str, max_terms: int = MAX_TERMS, min_doc
     return [r["term"] for r in rows], [math.log((n + 1) / (r["df"] + 1)) for r in rows]
 
 
-def _rows(tokens: list, place: dict[str, int], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse weights of texts, scaled to length 1 (all zero where no term counts)."""
-    out = []
-    for found in tokens:
-        idx, n = np.unique(np.array([place[t] for t in (found if found is not None else ()) if t in place], np.int64), return_counts=True)
-        w = n * idf[idx]
-        norm = math.sqrt(float(w @ w))
-        out.append((idx, w / norm if norm > 0 else w))
-    return out
+def _counts(found: pa.ListArray, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, term, count)`` of the kept terms of a batch of texts."""
+    lengths = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    at = pc.fill_null(pc.index_in(found.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(found)), lengths)[at >= 0]
+    key, n = np.unique(text * len(names) + at[at >= 0], return_counts=True)
+    return key // len(names), key % len(names), n
+
+
+def _scaled(text: np.ndarray, term: np.ndarray, n: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
+    """Weights of the counts, those of a text scaled to length 1 (all zero where no term counts)."""
+    w = n * idf[term]
+    norm = np.sqrt(np.bincount(text, w * w, rows))
+    return w / np.where(norm > 0, norm, 1.0)[text]
 
 
 def fit_embedding(df: DataFrame, text_col: str, dims: int, max_terms: int = MAX_TERMS, min_docs: int = 1, steps: int = STEPS,
@@ -90,29 +96,41 @@ def fit_embedding(df: DataFrame, text_col: str, dims: int, max_terms: int = MAX_
     come out where the texts have a lower rank."""
     spark = ship_package(df.sparkSession)
     names, idf = vocabulary(df, text_col, max_terms, min_docs)
-    tokens = cut_lineage(df.select(terms(text_col).alias("t")).where(F.size("t") > 0))
     width = min(dims + OVERSAMPLE, len(names))
     if not width:
         return spark.createDataFrame([], "term string, idf double, vec array<double>"), []
-    fixed = spark.sparkContext.broadcast(({t: i for i, t in enumerate(names)}, np.array(idf)))
+    fixed = spark.sparkContext.broadcast((pa.array(names, pa.string()), np.array(idf)))
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), width)))[0]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _counts(batch.column(0), fixed.value[0])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *[pa.array([x.astype(np.int32).tobytes()]) for x in found]],
+                                             names=["rows", "text", "term", "n"])
+
+    # one row a batch of texts: numbers of the kept terms instead of the terms of all steps
+    counted = cut_lineage(df.select(terms(text_col).alias("t")).where(F.size("t") > 0)
+                          .mapInArrow(count, "rows int, text binary, term binary, n binary"))
+
     def times(basis: np.ndarray) -> np.ndarray:
         """A'A times the basis, A being the weight matrix of all documents."""
         shared = spark.sparkContext.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (place, weight), w = fixed.value, shared.value
+            weight, w = fixed.value[1], shared.value
             total, seen = np.zeros_like(w), np.zeros(len(w), bool)
             for batch in batches:
-                for idx, v in _rows(batch.column(0).to_pylist(), place, weight):
-                    total[idx] += np.outer(v, v @ w[idx])
-                    seen[idx] = True
+                for rows, *held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    text, term, n = (np.frombuffer(x, np.int32) for x in held)
+                    v = _scaled(text, term, n, rows, weight)
+                    for j in range(w.shape[1]):
+                        total[:, j] += np.bincount(term, v * np.bincount(text, v * w[term, j], rows)[text], len(w))
+                    seen[term] = True
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, j]) for j in range(w.shape[1])]],
                                              names=["i", *[f"c{j}" for j in range(w.shape[1])]])
 
-        sums = tokens.mapInArrow(run, "i int, " + ", ".join(f"c{j} double" for j in range(basis.shape[1])))
+        sums = counted.mapInArrow(run, "i int, " + ", ".join(f"c{j} double" for j in range(basis.shape[1])))
         out = np.zeros_like(basis)
         for r in sums.groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(basis.shape[1])]).collect():   # one row a kept term
             out[r["i"]] = r[1:]
@@ -135,15 +153,19 @@ def embedding(table: DataFrame, text_col: str, dims: int) -> Column:
     null or has no known term."""
     spark = ship_package(table.sparkSession)
     rows = table.orderBy("term").collect()    # at most max_terms, in one order whatever the files
-    place = {r["term"]: i for i, r in enumerate(rows)}
     idf = np.array([r["idf"] for r in rows])
     vec = np.array([r["vec"] for r in rows]).reshape(len(rows), -1)
-    model = spark.sparkContext.broadcast((place, idf, vec))
-
-    @F.pandas_udf("array<double>")
-    def project(found: pd.Series) -> pd.Series:
-        place, idf, vec = model.value
-        return pd.Series([np.pad(w @ vec[idx], (0, dims - vec.shape[1])).tolist() if len(idx) else [0.0] * dims
-                          for idx, w in _rows(found.tolist(), place, idf)])
+    model = spark.sparkContext.broadcast((pa.array([r["term"] for r in rows], pa.string()), idf, vec))
+
+    @F.arrow_udf("array<double>")
+    def project(found: pa.Array) -> pa.Array:
+        names, idf, vec = model.value
+        out = np.zeros((len(found), dims))
+        if len(names):
+            text, term, n = _counts(found, names)
+            v = _scaled(text, term, n, len(found), idf)
+            for j in range(vec.shape[1]):
+                out[:, j] = np.bincount(text, v * vec[term, j], len(found))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dims, dtype=np.int32)), pa.array(out.ravel()))
 
     return project(terms(text_col))

@@ -97,3 +97,11 @@ def test_weights_are_counted_where_the_texts_lie(spark):
     plan = TX.term_weights(df, "text", "id").groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
     # the texts move once; before, the rows of (text, term) moved for their counts, for the lookup and by text
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_steps_do_not_read_the_terms_again(spark, monkeypatch):
+    kept = []
+    cut = TX.cut_lineage
+    monkeypatch.setattr(TX, "cut_lineage", lambda df: kept.append(df.dtypes) or cut(df))
+    TX.fit_embedding(spark.createDataFrame(_texts(), "id int, text string"), "text", 3)
+    assert not [t for t in kept[:-1] if "array<string>" in dict(t).values()]
