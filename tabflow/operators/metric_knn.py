@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tabflow.session import cut_lineage, ship_package
 
 BLOCK = 2048
+STRIP = 256                # query vectors of a block that are compared at once
 SAMPLE = 20_000            # rows that pivots are chosen from
 MAX_PIVOTS = 1024          # of a group
 PARTNERS = 64              # blocks that one salted group of a block meets, on average
@@ -114,37 +115,45 @@ def _blocks(rows: DataFrame, pivots, block: int, prefix: str) -> DataFrame:
 def _nearest(q: dict, d: dict, k: int, penalty: float) -> Iterator[tuple[str, str, float, int]]:
     """``(quid, nuid, dist, avail)``: per query the nearest points of the block until
     ``k`` copies are found, by distance and then id."""
-    a, b = q["x"] - d["centre"], d["x"] - d["centre"]
-    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    extra = None
-    if q["cats"] is not None and q["cats"].shape[1]:
-        extra = np.zeros((len(a), len(b)))
-        for j in range(q["cats"].shape[1]):
-            codes: dict = {}
-            code = lambda v: -1 if v is None else codes.setdefault(v, len(codes))  # noqa: B023, E731
-            x, y = np.array([code(v) for v in q["cats"][:, j]]), np.array([code(v) for v in d["cats"][:, j]])
-            extra += ((x[:, None] != y[None, :]) | (x[:, None] < 0)) * penalty ** 2  # a null equals nothing
-    near = a2[:, None] + b2[None, :] - 2 * (a @ b.T)
-    if extra is not None:
-        near += extra
+    b = d["x"] - d["centre"]
+    b2 = (b * b).sum(axis=1)
+    n_cats = q["cats"].shape[1] if q["cats"] is not None else 0
+    codes: list[dict] = [{} for _ in range(n_cats)]
+
+    def coded(values: np.ndarray, j: int) -> np.ndarray:
+        return np.array([-1 if v is None else codes[j].setdefault(v, len(codes[j])) for v in values])
+
+    known = [coded(d["cats"][:, j], j) for j in range(n_cats)]
     many = min(k + 1, len(b))
-    # the product rounds: every point that may be among the first ones is measured again
-    limit = np.partition(near, many - 1, axis=1)[:, many - 1] + 1e-11 * (a2 + b2.max() + 1e-300)
     place = {u: j for j, u in enumerate(d["uids"])}
-    for i, quid in enumerate(q["uids"]):
-        some = np.flatnonzero(near[i] <= limit[i])
-        d2 = ((q["x"][i] - d["x"][some]) ** 2).sum(axis=1)
-        if extra is not None:
-            d2 = d2 + extra[i, some]
-        dist, own, got = np.sqrt(d2), place.get(quid, -1), 0
-        for t in sorted(range(len(some)), key=lambda t: (dist[t], d["uids"][some[t]])):
-            j = int(some[t])
-            avail = d["cnts"][j] - (j == own)
-            if avail > 0:
-                yield quid, d["uids"][j], float(dist[t]), avail
-                got += avail
-                if got >= k:
-                    break
+    for start in range(0, len(q["uids"]), STRIP):   # a strip's matrices, not the block's, are in memory
+        part = slice(start, start + STRIP)
+        a = q["x"][part] - d["centre"]
+        a2 = (a * a).sum(axis=1)
+        near = a2[:, None] + b2[None, :] - 2 * (a @ b.T)
+        extra = None
+        if n_cats:
+            extra = np.zeros(near.shape)
+            for j in range(n_cats):
+                x, y = coded(q["cats"][part, j], j), known[j]
+                extra += ((x[:, None] != y[None, :]) | (x[:, None] < 0)) * penalty ** 2  # a null equals nothing
+            near += extra
+        # the product rounds: every point that may be among the first ones is measured again
+        limit = np.partition(near, many - 1, axis=1)[:, many - 1] + 1e-11 * (a2 + b2.max() + 1e-300)
+        for i, quid in enumerate(q["uids"][part]):
+            some = np.flatnonzero(near[i] <= limit[i])
+            d2 = ((q["x"][start + i] - d["x"][some]) ** 2).sum(axis=1)
+            if extra is not None:
+                d2 = d2 + extra[i, some]
+            dist, own, got = np.sqrt(d2), place.get(quid, -1), 0
+            for t in sorted(range(len(some)), key=lambda t: (dist[t], d["uids"][some[t]])):
+                j = int(some[t])
+                avail = d["cnts"][j] - (j == own)
+                if avail > 0:
+                    yield quid, d["uids"][j], float(dist[t]), avail
+                    got += avail
+                    if got >= k:
+                        break
 
 
 def _open(row: dict, prefix: str, n_cats: int) -> dict:

@@ -163,3 +163,27 @@ def test_enn_equals_hand_rule(spark):
         if all(u == t for _, u in near):
             want.add(i)
     assert got == want
+
+
+def test_a_pair_of_blocks_is_compared_in_strips():
+    """The distances of a pair of blocks must not lie in memory at once, each worker holds as many."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tabflow.operators import metric_knn as KN
+    r = np.random.default_rng(5)
+    n = 2048
+    x = r.integers(0, 300, (n, 2)).astype(float)
+    cats = np.array(r.choice(["a", "b", None], (n, 1)), dtype=object)
+    side = {"uids": [f"{i:05d}" for i in range(n)], "cnts": [1] * n, "centre": x.mean(axis=0), "x": x, "cats": cats}
+    tracemalloc.start()
+    found = list(KN._nearest(side, side, 3, 2.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6   # one 2048 x 2048 matrix is 34 MB, several were held
+    for i in (0, 255, 256, 1000, n - 1):
+        differ = np.array([c[0] is None or c[0] != cats[i, 0] for c in cats])
+        d = np.sqrt(((x[i] - x) ** 2).sum(axis=1) + differ * 2.5 ** 2)
+        want = sorted((dist, u) for j, (dist, u) in enumerate(zip(d.tolist(), side["uids"], strict=True)) if j != i)[:3]
+        assert [(dist, u) for q, u, dist, _ in found if q == side["uids"][i]] == want
