@@ -65,7 +65,7 @@ def test_run(spark, corpus):
 def test_queries_are_registered():
     from __spark_entry__ import oracle_sql, queries
     names = set(queries())
-    assert {f"op{i}" for i in range(1, 11)} == {m.group() for n in names if (m := re.match(r"op\d+(?=_)", n))}
+    assert {f"op{i}" for i in range(1, 14)} == {m.group() for n in names if (m := re.match(r"op\d+(?=_)", n))}
     assert "pipeline" in names and set(oracle_sql()) <= names
 
 
