@@ -126,9 +126,10 @@ def roc_auc(df: DataFrame, is_pos: Column, score: Column) -> DataFrame:
     """I4: one row ``auc`` = P(score⁺ > score⁻) + ½ P(tie) (rank-sum form)."""
     c = _curve(score_table(df, is_pos, score), False)
     # negatives strictly below a score = N − fp (fp counts negatives with score ≥ s);
-    # P · N, the number of pairs, is a double: an int ends at 46,340 rows of each kind
-    return c.agg((F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + 0.5 * F.col("neg"))) /
-                  (F.first("P").cast("double") * F.first("N"))).alias("auc"))
+    # P · N, the number of pairs, is a double: an int ends at 46,340 rows of each kind;
+    # without a pair (no scored row of one of the kinds) there is no auc: null
+    return c.agg(F.try_divide(F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + 0.5 * F.col("neg"))),
+                              F.first("P").cast("double") * F.first("N")).alias("auc"))
 
 
 def average_precision(df: DataFrame, is_pos: Column, score: Column) -> DataFrame:
@@ -168,7 +169,8 @@ def ranking_by(df: DataFrame, key: Column, is_pos: Column, score: Column) -> Dat
     """I4/I5 for every value of ``key`` (class, model): ``(cls, auc, average_precision)``."""
     c = _curve(score_table(df, is_pos, score, partition=key), True)
     return c.groupBy("cls").agg(
-        (F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + 0.5 * F.col("neg"))) / (F.first("P").cast("double") * F.first("N"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * ((F.col("N") - F.col("fp")) + 0.5 * F.col("neg"))),
+                     F.first("P").cast("double") * F.first("N")).alias("auc"),
         F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P")).otherwise(0.0)
               * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
 

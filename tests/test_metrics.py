@@ -95,3 +95,29 @@ def test_ensemble_fallback_of_more_pairs_than_an_int_holds(spark, many_pairs):
     single = max((m for m in scores if m != "WeightedEnsemble_L2"), key=scores.get)
     assert r["top_model"] == max(scores, key=scores.get) and r["best_single_model"] == single
     assert r["improvement_ratio"] == pytest.approx((max(scores.values()) - scores[single]) / scores[single], abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def one_kind(spark, tmp_path_factory):
+    """Folders of events without a purchase, of purchases alone, and of purchases without a user."""
+    i, out = F.col("id"), {}
+    for name, kind, user in (("views", "view", i % 5), ("purchases", "purchase", i % 5),
+                             ("anonymous", F.when(i % 3 == 0, "purchase").otherwise("view"), F.when(i % 3 > 0, i % 5))):
+        out[name] = str(tmp_path_factory.mktemp(name))
+        spark.range(60).select(i.alias("event_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("event_type"),
+                               (i % 7).cast("double").alias("value"), user.alias("user_id")).write.parquet(f"{out[name]}/events.parquet")
+    return out
+
+
+def test_ensemble_fallback_without_a_pair(spark, one_kind):
+    from __spark_entry__ import queries
+    for name in ("views", "purchases"):
+        assert set(queries()["ensemble_fallback"](spark, one_kind[name]).first().asDict().values()) == {None}
+    r = queries()["ensemble_fallback"](spark, one_kind["anonymous"]).first()
+    assert (r["top_model"], r["best_single_model"], r["ensemble_used"], r["chosen_model"]) == ("ValueScore", "ValueScore", False, "ValueScore")
+
+
+def test_ranking_of_a_class_without_a_pair(spark):
+    df = spark.createDataFrame([("a", 1, 0.3), ("a", 0, 0.2), ("b", 1, 0.3), ("b", 1, 0.4), ("c", 0, 0.1)], "k string, y int, s double")
+    got = {r["cls"]: (r["auc"], r["average_precision"]) for r in M.ranking_by(df, F.col("k"), F.col("y") == 1, F.col("s")).collect()}
+    assert got == {"a": (1.0, 1.0), "b": (None, 1.0), "c": (None, 0.0)}
