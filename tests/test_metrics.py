@@ -121,3 +121,12 @@ def test_ranking_of_a_class_without_a_pair(spark):
     df = spark.createDataFrame([("a", 1, 0.3), ("a", 0, 0.2), ("b", 1, 0.3), ("b", 1, 0.4), ("c", 0, 0.1)], "k string, y int, s double")
     got = {r["cls"]: (r["auc"], r["average_precision"]) for r in M.ranking_by(df, F.col("k"), F.col("y") == 1, F.col("s")).collect()}
     assert got == {"a": (1.0, 1.0), "b": (None, 1.0), "c": (None, 0.0)}
+
+
+def test_leaderboard_without_a_pair(spark, one_kind):
+    from __spark_entry__ import queries
+    for name in ("views", "purchases"):
+        assert {r["model"]: r["score_val"] for r in queries()["leaderboard"](spark, one_kind[name]).collect()} == dict.fromkeys(RULES)
+    rows = queries()["leaderboard"](spark, one_kind["anonymous"]).collect()
+    assert rows[0]["model"] == "ValueScore" and [r["score_val"] for r in rows] == [
+        pytest.approx(auc([(i % 7, i % 3 == 0) for i in range(60)]), abs=1e-6), None, None]
